@@ -188,13 +188,15 @@ def gate_tree(spark, sf_dir):
 
 @query("J9_parent_counts", f"""WITH {CELLS}, {TREE}, t AS ({TREE_COUNTS}),
 s AS (SELECT gate, parent, sum(n) AS n FROM t GROUP BY 1, 2)
-SELECT s.gate, CAST(s.n AS BIGINT) AS n, CAST(p.n AS BIGINT) AS n_parent, CAST(gp.n AS BIGINT) AS n_grandparent
+SELECT s.gate, CAST(s.n AS BIGINT) AS n, CAST(coalesce(p.n, 0) AS BIGINT) AS n_parent,
+       CAST(coalesce(gp.n, 0) AS BIGINT) AS n_grandparent
 FROM s LEFT JOIN s p ON s.parent = p.gate LEFT JOIN s gp ON p.parent = gp.gate""")
 def parent_counts(spark, sf_dir):
     counts = tree().counts(cells(spark, sf_dir)).select("gate", "parent", "n")
     parent = counts.select(F.col("gate").alias("parent"), F.col("n").alias("n_parent"), F.col("parent").alias("gp"))
     above = counts.select(F.col("gate").alias("gp"), F.col("n").alias("n_grandparent"))
-    return counts.join(parent, "parent", "left").join(above, "gp", "left").select("gate", "n", "n_parent", "n_grandparent")
+    linked = counts.join(parent, "parent", "left").join(above, "gp", "left")
+    return linked.select("gate", "n", "n_parent", "n_grandparent").na.fill(0)
 
 
 @query("G12_user_gates", f"""WITH {CELLS}, {TREE}

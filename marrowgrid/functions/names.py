@@ -130,7 +130,11 @@ def file_date(file: "str | Column") -> Column:
     for pattern, groups, form in DATE_PATTERNS:
         parts = [F.regexp_extract(stem, pattern, g + 1) for g in range(groups)]
         text = F.concat_ws("-", *parts) if groups > 1 else parts[0]
-        found.append(F.when(stem.rlike(pattern), F.to_date(F.try_to_timestamp(text, F.lit(form)))))
+        date = F.to_date(F.try_to_timestamp(text, F.lit(form)))
+        if form.endswith("-yy"):
+            # two-digit years from 69 on belong to the last century
+            date = F.when(F.year(date) > 2068, F.add_months(date, -1200)).otherwise(date)
+        found.append(F.when(stem.rlike(pattern), date))
     return F.coalesce(*found)
 
 

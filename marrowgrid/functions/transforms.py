@@ -18,8 +18,13 @@ TOP, DECADES, LINEAR_WIDTH, EXTRA = 262144.0, 4.5, 0.5, 0.0
 SCATTER_PATTERNS = ("FSC", "SSC", "TIME", "EVENT", "WIDTH", "HEIGHT")
 
 
+def _asinh(value: Column) -> Column:
+    """Odd form: the built-in loses digits on large negative numbers."""
+    return F.signum(value) * F.asinh(F.abs(value))
+
+
 def arcsinh(value: "str | Column", cofactor: float = COFACTOR) -> Column:
-    return F.asinh(col(value) / cofactor)
+    return _asinh(col(value) / cofactor)
 
 
 def arcsinh_inverse(value: "str | Column", cofactor: float = COFACTOR) -> Column:
@@ -32,7 +37,7 @@ def floored_log(value: "str | Column", base: float = 10.0, floor: float = 1.0) -
 
 def logicle_closed(value: "str | Column", top: float = TOP, decades: float = DECADES) -> Column:
     """Closed form used where the exact scale is not needed."""
-    return F.asinh(col(value) / (top / 10**decades)) * (decades / math.log(10))
+    return _asinh(col(value) / (top / 10**decades)) * (decades / math.log(10))
 
 
 def linear_scale(value: "str | Column", top: float, extra: float = 0.0) -> Column:
@@ -42,7 +47,7 @@ def linear_scale(value: "str | Column", top: float, extra: float = 0.0) -> Colum
 def arcsinh_scale(value: "str | Column", top: float, decades: float, extra: float) -> Column:
     """Asinh display scale with explicit top, decades and negative decades."""
     ln10 = math.log(10)
-    lead = F.asinh(col(value) * math.sinh(decades * ln10) / top)
+    lead = _asinh(col(value) * math.sinh(decades * ln10) / top)
     return (lead + extra * ln10) / ((decades + extra) * ln10)
 
 

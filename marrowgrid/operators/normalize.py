@@ -50,10 +50,10 @@ def robust(
 ) -> DataFrame:
     """Scale by the range between two quantiles, learnt on ``fit_on``."""
     base = fit_on if fit_on is not None else events
-    cuts = quantiles(base, list(by), {f"{m}|{q}": (m, q) for m in markers for q in (low, high)})
-    stats = cuts.select(
-        *by, *[F.col(f"{m}|{low}").alias(f"shift|{m}") for m in markers],
-        *[_nonzero(F.col(f"{m}|{high}") - F.col(f"{m}|{low}")).alias(f"scale|{m}") for m in markers])
+    ends = {f"{end}|{m}": (m, q) for m in markers for end, q in (("low", low), ("high", high))}
+    stats = quantiles(base, list(by), ends).select(
+        *by, *[F.col(f"low|{m}").alias(f"shift|{m}") for m in markers],
+        *[_nonzero(F.col(f"high|{m}") - F.col(f"low|{m}")).alias(f"scale|{m}") for m in markers])
     return _scaled(events, stats, by, markers)
 
 
