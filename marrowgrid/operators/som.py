@@ -55,14 +55,10 @@ class SomModel:
     model: str | None = None
     metaclusters: dict[object, np.ndarray] = field(default_factory=dict)
 
-    def _scaled(self, m: np.ndarray) -> np.ndarray:
-        return m if self.weights is None else m * self.weights
-
     def transform(self, events: DataFrame, x: str = "x", node: str = "node_id", distance: str = "distance") -> DataFrame:
         """Events with their node, distance and, once known, metacluster."""
-        if self.model is None:
-            out = nearest_code(events, self.codes[None] if self.weights is None else self.codes[None], x=x, node=node, distance=distance) \
-                if self.weights is None else self._keyed(events, x, node, distance)
+        if self.model is None and self.weights is None:
+            out = nearest_code(events, self.codes[None], x=x, node=node, distance=distance)
         else:
             out = self._keyed(events, x, node, distance)
         return out if not self.metaclusters else out.join(self._labels(out), [*([self.model] if self.model else []), node], "left")
