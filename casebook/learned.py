@@ -20,7 +20,8 @@ from marrowgrid.sources import fcs, readers, sinks
 from marrowgrid.sources.tables import MARKERS, cells, table, vectors
 from marrowgrid.streaming import jobs
 
-ORDER = hash_order("event_id")
+def order():
+    return hash_order("event_id")
 
 
 @query("G6_debris_mixture")
@@ -38,7 +39,7 @@ def debris_density(spark, sf_dir):
 
 @query("G8_robust_singlets")
 def robust_singlets(spark, sf_dir):
-    _, report = ag.auto_singlets(cells(spark, sf_dir), "file_origin", "FSC_A", "FSC_H", ORDER)
+    _, report = ag.auto_singlets(cells(spark, sf_dir), "file_origin", "FSC_A", "FSC_H", order())
     return report
 
 
@@ -182,7 +183,7 @@ def lasso(spark, sf_dir):
 def stratifying(spark, sf_dir):
     events = cells(spark, sf_dir).withColumn("endpoint", (F.xxhash64("file_origin") % 2 == 0).cast("int"))
     scaled = events.select("event_id", "file_origin", "endpoint", (F.col("CD45") / 10).alias("CD45"), (F.col("HLA_DR") / 2000).alias("HLA_DR"))
-    return em.stratifying_clusters(scaled, "file_origin", "endpoint", ["CD45", "HLA_DR"], ORDER, per_sample=300, clusters=8)
+    return em.stratifying_clusters(scaled, "file_origin", "endpoint", ["CD45", "HLA_DR"], order(), per_sample=300, clusters=8)
 
 
 # --- files -------------------------------------------------------------------
@@ -289,8 +290,8 @@ def output_columns(spark, sf_dir):
 
     out = flow_columns(cells(spark, sf_dir), xdim=11)
     return out.groupBy("node").agg(
-        F.max("metacluster").alias("metacluster"), F.max("size").alias("size"), F.count_if("condition_code = 1").alias("code1"),
-        F.count_if("condition_code = 2").alias("code2"),
+        F.max("metacluster").alias("metacluster"), F.max("size").alias("size"), F.count_if(F.col("condition_code") == 1).alias("code1"),
+        F.count_if(F.col("condition_code") == 2).alias("code2"),
         F.bool_and(F.sqrt(F.pow(F.col("x_grid") - F.col("x_center"), 2) + F.pow(F.col("y_grid") - F.col("y_center"), 2)) <= 0.4501).alias("in_disc"))
 
 
@@ -301,13 +302,13 @@ SETTINGS = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=5, ydim=5, epochs=4, me
 
 @query("M16_patient_runs")
 def patient_runs(spark, sf_dir):
-    _, summary = run.patient_runs(cells(spark, sf_dir).drop("node_id", "metacluster"), SETTINGS, ORDER)
+    _, summary = run.patient_runs(cells(spark, sf_dir).drop("node_id", "metacluster"), SETTINGS, order())
     return _rounded(summary)
 
 
 @query("C16_combined_run")
 def combined_run(spark, sf_dir):
-    tables = run.combined_run(cells(spark, sf_dir), SETTINGS, ORDER)
+    tables = run.combined_run(cells(spark, sf_dir), SETTINGS, order())
     return tables["cells"].groupBy("metacluster", "condition").agg(F.count("*").alias("n"))
 
 

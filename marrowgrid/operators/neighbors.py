@@ -71,7 +71,7 @@ def knn(
     elif size["n"] * size["d"] <= shipped_numbers:
         found = _against_shipped(q, b, k, exclude_same)
     else:
-        found = _by_cells(q, b, k, exclude_same, size["n"], size["d"], block_rows, shipped_numbers)
+        found = _distinct_search(q, b, k, exclude_same, size["d"], block_rows, shipped_numbers)
     order = Window.partitionBy("q").orderBy("distance", "b")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -114,6 +114,26 @@ def _against_shipped(q: DataFrame, b: DataFrame, k: int, exclude: bool) -> DataF
     return q.mapInArrow(search, _FOUND)
 
 
+def _distinct_search(q: DataFrame, b: DataFrame, k: int, exclude: bool, d: int, block: int, shipped: int) -> DataFrame:
+    """Search distinct vectors once, however many copies they have.
+
+    Copies of a base vector are at one distance, so only the k + 1 smallest
+    ids of each vector can be among the neighbours of anyone.  Equal queries
+    share one search for k + 1 neighbours and then leave themselves out.
+    """
+    wide = k + 1 if exclude else k
+    # Spark cuts each group of copies before the shuffle
+    copies = b.withColumn("_k", F.row_number().over(Window.partitionBy("x").orderBy("b"))).where(F.col("_k") <= wide).drop("_k")
+    copies = staged(copies, "copies")
+    asked = staged(q.groupBy("x").agg(F.min("q").alias("q")), "asked")
+    found = _by_cells(asked, copies, wide, False, copies.count(), d, block, shipped)
+    order = Window.partitionBy("q").orderBy("distance", "b")
+    best = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= wide).drop("_k")
+    named = best.withColumnRenamed("q", "_first").join(asked.select(F.col("q").alias("_first"), "x"), "_first")
+    dealt = q.join(named, "x").select("q", "b", "distance")
+    return dealt.where("q <> b") if exclude else dealt
+
+
 def _by_cells(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int, block: int, shipped: int) -> DataFrame:
     # pivots are a model: about the square root of the base, bounded
     wanted = int(min(math.sqrt(n), 2048, shipped // d))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marrowgrid.functions.numeric import all_of
 from marrowgrid.operators.quantiles import medians
-from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit
+from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit, ordered_pieces
 
 # Robust deviation scale and default limits.
 MAD_SCALE, Z_LIMIT, TIME_BINS, MIN_BIN_ROWS, TINY = 1.4826, 5.0, 200, 10, 1e-9
@@ -46,9 +46,9 @@ def equal_count_bins(
 ) -> DataFrame:
     """Adds ``bin``: equal-count bins of each sample in the given order.
 
-    The first rows-modulo-bins bins hold one row more.  A sample too large for
-    one task is cut into narrow ranges of the first order column; ranges are
-    counted, and only the rows of one range are ranked together.
+    The first rows-modulo-bins bins hold one row more.  Samples too large for
+    one task are cut into ranges of the whole sort key; ranges are counted, and
+    only the rows of one range are ranked together.
     """
     def bin_of(rank):
         # rank is 0-based; _n rows in all
@@ -59,17 +59,12 @@ def equal_count_bins(
 
     if groups_fit(events, [sample], group_rows):
         return events.withColumn("bin", F.ntile(bins).over(Window.partitionBy(sample).orderBy(*order)) - 1)
-    first = order[0]
-    sizes = as_model(events.groupBy(sample).agg(
-        F.count("*").alias("_n"), F.min(first).cast("double").alias("_t0"), F.max(first).cast("double").alias("_t1")))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("_n") * 8 / group_rows))
-    share = (F.col(first).cast("double") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-    piece = F.when(F.col("_t1") > F.col("_t0"), F.least(F.floor(share * pieces), pieces - 1)).otherwise(F.lit(0))
-    cut = events.join(sizes, sample).withColumn("_piece", piece)
+    cut = ordered_pieces(events, [sample, *order], max(group_rows // 2, 1))
     running = Window.partitionBy(sample).orderBy("_piece")
     offsets = as_model(
         cut.groupBy(sample, "_piece").agg(F.count("*").alias("_c"))
-        .select(sample, "_piece", (F.sum("_c").over(running) - F.col("_c")).alias("_before")))
+        .withColumn("_before", F.sum("_c").over(running) - F.col("_c"))
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy(sample))).drop("_c"))
     placed = cut.join(offsets, [sample, "_piece"])
     rank = F.row_number().over(Window.partitionBy(sample, "_piece").orderBy(*order)) - 1 + F.col("_before")
     return placed.withColumn("_rank", rank).withColumn("bin", bin_of(F.col("_rank")).cast("int")).select(

@@ -45,7 +45,9 @@ def smallest(
     total_order = ["_h", *ties]
     if by and groups_fit(df, by, group_rows):
         ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*total_order)))
-        return ranked.where("_rank <= _quota").drop("_h", "_quota", "_rank")
+        # a literal quota lets Spark cut each group before the shuffle
+        limit = F.lit(quota) if isinstance(quota, int) else F.col("_quota")
+        return ranked.where(F.col("_rank") <= limit).drop("_h", "_quota", "_rank")
     keyed = marked.withColumn("_pre", F.substring("_h", 1, _PREFIX))
     frame = by or ["_all"]
     keyed = keyed if by else keyed.withColumn("_all", F.lit(1))

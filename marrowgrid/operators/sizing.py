@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -50,3 +51,15 @@ def groups_fit(df: DataFrame, by: Sequence[str], bound: int) -> bool:
     if df.count() <= bound:
         return True
     return bool(by) and largest_group(df, by) <= bound
+
+
+def ordered_pieces(df: DataFrame, order: Sequence[str], piece_rows: int) -> DataFrame:
+    """The rows cut into contiguous ranges of ``order``, numbered in ``_piece``.
+
+    Range partitioning splits by the whole sort key, so a crowded group or a
+    crowded value of the first column is cut as well.  The result is written
+    to the shared folder: piece numbers must not change when a task is retried.
+    """
+    n = max(1, math.ceil(df.count() / piece_rows))
+    ranged = df.repartitionByRange(n, *order)
+    return staged(ranged.withColumn("_piece", F.spark_partition_id()), "pieces")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marrowgrid.functions.vectors import matrix_of, squared_distances
 from marrowgrid.operators.neighbors import SHIPPED_NUMBERS, nearest_code
@@ -118,6 +119,7 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
     """Per (model, node): event count and vector sum."""
     sent = events.sparkSession.sparkContext.broadcast((books, weights))
     kind = events.schema[model].dataType if model else T.StringType()
+    key_type = to_arrow_type(kind)
     schema = T.StructType(
         [T.StructField("m", kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType())]
         + [T.StructField(f"s{i}", T.DoubleType()) for i in range(d)])
@@ -139,7 +141,7 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
         for key, n in sizes.items():
             used = np.nonzero(n)[0]
             if len(used):
-                keys = pa.array([key] * len(used), type=None if model else pa.string())
+                keys = pa.array([key] * len(used), type=key_type)
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(used), pa.array(n[used])] + [pa.array(sums[key][used, i]) for i in range(d)],
                     names=[f.name for f in schema])
@@ -148,10 +150,15 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
     return partial.groupBy("m", "node").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
 
 
+def neighbourhood(grid: np.ndarray, radius: float) -> np.ndarray:
+    """Gaussian pull between nodes; the node alone once the radius is small."""
+    return np.exp(-0.5 * (grid / radius) ** 2) if radius > 0.5 else (grid == 0).astype(float)
+
+
 def _moved(book: np.ndarray, n: np.ndarray, s: np.ndarray, grid: np.ndarray, radius: float) -> np.ndarray:
-    near = (grid <= max(radius, 0.5)).astype(float)
+    near = neighbourhood(grid, radius)
     mass = near @ n
-    return np.where(mass[:, None] > 0, (near @ s) / np.maximum(mass, 1.0)[:, None], book)
+    return np.where(mass[:, None] > 0, (near @ s) / np.where(mass > 0, mass, 1.0)[:, None], book)
 
 
 def fit_som(

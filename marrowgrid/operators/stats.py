@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marrowgrid.functions.numeric import col
 from marrowgrid.operators.quantiles import quantiles
-from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit
+from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit, ordered_pieces
 
 # Detection and quantification limits, normal ceiling, fold change.
 LOD, LOQ, NBM_MAX, FOLD_CHANGE = 9e-5, 5e-5, 0.011, 1.9
@@ -40,13 +41,13 @@ def mrd_status(
         .when(fold >= threshold, "MRD_POSITIVE").when(f > nbm_max, "MRD_INDETERMINATE").otherwise("MRD_NEGATIVE"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not np.isnan(v) else np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kolmogorov_tail(t: pd.Series) -> pd.Series:
     """Asymptotic tail of the Kolmogorov distribution."""
     k = np.arange(1, 101)[None, :]
@@ -79,12 +80,7 @@ def value_counts(long: DataFrame, by: Sequence[str], first: Column, second: Colu
     if groups_fit(counts, by, group_rows):
         order = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counts.withColumn("ca", F.sum("a").over(order) - F.col("a")).withColumn("cb", F.sum("b").over(order) - F.col("b"))
-    # cut every group at sketched quantiles: pieces of about group_rows / 8
-    pieces = max(2, math.ceil(counts.groupBy(*by).count().agg(F.max("count")).first()[0] * 8 / group_rows))
-    grid = [i / pieces for i in range(1, pieces)]
-    cuts = as_model(counts.groupBy(*by).agg(F.percentile_approx("value", grid, 20 * pieces).alias("_cuts")))
-    piece = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
-    placed = counts.join(cuts, by).withColumn("_piece", piece).drop("_cuts")
+    placed = ordered_pieces(counts, [*by, "value"], max(group_rows // 2, 1))
     running = Window.partitionBy(*by).orderBy("_piece")
     offsets = as_model(
         placed.groupBy(*by, "_piece").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
