@@ -223,9 +223,8 @@ SELECT file_origin, CASE WHEN q4 THEN 'cd_Q4_PosNeg' WHEN q3 THEN 'cd_Q3_NegNeg'
     WHEN q1 THEN 'cd_Q1_PosPos' WHEN box THEN 'box' ELSE 'other' END AS child, count(*) AS n
 FROM gates WHERE bright GROUP BY 1, 2""")
 def assign_children(spark, sf_dir):
-    t = tree()
-    rows = t.rows(cells(spark, sf_dir), "bright")
-    return rows.groupBy("file_origin", t.assign("bright", "other").alias("child")).agg(F.count("*").alias("n"))
+    found = tree().assigned(cells(spark, sf_dir), "bright", "other")
+    return found.groupBy("file_origin", "child").agg(F.count("*").alias("n"))
 
 
 MEMBERS = " UNION ALL ".join(

@@ -365,13 +365,14 @@ def robust_lines(events: DataFrame, file: str, area: str, height: str, order: Co
             return pd.DataFrame([[*key, None, None, None]], columns=schema.names)
         limit = float(np.median(np.abs(y - np.median(y))))
         rng = np.random.default_rng(42)
-        best = np.zeros(len(x), dtype=bool)
-        for _ in range(LINE_TRIALS):
-            pick = rng.choice(len(x), min(LINE_SEEDS, len(x)), replace=False)
-            slope, intercept = np.polyfit(x[pick], y[pick], 1)
-            inside = np.abs(y - slope * x - intercept) <= limit
-            if inside.sum() > best.sum():
-                best = inside
+        # all proposals at once: least squares through random subsets
+        pick = rng.integers(0, len(x), (LINE_TRIALS, min(LINE_SEEDS, len(x))))
+        px, py = x[pick], y[pick]
+        cx, cy = px - px.mean(axis=1, keepdims=True), py - py.mean(axis=1, keepdims=True)
+        slopes = (cx * cy).sum(axis=1) / np.maximum((cx * cx).sum(axis=1), 1e-300)
+        starts = py.mean(axis=1) - slopes * px.mean(axis=1)
+        inside = np.abs(y[None, :] - slopes[:, None] * x[None, :] - starts[:, None]) <= limit
+        best = inside[int(inside.sum(axis=1).argmax())]
         slope, intercept = np.polyfit(x[best], y[best], 1)
         left = ((y[best] - slope * x[best] - intercept) ** 2).sum()
         all_ = ((y[best] - y[best].mean()) ** 2).sum()

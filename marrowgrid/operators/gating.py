@@ -158,40 +158,74 @@ def pre_gated(events: DataFrame, masks: Sequence[str]) -> DataFrame:
 class GateTree:
     """Named gates with parents; each compiles to one boolean expression.
 
-    Every gate implies its parent.  ``root`` stands for all rows.
+    Every gate implies its parent.  ``root`` stands for all rows.  When many
+    gates are needed at once they are computed layer by layer, so a condition
+    shared by several gates is evaluated once per row.
     """
 
     def __init__(self) -> None:
         self._own: dict[str, Column] = {}
+        self._parts: dict[str, tuple[str, tuple[str, ...]]] = {}
         self._parent: dict[str, str] = {}
 
-    def add(self, name: str, condition: Column, parent: str = "root") -> "GateTree":
-        if name in self._own or name == "root":
+    def _check(self, name: str, parent: str) -> None:
+        if name in self._parent or name == "root":
             raise ValueError(f"gate {name} exists already")
-        if parent != "root" and parent not in self._own:
+        if parent != "root" and parent not in self._parent:
             raise KeyError(parent)
+
+    def add(self, name: str, condition: Column, parent: str = "root") -> "GateTree":
+        self._check(name, parent)
         self._own[name], self._parent[name] = condition, parent
         return self
 
     def add_boolean(self, name: str, op: str, parts: Sequence[str], parent: str = "root") -> "GateTree":
-        members = [self.mask(p) for p in parts]
-        made = {"and": all_of, "or": any_of, "not": lambda m: ~any_of(m)}[op](members)
-        return self.add(name, made, parent)
+        """AND, OR or NOT of gates that exist already."""
+        self._check(name, parent)
+        missing = [p for p in parts if p not in self._parent]
+        if missing or op not in ("and", "or", "not"):
+            raise KeyError(", ".join(missing) or op)
+        self._parts[name], self._parent[name] = (op, tuple(parts)), parent
+        return self
 
     def names(self) -> list[str]:
-        return list(self._own)
+        return list(self._parent)
 
     def path(self, name: str) -> list[str]:
         steps = []
         while name != "root":
-            if name not in self._own:
+            if name not in self._parent:
                 raise KeyError(name)
             steps.append(name)
             name = self._parent[name]
         return steps[::-1]
 
+    def _condition(self, name: str, mask) -> Column:
+        """Own condition and parent, other gates taken from ``mask(name)``."""
+        if name in self._parts:
+            op, parts = self._parts[name]
+            members = [mask(p) for p in parts]
+            own = {"and": all_of, "or": any_of, "not": lambda m: ~any_of(m)}[op](members)
+        else:
+            own = self._own[name]
+        parent = self._parent[name]
+        own = F.coalesce(own, F.lit(False))
+        return own if parent == "root" else mask(parent) & own
+
     def mask(self, name: str) -> Column:
-        return F.coalesce(all_of(self._own[n] for n in self.path(name)), F.lit(False))
+        return self._condition(name, self.mask)
+
+    def _marked(self, events: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """Events with one hidden boolean per gate, each layer built on the one before."""
+        hidden = {n: f"_gate_{i}" for i, n in enumerate(self._parent)}
+        depth: dict[str, int] = {"root": 0}
+        for name, parent in self._parent.items():
+            needs = [parent, *(self._parts[name][1] if name in self._parts else ())]
+            depth[name] = 1 + max(depth[n] for n in needs)
+        for level in range(1, max(depth.values()) + 1):
+            events = events.withColumns({
+                hidden[n]: self._condition(n, lambda g: F.col(hidden[g])) for n, d in depth.items() if d == level})
+        return events, {n: F.col(h) for n, h in hidden.items()}
 
     def rows(self, events: DataFrame, name: str) -> DataFrame:
         """Rows of a population; every row for ``root``."""
@@ -199,7 +233,7 @@ class GateTree:
 
     def population(self, events: DataFrame, name: str) -> DataFrame:
         """Rows of one population, an error when it is unknown or empty."""
-        hits = [n for n in self._own if n == name or n.split("/")[-1] == name]
+        hits = [n for n in self._parent if n == name or n.split("/")[-1] == name]
         if name != "root" and len(hits) != 1:
             raise ValueError(f"population {name}: {len(hits)} matches")
         found = self.rows(events, "root" if name == "root" else hits[0])
@@ -210,8 +244,9 @@ class GateTree:
     def counts(self, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """Count, share of parent and of grandparent for every gate: one scan."""
         names = self.names()
-        row = events.groupBy(*by).agg(
-            F.count("*").alias("_n_root"), *[F.count_if(self.mask(n)).alias(f"_n_{i}") for i, n in enumerate(names)])
+        marked, masks = self._marked(events)
+        row = marked.groupBy(*by).agg(
+            F.count("*").alias("_n_root"), *[F.count_if(masks[n]).alias(f"_n_{i}") for i, n in enumerate(names)])
         at = {"root": "_n_root"} | {n: f"_n_{i}" for i, n in enumerate(names)}
         entries = []
         for name in names:
@@ -225,16 +260,19 @@ class GateTree:
                 F.try_divide(100.0 * F.col(at[name]), F.col(at[above])).alias("pct_grandparent")))
         return row.select(*by, F.explode(F.array(*entries)).alias("_g")).select(*by, "_g.*")
 
-    def assign(self, parent: str, default: str) -> Column:
-        """Child population of a row; of overlapping children the last wins."""
-        children = [n for n in self._own if self._parent[n] == parent]
-        picks = [F.when(self.mask(n), F.lit(n)) for n in reversed(children)]
-        return F.coalesce(*picks, F.lit(default))
+    def assigned(self, events: DataFrame, parent: str, default: str, child: str = "child") -> DataFrame:
+        """Rows of a population with the child they belong to; of overlapping children the last wins."""
+        marked, masks = self._marked(events)
+        children = [n for n in self._parent if self._parent[n] == parent]
+        picks = [F.when(masks[n], F.lit(n)) for n in reversed(children)]
+        inside = marked if parent == "root" else marked.where(masks[parent])
+        return inside.withColumn(child, F.coalesce(*picks, F.lit(default))).select(*events.columns, child)
 
     def members(self, events: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
         """One row per (event, gate) it belongs to."""
-        hit = F.array_compact(F.array(*[F.when(self.mask(n), F.lit(n)) for n in self._own]))
-        return events.select(*by, *columns, F.explode(hit).alias("gate"))
+        marked, masks = self._marked(events)
+        hit = F.array_compact(F.array(*[F.when(masks[n], F.lit(n)) for n in masks]))
+        return marked.select(*by, *columns, F.explode(hit).alias("gate"))
 
 
 # --- time gate ---------------------------------------------------------------

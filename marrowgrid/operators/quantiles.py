@@ -41,8 +41,16 @@ def quantiles(
     """
     cleaned = {n: (F.nanvl(_column(c).cast("double"), F.lit(None)), p) for n, (c, p) in specs.items()}
     if groups_fit(df, by, group_rows):
-        aggs = [F.percentile(c, F.lit(float(p))).alias(n) for n, (c, p) in cleaned.items()]
-        return df.groupBy(*by).agg(*aggs)
+        # one sorted value map per column serves all its fractions
+        shared: dict[str, list[str]] = {}
+        for name, (column, _) in specs.items():
+            shared.setdefault(str(column), []).append(name)
+        aggs, picks = [], {}
+        for i, names in enumerate(shared.values()):
+            fractions = F.array(*[F.lit(float(cleaned[n][1])) for n in names])
+            aggs.append(F.percentile(cleaned[names[0]][0], fractions).alias(f"_q{i}"))
+            picks |= {n: F.col(f"_q{i}")[k].alias(n) for k, n in enumerate(names)}
+        return df.groupBy(*by).agg(*aggs).select(*by, *[picks[n] for n in specs])
     return _narrowed(df, list(by), cleaned, group_rows)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit
 
 _PREFIX = 4  # hex digits: 65 536 prefixes
+_TOP = 1_000  # rows each task may send to one sorted merge
 
 
 def hash_order(*keys: "str | Column", seed: int = 42) -> Column:
@@ -48,6 +49,9 @@ def smallest(
         # a literal quota lets Spark cut each group before the shuffle
         limit = F.lit(quota) if isinstance(quota, int) else F.col("_quota")
         return ranked.where(F.col("_rank") <= limit).drop("_h", "_quota", "_rank")
+    if not by and isinstance(quota, int) and (quota <= _TOP or groups_fit(df, by, group_rows)):
+        # every task keeps at most ``quota`` rows before they meet
+        return marked.orderBy(*total_order).limit(quota).drop("_h", "_quota")
     keyed = marked.withColumn("_pre", F.substring("_h", 1, _PREFIX))
     frame = by or ["_all"]
     keyed = keyed if by else keyed.withColumn("_all", F.lit(1))

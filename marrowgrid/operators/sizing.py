@@ -63,3 +63,19 @@ def ordered_pieces(df: DataFrame, order: Sequence[str], piece_rows: int) -> Data
     n = max(1, math.ceil(df.count() / piece_rows))
     ranged = df.repartitionByRange(n, *order)
     return staged(ranged.withColumn("_piece", F.spark_partition_id()), "pieces")
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Persist the input of an iterative job.
+
+    An input of fewer partitions than the cluster has slots (a small table in
+    one file) is spread over the slots; a large one is left as it lies.
+    """
+    held = df.persist()
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if held.rdd.getNumPartitions() >= slots:
+        return held
+    even = df.repartition(slots).persist()
+    even.count()
+    held.unpersist()
+    return even

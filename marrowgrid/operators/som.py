@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrowgrid.functions.vectors import matrix_of, squared_distances
 from marrowgrid.operators.neighbors import SHIPPED_NUMBERS, nearest_code
 from marrowgrid.operators.selection import hash_order, smallest
-from marrowgrid.operators.sizing import model_rows
+from marrowgrid.operators.sizing import cached, model_rows
 
 # Limits of the heuristics.
 MIN_EPOCHS, MAX_EPOCHS, SMALL_SAMPLE, SMALL_SIDE, START_QUANTILE = 10, 100, 50_000, 7, 0.67
@@ -136,8 +136,10 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
             for key, rows in _rows_by_key(batch, 0 if model else None):
                 if key in codes and len(rows):
                     best = squared_distances(m[rows], codes[key]).argmin(axis=1)
-                    np.add.at(sums[key], best, m[rows])
-                    sizes[key] += np.bincount(best, minlength=len(codes[key]))
+                    k = len(codes[key])
+                    sizes[key] += np.bincount(best, minlength=k)
+                    for i in range(d):
+                        sums[key][:, i] += np.bincount(best, weights=m[rows, i], minlength=k)
         for key, n in sizes.items():
             used = np.nonzero(n)[0]
             if len(used):
@@ -170,7 +172,8 @@ def fit_som(
     Codes start as distinct-row samples in hash order; the neighbourhood
     shrinks from the 0.67 quantile of the grid distances to the node itself.
     """
-    source = events.select(*dict.fromkeys([*key, *([model] if model else []), x])).persist()
+    # the keys only pick the start, they need not be cached
+    source = cached(events.select(*([model] if model else []), x))
     try:
         n = source.count()
         d = source.select(F.max(F.size(x))).first()[0]
@@ -179,7 +182,8 @@ def fit_som(
         models = source.select(model).distinct().count() if model else 1
         if models * xdim * ydim * d > SHIPPED_NUMBERS:
             raise ValueError("codebooks of all models are not model-sized; train in groups of models")
-        start = smallest(source, by, xdim * ydim, hash_order(*key, seed=seed), ties=list(key))
+        seeds_from = events.select(*dict.fromkeys([*key, *by, x]))
+        start = smallest(seeds_from, by, xdim * ydim, hash_order(*key, seed=seed), ties=list(key))
         w = None if weights is None else np.asarray(weights, dtype=float)
         seeds: dict = {}
         for r in model_rows(start):

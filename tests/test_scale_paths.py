@@ -40,7 +40,7 @@ def test_narrowed_quantiles_with_outliers_nulls_and_ties(spark):
     assert out["b"]["q2"] is None
 
 
-@pytest.mark.parametrize("by,quota", [([], 321), (["condition"], 100), (["file_origin"], 40)])
+@pytest.mark.parametrize("by,quota", [([], 321), ([], 1500), (["condition"], 100), (["file_origin"], 40)])
 def test_selection_paths_agree(spark, sf_dir, by, quota):
     events = cells(spark, sf_dir).select("event_id", "condition", "file_origin")
     order = hash_order("event_id")
