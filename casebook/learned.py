@@ -6,8 +6,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from casebook import statements as stm
 from casebook.base import CELLS, NODES, query
-from casebook.models import POPS, VEC, marker_vectors, node_sizes, nodes_long, populations_long
+from casebook.models import MAP_NEAREST, POPS, VEC, marker_vectors, node_sizes, nodes_long, populations_long
 from casebook.residual import _SUMMARY, MED, SCORED, _rounded, node_z
 from marrowgrid.functions.vectors import vector
 from marrowgrid.operators import autogate as ag
@@ -43,11 +44,13 @@ def robust_singlets(spark, sf_dir):
     return report
 
 
-@query("G9_cd45_density")
+@query("G9_cd45_density", f"""WITH {CELLS}, vals AS (SELECT condition AS g, {stm.LOG} AS v FROM cells), {stm.left_foot_ctes('condition')}
+SELECT condition, count(*) AS n, count(*) FILTER ({stm.LOG} >= threshold) AS n_pos, round(any_value(threshold), 6) AS threshold,
+       'kde_foot' AS method, any_value(n_values) AS n_values FROM cells JOIN cut USING (condition) GROUP BY 1""")
 def cd45_density(spark, sf_dir):
     marked, cuts = ag.auto_cd45(cells(spark, sf_dir), "HLA_DR", ["condition"])
     counts = marked.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("cd45_pos").alias("n_pos"))
-    return counts.join(cuts, "condition")
+    return counts.join(cuts, "condition").withColumn("threshold", F.round("threshold", 6))
 
 
 @query("G10_cd34_density")
@@ -72,7 +75,8 @@ def prescreening(spark, sf_dir):
     return ag.prescreen(cells(spark, sf_dir), "FSC_A", "HLA_DR", ["patient_id"])
 
 
-@query("G19_raw_cd45_count")
+@query("G19_raw_cd45_count", f"""WITH {CELLS}, vals AS (SELECT 0 AS g, {stm.LOG} AS v FROM cells), {stm.left_foot_ctes('g')}
+SELECT file_origin, count(*) AS n, count(*) FILTER ({stm.LOG} >= threshold) AS n_pos FROM cells, cut GROUP BY 1""")
 def raw_cd45_count(spark, sf_dir):
     marked, _ = ag.auto_cd45(cells(spark, sf_dir), "HLA_DR")
     return marked.groupBy("file_origin").agg(F.count("*").alias("n"), F.count_if("cd45_pos").alias("n_pos"))
@@ -123,7 +127,11 @@ def batch_correction(spark, sf_dir):
     return before.unionByName(em.batch_spread(fixed, ["SSC_A"], "batch").withColumn("stage", F.lit("after")))
 
 
-@query("L5_density_sample")
+@query("L5_density_sample", f"""WITH {VEC}, pair AS (SELECT a.vec_id, list_distance(a.x, b.x) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d) <= 4),
+w AS (SELECT vec_id, avg(d) AS w FROM nn GROUP BY 1),
+u AS (SELECT vec_id, w, (('0x' || substr(md5(concat_ws('|', '42', vec_id)), 1, 12))::BIGINT + 1) / (pow(16, 12) + 1) AS u FROM w)
+SELECT vec_id, label AS population FROM u JOIN embeddings USING (vec_id) ORDER BY -ln(u) / w LIMIT 200""")
 def density_sample(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "population", "x")
     return em.density_sample(v, "vec_id", 200, hash_order("vec_id")).select("vec_id", "population")
@@ -273,14 +281,15 @@ def model_input(spark, sf_dir):
     return ready.select("event_id", F.round(F.col("x")[0], 6).alias("cd45"), F.round(F.col("x")[1], 6).alias("hla"))
 
 
-@query("K15_mapping_csv")
+@query("K15_mapping_csv", MAP_NEAREST)
 def mapping_csv(spark, sf_dir):
     from marrowgrid.operators.mapping import map_nearest
 
     path = scratch_path(spark, "mapping")
     out = map_nearest(nodes_long(spark, sf_dir), populations_long(spark, sf_dir))
     sinks.write_csv(out, path)
-    return spark.read.schema(out.schema).csv(path, header=True)
+    back = spark.read.schema(out.schema).csv(path, header=True)
+    return back.withColumns({"best_dist": F.round("best_dist", 5), "threshold": F.round("threshold", 5)})
 
 
 @query("P10_output_columns", f"""WITH {CELLS} SELECT node_id + 1 AS node, max(metacluster) + 1 AS metacluster, count(*) AS size,
@@ -300,7 +309,7 @@ def output_columns(spark, sf_dir):
 SETTINGS = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=5, ydim=5, epochs=4, metaclusters=6)
 
 
-@query("M16_patient_runs")
+@query("M16_patient_runs", stm.patient_runs(NODES, _SUMMARY, 4))
 def patient_runs(spark, sf_dir):
     _, summary = run.patient_runs(cells(spark, sf_dir).drop("node_id", "metacluster"), SETTINGS, order())
     return _rounded(summary)

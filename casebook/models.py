@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from casebook import statements as stm
 from casebook.base import query, rounded
 from marrowgrid.functions import vectors as vec
 from marrowgrid.operators import graph
@@ -88,9 +89,9 @@ def marker_vectors(spark, sf_dir):
     return cells(spark, sf_dir).select("event_id", "patient_id", "condition", F.array(*scaled).alias("x"))
 
 
-@query("C1_som_train")
+@query("C1_som_train", stm.SOM_TRAIN)
 def som_train(spark, sf_dir):
-    model = som.fit_som(marker_vectors(spark, sf_dir), xdim=7, ydim=7, epochs=10)
+    model = som.fit_som(marker_vectors(spark, sf_dir), xdim=7, ydim=7, epochs=3)
     out = model.transform(marker_vectors(spark, sf_dir))
     return out.groupBy("node_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("quantization"))
 
@@ -152,7 +153,9 @@ def choose_k(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, silhouette double, stability double, composite double, chosen boolean")
 
 
-@query("C10_graph_communities")
+@query("C10_graph_communities", f"""WITH {VEC}, {KNN}, {stm.communities(6)}, sz AS (SELECT label, count(*) AS n FROM lab6 GROUP BY 1),
+cm AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS community FROM sz)
+SELECT id AS vec_id, community FROM lab6 JOIN cm USING (label)""")
 def graph_communities(spark, sf_dir):
     return graph.graph_clusters(vectors(spark, sf_dir).select("vec_id", "x"), 15, node="vec_id", max_iter=6)
 
@@ -205,9 +208,12 @@ def node_population(spark, sf_dir):
     return out.select("node_id", "population", *[F.round(m, 6).alias(m) for m in _WIDE])
 
 
-@query("B1_map_nearest", f"""WITH {NODE}, b AS (SELECT node_id, arg_min(population, M1)::VARCHAR AS best_pop, min(M1) AS d FROM dist GROUP BY 1),
+MAP_NEAREST = f"""WITH {NODE}, b AS (SELECT node_id, arg_min(population, M1)::VARCHAR AS best_pop, min(M1) AS d FROM dist GROUP BY 1),
 t AS (SELECT quantile_cont(d, 0.6) AS t FROM b)
-SELECT node_id, best_pop, round(d, 5) AS best_dist, round(t, 5) AS threshold, CASE WHEN d <= t THEN best_pop ELSE 'Unknown' END AS assigned_pop FROM b, t""")
+SELECT node_id, best_pop, round(d, 5) AS best_dist, round(t, 5) AS threshold, CASE WHEN d <= t THEN best_pop ELSE 'Unknown' END AS assigned_pop FROM b, t"""
+
+
+@query("B1_map_nearest", MAP_NEAREST)
 def map_nearest(spark, sf_dir):
     out = mp.map_nearest(nodes_long(spark, sf_dir), populations_long(spark, sf_dir))
     return out.withColumns({"best_dist": F.round("best_dist", 5), "threshold": F.round("threshold", 5)})
