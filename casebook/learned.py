@@ -200,8 +200,8 @@ def stratifying(spark, sf_dir):
 def fcs_folder(spark, sf_dir):
     """FCS files written by Spark from the events, one per patient, and one broken file."""
     folder = scratch_path(spark, "fcs")
-    source = cells(spark, sf_dir).withColumn("file", F.concat(F.lit("P"), "patient_id")).select("file", *MARKERS)
-    return folder, fcs.write_fcs(source, folder, "file")
+    source = cells(spark, sf_dir).withColumn("file", F.concat(F.lit("P"), "patient_id")).select("file", "event_id", *MARKERS)
+    return folder, fcs.write_fcs(source, folder, "file", key=["event_id"])
 
 
 @query("K5_fcs_export", f"WITH {CELLS} SELECT 'P' || patient_id AS file, count(*) AS n_events FROM cells GROUP BY 1")
@@ -236,7 +236,7 @@ def gate_export(spark, sf_dir):
     folder = scratch_path(spark, "gate_fcs")
     tree = GateTree().add("bright", in_range("CD45", 2.5, 8.5))
     inside = tree.rows(cells(spark, sf_dir), "bright").withColumn("file", F.concat(F.lit("P"), "patient_id"))
-    fcs.write_fcs(inside.select("file", *MARKERS), folder, "file").count()
+    fcs.write_fcs(inside.select("file", "event_id", *MARKERS), folder, "file", key=["event_id"]).count()
     events, _ = fcs.read_events(spark, folder)
     return events.groupBy("sample_id").agg(F.count("*").alias("n"))
 

@@ -216,7 +216,9 @@ def weighted_profile(nodes: DataFrame, by: Sequence[str], markers: Sequence[str]
 def source_trace(events: DataFrame, candidates: DataFrame, node: str, file: str = "file_origin",
                  condition: str = "condition", patho: str = "Pathologique", alert_pct: float = 50.0) -> DataFrame:
     """Files behind each candidate node, largest contributor first."""
-    parts = events.groupBy(node, file).agg(F.count("*").alias("n"), F.count_if(F.col(condition) == patho).alias("p"))
+    candidates = as_model(candidates)
+    wanted = events.join(candidates.select(node), node, "left_semi")
+    parts = wanted.groupBy(node, file).agg(F.count("*").alias("n"), F.count_if(F.col(condition) == patho).alias("p"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(file).alias("f"))))
     nodes = parts.groupBy(node).agg(
         F.sum("n").alias("n_cells"), F.count("*").alias("n_files"),

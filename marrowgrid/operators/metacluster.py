@@ -73,7 +73,7 @@ def consensus_metacluster(codebook: DataFrame, k: int, resamples: int = RESAMPLE
     """Labels from how often two nodes fall together over resampled codebooks.
 
     Resamples run in parallel chunks; each chunk returns summed co-membership
-    rows, which are added up per node pair.
+    rows of the (model-sized) codebook, which are added up per model.
     """
     chunks = max(1, resamples // RUNS_PER_TASK)
 
@@ -94,19 +94,16 @@ def consensus_metacluster(codebook: DataFrame, k: int, resamples: int = RESAMPLE
     runs = codebook.select("model_id", "node_id", "code", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     partial = runs.groupBy("model_id", "chunk").applyInPandas(
         vote, "model_id string, node_id long, together array<double>, seen array<double>")
-    pairs = partial.select("model_id", "node_id", F.posexplode(F.arrays_zip("together", "seen")).alias("other", "_z"))
-    summed = pairs.groupBy("model_id", "node_id", "other").agg(
-        (F.sum("_z.together") / F.greatest(F.sum("_z.seen"), F.lit(1.0))).alias("rate"))
-    rows = summed.groupBy("model_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("other", "rate"))).alias("_r"))
-    rows = rows.select("model_id", "node_id", F.transform("_r", lambda s: s["rate"]).alias("rate"))
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        apart = 1.0 - np.stack(pdf["rate"].to_numpy())
-        labels = agglomerate(np.empty((len(pdf), 0)), [k], "average", apart)[k]
-        return pd.DataFrame({"model_id": pdf["model_id"], "node_id": pdf["node_id"], "metacluster": labels})
-
-    return rows.groupBy("model_id").applyInPandas(final, "model_id string, node_id long, metacluster int")
+        # one summed row per node and chunk: as many numbers as the chunks' codebooks
+        rows = {n: (np.sum(np.stack(g["together"]), axis=0), np.sum(np.stack(g["seen"]), axis=0)) for n, g in pdf.groupby("node_id")}
+        ids = sorted(rows)
+        rate = np.stack([rows[n][0] / np.maximum(rows[n][1], 1.0) for n in ids])
+        labels = agglomerate(np.empty((len(ids), 0)), [k], "average", 1.0 - rate)[k]
+        return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "node_id": ids, "metacluster": labels})
+
+    return partial.groupBy("model_id").applyInPandas(final, "model_id string, node_id long, metacluster int")
 
 
 def spanning_tree(codebook: DataFrame) -> DataFrame:

@@ -142,10 +142,12 @@ def _by_cells(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int,
     kept = staged(nearest_code(b.withColumn("v", F.col("x")), pivots, node="cell", distance="radius", keep=["b", "v"]), "base")
     asked = staged(nearest_code(q.withColumn("v", F.col("x")), pivots, node="cell", distance=None, keep=["q", "v"]), "query")
     cells = as_model(kept.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")))
-    home = staged(_cell_join(asked, kept, cells, k, exclude, block), "home")
+    order = Window.partitionBy("q").orderBy("distance", "b")
+    nearest = _cell_join(asked, kept, cells, k, exclude, block).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    home = staged(nearest.drop("_k"), "home")
     # distance of the k-th neighbour at home bounds the search elsewhere
-    bound = home.groupBy("q").agg(F.count("*").alias("c"), F.slice(F.array_sort(F.collect_list("distance")), 1, k).alias("_d"))
-    bound = bound.select("q", F.when(F.col("c") >= k, F.element_at("_d", -1)).otherwise(F.lit(float("inf"))).alias("bound"))
+    bound = home.groupBy("q").agg(F.count("*").alias("c"), F.max("distance").alias("d"))
+    bound = bound.select("q", F.when(F.col("c") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("bound"))
     book = {r["cell"]: (r["n"], r["r"]) for r in model_rows(cells)}
     ids = np.array(sorted(book), dtype="int64")
     reach = np.array([book[i][1] for i in ids])

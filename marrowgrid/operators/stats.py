@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrowgrid.functions.numeric import col
-from marrowgrid.operators.quantiles import quantiles
 from marrowgrid.operators.sizing import GROUP_ROWS, as_model, groups_fit, ordered_pieces
+from marrowgrid.session import staged
 
 # Detection and quantification limits, normal ceiling, fold change.
 LOD, LOQ, NBM_MAX, FOLD_CHANGE = 9e-5, 5e-5, 0.011, 1.9
@@ -77,7 +77,7 @@ def value_counts(long: DataFrame, by: Sequence[str], first: Column, second: Colu
     """
     by = list(by)
     counts = long.groupBy(*by, "value").agg(F.count_if(first).alias("a"), F.count_if(second).alias("b"))
-    if groups_fit(counts, by, group_rows):
+    if groups_fit(long, by, group_rows):
         order = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counts.withColumn("ca", F.sum("a").over(order) - F.col("a")).withColumn("cb", F.sum("b").over(order) - F.col("b"))
     placed = ordered_pieces(counts, [*by, "value"], max(group_rows // 2, 1))
@@ -134,15 +134,22 @@ def compare_conditions(
     """Per (cluster, marker): medians, fold change, U test; small sides skipped."""
     long = to_long(events, [cluster, condition], markers)
     keys = [cluster, "marker"]
-    is_p, is_s = F.col(condition) == patho, F.col(condition) == sain
-    tested = mann_whitney(value_counts(long, keys, is_p, is_s), keys).where(
-        (F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
-    middle = quantiles(long, keys, {
-        "median_patho": (F.when(is_p, F.col("value")), 0.5), "median_sain": (F.when(is_s, F.col("value")), 0.5)})
+    # the counts serve the test and the medians, so they are written once
+    counted = staged(value_counts(long, keys, F.col(condition) == patho, F.col(condition) == sain), "counts")
+    tested = as_model(mann_whitney(counted, keys).where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells)))
+    middle = counted.join(tested.select(*keys, "n1", "n2"), keys).groupBy(*keys).agg(
+        _median_of("a", "ca", "n1").alias("median_patho"), _median_of("b", "cb", "n2").alias("median_sain"))
     out = tested.join(middle, keys)
     return out.withColumn("fold_change", fold_change("median_patho", "median_sain")).withColumn("significant", F.col("p") < 0.05)
 
 
+def _median_of(count: str, below: str, total: str) -> Column:
+    """Median of one side from its counts at and below each distinct value."""
+    holds = lambda rank: (F.col(below) < rank) & (F.col(below) + F.col(count) >= rank)
+    low, high = F.floor((F.col(total) + 1) / 2), F.ceil((F.col(total) + 1) / 2)
+    return (F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Adds ``q`` (step-up adjusted p) and ``neg_log10_p``; one row per test."""
     frame = list(by) or [F.lit(0)]
