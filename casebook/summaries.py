@@ -478,7 +478,7 @@ def cluster_export(spark, sf_dir):
     labelled = cells(spark, sf_dir).select(
         "event_id", "CD45", F.when(F.col("node_id") < 5, -1).otherwise(F.col("node_id")).alias("cluster"))
     report = sinks.cluster_export(labelled, path, "cluster", min_cells=530)
-    written = spark.read.parquet(path).groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n_written"))
+    written = spark.read.schema("event_id string, CD45 double, cluster long").parquet(path).groupBy("cluster").agg(F.count("*").alias("n_written"))
     return report.join(written, "cluster", "left").na.fill(0)
 
 
