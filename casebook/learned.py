@@ -275,10 +275,10 @@ def pool_cache(spark, sf_dir):
         F.count("*").alias("n"), F.round(F.sum("CD45"), 4).alias("total"))
 
 
-@query("S13_model_input", f"WITH {CELLS} SELECT event_id, round(CD45, 6) AS cd45, round(HLA_DR, 6) AS hla FROM cells")
+@query("S13_model_input", f"WITH {CELLS} SELECT event_id, round(CD45, 8) AS cd45, round(HLA_DR, 8) AS hla FROM cells")
 def model_input(spark, sf_dir):
     ready = cells(spark, sf_dir).withColumnsRenamed({"CD45": "cd45", "HLA_DR": "hla"}).select("event_id", vector(["cd45", "hla"]).alias("x"))
-    return ready.select("event_id", F.round(F.col("x")[0], 6).alias("cd45"), F.round(F.col("x")[1], 6).alias("hla"))
+    return ready.select("event_id", F.round(F.col("x")[0], 8).alias("cd45"), F.round(F.col("x")[1], 8).alias("hla"))
 
 
 @query("K15_mapping_csv", MAP_NEAREST)
@@ -335,7 +335,7 @@ def mapping_service(spark, sf_dir):
 
 
 @query("X1_acquisition_drift", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS sample_id, count(*) AS n,
-   round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2)
+   round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, sample_id, n, mean, low, high FROM w
 WHERE w.start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def acquisition_drift(spark, sf_dir):
@@ -346,7 +346,7 @@ def acquisition_drift(spark, sf_dir):
     windows = jobs.drift(stream, "ts", "sample_id", "signal")
     jobs.run_to_parquet(windows, path, scratch_path(spark, "drift_ck"))
     return spark.read.parquet(path).select(
-        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sample_id", "n", F.round("mean", 6).alias("mean"), "low", "high")
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sample_id", "n", F.round("mean", 9).alias("mean"), "low", "high")
 
 
 @query("X2_score_arrivals", f"WITH {CELLS}, {NODES} {_SUMMARY}")

@@ -446,7 +446,7 @@ def events_csv(spark, sf_dir):
 @query("K2_per_file_csv", f"WITH {CELLS} SELECT file_origin, count(*) AS n, round(sum(CD45), 4) AS total FROM cells GROUP BY 1")
 def per_file_csv(spark, sf_dir):
     path = scratch_path(spark, "per_file")
-    sinks.write_per_key(cells(spark, sf_dir).select("event_id", "CD45", "file_origin"), path, "file_origin", spread=2)
+    sinks.write_per_key(cells(spark, sf_dir).select("event_id", "CD45", "file_origin"), path, "file_origin")
     back = spark.read.schema("event_id string, CD45 double, file_origin string").csv(path, header=True)
     return back.groupBy("file_origin").agg(F.count("*").alias("n"), F.round(F.sum("CD45"), 4).alias("total"))
 

@@ -86,7 +86,7 @@ def abundance(
     if not normalize:
         return wide
     size = sum((F.col(f"c{n}") for n in names), F.lit(0))
-    return wide.select(sample, *[(F.col(f"c{n}") / size).alias(f"c{n}") for n in names])
+    return wide.select(sample, *[F.coalesce(F.try_divide(F.col(f"c{n}"), size), F.lit(0.0)).alias(f"c{n}") for n in names])
 
 
 def condition_distribution(
@@ -191,7 +191,8 @@ def histogram(
 ) -> DataFrame:
     """Equal-width counts on [low, high]; the last bin includes its upper edge."""
     x = col(x)
-    spot = F.least(F.floor((x - low) / ((high - low) / bins)), F.lit(bins - 1))
+    width = (high - low) / bins or 1.0
+    spot = F.least(F.floor((x - low) / width), F.lit(bins - 1))
     inside = events.where((x >= low) & (x <= high))
     return inside.groupBy(*by, spot.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -202,7 +203,7 @@ def histogram2d(events: DataFrame, x: str, y: str, box: Sequence[float], bins: i
 
     def spot(name: str, low: float, high: float) -> Column:
         held = F.least(F.greatest(F.col(name), F.lit(low)), F.lit(high))
-        return F.least(F.floor((held - low) / ((high - low) / bins)), F.lit(bins - 1))
+        return F.least(F.floor((held - low) / ((high - low) / bins or 1.0)), F.lit(bins - 1))
 
     return events.groupBy(spot(x, x0, x1).alias("bx"), spot(y, y0, y1).alias("by")).agg(F.count("*").alias("n"))
 

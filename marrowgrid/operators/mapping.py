@@ -82,10 +82,11 @@ def node_distances(nodes: DataFrame, populations: DataFrame, by: Sequence[str] =
 
     out = pair.groupBy(*by, node, "population", "n_cells").agg(
         root(xn - pn).alias("M1"), F.sum(F.abs(xn - pn)).alias("M2"),
-        (1 - F.sum(xa * pa) / (F.sqrt(F.sum(xa * xa)) * F.sqrt(F.sum(pa * pa)))).alias("M3"),
+        (1 - F.coalesce(F.try_divide(F.sum(xa * pa), F.sqrt(F.sum(xa * xa)) * F.sqrt(F.sum(pa * pa))), F.lit(0.0))).alias("M3"),
         root((v - p) / robust).alias("M4"), root(x5 - p5).alias("M5"), root(weight * (xn - pn)).alias("M6"),
         root((v - p) / F.col("ref_range")).alias("M8"),
-        F.sqrt(F.sum((xn - pn) * (xn - pn) * unit * unit / F.col("var"))).alias("M10"))
+        # a marker without variance counts by its plain distance
+        F.sqrt(F.sum((xn - pn) * (xn - pn) * F.coalesce(F.try_divide(unit * unit, F.col("var")), F.lit(1.0)))).alias("M10"))
     return out
 
 

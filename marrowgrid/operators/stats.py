@@ -109,8 +109,9 @@ def mann_whitney(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("_r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
+    # one row, or ties throughout, leave no spread and no z
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd)
     enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
     p = F.when(sd == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.when(z < 0, 2 - normal_two_sided(z)).otherwise(normal_two_sided(z))))
     return sums.select(
@@ -121,7 +122,7 @@ def kolmogorov_smirnov(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """Largest distance of the two cumulative distributions and its p-value."""
     totals = Window.partitionBy(*by)
     size = counted.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    gap = F.abs((F.col("ca") + F.col("a")) / F.col("n1") - (F.col("cb") + F.col("b")) / F.col("n2"))
+    gap = F.abs(F.try_divide(F.col("ca") + F.col("a"), F.col("n1")) - F.try_divide(F.col("cb") + F.col("b"), F.col("n2")))
     found = counted.join(as_model(size), list(by)).where("n1 >= 2 AND n2 >= 2").groupBy(*by, "n1", "n2").agg(F.max(gap).alias("d"))
     scale = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     return found.withColumn("p", kolmogorov_tail(F.col("d") * scale))

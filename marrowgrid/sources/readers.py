@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marrowgrid.sources.sinks import sliced
+
 
 def read_events_csv(spark: SparkSession, path: str, schema: "StructType | str") -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
@@ -54,8 +56,8 @@ def pool_version(files: DataFrame, config: Mapping, name: str = "file_origin") -
 
 def save_pool(pool: DataFrame, path: str, version: str, sample: str = "file_origin") -> None:
     """Write the pool below its version, one folder per sample."""
-    pool.repartition(sample, F.pmod(F.xxhash64(*[c for c in pool.columns if c != sample]), F.lit(4))).write.mode("overwrite").partitionBy(
-        sample).parquet(f"{path.rstrip('/')}/pool_version={version}")
+    target = f"{path.rstrip('/')}/pool_version={version}"
+    sliced(pool, sample).write.mode("overwrite").partitionBy(sample).parquet(target)
 
 
 def load_pool(spark: SparkSession, path: str, version: str) -> DataFrame | None:

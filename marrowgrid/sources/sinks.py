@@ -13,21 +13,28 @@ from marrowgrid.operators.sizing import as_model
 # Replacements in exported numbers.
 NAN_VALUE, POS_INF_VALUE, NEG_INF_VALUE = 0.0, 1e6, 0.0
 
+#: rows of one exported file
+ROWS_PER_FILE = 5_000_000
+
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists", **options) -> None:
     """All or chosen columns as CSV files with a header."""
     (df.select(*columns) if columns else df).write.mode(mode).options(**options).csv(path, header=True)
 
 
-def write_per_key(df: DataFrame, path: str, key: str, fmt: str = "csv", spread: int = 1) -> None:
-    """One folder per key.
+def sliced(df: DataFrame, key: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Shuffle by key for writing; a key of many rows is cut into hash slices."""
+    sizes = as_model(df.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_slices")))
+    others = [c for c in df.columns if c != key]
+    slice_ = F.pmod(F.xxhash64(*others), F.col("_slices"))
+    return df.join(sizes, key).repartition(F.col(key), slice_).select(*df.columns)
+
 
-    Rows are shuffled by the key and ``spread`` hash slices of it, so a key
-    that holds much of the data is written by ``spread`` tasks.
-    """
-    slice_ = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(spread))
-    placed = df.repartition(F.col(key), slice_)
-    placed.write.partitionBy(key).format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+def write_per_key(df: DataFrame, path: str, key: str, fmt: str = "csv", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One folder per key, with as many files as its rows need."""
+    placed = sliced(df, key, rows_per_file)
+    options = {"maxRecordsPerFile": str(rows_per_file)} | ({"header": "true"} if fmt == "csv" else {})
+    placed.write.partitionBy(key).format(fmt).options(**options).save(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
@@ -61,5 +68,5 @@ def cluster_export(df: DataFrame, path: str, cluster: str, min_cells: int = 10,
         .when(F.col("n_cells") < min_cells, "too_small").otherwise("exported"))
     report = as_model(sizes.withColumn("status", status))
     chosen = df.join(report.where("status = 'exported'").select(cluster), cluster, "left_semi")
-    write_per_key(chosen, path, cluster, "parquet", spread=8)
+    write_per_key(chosen, path, cluster, "parquet")
     return report

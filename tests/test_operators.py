@@ -274,6 +274,25 @@ def test_ks_equal_and_disjoint(spark):
     assert out["d"] == 1 and out["p"] < 1e-6
 
 
+def test_constant_marker_has_no_test_statistic(spark):
+    df = spark.createDataFrame([(1, c, 5.0) for c in ["Sain"] * 9 + ["Pathologique"] * 7] + [(2, "Sain", 1.0)], "k int, condition string, m double")
+    out = stats.compare_conditions(df, "k", ["m"]).collect()
+    assert len(out) == 1 and out[0]["z"] is None and out[0]["p"] in (None, 1.0)
+    assert out[0]["median_patho"] == 5.0 and out[0]["fold_change"] == 1.0
+    assert agg.histogram(df, "m", 5.0, 5.0, 10).collect()[0]["n"] == 16
+    assert agg.abundance(df, "condition", "k", [7], normalize=True).where("c7 = 0").count() == 2
+
+
+def test_per_key_writer_splits_a_crowded_key(spark):
+    import glob
+
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("k"), "id")
+    path = scratch_path(spark, "per_key")
+    sinks.write_per_key(df, path, "k", "parquet", rows_per_file=100)
+    assert spark.read.parquet(path).count() == 1000
+    assert len(glob.glob(f"{path}/k=big/*.parquet")) > 1 and len(glob.glob(f"{path}/k=small/*.parquet")) == 1
+
+
 def test_cohort_tables(spark):
     df = spark.createDataFrame(
         [("a", 1, 1.0, 2.0), ("a", 1, 3.0, 4.0), ("a", 2, 5.0, 6.0), ("b", 1, 7.0, 8.0), ("b", 2, 9.0, 1.0), ("b", 2, 2.0, 3.0)],
