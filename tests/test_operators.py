@@ -455,10 +455,13 @@ def test_fcs_round_trip_bad_files_and_split(spark):
     assert report.agg(F.sum("n_events")).first()[0] == 3
     with open(f"{folder}/broken.fcs", "wb") as out:
         out.write(b"not a cytometry file")
+    whole = fcs.encode(["B"], np.ones((50, 1)))
+    with open(f"{folder}/short.fcs", "wb") as out:
+        out.write(whole[:-20])
     events, errors = fcs.read_events(spark, folder)
     got = sorted((r["sample_id"], r["CD/3"], r["B"]) for r in events.collect())
     assert got == [("s1.fcs", 1.5, 0.0), ("s1.fcs", 1e6, 2.0), ("s2.fcs", -3.0, 0.0)]
-    assert [r["sample_id"] for r in errors.collect()] == ["broken.fcs"]
+    assert sorted(r["sample_id"] for r in errors.collect()) == ["broken.fcs", "short.fcs"]
     many = spark.range(100).select(F.lit("big").alias("file"), F.col("id").cast("double").alias("v"))
     parts = fcs.write_fcs(many, scratch_path(spark, "fcs_parts"), "file", rows_per_file=20).collect()
     assert len(parts) > 1 and sum(r["n_events"] for r in parts) == 100
