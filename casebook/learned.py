@@ -32,9 +32,9 @@ def debris_mixture(spark, sf_dir):
         F.count("*").alias("n"), F.count_if("not_debris").alias("n_kept"), F.lit(report["components"]).alias("components"))
 
 
-@query("G7_debris_density")
+@query("G7_debris_density", stm.DENSITY)
 def debris_density(spark, sf_dir):
-    marked = ag.auto_debris_density(cells(spark, sf_dir), "FSC_A", "SSC_A")
+    marked = ag.auto_debris_density(cells(spark, sf_dir), "FSC_A", "HLA_DR")
     return marked.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("not_debris").alias("n_kept"))
 
 
@@ -53,10 +53,13 @@ def cd45_density(spark, sf_dir):
     return counts.join(cuts, "condition").withColumn("threshold", F.round("threshold", 6))
 
 
-@query("G10_cd34_density")
+@query("G10_cd34_density", f"""WITH {CELLS}, vals AS (SELECT condition AS g, FSC_A AS v FROM cells), {stm.right_foot_ctes()}
+SELECT condition, count(*) AS n, count(*) FILTER (FSC_A >= threshold) AS n_pos, round(any_value(threshold), 4) AS threshold,
+       any_value(method) AS method, any_value(n_values) AS n_values FROM cells JOIN cut ON condition = g GROUP BY 1""")
 def cd34_density(spark, sf_dir):
     marked, cuts = ag.auto_cd34(cells(spark, sf_dir), "FSC_A", ["condition"])
-    return marked.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("cd34_pos").alias("n_pos")).join(cuts, "condition")
+    return marked.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("cd34_pos").alias("n_pos")).join(
+        cuts.withColumn("threshold", F.round("threshold", 4)), "condition")
 
 
 @query("G11_cd34_mixture")
@@ -70,9 +73,18 @@ def cd34_in_dim(spark, sf_dir):
     return ag.prescreen(cells(spark, sf_dir), "FSC_A", "HLA_DR", ["patient_id"], "mixture", inside=True)
 
 
-@query("G15_prescreening")
+@query("G15_prescreening", f"""WITH {CELLS}, vals AS (SELECT patient_id AS g, FSC_A AS v FROM cells), {stm.right_foot_ctes()},
+dim AS (SELECT patient_id, quantile_cont(HLA_DR, 0.05) AS lo, quantile_cont(HLA_DR, 0.4) AS hi FROM cells GROUP BY 1),
+c AS (SELECT patient_id, count(*) AS n_valid, count(*) FILTER (HLA_DR BETWEEN dim.lo AND dim.hi) AS n_cd45dim,
+             count(*) FILTER (HLA_DR BETWEEN dim.lo AND dim.hi AND FSC_A >= threshold) AS n_cd34_pos,
+             any_value(threshold) AS threshold, any_value(method) AS method
+      FROM cells JOIN dim USING (patient_id) JOIN cut ON patient_id = g GROUP BY 1)
+SELECT patient_id, n_valid, n_cd45dim, n_cd34_pos, round(n_cd34_pos / greatest(n_cd45dim, 1), 8) AS ratio,
+       CASE WHEN n_cd34_pos / greatest(n_cd45dim, 1) >= 0.15 THEN 'high' WHEN n_cd34_pos / greatest(n_cd45dim, 1) >= 0.05 THEN 'moderate' ELSE 'none' END AS alert,
+       round(threshold, 4) AS threshold, method FROM c WHERE n_valid >= 200""")
 def prescreening(spark, sf_dir):
-    return ag.prescreen(cells(spark, sf_dir), "FSC_A", "HLA_DR", ["patient_id"])
+    out = ag.prescreen(cells(spark, sf_dir), "FSC_A", "HLA_DR", ["patient_id"])
+    return out.withColumns({"ratio": F.round("ratio", 8), "threshold": F.round("threshold", 4)})
 
 
 @query("G19_raw_cd45_count", f"""WITH {CELLS}, vals AS (SELECT 0 AS g, {stm.LOG} AS v FROM cells), {stm.left_foot_ctes('g')}
