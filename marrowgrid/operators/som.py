@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +55,14 @@ class SomModel:
     weights: np.ndarray | None = None
     model: str | None = None
     metaclusters: dict[object, np.ndarray] = field(default_factory=dict)
+    shipped_numbers: int = SHIPPED_NUMBERS
 
     def transform(self, events: DataFrame, x: str = "x", node: str = "node_id", distance: str = "distance") -> DataFrame:
         """Events with their node, distance and, once known, metacluster."""
         if self.model is None and self.weights is None:
             out = nearest_code(events, self.codes[None], x=x, node=node, distance=distance)
         else:
-            out = self._keyed(events, x, node, distance)
+            out = self._in_groups(events, x, node, distance)
         return out if not self.metaclusters else out.join(self._labels(out), [*([self.model] if self.model else []), node], "left")
 
     def _labels(self, like: DataFrame) -> DataFrame:
@@ -72,6 +73,24 @@ class SomModel:
         kind = like.schema[self.model].dataType.simpleString()
         return spark.createDataFrame(rows, f"`{self.model}` {kind}, node_id long, metacluster int")
 
+    def _in_groups(self, events: DataFrame, x: str, node: str, distance: str) -> DataFrame:
+        """Assign with as many codebooks at a time as may travel to a task."""
+        size = next(iter(self.codes.values())).size
+        held = max(1, self.shipped_numbers // size)
+        keys = list(self.codes)
+        if len(keys) <= held:
+            return self._keyed(events, x, node, distance)
+        out = None
+        for i in range(0, len(keys), held):
+            group = keys[i:i + held]
+            part = replace(self, codes={k: self.codes[k] for k in group})
+            mine = F.col(self.model).isin(group)
+            if i == 0:  # and the events of models that were not trained
+                mine = F.coalesce(mine, F.lit(True)) | ~F.col(self.model).isin(keys)
+            found = part._keyed(events.where(mine), x, node, distance)
+            out = found if out is None else out.unionByName(found)
+        return out
+
     def _keyed(self, events: DataFrame, x: str, node: str, distance: str) -> DataFrame:
         keep = [c for c in events.columns if c != x]
         schema = T.StructType([events.schema[c] for c in keep] + [T.StructField(node, T.LongType()), T.StructField(distance, T.DoubleType())])
@@ -90,7 +109,10 @@ class SomModel:
                         best[rows] = squared_distances(m[rows], book).argmin(axis=1)
                         dist[rows] = np.sqrt(((m[rows] - book[best[rows]]) ** 2).sum(axis=1))
                 columns = [batch.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best), pa.array(dist)], names=[f.name for f in schema])
+                # an event of a model that was not trained has no node
+                none = np.isnan(dist)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(best, mask=none), pa.array(dist, mask=none)], names=[f.name for f in schema])
 
         return events.select(*keep, x).mapInArrow(assign, schema)
 
@@ -166,6 +188,7 @@ def _moved(book: np.ndarray, n: np.ndarray, s: np.ndarray, grid: np.ndarray, rad
 def fit_som(
     events: DataFrame, *, x: str = "x", key: Sequence[str] = ("event_id",), model: str | None = None, xdim: int = 10, ydim: int = 10,
     epochs: int | None = None, weights: Sequence[float] | None = None, seed: int = 42, tol: float = 0.0,
+    shipped_numbers: int = SHIPPED_NUMBERS,
 ) -> SomModel:
     """Train one map, or one per ``model`` key, over all events.
 
@@ -180,8 +203,15 @@ def fit_som(
         grid = grid_distances(xdim, ydim)
         by = [model] if model else []
         models = source.select(model).distinct().count() if model else 1
-        if models * xdim * ydim * d > SHIPPED_NUMBERS:
-            raise ValueError("codebooks of all models are not model-sized; train in groups of models")
+        held = max(1, shipped_numbers // (xdim * ydim * d))
+        if models > held:
+            # the codebooks of all models do not fit a task: train groups of them
+            keys = sorted(r[0] for r in model_rows(source.select(model).distinct().where(F.col(model).isNotNull())))
+            groups = [keys[i:i + held] for i in range(0, len(keys), held)]
+            fits = [fit_som(events.where(F.col(model).isin(g)), x=x, key=key, model=model, xdim=xdim, ydim=ydim, epochs=epochs,
+                            weights=weights, seed=seed, tol=tol, shipped_numbers=shipped_numbers) for g in groups]
+            joined = {k: c for f in fits for k, c in f.codes.items()}
+            return SomModel(xdim, ydim, joined, fits[0].weights, model, shipped_numbers=shipped_numbers)
         seeds_from = events.select(*dict.fromkeys([*key, *by, x]))
         start = smallest(seeds_from, by, xdim * ydim, hash_order(*key, seed=seed), ties=list(key))
         w = None if weights is None else np.asarray(weights, dtype=float)

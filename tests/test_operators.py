@@ -354,6 +354,21 @@ def test_som_per_key_equals_single_maps(spark, blobs):
         assert np.allclose(both.codes[t], one.codes[None], atol=1e-8)
 
 
+def test_som_of_many_models_trains_in_groups(spark, blobs):
+    _, df = blobs
+    whole = som.fit_som(df, model="truth", xdim=2, ydim=2, epochs=3)
+    parts = som.fit_som(df, model="truth", xdim=2, ydim=2, epochs=3, shipped_numbers=60)
+    for t in range(3):
+        assert np.allclose(whole.codes[t], parts.codes[t], atol=1e-8)
+    a = sorted(map(tuple, whole.transform(df).select("event_id", "node_id").collect()))
+    b = sorted(map(tuple, parts.transform(df).select("event_id", "node_id").collect()))
+    assert a == b and len(a) == 1800
+    strange = df.withColumn("truth", F.when(F.col("event_id") < 5, 99).when(F.col("event_id") > 5, F.col("truth")))
+    for model in (whole, parts):
+        out = model.transform(strange)
+        assert out.count() == 1800 and out.where("node_id IS NULL").count() == 6
+
+
 def test_som_heuristics():
     assert som.epochs_for(100) == 10 and som.epochs_for(10**8) == 100 and som.epochs_for(250_000) == 50
     assert som.grid_for(49_999, 10, 10) == (7, 7) and som.grid_for(50_000, 10, 10) == (10, 10) and som.grid_for(100, 5, 5) == (5, 5)
