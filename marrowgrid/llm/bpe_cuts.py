@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marrowgrid.llm.common import slices
 
@@ -226,10 +225,3 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
-
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Counts and hashes of ``round_trip``."""
-    return round_trip(docs, vocabulary).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
