@@ -146,9 +146,13 @@ def _sketches(rows: DataFrame, texts: dict[str, str], terms_of: DataFrame) -> Da
         hashes, level = F.col(f"{name}_hashes"), F.col(f"{name}_level")
         out = out.withColumn(f"{name}_full", full_hash(hashes)).withColumn(f"{name}_terms", at_level(hashes, level)).drop(f"{name}_hashes")
     base = staged(out, "imatch")
-    asked = base.select("key", F.explode(F.concat(*[F.transform(f"{name}_terms", lambda t, n=name: F.struct(
-        t.alias("term"), F.lit(n).alias("of"), (F.pmod(t, F.pow(F.lit(2.0), F.col(f"{n}_level") + 1).cast("long")) == 0).alias("deep")))
-        for name in texts.values()])).alias("t")).select("key", "t.*")
+
+    def marked(name: str) -> Column:
+        step = F.pow(F.lit(2.0), F.col(f"{name}_level") + 1).cast("long")
+        return F.transform(f"{name}_terms", lambda t: F.struct(
+            t.alias("term"), F.lit(name).alias("of"), (F.pmod(t, step) == 0).alias("deep")))
+
+    asked = base.select("key", F.explode(F.concat(*map(marked, texts.values()))).alias("t")).select("key", "t.*")
     met = asked.join(terms_of, "term").groupBy("key").agg(*[
         F.array_sort(F.collect_set(F.when(chosen, F.col("term")))).alias(f"{name}_{part}")
         for name in texts.values()
