@@ -41,25 +41,34 @@ ROUNDS = 3
 ROUND_EPOCHS = 8
 #: largest move of an entry in an epoch: embeddings, softmax weights, intercepts
 RATES = (2.0, 0.03, 0.1)
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of a word and its character n-grams."""
     marked = f"<{word}>"
-    grams = {marked}
-    for n in GRAMS:
-        grams.update(marked[i:i + n] for i in range(len(marked) - n + 1))
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in grams)
+    n, hashed = len(marked), zlib.crc32
+    if marked.isascii():
+        raw = marked.encode()
+        own = [hashed(raw[i:i + size]) & (BUCKETS - 1) for size in GRAMS for i in range(n - size + 1)]
+    else:
+        own = [hashed(marked[i:i + size].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for size in GRAMS for i in range(n - size + 1)]
+    own.append(hashed(b"=" + word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
+    return own
 
 
 def words_of(text: str | None):
     """Lists of lower-case words; a very long text comes in several."""
-    if text:
-        found = (m.group() for m in _WORD.finditer(text.lower()))
-        while part := list(islice(found, 1 << 17)):
-            yield part
+    if not text:
+        return
+    if len(text) < 1 << 20:
+        if found := _WORD.findall(text.lower()):
+            yield found
+        return
+    matches = (m.group() for m in _WORD.finditer(text.lower()))
+    while part := list(islice(matches, 1 << 17)):
+        yield part
 
 
 class WordLogits(dict):
@@ -208,26 +217,27 @@ def _train(bags: _Bags, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
     return tuple(params)
 
 
-def fit(labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS,
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS,
         sample_chars: int = SAMPLE_CHARS) -> ToxicModel:
-    """Train on rows with ``doc_id, text, toxic``.
+    """Train on ``doc_id, text`` of ``docs`` and ``doc_id, toxic`` of ``labels``.
 
-    About ``toxic_rows`` and ``clean_rows`` rows are used, fewer if their texts exceed ``sample_chars``; each is used
-    whole.  Without rows of both labels every score is the share of toxic rows (0 without any).
+    About ``toxic_rows`` and ``clean_rows`` labels are used, fewer if their texts exceed ``sample_chars``; each text is
+    used whole.  The chosen ids are picked before they meet the texts, so they are few enough to be sent to the tasks.
+    Without rows of both labels every score is that of the one label there is (clean without any).
     """
-    known = labelled.where("toxic IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        level = 30.0 if n_toxic else -30.0
-        return ToxicModel(np.zeros(BUCKETS), 0.0, 0.0, level)
+        return ToxicModel(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if n_toxic else -30.0)
     share = sample_share("doc_id", 10)
-    picked = known.where(share < F.when(F.col("toxic") == 1, toxic_rows / n_toxic).otherwise(clean_rows / n_clean))
+    ids = known.where(share < F.when(F.col("toxic") == 1, toxic_rows / n_toxic).otherwise(clean_rows / n_clean)).toArrow()
+    ids = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
+    picked = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     chars = picked.agg(F.sum(F.length("text"))).first()[0] or 1
     if chars > sample_chars:
         picked = picked.where(sample_share("doc_id", 12) < sample_chars / chars)
-    rows = picked.select("text", F.col("toxic").cast("int").alias("toxic"), share.alias("share"),
-                         sample_share("doc_id", 13).alias("fold")).orderBy("share", "fold").toPandas()
+    rows = picked.select("doc_id", "text", "toxic", sample_share("doc_id", 13).alias("fold")).toPandas().sort_values(["doc_id", "text"])
     y, train = rows["toxic"].to_numpy(), rows["fold"].to_numpy() >= CALIBRATION
     if min(y[train].sum(), (1 - y[train]).sum(), y[~train].sum(), (1 - y[~train]).sum()) < 5:
         train[:] = True
@@ -270,6 +280,5 @@ def detect(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     A document with several labels counts as toxic if any of them says so.
     """
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    known = labels.where(~held_out & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"), **limits)
+    model = fit(docs, labels.where(~held_out), **limits)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
