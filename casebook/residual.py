@@ -199,8 +199,7 @@ FROM part GROUP BY 1, 2""")
 def weights_of_markers(spark, sf_dir):
     """Custom patterns first, defaults after; resolved for every name in use."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("marker")).agg(F.count("*").alias("n"))
-    patterns = [("RING", 2.0), ("WIDGET", -1.0), *blast.DEFAULT_WEIGHTS]
-    weight = F.coalesce(*[F.when(F.upper("marker").contains(p), F.lit(w)) for p, w in patterns], F.lit(0.0))
+    weight = blast.marker_weight("marker", {"RING": 2.0, "WIDGET": -1.0})
     return names.select("marker", weight.alias("weight"), "n")
 
 

@@ -51,6 +51,17 @@ def marker_weights(
     return chosen
 
 
+def marker_weight(
+    marker: str, custom: Mapping[str, float] | None = None, panel: Mapping[str, float] | None = None,
+) -> Column:
+    """``marker_weights`` for a column of names, however many there are."""
+    plain = F.upper(marker)
+    hits = [F.when(plain.contains(p.upper()), F.lit(float(w))) for source in (custom, panel) for p, w in (source or {}).items()]
+    dashed = F.replace(plain, F.lit("HLA_DR"), F.lit("HLA-DR"))
+    hits += [F.when(dashed.contains(p.upper()), F.lit(float(w))) for p, w in DEFAULT_WEIGHTS]
+    return F.coalesce(*hits, F.lit(0.0))
+
+
 def linear_score(z: Mapping[str, "str | Column"], weights: Mapping[str, float]) -> Column:
     """Directional score 0..10 of z-values against the normal reference.
 

@@ -298,7 +298,7 @@ def auto_debris_mixture(
     def scaled(x: Column, y: Column) -> Column:
         return array_to_vector(F.array((x - stats["mx"]) / sd["x"], (y - stats["my"]) / sd["y"]))
 
-    points = grid.select(scaled(F.col("x"), F.col("y")).alias("features"), F.col("n").cast("double").alias("weight")).coalesce(1)
+    points = grid.select(scaled(F.col("x"), F.col("y")).alias("features"), F.col("n").cast("double").alias("weight"))
     fits = []
     for k in components:
         model = GaussianMixture(k=k, seed=seed, maxIter=100, weightCol="weight").fit(points)

@@ -216,7 +216,8 @@ def fit_som(
         start = smallest(seeds_from, by, xdim * ydim, hash_order(*key, seed=seed), ties=list(key))
         w = None if weights is None else np.asarray(weights, dtype=float)
         seeds: dict = {}
-        for r in model_rows(start):
+        # at most `held` models are trained at once, so this is bounded like the codebooks themselves
+        for r in model_rows(start, max(models, 1) * xdim * ydim):
             seeds.setdefault(r[model] if model else None, []).append((tuple(str(r[k]) for k in key), r[x]))
         books = {}
         for k, rows in seeds.items():

@@ -48,8 +48,8 @@ def write_tables(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
 
 
 def append_log(log: DataFrame, path: str, run_id: str) -> None:
-    """Append log or metadata rows of one run as JSON lines."""
-    log.withColumn("run_id", F.lit(run_id)).write.mode("append").json(path)
+    """Log or metadata rows of one run as JSON lines, in a folder of the run; a repeated run replaces its own rows."""
+    log.write.mode("overwrite").json(f"{path}/run_id={run_id}")
 
 
 def sanitized(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

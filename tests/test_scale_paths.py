@@ -110,3 +110,13 @@ def test_large_model_is_written_not_collected(spark):
     assert rows(as_model(df, 10)) == rows(df)
     with pytest.raises(ValueError):
         model_rows(df, 10)
+
+
+def test_som_of_more_maps_than_model_rows_over_nodes(spark):
+    """1,001 maps of 100 nodes have more seed rows than a shipped model may have."""
+    from marrowgrid.operators.som import fit_som
+
+    rows = [(f"e{m}-{i}", m, [float(m % 7), float(i), 1.0]) for m in range(1001) for i in range(2)]
+    events = spark.createDataFrame(rows, "event_id string, patient_id long, x array<double>")
+    model = fit_som(events, x="x", key=["event_id"], model="patient_id", xdim=10, ydim=10, epochs=1)
+    assert len(model.codes) == 1001
