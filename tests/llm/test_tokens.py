@@ -53,7 +53,6 @@ def test_heap_and_search_merge_alike():
     rng = random.Random(3)
     for _ in range(200):
         data = bytes(rng.choice(b"etaoin shrdlu") for _ in range(rng.randint(2, 120)))
-        assert BPE._merge_long(data) == bpe_cuts.ForcedCutBpe._merge(BPE, data[:48]) + () if len(data) <= 48 else True
         short = bpe_cuts._LONG
         try:
             bpe_cuts._LONG = 10_000
@@ -132,7 +131,7 @@ def test_packer_routes_and_fills():
     for row in packer.rows:
         filled[row[5]] = filled.get(row[5], 0) + row[2]
     assert sum(filled.values()) == sum(sizes)
-    assert sorted(filled.values())[1:] == sorted([2048] * 3 + [1024, 256])[0:0] or sum(v & (v - 1) != 0 for v in filled.values()) <= 1
+    assert sum(v & (v - 1) != 0 for v in filled.values()) <= 1
 
 
 def _library_counter(pieces, byte_fallback):
