@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from casebook import statements as stm
 from casebook.base import CELLS, NODES, query
-from casebook.models import MAP_NEAREST, POPS, VEC, marker_vectors, node_sizes, nodes_long, populations_long
+from casebook.models import MAP_NEAREST, OTSU, POPS, VEC, marker_vectors, node_sizes, nodes_long, populations_long
 from casebook.residual import _SUMMARY, MED, SCORED, _rounded, node_z
 from marrowgrid.functions.vectors import vector
 from marrowgrid.operators import autogate as ag
 from marrowgrid.operators import embed as em
 from marrowgrid.operators import mrd, som, unmix
+from marrowgrid.operators.gating import standard_masks
 from marrowgrid.operators.selection import hash_order
 from marrowgrid.plans import cohort_run as run
 from marrowgrid.session import scratch_path, staged
@@ -40,7 +41,8 @@ def debris_density(spark, sf_dir):
 
 @query("G8_robust_singlets")
 def robust_singlets(spark, sf_dir):
-    _, report = ag.auto_singlets(cells(spark, sf_dir), "file_origin", "FSC_A", "FSC_H", order())
+    events = cells(spark, sf_dir)
+    _, report = ag.auto_singlets(events, "file_origin", "FSC_A", "FSC_H", order(), valid=standard_masks(events)["viable"])
     return report
 
 
@@ -158,7 +160,8 @@ def density_weights(spark, sf_dir):
 
 @query("C11_density_clusters")
 def density_clusters(spark, sf_dir):
-    out = em.density_clusters(vectors(spark, sf_dir).select("vec_id", "x"), "vec_id", 6, 200, hash_order("vec_id"))
+    points = vectors(spark, sf_dir).select("vec_id", "x")
+    out = em.density_clusters(points, "vec_id", 6, -(-points.count() // 10), hash_order("vec_id"))
     return out.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
@@ -203,7 +206,7 @@ def lasso(spark, sf_dir):
 def stratifying(spark, sf_dir):
     events = cells(spark, sf_dir).withColumn("endpoint", (F.xxhash64("file_origin") % 2 == 0).cast("int"))
     scaled = events.select("event_id", "file_origin", "endpoint", (F.col("CD45") / 10).alias("CD45"), (F.col("HLA_DR") / 2000).alias("HLA_DR"))
-    return em.stratifying_clusters(scaled, "file_origin", "endpoint", ["CD45", "HLA_DR"], order(), per_sample=300, clusters=8)
+    return em.stratifying_clusters(scaled, "file_origin", "endpoint", ["CD45", "HLA_DR"], order(), clusters=8)
 
 
 # --- files -------------------------------------------------------------------
@@ -279,7 +282,8 @@ def reference_csv(spark, sf_dir):
 def pool_cache(spark, sf_dir):
     pool = cells(spark, sf_dir).where("condition = 'Sain'").select("event_id", "CD45", "file_origin")
     root = scratch_path(spark, "pool")
-    version = readers.pool_version(pool, {"transform": "arcsinh", "cofactor": 5})
+    listing = pool.groupBy("file_origin").agg(F.count("*").alias("length"))
+    version = readers.pool_version(listing, {"transform": "arcsinh", "cofactor": 5}, ["file_origin", "length"])
     assert readers.load_pool(spark, root, version) is None
     readers.save_pool(pool, root, version)
     back = readers.load_pool(spark, root, version)
@@ -318,10 +322,10 @@ def output_columns(spark, sf_dir):
 
 # --- full runs ---------------------------------------------------------------
 
-SETTINGS = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=5, ydim=5, epochs=4, metaclusters=6)
+SETTINGS = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=5, ydim=5, epochs=10, metaclusters=6)
 
 
-@query("M16_patient_runs", stm.patient_runs(NODES, _SUMMARY, 4))
+@query("M16_patient_runs", stm.patient_runs(NODES, _SUMMARY, 10))
 def patient_runs(spark, sf_dir):
     _, summary = run.patient_runs(cells(spark, sf_dir).drop("node_id", "metacluster"), SETTINGS, order())
     return _rounded(summary)
@@ -333,32 +337,36 @@ def combined_run(spark, sf_dir):
     return tables["cells"].groupBy("metacluster", "condition").agg(F.count("*").alias("n"))
 
 
-@query("B8_mapping_service", f"""WITH {CELLS}, {MED} SELECT node_id, round(max(score), 4) AS blast_score,
-   CASE WHEN max(score) >= 6 THEN 'BLAST_HIGH' WHEN max(score) >= 2 THEN 'BLAST_MODERATE' WHEN max(score) > 0 THEN 'BLAST_WEAK' ELSE 'NON_BLAST_UNK' END AS blast_category
-FROM scored WHERE patient_id = 0 AND node_id < 40 GROUP BY 1""")
+@query("B8_mapping_service", f"""WITH {CELLS}, {MED}, {OTSU}
+SELECT patient_id, scored.node_id, round(score, 4) AS blast_score,
+   CASE WHEN score >= 6 THEN 'BLAST_HIGH' WHEN score >= 2 THEN 'BLAST_MODERATE' WHEN score > 0 THEN 'BLAST_WEAK' ELSE 'NON_BLAST_UNK' END AS blast_category,
+   best_pop, round(asg.d, 6) AS best_dist, coalesce(assigned_pop, 'Unknown') AS assigned_pop
+FROM scored LEFT JOIN asg ON asg.node_id = scored.node_id AND method = 'M12'""")
 def mapping_service(spark, sf_dir):
-    wide = node_z(spark, sf_dir).where("patient_id = 0 AND node_id < 40")
+    """Every node of every patient; nodes that no population distance exists for stay Unknown."""
     out = run.map_and_score(
-        nodes_long(spark, sf_dir), populations_long(spark, sf_dir), node_sizes(spark, sf_dir), {m: F.col(f"z_{m}") for m in SCORED}, wide)
-    return out.select("node_id", F.round("blast_score", 4).alias("blast_score"), "blast_category")
+        nodes_long(spark, sf_dir), populations_long(spark, sf_dir), node_sizes(spark, sf_dir), {m: F.col(f"z_{m}") for m in SCORED},
+        node_z(spark, sf_dir), keys=["patient_id"])
+    return out.select(
+        "patient_id", "node_id", F.round("blast_score", 4).alias("blast_score"), "blast_category", "best_pop",
+        F.round("best_dist", 6).alias("best_dist"), "assigned_pop")
 
 
 # --- streams -----------------------------------------------------------------
 
 
 @query("X1_acquisition_drift", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS sample_id, count(*) AS n,
-   round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2)
-SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, sample_id, n, mean, low, high FROM w
-WHERE w.start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+   round(avg(value), 9) AS mean, quantile_disc(value, 0.5) AS median, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, sample_id, n, mean, median, low, high FROM w""")
 def acquisition_drift(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
     stream = jobs.open_files(spark, sf_dir, batch.schema, "events.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sample_id"), F.col("value").alias("signal"))
     path = scratch_path(spark, "drift")
     windows = jobs.drift(stream, "ts", "sample_id", "signal")
-    jobs.run_to_parquet(windows, path, scratch_path(spark, "drift_ck"))
-    return spark.read.parquet(path).select(
-        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sample_id", "n", F.round("mean", 9).alias("mean"), "low", "high")
+    jobs.run_updates(windows, path, scratch_path(spark, "drift_ck"))
+    return jobs.latest(spark.read.parquet(path), ["start", "sample_id"]).select(
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sample_id", "n", F.round("mean", 9).alias("mean"), "median", "low", "high")
 
 
 @query("X2_score_arrivals", f"WITH {CELLS}, {NODES} {_SUMMARY}")
@@ -366,7 +374,7 @@ def score_arrivals(spark, sf_dir):
     """Events arrive as several files and are counted per node, batch by batch."""
     folder = scratch_path(spark, "arrivals")
     cells(spark, sf_dir).select("event_id", "patient_id", "node_id", "condition").repartition(3).write.parquet(folder)
-    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet")
+    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=1)
     path = scratch_path(spark, "scored")
     jobs.score_arrivals(stream, lambda b: mrd.node_counts(b), path, scratch_path(spark, "scored_ck"))
     return _rounded(jobs.merge_counts(spark.read.parquet(path), ["patient_id"]))

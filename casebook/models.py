@@ -148,7 +148,7 @@ def spanning_tree(spark, sf_dir):
 def choose_k(spark, sf_dir):
     events = marker_vectors(spark, sf_dir)
     codes = som.fit_som(events, xdim=6, ydim=6, epochs=5).codes[None]
-    best, scores = mc.choose_k(events, codes, range(3, 9), xdim=6, ydim=6, bootstraps=3, eval_rows=5000, epochs=5)
+    best, scores = mc.choose_k(events, codes, range(3, 9), xdim=6, ydim=6, epochs=5)
     rows = [(k, s, st, cp, k == best) for k, s, st, cp in scores]
     return spark.createDataFrame(rows, "k int, silhouette double, stability double, composite double, chosen boolean")
 
@@ -232,8 +232,32 @@ def rank_normalized(spark, sf_dir):
     return out.where("method = 'M7'").select("node_id", "population", F.round("dist", 8).alias("M7"))
 
 
-BEST = f"""{NODE}, lng AS (""" + " UNION ALL ".join(
-    f"SELECT node_id, population, '{m}' AS method, {m if m != 'M11' else 'M3'} AS dist FROM ranked" for m in mp.METRICS) + """),
+def pool(spark, sf_dir):
+    return mp.stratified_pool(vectors(spark, sf_dir), "population", hash_order("vec_id"), total=300, minimum=20)
+
+
+POOL = f"""sz AS (SELECT population, count(*) AS n, greatest(20, floor(300.0 * count(*) / sum(count(*)) OVER ())) AS quota FROM v GROUP BY 1),
+pool AS (SELECT * FROM (SELECT v.*, quota, row_number() OVER (PARTITION BY population ORDER BY md5(concat_ws('|', '42', vec_id))) AS k
+         FROM v JOIN sz USING (population)) WHERE k <= quota)"""
+
+
+VOTE = """nv AS (SELECT node_id, list(v ORDER BY marker) AS x FROM n GROUP BY 1),
+nd AS (SELECT node_id, vec_id, population, list_distance(nv.x, pool.x) AS d FROM nv, pool),
+nn AS (SELECT * FROM nd QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY d, vec_id) <= 15),
+vt AS (SELECT node_id, population, count(*) AS c, min(min(d)) OVER (PARTITION BY node_id) AS dist FROM nn GROUP BY 1, 2),
+vote AS (SELECT node_id, population, dist FROM vt QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY c DESC, population::VARCHAR) = 1),
+voted AS (SELECT ranked.*, coalesce(vote.dist, 'inf'::DOUBLE) AS M11 FROM ranked LEFT JOIN vote USING (node_id, population))"""
+
+
+def votes(spark, sf_dir):
+    nodes = nodes_long(spark, sf_dir).groupBy("node_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("marker").cast("int").alias("m"), "v"))).alias("_s"))
+    nodes = nodes.select("node_id", F.transform("_s", lambda s: s["v"]).alias("x"))
+    return mp.knn_vote(nodes, pool(spark, sf_dir).withColumnRenamed("vec_id", "pool_id"))
+
+
+BEST = f"""{NODE}, {POOL}, {VOTE}, lng AS (""" + " UNION ALL ".join(
+    f"SELECT node_id, population, '{m}' AS method, {m} AS dist FROM voted" for m in mp.METRICS) + """),
 b AS (SELECT method, node_id, (min({'d': dist, 'p': population::VARCHAR})).p AS best_pop, min(dist) AS d FROM lng GROUP BY 1, 2)"""
 OTSU = f"""{BEST},
 hb AS (SELECT method, d, min(d) OVER (PARTITION BY method) AS lo, (max(d) OVER (PARTITION BY method) - min(d) OVER (PARTITION BY method)) / 64 AS w FROM b),
@@ -249,7 +273,8 @@ asg AS (SELECT b.*, CASE WHEN share < 0.3 THEN alt ELSE t END AS threshold,
 
 
 def metrics(spark, sf_dir):
-    return mp.all_metrics(nodes_long(spark, sf_dir), populations_long(spark, sf_dir), node_sizes(spark, sf_dir))
+    return mp.all_metrics(
+        nodes_long(spark, sf_dir), populations_long(spark, sf_dir), node_sizes(spark, sf_dir), votes=votes(spark, sf_dir))
 
 
 @query("B2_twelve_metrics", f"""WITH {OTSU}
@@ -308,32 +333,14 @@ def mahalanobis(spark, sf_dir):
     return best.withColumn("best_dist", F.round("best_dist", 6))
 
 
-def pool(spark, sf_dir):
-    return mp.stratified_pool(vectors(spark, sf_dir), "population", hash_order("vec_id"), total=300, minimum=20)
-
-
-POOL = f"""sz AS (SELECT population, count(*) AS n, greatest(20, floor(300.0 * count(*) / sum(count(*)) OVER ())) AS quota FROM v GROUP BY 1),
-pool AS (SELECT * FROM (SELECT v.*, quota, row_number() OVER (PARTITION BY population ORDER BY md5(concat_ws('|', '42', vec_id))) AS k
-         FROM v JOIN sz USING (population)) WHERE k <= quota)"""
-
-
 @query("B7_stratified_pool", f"WITH {VEC}, {POOL} SELECT vec_id, population FROM pool")
 def stratified_pool(spark, sf_dir):
     return pool(spark, sf_dir).select("vec_id", "population")
 
 
-@query("B7_knn_vote", f"""WITH {NODE}, {POOL}, nv AS (SELECT node_id, list(v ORDER BY marker) AS x FROM n GROUP BY 1),
-d AS (SELECT node_id, vec_id, population, list_distance(nv.x, pool.x) AS d FROM nv, pool),
-nn AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY d, vec_id) <= 15),
-vt AS (SELECT node_id, population, count(*) AS c FROM nn GROUP BY 1, 2)
-SELECT node_id, population::VARCHAR AS population, round((SELECT min(d) FROM nn WHERE nn.node_id = vt.node_id), 6) AS dist FROM vt
-QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY c DESC, population::VARCHAR) = 1""")
+@query("B7_knn_vote", f"WITH {NODE}, {POOL}, {VOTE} SELECT node_id, population::VARCHAR AS population, round(dist, 6) AS dist FROM vote")
 def knn_vote(spark, sf_dir):
-    nodes = nodes_long(spark, sf_dir).groupBy("node_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("marker").cast("int").alias("m"), "v"))).alias("_s"))
-    nodes = nodes.select("node_id", F.transform("_s", lambda s: s["v"]).alias("x"))
-    out = mp.knn_vote(nodes, pool(spark, sf_dir).withColumnRenamed("vec_id", "pool_id"))
-    return out.withColumn("dist", F.round("dist", 6))
+    return votes(spark, sf_dir).withColumn("dist", F.round("dist", 6))
 
 
 @query("S5_population_stats", f"""WITH {POPS} SELECT population::VARCHAR AS population, marker::VARCHAR AS marker, n_cells, round(v, 8) + 0.0 AS v, round(var, 8) AS var FROM p""")

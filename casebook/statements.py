@@ -64,7 +64,7 @@ mom AS (SELECT g, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n, s
                min(x) FILTER (run >= 0.75 * n) - min(x) FILTER (run >= 0.25 * n) AS iqr FROM hx GROUP BY 1),
 sp AS (SELECT mom.g, any_value(mom.lo) AS lo, any_value(mom.hi) AS hi, any_value(mom.n) AS n, any_value(iqr) AS iqr,
               sqrt(sum(c * (x - mean) ** 2) / sum(c)) AS sd FROM hx JOIN mom ON hx.g = mom.g GROUP BY 1),
-bw AS (SELECT *, greatest(0.9 * least(sd, iqr / 1.34) * pow(least(n, 10000), -0.2) * 0.6, (hi - lo) / 4096, 1e-12) AS h FROM sp),
+bw AS (SELECT *, greatest(0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) * 0.6, (hi - lo) / 4096, 1e-12) AS h FROM sp),
 raw AS (SELECT bw.g, i, any_value(bw.lo + i * ((bw.hi - bw.lo) / 999)) AS at,
                sum(c * exp(-0.5 * pow((bw.lo + i * ((bw.hi - bw.lo) / 999) - x) / h, 2))) / any_value(bw.n * h) AS f
         FROM bw JOIN hx ON bw.g = hx.g, range(0, 1000) t(i) GROUP BY 1, 2),
@@ -84,16 +84,18 @@ SELECT node::BIGINT AS node_id, count(*) AS n, round(avg(d), 4) AS quantization
 
 
 def patient_runs(nodes: str, summary: str, epochs: int) -> str:
-    """Pool shares, scaling, one map per patient, residual disease."""
+    """Scaling of each patient and of the pool, pool shares, one map per patient, residual disease."""
     base = CELLS.replace("cells AS", "all_cells AS")
     return f"""WITH {base},
-ill AS (SELECT patient_id, event_id, condition, CD45, CD34, HLA_DR FROM all_cells WHERE condition = 'Pathologique'),
-q AS (SELECT patient_id AS pid, greatest(1, count(*) // (SELECT count(DISTINCT file_origin) FROM all_cells WHERE condition = 'Sain')) AS quota FROM ill GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_origin ORDER BY {KEY}) AS k FROM all_cells WHERE condition = 'Sain'),
-both_ AS (SELECT * FROM ill UNION ALL SELECT pid, event_id, condition, CD45, CD34, HLA_DR FROM r JOIN q ON k <= quota),
-tr AS (SELECT patient_id, event_id, condition, asinh(CD45 / 5) AS a, asinh(CD34 / 5) AS b, asinh(HLA_DR / 5) AS c FROM both_),
-st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM tr),
-pts AS (SELECT patient_id AS m, event_id, condition, [(a - ma) / sa, (b - mb) / sb, (c - mc) / sc] AS x FROM tr, st),
+tr AS (SELECT CASE WHEN condition = 'Sain' THEN -1 ELSE patient_id END AS scale_id, patient_id, file_origin, event_id, condition,
+              asinh(CD45 / 5) AS a, asinh(CD34 / 5) AS b, asinh(HLA_DR / 5) AS c FROM all_cells),
+st AS (SELECT scale_id, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM tr GROUP BY 1),
+sx AS (SELECT patient_id, file_origin, event_id, condition, [(a - ma) / sa, (b - mb) / sb, (c - mc) / sc] AS x FROM tr JOIN st USING (scale_id)),
+tg AS (SELECT patient_id AS pid, 2 * count(*) AS target FROM sx WHERE condition <> 'Sain' GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_origin ORDER BY {KEY}) AS k, count(*) OVER () AS pool_rows FROM sx WHERE condition = 'Sain'),
+fs AS (SELECT count(DISTINCT file_origin) AS files FROM r),
+pts AS (SELECT patient_id AS m, event_id, condition, x FROM sx WHERE condition <> 'Sain'
+        UNION ALL SELECT pid, event_id, condition, x FROM r JOIN fs ON TRUE JOIN tg ON target >= pool_rows OR k <= greatest(1, target // files)),
 {som_ctes(5, 5, epochs, 3)}, {placed(epochs)},
 cells AS (SELECT placed.m AS patient_id, node AS node_id, condition FROM placed JOIN pts ON placed.m = pts.m AND placed.event_id = pts.event_id),
 {nodes} {summary}"""
@@ -111,7 +113,7 @@ hx AS (SELECT g, lo, hi, c, lo + (bin + 0.5) * ((hi - lo) / 4096) AS x, sum(c) O
               sum(c) OVER (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM hb),
 mom AS (SELECT g, any_value(n) AS n, sum(c * x) / sum(c) AS mean, min(x) FILTER (run >= 0.9 * n) AS p90 FROM hx GROUP BY 1),
 bw AS (SELECT hx.g, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mom.n) AS n, any_value(p90) AS p90,
-              greatest(sqrt(sum(c * (x - mean) ** 2) / sum(c)) * pow(least(any_value(mom.n), 15000) * 0.75, -0.2), (any_value(hi) - any_value(lo)) / 4096, 1e-12) AS h
+              greatest(sqrt(sum(c * (x - mean) ** 2) / sum(c)) * pow(any_value(mom.n) * 0.75, -0.2), (any_value(hi) - any_value(lo)) / 4096, 1e-12) AS h
        FROM hx JOIN mom ON hx.g = mom.g GROUP BY 1),
 raw AS (SELECT bw.g, i, any_value(bw.lo + i * ((bw.hi - bw.lo) / 511)) AS at, any_value(p90) AS p90,
                sum(c * exp(-0.5 * pow((bw.lo + i * ((bw.hi - bw.lo) / 511) - x) / h, 2))) / any_value(bw.n * h) AS f

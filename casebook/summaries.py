@@ -320,10 +320,10 @@ def balanced_pool_replace(spark, sf_dir):
 
 
 @query("L4_pool_per_patient", f"""WITH {CELLS},
-q AS (SELECT patient_id AS pid, greatest(1, CAST(floor(count(*) * 0.8) AS BIGINT) // (SELECT count(DISTINCT file_origin) FROM cells)) AS quota
-      FROM cells WHERE condition = 'Pathologique' GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_origin ORDER BY {KEY}) AS k FROM cells WHERE condition = 'Sain')
-SELECT pid AS patient_id, file_origin, event_id FROM r JOIN q ON k <= quota""")
+q AS (SELECT patient_id AS pid, CAST(floor(count(*) * 0.8) AS BIGINT) AS target FROM cells WHERE condition = 'Pathologique' GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_origin ORDER BY {KEY}) AS k, count(*) OVER () AS pool_rows FROM cells WHERE condition = 'Sain'),
+fs AS (SELECT count(DISTINCT file_origin) AS files FROM r)
+SELECT pid AS patient_id, file_origin, event_id FROM r JOIN fs ON TRUE JOIN q ON target >= pool_rows OR k <= greatest(1, target // files)""")
 def pool_per_patient(spark, sf_dir):
     events = cells(spark, sf_dir)
     out = co.pool_per_patient(
@@ -369,10 +369,17 @@ def counted(spark, sf_dir):
     return st.value_counts(long, ["metacluster", "marker"], patho, sain)
 
 
-@query("T1_mann_whitney", f"WITH {CELLS}, {RANK} SELECT metacluster, marker, n1, n2, u, round(z, 5) AS z FROM mw")
+# both tails of the normal distribution as an integral over an angle
+TAIL = f"""{RANK},
+pv AS (SELECT metacluster, marker, any_value(n1) AS n1, any_value(n2) AS n2, any_value(u) AS u, any_value(z) AS z,
+              CASE WHEN any_value(z) < 0 THEN 1.0 ELSE least(1.0, avg(exp(-z * z / (2 * pow(sin((i + 0.5) / 20000 * pi() / 2), 2))))) END AS p
+       FROM mw, range(0, 20000) t(i) GROUP BY 1, 2)"""
+
+
+@query("T1_mann_whitney", f"WITH {CELLS}, {TAIL} SELECT metacluster, marker, n1, n2, u, round(z, 5) AS z, round(p, 6) AS p FROM pv")
 def mann_whitney(spark, sf_dir):
     out = st.mann_whitney(counted(spark, sf_dir), ["metacluster", "marker"])
-    return out.select("metacluster", "marker", "n1", "n2", "u", F.round("z", 5).alias("z"))
+    return out.select("metacluster", "marker", "n1", "n2", "u", F.round("z", 5).alias("z"), F.round("p", 6).alias("p"))
 
 
 @query("W4_mid_ranks", f"""WITH {CELLS}, {RANK} SELECT metacluster, marker, round(sum(r) FILTER (condition = 'Pathologique'), 1) AS rank_sum FROM rk GROUP BY 1, 2""")
@@ -387,10 +394,15 @@ cu AS (SELECT metacluster, marker, sum(a) OVER w / sum(a) OVER p - sum(b) OVER w
        WINDOW w AS (PARTITION BY metacluster, marker ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY metacluster, marker))"""
 
 
-@query("T2_kolmogorov_smirnov", f"WITH {CELLS}, {KS} SELECT metacluster, marker, round(max(abs(gap)), 8) AS d FROM cu GROUP BY 1, 2")
+@query("T2_kolmogorov_smirnov", f"""WITH {CELLS}, {KS},
+sz AS (SELECT metacluster, marker, sum(a) AS n1, sum(b) AS n2 FROM vc GROUP BY 1, 2),
+ds AS (SELECT metacluster, marker, any_value(n1) AS n1, any_value(n2) AS n2, max(abs(gap)) AS d FROM cu JOIN sz USING (metacluster, marker) GROUP BY 1, 2)
+SELECT metacluster, marker, round(any_value(d), 8) AS d,
+       round(least(1, greatest(0, sum(2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * pow(k * d, 2) * n1 * n2 / (n1 + n2))))), 6) AS p
+FROM ds, range(1, 2000) t(k) GROUP BY 1, 2""")
 def kolmogorov(spark, sf_dir):
     out = st.kolmogorov_smirnov(counted(spark, sf_dir), ["metacluster", "marker"])
-    return out.select("metacluster", "marker", F.round("d", 8).alias("d"))
+    return out.select("metacluster", "marker", F.round("d", 8).alias("d"), F.round("p", 6).alias("p"))
 
 
 @query("W5_ecdf_gap", f"WITH {CELLS}, {KS} SELECT marker, round(max(gap), 8) AS above, round(min(gap), 8) AS below FROM cu GROUP BY 1")
@@ -411,25 +423,33 @@ def compare_conditions(spark, sf_dir):
     return out.select("metacluster", "marker", "n1", "n2", "median_patho", "median_sain", "fold_change", "u", "significant")
 
 
-@query("T4_benjamini_hochberg", f"""WITH {CELLS},
-p AS (SELECT node_id, round(abs(avg(CD45) - 5) / 4 + 0.0001, 9) AS p FROM cells GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY p, node_id) AS k, count(*) OVER () AS m FROM p)
-SELECT node_id, p, round(least(1, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 8) AS q, round(-log10(p), 6) AS neg_log10_p FROM r""")
+@query("T4_benjamini_hochberg", f"""WITH {CELLS}, {TAIL},
+r AS (SELECT metacluster, marker, p, row_number() OVER (ORDER BY p, metacluster, marker) AS k, count(*) OVER () AS m FROM pv)
+SELECT metacluster, marker, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q,
+       round(-log10(greatest(p, 1e-300)), 4) + 0.0 AS neg_log10_p FROM r""")
 def bh(spark, sf_dir):
-    tests = cells(spark, sf_dir).groupBy("node_id").agg(F.round(F.abs(F.avg("CD45") - 5) / 4 + 0.0001, 9).alias("p"))
-    out = st.benjamini_hochberg(tests, "p", order=["node_id"])
-    return out.select("node_id", "p", F.round("q", 8).alias("q"), F.round("neg_log10_p", 6).alias("neg_log10_p"))
+    """The correction of the rank tests over all clusters and markers."""
+    tests = st.mann_whitney(counted(spark, sf_dir), ["metacluster", "marker"])
+    out = st.benjamini_hochberg(tests, "p", order=["metacluster", "marker"])
+    return out.select(
+        "metacluster", "marker", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), rounded("neg_log10_p", 4).alias("neg_log10_p"))
 
 
 @query("T5_spearman", f"""WITH {CELLS},
 f AS (SELECT metacluster, file_origin, count(*) AS x, round(avg(CD34), 9) AS y FROM cells GROUP BY 1, 2),
 k AS (SELECT *, rank() OVER (PARTITION BY metacluster ORDER BY x) + (count(*) OVER (PARTITION BY metacluster, x) - 1) / 2 AS rx,
-             rank() OVER (PARTITION BY metacluster ORDER BY y) + (count(*) OVER (PARTITION BY metacluster, y) - 1) / 2 AS ry FROM f)
-SELECT metacluster, round(corr(rx, ry), 8) AS rho, count(*) AS n FROM k GROUP BY 1""")
+             rank() OVER (PARTITION BY metacluster ORDER BY y) + (count(*) OVER (PARTITION BY metacluster, y) - 1) / 2 AS ry FROM f),
+c AS (SELECT metacluster, corr(rx, ry) AS rho, count(*) AS n FROM k GROUP BY 1),
+g AS (SELECT *, atan(abs(rho) / sqrt(1 - rho * rho)) AS low FROM c)
+SELECT metacluster, round(any_value(rho), 8) AS rho, any_value(n) AS n, round(any_value(rho * sqrt((n - 2) / (1 - rho * rho))), 6) AS t,
+       round(sum(pow(cos(low + (i + 0.5) / 20000 * (pi() / 2 - low)), n - 3)) * any_value(1 - low / (pi() / 2))
+             / sum(pow(cos((i + 0.5) / 20000 * pi() / 2), n - 3)), 6) AS p
+FROM g, range(0, 20000) t(i) GROUP BY 1""")
 def spearman(spark, sf_dir):
     features = cells(spark, sf_dir).groupBy("metacluster", "file_origin").agg(
         F.count("*").alias("x"), F.round(F.avg("CD34"), 9).alias("y"))
-    return _r(st.spearman(features, ["metacluster"], "x", "y"), ["rho"], 8)
+    return _r(st.spearman(features, ["metacluster"], "x", "y").withColumns(
+        {"rho": F.round("rho", 8), "t": F.round("t", 6)}), ["p"], 6)
 
 
 # --- exports -----------------------------------------------------------------

@@ -22,9 +22,9 @@ from marrowgrid.operators.sizing import as_model, model_rows
 
 # Parameters of the learnt gates.
 MIN_ROWS, MIN_FRACTION, FSC_SHARE, DENSITY_SHARE = 200, 0.02, 0.25, 0.3
-LINE_MIN_ROWS, LINE_SAMPLE, LINE_R2, LINE_MAD, LINE_TRIALS, LINE_SEEDS = 50, 5_000, 0.85, 3.0, 100, 50
-CD45_FOOT, CD45_FINENESS, CD45_SMOOTH, CD45_GRID, CD45_SAMPLES = 0.05, 0.6, 10, 1000, 10_000
-CD34_FOOT, CD34_SMOOTH, CD34_GRID, CD34_SAMPLES = 0.12, 5.0, 512, 15_000
+LINE_MIN_ROWS, LINE_SAMPLE, LINE_R2, LINE_MAD, LINE_TRIALS, LINE_SEEDS, LINE_FLOOR = 50, 5_000, 0.85, 3.0, 100, 50, 100.0
+CD45_FOOT, CD45_FINENESS, CD45_SMOOTH, CD45_GRID = 0.05, 0.6, 10, 1000
+CD34_FOOT, CD34_SMOOTH, CD34_GRID = 0.12, 5.0, 512
 LOG_TOP, LOG_DECADES = 262144.0, 4.5
 DIM_LOW, DIM_HIGH, ALERT_MODERATE, ALERT_HIGH = 5.0, 40.0, 0.05, 0.15
 FINE_BINS, PLANE_BINS = 4096, 256
@@ -87,7 +87,7 @@ def _otsu(x: np.ndarray, w: np.ndarray, lo: float, hi: float, bins: int = 512) -
 
 def left_foot(x: np.ndarray, w: np.ndarray, lo: float, hi: float) -> tuple[float, str]:
     """Foot of the main peak on its left, Otsu when the density never drops."""
-    n, sd = min(w.sum(), CD45_SAMPLES), _spread(x, w)
+    n, sd = w.sum(), _spread(x, w)
     iqr = _weighted_quantile(x, w, 0.75) - _weighted_quantile(x, w, 0.25)
     bandwidth = 0.9 * min(sd, iqr / 1.34) * n ** (-0.2) * CD45_FINENESS if sd > 1e-12 else 0.1
     grid = np.linspace(lo, hi, CD45_GRID)
@@ -115,7 +115,7 @@ def _peaks(density: np.ndarray, prominence: float) -> np.ndarray:
 
 def right_foot(x: np.ndarray, w: np.ndarray, lo: float, hi: float) -> tuple[float, str]:
     """Foot of the main (negative) peak on its right with minimum-density fallbacks."""
-    n, sd = min(w.sum(), CD34_SAMPLES), _spread(x, w)
+    n, sd = w.sum(), _spread(x, w)
     bandwidth = max(sd * (n * 0.75) ** (-0.2), (hi - lo) / FINE_BINS, 1e-12)
     grid = np.linspace(lo, hi, CD34_GRID)
     density = _smooth(_density(x, w, grid, bandwidth), CD34_SMOOTH)
@@ -349,37 +349,47 @@ def auto_debris_density(
 # --- singlets ----------------------------------------------------------------
 
 
-def robust_lines(events: DataFrame, file: str, area: str, height: str, order: Column, sample: int = LINE_SAMPLE) -> DataFrame:
-    """Robust line area ~ height per file from a bounded sample of each.
+def robust_lines(events: DataFrame, file: str, area: str, height: str, order: Column, proposals: int = LINE_SAMPLE) -> DataFrame:
+    """Robust line area ~ height per file: (file, n, slope, intercept, r2).
 
-    Random pairs of points propose lines, the one with most inliers (within
-    one raw MAD of the areas) is refitted on them: (file, slope, intercept, r2).
+    Random subsets of at most ``proposals`` rows of a file propose lines.  All
+    rows of the file then decide: the line with most inliers (within one raw
+    MAD of the areas) wins and is refitted on its inliers.
     """
-    part = smallest(events.select(file, area, height, order.alias("_o")), [file], sample, F.col("_o"))
-    schema = T.StructType([events.schema[file]] + [T.StructField(n, T.DoubleType()) for n in ("slope", "intercept", "r2")])
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    middle = as_model(events.groupBy(file).agg(F.count("*").alias("n")).join(medians(events, [file], {"_mid": area}), file))
+    near = events.join(middle, file)
+    limits = as_model(medians(near, [file], {"_limit": F.abs(F.col(area) - F.col("_mid"))}))
+    large = F.col("n") >= LINE_MIN_ROWS
+    part = smallest(near.where(large).select(file, area, height, order.alias("_o")), [file], proposals, F.col("_o"))
+    pair = T.ArrayType(T.DoubleType())
+    schema = T.StructType([events.schema[file], T.StructField("_slopes", pair), T.StructField("_starts", pair)])
+
+    def propose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
         x, y = pdf[height].to_numpy(dtype=float), pdf[area].to_numpy(dtype=float)
-        if len(x) < LINE_MIN_ROWS:
-            return pd.DataFrame([[*key, None, None, None]], columns=schema.names)
-        limit = float(np.median(np.abs(y - np.median(y))))
-        rng = np.random.default_rng(42)
-        # all proposals at once: least squares through random subsets
-        pick = rng.integers(0, len(x), (LINE_TRIALS, min(LINE_SEEDS, len(x))))
+        pick = np.random.default_rng(42).integers(0, len(x), (LINE_TRIALS, min(LINE_SEEDS, len(x))))
         px, py = x[pick], y[pick]
         cx, cy = px - px.mean(axis=1, keepdims=True), py - py.mean(axis=1, keepdims=True)
         slopes = (cx * cy).sum(axis=1) / np.maximum((cx * cx).sum(axis=1), 1e-300)
-        starts = py.mean(axis=1) - slopes * px.mean(axis=1)
-        inside = np.abs(y[None, :] - slopes[:, None] * x[None, :] - starts[:, None]) <= limit
-        best = inside[int(inside.sum(axis=1).argmax())]
-        slope, intercept = np.polyfit(x[best], y[best], 1)
-        left = ((y[best] - slope * x[best] - intercept) ** 2).sum()
-        all_ = ((y[best] - y[best].mean()) ** 2).sum()
-        r2 = 1 - left / all_ if best.sum() > LINE_MIN_ROWS and all_ > 0 else None
-        return pd.DataFrame([[*key, float(slope), float(intercept), r2]], columns=schema.names)
+        return pd.DataFrame({file: [key[0]], "_slopes": [slopes], "_starts": [py.mean(axis=1) - slopes * px.mean(axis=1)]})
+
+    offered = as_model(part.groupBy(file).applyInPandas(propose, schema)).join(limits, file)
+    judged = events.join(offered, file)
+
+    def inside(slope: Column, start: Column) -> Column:
+        return F.abs(F.col(area) - slope * F.col(height) - start) <= F.col("_limit")
 
-    return as_model(part.groupBy(file).applyInPandas(fit, schema))
+    votes = judged.groupBy(file).agg(F.array(*[
+        F.count_if(inside(F.col("_slopes")[i], F.col("_starts")[i])) for i in range(LINE_TRIALS)]).alias("_votes"))
+    best = F.array_position("_votes", F.array_max("_votes")).cast("int") - 1
+    chosen = as_model(votes.select(file, best.alias("_b")).join(offered, file).select(
+        file, "_limit", F.col("_slopes")[F.col("_b")].alias("_slope"), F.col("_starts")[F.col("_b")].alias("_start")))
+    held = events.join(chosen, file).where(inside(F.col("_slope"), F.col("_start")))
+    y, x = F.col(area), F.col(height)
+    fitted = held.groupBy(file).agg(
+        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.when(F.count("*") > LINE_MIN_ROWS, F.regr_r2(y, x)).alias("r2"))
+    return as_model(middle.select(file, "n").join(fitted, file, "left"))
 
 
 def auto_singlets(
@@ -387,11 +397,18 @@ def auto_singlets(
 ) -> tuple[DataFrame, DataFrame]:
     """Events not far above their file's area/height line, and the per-file report.
 
-    The line comes from a bounded sample; residual median and MAD from all
-    rows.  A poor line falls back to the ratio test.
+    Line, residual median and MAD come from all usable rows: finite, above
+    ``LINE_FLOOR`` in both channels and ``valid`` (viable, say).  A poor line
+    falls back to the ratio test; below ``MIN_ROWS`` usable rows in all, every
+    event is kept.
     """
-    usable = all_of([is_finite(area), is_finite(height), *([valid] if valid is not None else [])])
+    usable = all_of([
+        is_finite(area), is_finite(height), F.col(area) > LINE_FLOOR, F.col(height) > LINE_FLOOR,
+        *([valid] if valid is not None else [])])
+    usable = F.coalesce(usable, F.lit(False))
     lines = robust_lines(events.where(usable), file, area, height, order)
+    enough = (lines.agg(F.sum("n")).first()[0] or 0) >= MIN_ROWS
+    lines = lines.drop("n")
     joined = events.join(lines, file, "left")
     residual = F.col(area) - (F.col("slope") * F.col(height) + F.col("intercept"))
     scored = joined.withColumn("_res", F.when(usable, residual))
@@ -404,7 +421,7 @@ def auto_singlets(
     keep = (
         F.when(~usable, False).when(F.col("slope").isNull(), True)
         .when(poor, ratio.between(0.6, 1.5)).otherwise(F.col("_res") <= F.col("_med") + LINE_MAD * F.col("_mad")))
-    marked = scored.withColumn(mask, keep)
+    marked = scored.withColumn(mask, keep if enough else F.lit(True))
     how = F.when(F.col("slope").isNull(), "skip_too_few").when(poor, "ratio_fallback").otherwise("ransac")
     report = marked.withColumn("method", how).groupBy(file, "method").agg(
         F.count("*").alias("n"), F.count_if(mask).alias("n_singlets"), F.first("r2").alias("r2"))

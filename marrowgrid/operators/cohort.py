@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrowgrid.operators.selection import smallest
@@ -96,20 +96,24 @@ def balanced_pool(
 
 def pool_per_patient(
     patients: DataFrame, pool: DataFrame, order: Column, *, patient: str = "patient_id", file: str = "file_origin",
-    ratio: float = 1.0, n_files: int | None = None,
+    ratio: float = 2.0, n_files: int | None = None,
 ) -> DataFrame:
     """Normal rows for every patient: max(1, int(ratio * n) // files) per file.
 
-    The pool is ranked once per file up to the largest quota; a row goes to
-    each patient whose quota reaches its rank.
+    A patient whose target int(ratio * n) reaches the size of the pool gets
+    all of it.  The pool is ranked once per file up to the largest quota; a
+    row goes to each patient whose quota reaches its rank.
     """
-    n_files = n_files or pool.select(file).distinct().count()
+    sizes = pool.groupBy(file).agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("*").alias("files")).first()
+    n_files = n_files or sizes["files"]
+    target = F.floor(F.count("*") * ratio)
     wanted = patients.groupBy(patient).agg(
-        F.greatest(F.lit(1), F.floor(F.floor(F.count("*") * ratio) / n_files)).alias("quota"))
+        F.when(target >= F.lit(sizes["rows"] or 0), F.lit(sizes["top"] or 0))
+        .otherwise(F.greatest(F.lit(1), F.floor(target / max(n_files, 1)))).cast("long").alias("quota")).where("quota > 0")
     wanted = as_model(wanted)
     top = wanted.agg(F.max("quota")).first()[0] or 0
-    chosen = smallest(pool, [file], top, order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(file).orderBy(order)).cast("long"))
+    chosen = smallest(pool, [file], top, order, rank="_rank")
     # patients ask for ranks 1..quota, an equality join deals the rows
     asked = wanted.select(patient, F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("_rank"))
     return chosen.drop(patient).join(asked, "_rank").drop("_rank")

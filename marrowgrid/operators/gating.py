@@ -89,19 +89,29 @@ def gate_debris(events: DataFrame, fsc: str, ssc: str, bounds: Mapping[str, tupl
     return all_of(_between(c, *bounds[c]) for c in (fsc, ssc))
 
 
-def standard_masks(events: DataFrame, fsc="FSC_A", fsc_h="FSC_H", ssc="SSC_A", cd45="CD45", cd34="CD34") -> dict[str, Column]:
-    """The four gates of the sequence, each learnt on all rows in one job."""
+def standard_masks(
+    events: DataFrame, fsc="FSC_A", fsc_h="FSC_H", ssc="SSC_A", cd45="CD45", cd34="CD34", *,
+    condition: str = "condition", cd34_of: str | None = None,
+) -> dict[str, Column]:
+    """The four gates of the sequence, each learnt on all rows in one job.
+
+    ``cd34_of`` is the condition whose events the CD34 gate selects; all other
+    events pass it, which keeps the normal side of a comparison whole.
+    """
     wanted = {
         "fsc_lo": (fsc, VIABLE_PCT[0]), "fsc_hi": (fsc, VIABLE_PCT[1]),
         "ssc_lo": (ssc, VIABLE_PCT[0]), "ssc_hi": (ssc, VIABLE_PCT[1]),
         "cd45": (cd45, CD45_PCT), "cd34": (cd34, CD34_PCT), "cd34_ssc": (ssc, CD34_SSC_PCT),
     }
     cut = learn_limits(events, wanted)
+    blast = is_finite(cd34) & (F.col(cd34) >= cut["cd34"]) & is_finite(ssc) & (F.col(ssc) <= cut["cd34_ssc"])
+    if cd34_of is not None:
+        blast = blast | ~F.col(condition).eqNullSafe(cd34_of)
     return {
         "viable": _between(fsc, cut["fsc_lo"], cut["fsc_hi"]) & _between(ssc, cut["ssc_lo"], cut["ssc_hi"]),
         "singlets": gate_singlets(fsc, fsc_h),
         "cd45": is_finite(cd45) & (F.col(cd45) > cut["cd45"]),
-        "cd34": is_finite(cd34) & (F.col(cd34) >= cut["cd34"]) & is_finite(ssc) & (F.col(ssc) <= cut["cd34_ssc"]),
+        "cd34": blast,
     }
 
 

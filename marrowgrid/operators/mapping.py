@@ -90,9 +90,14 @@ def node_distances(nodes: DataFrame, populations: DataFrame, by: Sequence[str] =
     return out
 
 
-def prior_weight(n_cells: Column, mode: str) -> Column:
+def prior_weight(n_cells: Column, mode: str, total: Column | None = None, populations: Column | None = None) -> Column:
+    """Prevalence weight; ``linear`` needs all cells and the number of populations."""
     log = F.log10(F.greatest(n_cells, F.lit(10)))
-    weight = {"log10_cubed": F.pow(log, F.lit(3.0)), "log10": log, "none": F.lit(1.0)}[mode]
+    weight = {"log10_cubed": F.pow(log, F.lit(3.0)), "log10": log, "none": F.lit(1.0)}.get(mode)
+    if mode == "linear":  # cells over the mean of all populations
+        weight = F.greatest(n_cells, F.lit(1)) / F.greatest(total / populations, F.lit(1))
+    if weight is None:
+        raise ValueError(f"unknown prior {mode}")
     return F.greatest(weight, F.lit(1e-9))
 
 
@@ -108,7 +113,8 @@ def with_prior(distance: Column, mode: str, *, n_cells: str = "n_cells", size: s
     # every node size occurs once per population
     total_size = F.sum(size).over(everything) / F.count("*").over(per_node)
     limit = F.col(n_cells) / F.greatest(total_cells, F.lit(1)) * total_size * factor
-    return F.when(F.col(size) > limit, F.lit(float("inf"))).otherwise(distance / prior_weight(F.col(n_cells), mode))
+    return F.when(F.col(size) > limit, F.lit(float("inf"))).otherwise(
+        distance / prior_weight(F.col(n_cells), mode, F.greatest(total_cells, F.lit(1)), F.count("*").over(per_node)))
 
 
 def all_metrics(
@@ -118,7 +124,8 @@ def all_metrics(
     """Long distances (by, node, population, method, dist) of the twelve metrics.
 
     ``votes`` are the (node, population, dist) winners of :func:`knn_vote`;
-    without them M11 falls back to M3.
+    without them M11 falls back to M3.  A vote names one population, all
+    others are infinitely far.
     """
     wide = node_distances(nodes, populations, by, node).join(as_model(sizes.select(*by, node, "size")), [*by, node])
     per_node = Window.partitionBy(*by, node)
@@ -136,7 +143,7 @@ def all_metrics(
         wide = wide.withColumn("M11", F.col("M3"))
     else:
         wide = wide.join(as_model(votes.withColumnRenamed("dist", "_vote")), [*by, node, "population"], "left")
-        wide = wide.withColumn("M11", F.coalesce("_vote", F.lit(1.0)))
+        wide = wide.withColumn("M11", F.coalesce("_vote", F.lit(float("inf"))))
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("dist")) for m in METRICS]))
     return wide.select(*by, node, "population", rows.alias("_r")).select(*by, node, "population", "_r.*")
 

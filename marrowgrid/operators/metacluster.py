@@ -6,6 +6,7 @@ codebooks are clustered in parallel by ``model_id``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -18,7 +19,7 @@ from marrowgrid.operators.sizing import model_rows
 
 # Consensus and selection parameters.
 RESAMPLES, RESAMPLE_SHARE, RUNS_PER_TASK = 100, 0.9, 10
-MIN_STABILITY, W_STABILITY, W_SILHOUETTE, BOOTSTRAPS, EVAL_ROWS = 0.75, 0.65, 0.35, 10, 20_000
+MIN_STABILITY, W_STABILITY, W_SILHOUETTE, BOOTSTRAPS = 0.75, 0.65, 0.35, 10
 
 
 def agglomerate(points: np.ndarray, ks: Sequence[int], linkage: str = "ward", distances: np.ndarray | None = None) -> dict[int, np.ndarray]:
@@ -174,23 +175,22 @@ def adjusted_rand(counts: np.ndarray) -> float:
 
 def choose_k(
     events: DataFrame, codes: np.ndarray, ks: Sequence[int], *, x: str = "x", key: Sequence[str] = ("event_id",), xdim: int = 10, ydim: int = 10,
-    bootstraps: int = BOOTSTRAPS, eval_rows: int = EVAL_ROWS, min_stability: float = MIN_STABILITY, seed: int = 42, epochs: int | None = None,
+    bootstraps: int = BOOTSTRAPS, min_stability: float = MIN_STABILITY, seed: int = 42, epochs: int | None = None,
 ) -> tuple[int, list[tuple[int, float, float, float]]]:
     """Number of metaclusters and the (k, silhouette, stability, composite) scores.
 
     Silhouettes of the codebook keep the better half of the candidates.  Then
-    maps are trained with different seeds on the same evaluation rows; every
+    maps are trained with different seeds on all rows; every
     pair of maps is compared by its node-by-node contingency counts, from
     which the Rand index follows for all k at once.
     """
-    from marrowgrid.operators.selection import hash_order, take
     from marrowgrid.operators.som import fit_som
     from marrowgrid.session import staged
 
     labels = agglomerate(codes, list(ks))
     sil = {k: silhouette(codes, labels[k]) for k in ks}
     kept = sorted(sorted(ks, key=lambda k: -sil[k])[: max(len(ks) // 2, 3)])
-    rows = staged(take(events, eval_rows, hash_order(*key, seed=seed)).select(*key, x), "evaluation")
+    rows = staged(events.select(*key, x), "evaluation")
     runs = [fit_som(rows, x=x, key=key, xdim=xdim, ydim=ydim, seed=seed + 100 + b, epochs=epochs) for b in range(bootstraps)]
     placed = rows
     for b, model in enumerate(runs):
@@ -201,7 +201,7 @@ def choose_k(
         for a, b in combinations(range(bootstraps), 2)]))
     counted = placed.select(pairs.alias("_p")).groupBy("_p.a", "_p.b", "_p.i", "_p.j").count()
     tables: dict = {}
-    for r in model_rows(counted, 45 * (xdim * ydim) ** 2 + 1):
+    for r in model_rows(counted, math.comb(bootstraps, 2) * (xdim * ydim) ** 2 + 1):
         tables.setdefault((r["a"], r["b"]), []).append((r["i"], r["j"], r["count"]))
     cut = [agglomerate(m.codes[None], kept) for m in runs]
     stability = {}

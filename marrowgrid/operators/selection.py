@@ -34,11 +34,13 @@ def smallest(
     *,
     ties: Sequence[str] = (),
     group_rows: int = GROUP_ROWS,
+    rank: str | None = None,
 ) -> DataFrame:
     """The ``quota`` rows of each group with the smallest ``order`` (a hex hash).
 
     ``quota`` may be a column that is constant within a group.  ``ties`` are
-    further columns that make the order total.
+    further columns that make the order total.  ``rank`` names a column for the
+    position (from 1) of each row in its group.
     """
     by = list(by)
     wanted = F.lit(quota) if isinstance(quota, int) else quota
@@ -48,19 +50,21 @@ def smallest(
         ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*total_order)))
         # a literal quota lets Spark cut each group before the shuffle
         limit = F.lit(quota) if isinstance(quota, int) else F.col("_quota")
-        return ranked.where(F.col("_rank") <= limit).drop("_h", "_quota", "_rank")
-    if not by and isinstance(quota, int) and (quota <= _TOP or groups_fit(df, by, group_rows)):
+        chosen = ranked.where(F.col("_rank") <= limit).drop("_h", "_quota")
+        return chosen.drop("_rank") if rank is None else chosen.withColumn(rank, F.col("_rank").cast("long")).select(*df.columns, rank)
+    if not by and rank is None and isinstance(quota, int) and (quota <= _TOP or groups_fit(df, by, group_rows)):
         # every task keeps at most ``quota`` rows before they meet
         return marked.orderBy(*total_order).limit(quota).drop("_h", "_quota")
     keyed = marked.withColumn("_pre", F.substring("_h", 1, _PREFIX))
     frame = by or ["_all"]
     keyed = keyed if by else keyed.withColumn("_all", F.lit(1))
     running = Window.partitionBy(*frame).orderBy("_pre")
-    edge = as_model(
+    sizes = (
         keyed.groupBy(*frame, "_pre")
         .agg(F.count("*").alias("_c"), F.max("_quota").alias("_q"))
-        .withColumn("_cum", F.sum("_c").over(running))
-        .where("_cum >= _q AND _cum - _c < _q")
+        .withColumn("_cum", F.sum("_c").over(running)))
+    edge = as_model(
+        sizes.where("_cum >= _q AND _cum - _c < _q")
         .select(*frame, F.col("_pre").alias("_edge"), (F.col("_q") - F.col("_cum") + F.col("_c")).alias("_rest"))
     )
     placed = keyed.join(edge, frame, "left")
@@ -72,7 +76,13 @@ def smallest(
         .where("_rank <= _rest")
         .drop("_rank")
     )
-    return whole.unionByName(last).select(*df.columns)
+    chosen = whole.unionByName(last)
+    if rank is None:
+        return chosen.select(*df.columns)
+    # the rows below a prefix are known, so a rank is needed within it only
+    below = as_model(sizes.select(*frame, "_pre", (F.col("_cum") - F.col("_c")).alias("_below")))
+    place = F.row_number().over(Window.partitionBy(*frame, "_pre").orderBy(*total_order))
+    return chosen.join(below, [*frame, "_pre"]).withColumn(rank, (F.col("_below") + place).cast("long")).select(*df.columns, rank)
 
 
 def take(df: DataFrame, n: int, order: Column, **kw) -> DataFrame:
@@ -94,4 +104,8 @@ def weighted_take(df: DataFrame, n: int, weight: Column, order: Column, **kw) ->
     if total <= n:
         return timed.drop("_t")
     cut = quantile_row(timed, {"cut": ("_t", (n - 1) / (total - 1))})["cut"]
-    return timed.where(F.col("_t") <= F.lit(cut) * (1 + 1e-12)).drop("_t")
+    early, late = F.lit(cut) * (1 - 1e-12), F.lit(cut) * (1 + 1e-12)
+    before = timed.where(F.col("_t") < early)
+    # arrivals equal to the cut are dealt by their order until n rows are met
+    tied = take(timed.where((F.col("_t") >= early) & (F.col("_t") <= late)), n - before.count(), order, **kw)
+    return before.unionByName(tied).drop("_t")

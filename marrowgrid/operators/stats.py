@@ -62,6 +62,22 @@ def kolmogorov_tail(t: pd.Series) -> pd.Series:
     return pd.Series(np.clip(out, 0.0, 1.0)).where(~np.isnan(v[:, 0]))
 
 
+@F.pandas_udf(T.DoubleType())
+def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided tail of Student's t, by quadrature over the angle atan(t / sqrt(df))."""
+    at, w = np.polynomial.legendre.leggauss(400)
+    v, n = (s.to_numpy(dtype=float, na_value=np.nan) for s in (t, df))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        low = np.arctan(np.abs(v) / np.sqrt(n))
+        half = (np.pi / 2 - low) / 2
+        angle = low[:, None] + half[:, None] * (at[None, :] + 1)
+        tail = half * (w * np.cos(angle) ** (n[:, None] - 1)).sum(axis=1)
+    known = ~np.isnan(v) & (n > 0)
+    # the whole integral is a ratio of gamma functions
+    whole = [math.sqrt(math.pi) / 2 * math.exp(math.lgamma(k / 2) - math.lgamma((k + 1) / 2)) if ok else 1.0 for k, ok in zip(n, known)]
+    return pd.Series(np.clip(tail / whole, 0.0, 1.0)).where(known)
+
+
 def to_long(events: DataFrame, keys: Sequence[str], markers: Sequence[str]) -> DataFrame:
     """(keys, marker, value) rows; missing values are left out."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(m).cast("double").alias("value")) for m in markers]))
@@ -163,10 +179,23 @@ def benjamini_hochberg(tests: DataFrame, p: str, by: Sequence[str] = (), order:
 
 
 def spearman(features: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation per feature (mid-ranks) with its t-statistic."""
+    """Rank correlation per feature (mid-ranks), its t-statistic and two-sided p.
+
+    Below three rows, or without spread, t and p are NULL; a perfect
+    correlation has p = 0.
+    """
     def mid(name: str) -> Column:
         frame = Window.partitionBy(*by)
         return F.rank().over(frame.orderBy(name)) + (F.count("*").over(Window.partitionBy(*by, name)) - 1) / 2
 
     ranked = features.withColumn("_rx", mid(x)).withColumn("_ry", mid(y))
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    # without spread the quotient is NULL, where corr would stop the job
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    bounded = F.when(F.abs(rho) > 1, F.signum(rho)).otherwise(rho)
+    found = ranked.groupBy(*by).agg(bounded.alias("rho"), F.count("*").alias("n"))
+    free = F.col("n") - 2
+    rest = F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))
+    known = (free > 0) & F.col("rho").isNotNull()
+    t = F.when(known, F.try_divide(F.col("rho") * F.sqrt(free.cast("double")), F.sqrt(rest)))
+    p = F.when(known, F.when(rest == 0, F.lit(0.0)).otherwise(student_two_sided(t, free.cast("double"))))
+    return found.withColumn("t", t).withColumn("p", p)

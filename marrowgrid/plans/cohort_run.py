@@ -33,11 +33,12 @@ class Settings:
     epochs: int | None = None
     metaclusters: int = 8
     gates: tuple[str, ...] = ("viable", "singlets", "cd45")
+    cd34_of: str | None = "Pathologique"  # condition the CD34 gate applies to, None for all events
 
 
 def preprocess(events: DataFrame, settings: Settings, sample: str = "file_origin") -> tuple[DataFrame, DataFrame]:
     """Gate, drop small samples, transform and scale: (events, gating log)."""
-    masks = standard_masks(events)
+    masks = standard_masks(events, cd34_of=settings.cd34_of)
     chosen = {n: masks[n] for n in settings.gates}
     log = gating_log(events, chosen)
     kept = events
@@ -70,19 +71,20 @@ def cluster(
 
 def patient_runs(
     events: DataFrame, settings: Settings, order: Column, *, patient: str = "patient_id", condition: str = "condition",
-    rules: mrd.MrdRules = mrd.MrdRules(), ratio: float = 1.0,
+    rules: mrd.MrdRules = mrd.MrdRules(), ratio: float = 2.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Every patient against the normal pool: (labelled events, summary).
 
     Each patient gets its own share of the pool and its own map; all maps
-    train in the same jobs.
+    train in the same jobs.  A patient is scaled by its own rows and the pool
+    once by the whole pool, so no result depends on the other patients.
     """
-    ill = events.where(F.col(condition) == rules.patho)
-    pool = events.where(F.col(condition) == rules.sain)
+    moved = transform_markers(events, settings.markers, settings.transform)
+    ill = normalize.normalize(
+        moved.where(F.col(condition) == rules.patho), settings.markers, settings.normalization, "sample", patient)
+    pool = normalize.normalize(moved.where(F.col(condition) == rules.sain), settings.markers, settings.normalization)
     shared = pool_per_patient(ill, pool, order, patient=patient, ratio=ratio)
-    both = ill.unionByName(shared.select(*ill.columns))
-    moved = transform_markers(both, settings.markers, settings.transform)
-    labelled, _ = cluster(normalize.normalize(moved, settings.markers, settings.normalization), settings, model=patient)
+    labelled, _ = cluster(ill.unionByName(shared.select(*ill.columns)), settings, model=patient)
     labelled = staged(labelled, "labelled")
     return labelled, mrd.mrd_summary(labelled, rules, [patient])
 
@@ -104,14 +106,17 @@ def combined_run(events: DataFrame, settings: Settings, order: Column) -> dict[s
 
 def map_and_score(
     node_profiles: DataFrame, populations: DataFrame, sizes: DataFrame, z: dict[str, Column], wide: DataFrame, method: str = "M12",
-    node: str = "node_id",
+    node: str = "node_id", keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Population of each node by one metric, with its phenotype score.
+    """Population of each scored node by one metric, with its phenotype score.
 
-    ``wide`` has one row per node with the columns behind ``z``.
+    ``wide`` has the columns behind ``z`` and one row per node, or several
+    with further columns ``keys`` (patients that share a map).  A node without
+    distances stays Unknown.
     """
     distances = mapping.all_metrics(node_profiles, populations, sizes, node=node).where(F.col("method") == method)
     mapped = mapping.assign_populations(distances, ["method"], node)
     score = blast.linear_score(z, blast.marker_weights(list(z)))
-    scored = wide.select(node, score.alias("blast_score"), blast.category(score).alias("blast_category"))
-    return mapped.join(as_model(scored), node)
+    scored = wide.select(*keys, node, score.alias("blast_score"), blast.category(score).alias("blast_category"))
+    joined = scored.join(as_model(mapped.drop("method")), node, "left")
+    return joined.withColumn("assigned_pop", F.coalesce("assigned_pop", F.lit(mapping.UNKNOWN)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import json
 from collections.abc import Callable, Mapping, Sequence
 
@@ -44,13 +46,34 @@ def reference_means(cells: DataFrame, markers: Sequence[str]) -> DataFrame:
     return cells.groupBy("population").agg(F.count("*").alias("n_cells"), *[F.avg(m).alias(m) for m in markers])
 
 
-def pool_version(files: DataFrame, config: Mapping, name: str = "file_origin") -> str:
-    """Hash of the file listing and the settings a pool was built with."""
-    listing = files.select(F.sha2(F.col(name).cast("string"), 256).alias("h")).distinct()
+def file_listing(spark: SparkSession, folder: str, glob: str = "*.[fF][cC][sS]") -> DataFrame:
+    """(path, length, modificationTime) of files, without their content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return found.select("path", "length", "modificationTime")
+
+
+def code_version() -> str:
+    """Hash of the modules that decide what a preprocessed pool holds."""
+    from marrowgrid.functions import gates, transforms
+    from marrowgrid.operators import gating, normalize
+    from marrowgrid.sources import fcs
+
+    text = "".join(inspect.getsource(m) for m in (fcs, gates, transforms, gating, normalize))
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def pool_version(
+    files: DataFrame, config: Mapping, keys: Sequence[str] = ("path", "length", "modificationTime"), code: str | None = None,
+) -> str:
+    """Hash of the files (see :func:`file_listing`), the settings and the code a pool was built with.
+
+    A file that was acquired again changes its size or time, hence the version.
+    """
+    listing = files.select(F.sha2(F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys])), 256).alias("h")).distinct()
     # a sum of hash prefixes does not depend on the order of the files
     row = listing.agg(F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
     spark = files.sparkSession
-    text = f"{row['s']}|{row['n']}|{json.dumps(dict(config), sort_keys=True)}"
+    text = f"{code or code_version()}|{row['s']}|{row['n']}|{json.dumps(dict(config), sort_keys=True)}"
     return spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 

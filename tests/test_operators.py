@@ -114,6 +114,18 @@ def test_robust_singlets_flag_doublets(spark):
     assert report.first()["method"] == "ransac"
 
 
+def test_singlets_of_few_low_and_constant_rows(spark):
+    few = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "f": "x", "a": 5000.0, "h": 4000.0}))
+    marked, _ = ag.auto_singlets(few, "f", "a", "h", hash_order("id"))
+    assert marked.where("singlet").count() == 150  # under 200 usable rows nothing is dropped
+    flat = pd.DataFrame({"id": np.arange(600), "f": "x", "a": np.where(np.arange(600) < 40, 50.0, 5000.0), "h": 4000.0})
+    flat = pd.concat([flat, pd.DataFrame({"id": np.arange(600, 610), "f": "small", "a": 9000.0, "h": 100.5})])
+    marked, report = ag.auto_singlets(spark.createDataFrame(flat), "f", "a", "h", hash_order("id"))
+    assert marked.where("a < 100 AND singlet").count() == 0
+    assert marked.where("f = 'small' AND singlet").count() == 10
+    assert {r["f"]: r["method"] for r in report.collect()}["small"] == "skip_too_few"
+
+
 def test_feet_of_two_peaks(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(1, 0.2, 800), rng.normal(4, 0.4, 6000)])
@@ -397,7 +409,7 @@ def test_rand_index_and_silhouette():
 def test_choose_k_follows_the_composite_score(spark, blobs):
     _, df = blobs
     codes = som.fit_som(df, xdim=4, ydim=4, epochs=5).codes[None]
-    best, scores = metacluster.choose_k(df, codes, range(2, 7), xdim=4, ydim=4, bootstraps=3, eval_rows=900, epochs=5)
+    best, scores = metacluster.choose_k(df, codes, range(2, 7), xdim=4, ydim=4, bootstraps=3, epochs=5)
     assert len(scores) == 5
     stable = {k: (sil, st) for k, sil, st, _ in scores if st is not None and st >= metacluster.MIN_STABILITY}
     assert stable[3][1] > 0.99
