@@ -126,13 +126,15 @@ def strings(spark, sf_dir):
 
 
 @query("F15_condition_class", """SELECT CASE WHEN upper(o_orderpriority || c_mktsegment) SIMILAR TO '.*(URGENT|HIGH).*' THEN 'Pathologique'
-   ELSE 'Unknown' END AS condition, count(*) AS n
-FROM (SELECT replace(replace(o_orderpriority, 'URGENT', 'DIAG URGENT'), 'HIGH', 'AML HIGH') AS o_orderpriority, c_mktsegment
+   WHEN o_orderpriority LIKE '%LOW%' THEN 'Sain' ELSE 'Unknown' END AS condition, count(*) AS n
+FROM (SELECT replace(replace(o_orderpriority, 'URGENT', 'DIAG URGENT'), 'HIGH', 'AML NBM HIGH') AS o_orderpriority, c_mktsegment
       FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""")
 def condition_class(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    label = F.replace(F.replace("o_orderpriority", F.lit("URGENT"), F.lit("DIAG URGENT")), F.lit("HIGH"), F.lit("AML HIGH"))
+    # a patient word wins over a healthy one
+    label = F.replace(F.replace("o_orderpriority", F.lit("URGENT"), F.lit("DIAG URGENT")), F.lit("HIGH"), F.lit("AML NBM HIGH"))
+    label = F.replace(label, F.lit("LOW"), F.lit("nbm low"))
     name = F.concat(label, F.col("c_mktsegment"))
     return orders.groupBy(nm.condition_of(name).alias("condition")).agg(F.count("*").alias("n"))
 

@@ -283,9 +283,15 @@ def hybrid_score(spark, sf_dir):
 SELECT patient_id, node_id, 10.0 AS score_none, round(score, 5) AS score_linear,
        round(mscore, 5) AS score_mahalanobis, round(hybrid, 5) AS score_hybrid FROM h""")
 def score_router(spark, sf_dir):
-    return hybrid_nodes(spark, sf_dir).select(
-        "patient_id", "node_id", F.lit(10.0).alias("score_none"), F.round("linear", 5).alias("score_linear"),
-        F.round("mahal_score", 5).alias("score_mahalanobis"), F.round("hybrid_score", 5).alias("score_hybrid"))
+    healthy = cells(spark, sf_dir).where(F.col("condition") == "Sain")
+    center, _ = reference_stats(healthy, ["SSC_A", "HLA_DR"])
+    _, inverse = reference_covariance(healthy, ["SSC_A", "HLA_DR"])
+    nodes = node_z(spark, sf_dir).join(mrd.mrd_nodes(cells(spark, sf_dir)), ["patient_id", "node_id"])
+    given = dict(
+        z={m: f"z_{m}" for m in SCORED}, values=["SSC_A", "HLA_DR"], center=[center["SSC_A"], center["HLA_DR"]], inverse=inverse,
+        purity=F.col("node_purity"))
+    return nodes.select("patient_id", "node_id", *[
+        F.round(blast.node_score(m, **given)[0], 5).alias(f"score_{m}") for m in ("none", "linear", "mahalanobis", "hybrid")])
 
 
 @query("M6_phenotype_gate", f"""WITH {CELLS}, {NODES}, {MED}, {COV}, {D2},

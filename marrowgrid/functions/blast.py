@@ -25,10 +25,6 @@ DEFAULT_WEIGHTS = (
 )
 # Category limits of a 0..10 score.
 HIGH, MODERATE, WEAK = 6.0, 2.0, 0.0
-# Tuned weights of the phenotype filter.
-FILTER_WEIGHTS = {
-    "CD34": 1.31, "CD117": 0.87, "HLA-DR": 4.88, "CD33": 0.10, "CD13": 2.14, "CD45": -0.05, "SSC": -2.87,
-}
 
 
 def marker_weights(
@@ -117,6 +113,35 @@ def hybrid_score(
     return clip(mahal_weight * mahalanobis_score(d2_modulated, norm) + linear_weight * boosted, 0, 10)
 
 
+def node_score(
+    method: str, *, z: "Mapping[str, str | Column] | None" = None, weights: Mapping[str, float] | None = None,
+    values: "Sequence[str | Column] | None" = None, center: Sequence[float] | None = None,
+    inverse: Sequence[Sequence[float]] | None = None, purity: Column | None = None, power: float = 0.98, norm: float = 109.28, **hybrid,
+) -> tuple[Column, Column | None]:
+    """Score 0..10 of a node by ``none``, ``linear``, ``mahalanobis`` or ``hybrid``, and its raw squared distance.
+
+    ``none`` gives every node 10, so each passes the gate.  What a method needs
+    must be there: z-values for linear and hybrid, node values with centre and
+    inverse covariance for mahalanobis and hybrid; nothing is replaced silently.
+    """
+    if method == "none":
+        return F.lit(10.0), None
+    if method not in ("linear", "mahalanobis", "hybrid"):
+        raise ValueError(f"unknown score {method}")
+    if method != "mahalanobis" and z is None:
+        raise ValueError(f"{method} score needs z-values against the normal reference")
+    linear = None if z is None else linear_score(z, marker_weights(list(z)) if weights is None else weights)
+    if method == "linear":
+        return linear, None
+    if values is None or center is None or inverse is None:
+        raise ValueError(f"{method} score needs node values, centre and inverse covariance of the normal reference")
+    d2 = mahalanobis(values, center, inverse)
+    modulated = d2 if purity is None else purity_modulated(d2, purity, power)
+    if method == "mahalanobis":
+        return mahalanobis_score(modulated, norm), d2
+    return hybrid_score(d2, modulated, linear, norm=norm, **hybrid), d2
+
+
 def gate_threshold(
     purity: Column, *, high: float = 2.60, moderate: float = 2.20, strict: float = 0.93, relax: float = 0.13,
 ) -> Column:

@@ -38,10 +38,6 @@ def percent(part: Column, whole: Column) -> Column:
     return F.lit(100.0) * part / F.greatest(whole, F.lit(1))
 
 
-def count_true(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def is_finite(value: "str | Column") -> Column:
     value = col(value)
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))

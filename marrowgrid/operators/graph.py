@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrowgrid.operators.neighbors import knn
+from marrowgrid.operators.sizing import GROUP_ROWS, as_model, ordered_pieces
 from marrowgrid.session import staged
 
+#: steps after which labels that keep changing are an error
+MAX_STEPS = 200
+
 
 def jaccard_edges(neighbors: DataFrame, src: str = "query_id", dst: str = "base_id") -> DataFrame:
     """Symmetric edges weighted by the shared part of two neighbour lists.
@@ -26,23 +30,26 @@ def jaccard_edges(neighbors: DataFrame, src: str = "query_id", dst: str = "base_
     return edges.unionByName(flipped).groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("weight > 0")
 
 
-def propagate_labels(nodes: DataFrame, edges: DataFrame, node: str = "query_id", max_iter: int = 20, stage_every: int = 3) -> DataFrame:
+def propagate_labels(nodes: DataFrame, edges: DataFrame, node: str = "query_id", max_iter: int | None = None, stage_every: int = 3) -> DataFrame:
     """Communities by weighted label propagation: (node, community).
 
     Each node takes the label with the largest weight among its neighbours and
-    itself; the smaller label wins ties.  Community ids are dense.
+    itself; the smaller label wins ties.  Steps go on until no label changes,
+    and an error tells when that does not happen; ``max_iter`` asks for so many
+    steps instead.  Community ids are dense, the largest community first.
     """
     edges = staged(edges, "edges")
     labels = staged(nodes.select(F.col(node).alias("dst"), F.col(node).alias("label")), "labels")
     own = edges.groupBy("src").agg(F.max("weight").alias("weight"))
-    for step in range(max_iter):
+    steps = MAX_STEPS if max_iter is None else max_iter
+    for step in range(steps):
         heard = edges.join(labels, "dst").select("src", "label", "weight")
         kept = labels.select(F.col("dst").alias("src"), "label").join(own, "src", "left").select(
             "src", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
         score = heard.unionByName(kept).groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = score.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m"))
         fresh = best.select(F.col("src").alias("dst"), (-F.col("m.l")).alias("label"))
-        if (step + 1) % stage_every == 0 or step == max_iter - 1:
+        if (step + 1) % stage_every == 0 or step == steps - 1:
             fresh = staged(fresh, "labels")
             moved = fresh.join(labels.withColumnRenamed("label", "old"), "dst").where("label <> old").limit(1).count()
             labels = fresh
@@ -50,8 +57,15 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, node: str = "query_id",
                 break
         else:
             labels = fresh
-    names = labels.groupBy("label").agg(F.count("*").alias("_n"))
-    dense = names.withColumn("community", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_n"), "label")) - 1)
+    else:
+        if max_iter is None:
+            raise RuntimeError(f"labels still change after {MAX_STEPS} steps")
+    names = labels.groupBy("label").agg((-F.count("*")).alias("_n"))
+    placed = ordered_pieces(names, ["_n", "label"], GROUP_ROWS)
+    before = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_piece")) - F.col("_c")
+    first = as_model(placed.groupBy("_piece").agg(F.count("*").alias("_c")).withColumn("_first", before).drop("_c"))
+    place = F.row_number().over(Window.partitionBy("_piece").orderBy("_n", "label"))
+    dense = placed.join(first, "_piece").withColumn("community", (F.col("_first") + place - 1).cast("int"))
     return labels.join(dense.select("label", "community"), "label").select(F.col("dst").alias(node), "community")
 
 

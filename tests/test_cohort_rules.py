@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marrowgrid.operators import mapping, stats
+from marrowgrid.functions import blast
+from marrowgrid.operators import graph, mapping, stats
 from marrowgrid.operators.cohort import pool_per_patient
 from marrowgrid.operators.gating import standard_masks
 from marrowgrid.operators.selection import hash_order, smallest, weighted_take
@@ -129,3 +130,22 @@ def test_open_windows_are_stored_and_updated(spark, tmp_path):
         jobs.run_updates(windows, out, str(tmp_path / "ck"))
     got = {r["start"].hour: (r["n"], r["median"]) for r in jobs.latest(spark.read.parquet(out), ["start", "sample_id"]).collect()}
     assert got == {0: (2, 0.0), 1: (3, 75.0)}
+
+
+def test_score_router_asks_for_what_a_method_needs(spark):
+    row = spark.createDataFrame([(2.0, 1.0)], "z double, v double")
+    score, d2 = blast.node_score("mahalanobis", values=["v"], center=[0.0], inverse=[[4.0]], norm=20.0)
+    assert row.select(score.alias("s"), d2.alias("d")).first() == (2.0, 4.0)
+    assert row.select(blast.node_score("none")[0]).first()[0] == 10.0
+    assert row.select(blast.node_score("linear", z={"CD34": "z"})[0]).first()[0] == 10.0
+    for method, given in (("linear", {}), ("hybrid", {"z": {"CD34": "z"}}), ("mahalanobis", {"values": ["v"], "center": [0.0]}), ("other", {})):
+        with pytest.raises(ValueError):
+            blast.node_score(method, **given)
+
+
+def test_communities_settle_and_are_numbered_by_size(spark):
+    pairs = [(a, b) for group in ([0, 1, 2, 3], [10, 11, 12]) for a in group for b in group if a != b]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 10, 11, 12, 20)], "query_id long")
+    got = {r["query_id"]: r["community"] for r in graph.propagate_labels(nodes, edges).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 1, 11: 1, 12: 1, 20: 2}
