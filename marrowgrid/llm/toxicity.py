@@ -4,8 +4,10 @@ A word is the mean of the embeddings of its hashed character n-grams (with word
 misspelling shares most vectors with the word it comes from.  A span of words is the mean of its words and goes
 through a linear softmax; embeddings and softmax are trained jointly in numpy.  A label says only that some span of the
 document is toxic: training starts with the span of the most telling word of each toxic document, then keeps the label
-on the spans that score highest (all spans of a clean document stay clean).  A document scores by its most toxic span, calibrated on
-labelled rows that were not trained on.
+on the spans that score highest (all spans of a clean document stay clean).  A document scores by its most toxic span
+and by how many of its words, and what share of them, are suspicious: syllables of clean words now and then join to
+something that looks toxic, but rarely several times.  The weights of the three come from rows that the model at hand was
+not trained on: the sample is cut into folds, each scored by a model of the other folds, and the last model uses all rows.
 
 Scale: scoring is one scan without a shuffle, and as the layers are linear, a word costs one number that a task
 remembers.  The labelled sample is bounded by rows and characters (documented parameters) and fitted on the driver.
@@ -13,6 +15,7 @@ remembers.  The labelled sample is bounded by rows and characters (documented pa
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -31,7 +34,8 @@ from marrowgrid.llm.quality_cotraining import logistic
 TOXIC_ROWS = 800
 CLEAN_ROWS = 1000
 SAMPLE_CHARS = 8_000_000
-CALIBRATION = 0.35
+#: parts of the sample, each scored by a model of the others to calibrate
+FOLDS = 3
 
 SPAN = 3
 BUCKETS = 1 << 20
@@ -41,6 +45,8 @@ ROUNDS = 3
 ROUND_EPOCHS = 8
 #: largest move of an entry in an epoch: embeddings, softmax weights, intercepts
 RATES = (2.0, 0.03, 0.1)
+#: span logit from which on a word with neutral neighbours is suspicious
+SUSPICIOUS = -1.0
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -90,18 +96,23 @@ class WordLogits(dict):
 
 @dataclass
 class ToxicModel:
-    """Logit of each bucket, intercept, calibration of the highest span."""
+    """Logit of each bucket, intercept; weights of the highest span, offset, weights of the suspicious words."""
 
     buckets: np.ndarray
     bias: float
     slope: float
     offset: float
+    crowd: tuple[float, float] = (0.0, 0.0)
 
-    def document_logit(self, logits: WordLogits, text: str | None) -> float:
-        """Highest span logit; the intercept alone for a text without words."""
-        best, tail = None, []
+    def features(self, logits: WordLogits, text: str | None) -> tuple[float, float, float]:
+        """Highest span logit (the intercept alone without words), logs of the number and share of suspicious words."""
+        best, tail, n, suspicious = None, [], 0, 0
+        least = SPAN * (SUSPICIOUS - self.bias)
         for words in words_of(text):
-            values = np.array(tail + list(map(logits.__getitem__, words)))
+            own = np.array(list(map(logits.__getitem__, words)))
+            n += len(own)
+            suspicious += int((own > least).sum())
+            values = np.append(tail, own)
             if len(values) >= SPAN:
                 sums = np.cumsum(np.append(0.0, values))
                 top = (sums[SPAN:] - sums[:-SPAN]).max() / SPAN
@@ -109,10 +120,16 @@ class ToxicModel:
             tail = values[-(SPAN - 1):].tolist()
         if best is None:
             best = sum(tail) / len(tail) if tail else 0.0
-        return best + self.bias
+        return best + self.bias, math.log(suspicious + 0.05), math.log((suspicious + 0.05) / (n + 20))
+
+    def document_logit(self, logits: WordLogits, text: str | None) -> float:
+        """Highest span logit; the intercept alone for a text without words."""
+        return self.features(logits, text)[0]
 
-    def probability(self, logit: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * logit + self.offset, -30, 30)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        """Calibrated probability of rows of ``features``."""
+        z = features.reshape(-1, 3) @ np.array([self.slope, *self.crowd]) + self.offset
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 class _Bags:
@@ -170,7 +187,8 @@ def _train(bags: _Bags, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
     """Embeddings, softmax weights and intercepts, by descent with momentum on all spans at once.
 
     A step goes with the square root of the gradient, scaled by the largest entry of its matrix: subwords that few
-    spans share move less, so the chosen spans are learnt by what they have in common.
+    spans share move less, so the chosen spans are learnt by what they have in common.  The steps of the intercepts
+    shrink within a round, or models of different folds would end some steps apart.
     """
     rng = np.random.default_rng(seed)
     params = [rng.uniform(-0.05, 0.05, (len(bags.used), DIMENSIONS)), rng.uniform(-0.5, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
@@ -187,7 +205,7 @@ def _train(bags: _Bags, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
         p = np.exp(logits)
         return span, p / p.sum(1, keepdims=True)
 
-    def epoch(target, weight):
+    def epoch(target, weight, settled):
         span, p = forward()
         p[np.arange(len(target)), target] -= 1.0
         g = p * weight[:, None]
@@ -196,7 +214,7 @@ def _train(bags: _Bags, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
         for k in range(DIMENSIONS):
             d_word = np.bincount(bags.tokens, d_span[bags.of_span, k], len(bags.word_sizes)) / bags.word_sizes
             d_embed[:, k] = np.bincount(bags.buckets, d_word[bags.of_word], len(bags.used))
-        for p_, m, grad, rate in zip(params, moments, (d_embed, span.T @ g, g.sum(0)), RATES):
+        for p_, m, grad, rate in zip(params, moments, (d_embed, span.T @ g, g.sum(0)), (*RATES[:2], RATES[2] * (1 - settled))):
             m *= 0.8
             m += grad
             p_ -= rate * np.sign(m) * np.sqrt(np.abs(m) / (np.abs(m).max() + 1e-12))
@@ -211,12 +229,27 @@ def _train(bags: _Bags, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
         hard = ~toxic & (merit >= top[bags.owner]) if round_ else np.zeros(len(merit), bool)
         weight = np.where(chosen, 0.5 / np.maximum(1, per[bags.owner]) / n_toxic, 0.0) \
             + np.where(toxic, 0.0, (0.25 * share + 0.25 * hard) / n_clean)
-        for _ in range(ROUND_EPOCHS):
-            epoch(chosen.astype(int), weight)
+        for step in range(ROUND_EPOCHS):
+            epoch(chosen.astype(int), weight, step / ROUND_EPOCHS)
         merit = forward()[1][:, 1]
     return tuple(params)
 
 
+def _uncalibrated(texts: list[str], labels: np.ndarray) -> ToxicModel:
+    """Model of one sample; texts without words give one without weights."""
+    bags, buckets = _Bags(texts), np.zeros(BUCKETS)
+    if not len(bags.tokens):
+        return ToxicModel(buckets, 0.0, 1.0, 0.0)
+    embed, weights, bias = _train(bags, labels)
+    buckets[bags.used] = embed @ (weights[:, 1] - weights[:, 0])
+    return ToxicModel(buckets, float(bias[1] - bias[0]), 1.0, 0.0)
+
+
+def _features(model: ToxicModel, texts) -> np.ndarray:
+    logits = WordLogits(model.buckets)
+    return np.array([model.features(logits, t) for t in texts], float).reshape(-1, 3)
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS,
         sample_chars: int = SAMPLE_CHARS) -> ToxicModel:
     """Train on ``doc_id, text`` of ``docs`` and ``doc_id, toxic`` of ``labels``.
@@ -238,23 +271,21 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     if chars > sample_chars:
         picked = picked.where(sample_share("doc_id", 12) < sample_chars / chars)
     rows = picked.select("doc_id", "text", "toxic", sample_share("doc_id", 13).alias("fold")).toPandas().sort_values(["doc_id", "text"])
-    y, train = rows["toxic"].to_numpy(), rows["fold"].to_numpy() >= CALIBRATION
-    if min(y[train].sum(), (1 - y[train]).sum(), y[~train].sum(), (1 - y[~train]).sum()) < 5:
-        train[:] = True
-    bags = _Bags(rows["text"][train].tolist())
-    if not len(bags.tokens):
-        return ToxicModel(np.zeros(BUCKETS), 0.0, 0.0, float(np.log(n_toxic / n_clean)))
-    embed, weights, bias = _train(bags, y[train])
-    buckets = np.zeros(BUCKETS)
-    buckets[bags.used] = embed @ (weights[:, 1] - weights[:, 0])
-    model = ToxicModel(buckets, float(bias[1] - bias[0]), 1.0, 0.0)
-    held = ~train if (~train).any() else train
-    logits = WordLogits(model.buckets)
-    z = np.array([model.document_logit(logits, t) for t in rows["text"][held]])
+    y, fold = rows["toxic"].to_numpy(), (rows["fold"].to_numpy() * FOLDS).astype(int)
+    model = _uncalibrated(rows["text"].tolist(), y)
+    if not model.buckets.any():
+        return ToxicModel(model.buckets, 0.0, 0.0, float(np.log(n_toxic / n_clean)))
+    x = _features(model, rows["text"])
+    if np.bincount(2 * fold + y, minlength=2 * FOLDS).min() >= 5:
+        for part in range(FOLDS):
+            own = fold == part
+            x[own] = _features(_uncalibrated(rows["text"][~own].tolist(), y[~own]), rows["text"][own])
     # rows weigh as in the population, not as in the sample
-    weight = np.where(y[held] == 1, n_toxic / max(1, y[held].sum()), n_clean / max(1, (1 - y[held]).sum()))
-    slope, offset = logistic(z[:, None], y[held].astype(float), weight / weight.mean(), 1e-2)
-    model.slope, model.offset = float(slope), float(offset)
+    weight = np.where(y == 1, n_toxic / max(1, y.sum()), n_clean / max(1, (1 - y).sum()))
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    *beta, offset = logistic((x - mean) / spread, y.astype(float), weight / weight.mean(), 0.1)
+    beta = np.array(beta) / spread
+    model.slope, model.crowd, model.offset = float(beta[0]), (float(beta[1]), float(beta[2])), float(offset - beta @ mean)
     return model
 
 
@@ -267,7 +298,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
         logits = WordLogits(own.buckets)
         for batch in batches:
             for part in slices(batch):
-                found = own.probability(np.array([own.document_logit(logits, t) for t in part["text"].to_pylist()], float))
+                found = own.probability(np.array([own.features(logits, t) for t in part["text"].to_pylist()], float))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part["doc_id"], "score": found, "predicted": (found >= 0.5).astype(np.int32)})
 
