@@ -35,7 +35,7 @@ TOXIC_ROWS = 800
 CLEAN_ROWS = 1000
 SAMPLE_CHARS = 8_000_000
 #: parts of the sample, each scored by a model of the others to calibrate
-FOLDS = 3
+FOLDS = 2
 
 SPAN = 3
 BUCKETS = 1 << 20
