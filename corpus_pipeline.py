@@ -31,11 +31,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates.
+    """Keep the document with the smallest id of each group of near duplicates (five words, Jaccard 0.8 or more).
 
     Repeated rows of one id are one document.  Rows without id cannot be told apart and stay.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = simhash.similar_documents(docs)
     dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

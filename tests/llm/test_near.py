@@ -170,3 +170,43 @@ def test_odd_rows_of_imatch(spark, odd, none):
     assert one[0].edited_sha256 == hashlib.sha256(b"alonealone"[:5] + b"alone").hexdigest() and one[0].near_next == 1
     same = {r.doc_id: r.fingerprint for r in imatch.fingerprints(odd).collect()}
     assert same[5] == same[6]
+
+
+def plain_similar(texts, least=0.8):
+    """{doc id: smallest id reachable over texts whose five-word shingles have this likeness}."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    low = {i: i for i in texts}
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                x, y = find(i), find(j)
+                low[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_similar_documents_equal_brute_force(spark, block):
+    """Near copies too far apart for four bits are found, near fingerprints of unlike texts are not linked."""
+    rng, texts = random.Random(8), {}
+    for group in range(8):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([150, 400, 800]))]
+        for _ in range(6):
+            own = list(words)
+            for _ in range(rng.randrange(0, len(words) // 45 + 1)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(3000)}"
+            texts[len(texts)] = " ".join(own)
+    texts |= {len(texts): "", len(texts) + 1: " ", len(texts) + 2: "one two", len(texts) + 3: "One two"}
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    want = plain_similar(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=block).collect()} == want
+    close = plain_components([(i, plain_fingerprint(t)) for i, t in texts.items()])
+    assert close != want
