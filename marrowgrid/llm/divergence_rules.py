@@ -2,6 +2,8 @@
 
 Two histograms of a text, its character classes and its common words, are compared with references of each language by
 the Jensen-Shannon divergence (base 2).  A text passes if, for some language, neither divergence exceeds its limit.
+A text whose own language is not given or has too few words for a reference says nothing about being like other
+languages, so only the counting rules judge it.
 From each divergence the part that chance alone explains, ``(bins - 1) / (4 n ln 2)`` for ``n`` observations, is taken
 off first, and a histogram of fewer than a minimum of observations is not judged, so short texts are not rejected for
 being short.  Counting rules (few words, repeated windows of words) come first.
@@ -216,8 +218,11 @@ def divergences(found: list[Counts], known: dict[str, Reference]) -> tuple[np.nd
     return by_class, by_word
 
 
-def judge(found: list[Counts], known: dict[str, Reference]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each text is kept, and its divergences from the reference that it is closest to its limits with."""
+def judge(found: list[Counts], known: dict[str, Reference], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text is kept, and its divergences from the reference that it is closest to its limits with.
+
+    A text whose ``lang`` has no reference (or is null) is judged by the counting rules alone, with divergences 0.
+    """
     failed = np.array([f.base_failed for f in found], bool)
     if not known or not found:
         return ~failed, np.zeros(len(found)), np.zeros(len(found))
@@ -225,14 +230,17 @@ def judge(found: list[Counts], known: dict[str, Reference]) -> tuple[np.ndarray,
     excess = np.maximum(by_class / CLASS_LIMIT, by_word / WORD_LIMIT)
     best = excess.argmin(1)
     rows = np.arange(len(found))
-    return ~failed & (excess[rows, best] <= 1.0), by_class[rows, best], by_word[rows, best]
+    own = np.array([lang in known for lang in langs], bool)
+    within = ~own | (excess[rows, best] <= 1.0)
+    return ~failed & within, np.where(own, by_class[rows, best], 0.0), np.where(own, by_word[rows, best], 0.0)
 
 
 def apply_rules(docs: DataFrame, known: dict[str, Reference]) -> DataFrame:
     """Counts and verdict of every whole text.
 
     Columns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence,
-    word_divergence``.  Null and empty texts have no words and fail.  Without references only the counting rules count.
+    word_divergence``.  Null and empty texts have no words and fail.  Without a reference of its language only the counting
+    rules count.
     """
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -240,7 +248,7 @@ def apply_rules(docs: DataFrame, known: dict[str, Reference]) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 found = [measure(t) for t in part["text"].to_pylist()]
-                kept, by_class, by_word = judge(found, held.value)
+                kept, by_class, by_word = judge(found, held.value, part["lang"].to_pylist())
                 out = {"doc_id": part["doc_id"]}
                 for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
                     out[name] = pa.array([getattr(f, name) for f in found], pa.int64())
@@ -248,7 +256,7 @@ def apply_rules(docs: DataFrame, known: dict[str, Reference]) -> DataFrame:
                     "base_failed": pa.array([f.base_failed for f in found], pa.bool_()), "kept": pa.array(kept, pa.bool_()),
                     "class_divergence": by_class, "word_divergence": by_word})
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", "lang").mapInArrow(
         run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
              "base_failed boolean, kept boolean, class_divergence double, word_divergence double")
 
@@ -258,10 +266,10 @@ def passes(docs: DataFrame, known: dict[str, Reference]) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     @F.arrow_udf("boolean")
-    def kept(text: pa.Array) -> pa.Array:
+    def kept(text: pa.Array, lang: pa.Array) -> pa.Array:
         out = []
-        for part in slices(pa.RecordBatch.from_pydict({"text": text})):
-            out.append(judge([measure(t) for t in part["text"].to_pylist()], held.value)[0])
+        for part in slices(pa.RecordBatch.from_pydict({"text": text, "lang": lang})):
+            out.append(judge([measure(t) for t in part["text"].to_pylist()], held.value, part["lang"].to_pylist())[0])
         return pa.array(np.concatenate(out) if out else [], pa.bool_())
 
-    return kept("text")
+    return kept("text", "lang")

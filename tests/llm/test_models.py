@@ -157,6 +157,24 @@ def test_verdicts(documents):
     assert np.mean([rows[i].kept for i in clean]) > 0.99
 
 
+@pytest.mark.parametrize("greek", [15, 20])
+def test_languages_without_reference(spark, documents, greek):
+    """Clean texts of a language below the guard, or of none, are kept whatever other languages have references."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("αβγδεηικλμνοπρστυ") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    latin = ["".join(rng.choice("abdeghiklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(10 ** 6 + i, " ".join(rng.choices(words, k=60)) + ".", "el") for i in range(greek)]
+    rows += [(2 * 10 ** 6 + i, " ".join(rng.choices(latin, k=150)) + ".", None) for i in range(5)]
+    short = [(3 * 10 ** 6, "too few words", None), (3 * 10 ** 6 + 1, "λίγα", "el")]
+    docs = documents.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame(rows + short, "doc_id long, text string, lang string"))
+    known = divergence_rules.references(docs)
+    assert ("el" in known) == (60 * greek >= divergence_rules.REFERENCE_WORDS)
+    kept = {r.doc_id for r in divergence_rules.apply_rules(docs, known).where("kept and doc_id >= 1000000").collect()}
+    assert kept == {i for i, _, _ in rows}
+    assert {r.doc_id for r in docs.where(divergence_rules.passes(docs, known)).where("doc_id >= 1000000").collect()} == kept
+
+
 # ---------------------------------------------------------------------------------------------------- quality
 
 
