@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marrowgrid.llm import (
-    bpe_cuts, divergence_rules, html_main_text, imatch, language_ppm, packing, quality_cotraining, simhash, toxicity, unigram_counts)
+    bpe_cuts, divergence_rules, grace_dedup, html_main_text, imatch, language_ppm, packing, quality_cotraining, simhash,
+    source_divergence, spelling_variants, toxicity, unigram_counts)
 from marrowgrid.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,13 +66,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_cotraining, op2_language_ppm, op3_unigram_counts, op4_packing, op5_html_main_text, op6_simhash,
-    op7_bpe_round_trip, op8_imatch, op9_divergence_rules, op10_toxicity, pipeline)}
+    op7_bpe_round_trip, op8_imatch, op9_divergence_rules, op10_toxicity, op11_grace_dedup, op12_spelling_variants, op13_source_divergence, pipeline)}
 
-#: none of the queries has a statement: models are trained, hashes (XXH64) and merges are not in SQL
-SQL: dict[str, str] = {}
+#: the others have no statement: models are trained, hashes (XXH64) and merges are not in SQL
+SQL: dict[str, str] = {
+    "op11_grace_dedup": grace_dedup.SQL, "op12_spelling_variants": spelling_variants.SQL,
+    "op13_source_divergence": source_divergence.SQL}
