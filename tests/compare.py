@@ -20,7 +20,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value) -> str:
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return "NULL"
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
@@ -45,6 +45,9 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     for c in got.columns:
+        # integers with nulls are floats in the one frame and nullable integers in the other
+        if isinstance(want[c].dtype, pd.Int64Dtype) and got[c].dtype.kind == "f":
+            got = got.assign(**{c: got[c].astype("Int64")})
         a, b = got[c].dtype.kind, want[c].dtype.kind
         if a != b and not {a, b} <= {"i", "u"} and not (len(got) == 0):
             return f"type of {c}: {got[c].dtype} != {want[c].dtype}"
