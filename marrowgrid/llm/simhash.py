@@ -13,7 +13,6 @@ per distinct fingerprint, not texts.  Components are found by rewriting links in
 
 from __future__ import annotations
 
-import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -216,22 +215,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 # ---------------------------------------------------------------------------------------------------------------------
-# near copies confirmed by the shingles themselves
+# wide fingerprints, for near copies that are confirmed by the shingles themselves
 # ---------------------------------------------------------------------------------------------------------------------
 
-SIMILAR_WIDTH = 5
-SIMILAR = 0.8
 #: sets with likeness 0.8 differ in a bit with probability 0.15 (0.19 for sets of four and five): in 12 of 64 bits and
 #: 48 of 256 at most on average; both radii lie three deviations or more beyond, unlike sets are 128 of 256 apart
 SIMILAR_RADIUS = 22
 WIDE_RADIUS = 72
 #: odd factors that make further words of a hash
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: texts of one block that is compared with another
-BLOCK = 8192
 
-
-def sketch(data: bytes, width: int = SIMILAR_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def sketch(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes, and a fingerprint of four words whose first is that of ``fingerprint``.
 
     A text shorter than a shingle has one hash, an empty one none.
@@ -249,130 +243,27 @@ def sketch(data: bytes, width: int = SIMILAR_WIDTH) -> tuple[np.ndarray, np.ndar
     return np.unique(np.concatenate(found)), np.packbits(2 * ones > n, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
-    """``doc_id, node, fp, n`` of every text: a hash of its shingle set, wide fingerprint and size of the set.
-
-    With ``full`` the set itself instead of the last two.
-    """
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                texts = [utf8(t) for t in part["text"].to_pylist()]
-                sets, prints = zip(*(sketch(t, width) for t in texts))
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
-                out = {"doc_id": part["doc_id"], "node": node.view(np.int64)}
-                if full:
-                    out["shingles"] = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                else:
-                    out["fp"] = pa.array([p.view(np.int64) for p in prints], pa.list_(pa.int64()))
-                    out["n"] = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_pydict(out)
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, node long, " + ("shingles array<long>" if full else "fp array<long>, n long"))
-
-
-def _candidates(radius: int, least: float, stars: bool):
-    """Pairs of one cell: between its sides, or within it if it has one side.
+def close_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows of ``a`` and ``b`` (four words each) near in the first word and in all four.
 
-    ``stars``: only the link of each text to the one of its neighbours that has most neighbours.
+    Both sides are ordered by population count, and a strip of ``a`` is compared only with the part of ``b`` whose
+    counts are within the radius.  With ``same`` both are one tile, and each pair is given once.
     """
-    def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        node, n, label = (table[c].to_numpy() for c in ("node", "n", "label"))
-        wide = table["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
-        fp = np.ascontiguousarray(wide[:, 0])
-        a, b = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        if not table["two"][0].as_py():
-            b = a
-        rows, cols = [], []
-        step = max(1, (1 << 21) // max(1, len(b)))
-        for at in range(0, len(a), step):
-            part = a[at:at + step]
-            i, j = np.nonzero(np.bitwise_count(fp[part, None] ^ fp[None, b]) <= radius)
-            i, j = part[i], b[j]
-            close = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= WIDE_RADIUS
-            i, j = i[close], j[close]
-            ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
-            if b is a:
-                ok &= i < j
-            rows.append(i[ok])
-            cols.append(j[ok])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
-        if stars and len(i):
-            degree = np.bincount(np.concatenate([i, j]), minlength=len(node))
-            ends, others = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.lexsort((node[others], -degree[others], ends))
-            first = order[np.unique(ends[order], return_index=True)[1]]
-            i, j = ends[first], others[first]
-        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
-
-    return run
-
-
-def _near(nodes: DataFrame, radius: int, least: float, block: int, stars: bool) -> DataFrame:
-    """Pairs of ``nodes`` (``node, fp, n, label``) of unlike label that are near in bits and in size of set.
-
-    Sets with likeness ``least`` differ in size by that factor at most, so only equal and adjacent size classes are
-    compared; a class is cut into blocks, and every pair of its blocks is a cell of its own.
-    """
-    size = F.floor(F.log("n") / (math.log(1 / least) + 1e-9))
-    rows = nodes.where("n > 0").withColumn("size", size)
-    cuts = rows.groupBy("size").agg(F.ceil(F.count("*") / block).alias("cuts"))
-    rows = rows.join(cuts, "size").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    one = cuts.select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-    other = one.select(F.col("size").alias("size2"), F.col("cut").alias("cut2"))
-    cells = staged(one.join(other, (F.col("size2") == F.col("size")) | (F.col("size2") == F.col("size") + 1))
-                   .where("size2 > size OR cut2 >= cut")
-                   .withColumn("two", F.expr("size2 > size OR cut2 > cut")), "cells")
-    sides = cells.select("*", F.col("size").alias("s"), F.col("cut").alias("c"), F.lit(0).alias("side")).unionByName(
-        cells.where("two").select("*", F.col("size2").alias("s"), F.col("cut2").alias("c"), F.lit(1).alias("side")))
-    dealt = rows.withColumnsRenamed({"size": "s", "cut": "c"}).join(sides, ["s", "c"]).select(
-        "size", "cut", "size2", "cut2", "two", "side", "node", "fp", "n", "label")
-    return dealt.groupBy("size", "cut", "size2", "cut2").applyInArrow(
-        _candidates(radius, least, stars), "a long, b long").distinct()
-
-
-def _alike(batches, least: float):
-    for batch in batches:
-        left, right = (batch[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
-        common = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(left, right)], np.int64)
-        sizes = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)
-        yield batch.select(["a", "b"]).filter(pa.array(common >= least * (sizes - common) - 1e-9, pa.bool_()))
-
-
-def _confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard likeness of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = first.join(wanted, "node").select("doc_id").distinct()
-    sets = staged(_sets(docs.join(chosen, "doc_id", "left_semi"), width, True).join(wanted, "node", "left_semi")
-                  .select("node", "shingles").dropDuplicates(["node"]), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
-    return met.mapInArrow(lambda batches: _alike(batches, least), "a long, b long")
-
-
-def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, radius: int = SIMILAR_RADIUS, least: float = SIMILAR,
-                      block: int = BLOCK) -> DataFrame:
-    """``doc_id, component_id`` of every row with an id.
-
-    ``component_id`` is the smallest id reachable over pairs of texts whose shingle sets have a Jaccard likeness of
-    ``least`` or more; the pairs are looked for among fingerprints at most ``radius`` bits apart.  Texts with equal
-    sets, such as texts without words, are linked without being compared.
-
-    Each text is first compared with the neighbour that has most neighbours, which settles large groups of copies with
-    few comparisons; the second round compares every pair that is not yet in one group.
-    """
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    marked = staged(_sets(docs, width, False), "sets")
-    nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
-    near = staged(_near(nodes.withColumn("label", F.col("node")), radius, least, block, True), "near")
-    links = staged(_confirmed(docs, nodes, near, width, least), "alike")
-    settled = staged(components(links), "settled")
-    labelled = nodes.join(settled, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rest = staged(_near(labelled, radius, least, block, False).join(near, ["a", "b"], "left_anti"), "near")
-    links = links.unionByName(_confirmed(docs, nodes, rest, width, least))
-    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(rooted.select("node", "root").join(classes, "root").select("node", "component_id"), "classes")
-    return marked.join(named, "node").select("doc_id", "component_id")
+    count_a, count_b = np.bitwise_count(a[:, 0]), np.bitwise_count(b[:, 0])
+    order_a, order_b = np.argsort(count_a, kind="stable"), np.argsort(count_b, kind="stable")
+    sorted_b = count_b[order_b].astype(np.int64)
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 20) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        strip = order_a[at:at + step]
+        low = np.searchsorted(sorted_b, int(count_a[strip[0]]) - SIMILAR_RADIUS, "left")
+        high = np.searchsorted(sorted_b, int(count_a[strip[-1]]) + SIMILAR_RADIUS, "right")
+        part = order_b[low:high]
+        i, j = np.nonzero(np.bitwise_count(a[strip, None, 0] ^ b[None, part, 0]) <= SIMILAR_RADIUS)
+        i, j = strip[i], part[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        near = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= WIDE_RADIUS
+        rows.append(i[near])
+        cols.append(j[near])
+    return np.concatenate(rows), np.concatenate(cols)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marrowgrid.llm import imatch, simhash
+from marrowgrid.llm import imatch, near_copies, simhash
 from marrowgrid.llm.common import components
 
 DOCS = "doc_id long, text string"
@@ -193,10 +193,14 @@ def plain_similar(texts, least=0.8):
     return {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_similar_documents_equal_brute_force(spark, block):
+@pytest.mark.parametrize("tile, block, crowded", [(2048, 4096, 256), (5, 4, 256), (5, 4, 4)])
+def test_similar_documents_equal_brute_force(spark, monkeypatch, tile, block, crowded):
     """Near copies too far apart for four bits are found, near fingerprints of unlike texts are not linked."""
+    monkeypatch.setattr(near_copies, "CROWDED", crowded)
     rng, texts = random.Random(8), {}
+    passage = " ".join(f"p{k}" for k in range(60))
+    for k in range(12):
+        texts[len(texts)] = passage + " " + " ".join(f"own{k}x{m}" for m in range(rng.choice([5, 90])))
     for group in range(8):
         words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([150, 400, 800]))]
         for _ in range(6):
@@ -207,6 +211,43 @@ def test_similar_documents_equal_brute_force(spark, block):
     texts |= {len(texts): "", len(texts) + 1: " ", len(texts) + 2: "one two", len(texts) + 3: "One two"}
     docs = spark.createDataFrame(list(texts.items()), DOCS)
     want = plain_similar(texts)
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=block).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_copies.similar_documents(docs, tile=tile, block=block).collect()} == want
     close = plain_components([(i, plain_fingerprint(t)) for i, t in texts.items()])
     assert close != want
+
+
+def test_similar_documents_of_given_tables(documents, odd, none):
+    rows = documents.select("doc_id", "text").collect()
+    want = plain_similar({r.doc_id: r.text for r in rows})
+    assert {r.doc_id: r.component_id for r in near_copies.similar_documents(documents).collect()} == want
+    got = near_copies.similar_documents(odd).collect()
+    assert len(got) == odd.where("doc_id is not null").count()
+    by_id = {r.doc_id: r.component_id for r in got}
+    assert by_id[1] == by_id[2] == by_id[3] == 1 and by_id[6] == 5 and by_id[7] == 7
+    assert near_copies.similar_documents(none).count() == 0
+
+
+def test_several_texts_of_one_id(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(5, long), (7, long), (7, "another text of the same id here"), (9, "another text of the same id here"), (11, "alone")]
+    got = near_copies.similar_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_pairs_of_one_label_are_not_compared():
+    base = np.arange(100, dtype=np.int64)
+    sets = [base, base[:90], base[5:], np.arange(200, 300), np.concatenate([base[:70], np.arange(500, 520)])]
+    ids = np.array([10, 11, 12, 13, 14])
+    found = near_copies.alike(ids, sets, np.zeros(5, int), ids.copy(), 0.8)
+    assert sorted(found) == [(10, 11), (10, 12)]
+    assert near_copies.alike(ids, sets, np.zeros(5, int), np.array([1, 1, 1, 2, 3]), 0.8) == []
+    assert near_copies.alike(ids, sets, np.array([0, 1, 1, 0, 1]), ids.copy(), 0.8) == [(10, 11), (10, 12)]
+
+
+def test_close_pairs_equal_all_pairs():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
+    b = np.concatenate([a[:20] ^ (np.uint64(1) << rng.integers(0, 63, (20, 4)).astype(np.uint64)), rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)])
+    want = {(i, j) for i in range(60) for j in range(50) if (int(a[i, 0]) ^ int(b[j, 0])).bit_count() <= simhash.SIMILAR_RADIUS
+            and sum((int(x) ^ int(y)).bit_count() for x, y in zip(a[i], b[j])) <= simhash.WIDE_RADIUS}
+    assert set(zip(*(x.tolist() for x in simhash.close_pairs(a, b, False)))) == want and len(want) >= 20

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marrowgrid.llm import divergence_rules, quality_cotraining, queries, simhash
+from marrowgrid.llm import divergence_rules, quality_cotraining, queries
+from tests.llm.test_near import plain_similar
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -26,8 +27,8 @@ def test_decisions_take_effect(spark, sf_dir, documents, labels):
     kept = divergence_rules.apply_rules(first, divergence_rules.references(first)).where("kept")
     assert second.columns == documents.columns and ids(second) == ids(kept)
     third = STAGES["near duplicates"](spark, second, sf_dir)
-    groups = simhash.near_duplicates(second)
-    assert third.columns == documents.columns and ids(third) == sorted({r.component_id for r in groups.collect()})
+    groups = plain_similar({r.doc_id: r.text for r in second.collect()})
+    assert third.columns == documents.columns and ids(third) == sorted(set(groups.values()))
     last = STAGES["packing"](spark, third, sf_dir)
     assert sorted({r.doc_id for r in last.collect()}) == ids(third)
     whole = corpus_pipeline.run(spark, sf_dir)
