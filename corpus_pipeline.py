@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrowgrid.llm import divergence_rules, packing, quality_cotraining, simhash
+from marrowgrid.llm import divergence_rules, near_copies, packing, quality_cotraining
 from marrowgrid.llm.common import table
 from marrowgrid.session import staged
 
@@ -33,13 +33,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates (five words, Jaccard 0.8 or more).
 
-    Repeated rows of one id are one document.  Rows without id cannot be told apart and stay.
+    Repeated rows of one id are one document; of different rows the first by text and then by the other columns stays.
+    Rows without id cannot be told apart and stay.
     """
-    found = simhash.similar_documents(docs)
+    found = near_copies.similar_documents(docs)
     dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    repeated = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    first = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(first.select("doc_id", "row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
