@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from casebook import statements as stm
-from casebook.base import CELLS, NODES, query
+from casebook.base import CELLS, NODES, query, rounded
 from casebook.models import MAP_NEAREST, OTSU, POPS, VEC, marker_vectors, node_sizes, nodes_long, populations_long
 from casebook.residual import _SUMMARY, MED, SCORED, _rounded, node_z
 from marrowgrid.functions.vectors import vector
@@ -212,37 +212,96 @@ def stratifying(spark, sf_dir):
 # --- files -------------------------------------------------------------------
 
 
+BROKEN = b"FCS3.1 but nothing after it"
+
+
 def fcs_folder(spark, sf_dir):
     """FCS files written by Spark from the events, one per patient, and one broken file."""
+    from marrowgrid.sources.fcs import _file_system, _qualified
+
     folder = scratch_path(spark, "fcs")
     source = cells(spark, sf_dir).withColumn("file", F.concat(F.lit("P"), "patient_id")).select("file", "event_id", *MARKERS)
-    return folder, fcs.write_fcs(source, folder, "file", key=["event_id"])
+    report = fcs.write_fcs(source, folder, "file", key=["event_id"])
+    system, path = _file_system(_qualified(spark, folder))
+    with system.open_output_stream(f"{path}/broken.fcs") as out:
+        out.write(BROKEN)
+    return folder, report
 
 
 @query("K5_fcs_export", f"WITH {CELLS} SELECT 'P' || patient_id AS file, count(*) AS n_events FROM cells GROUP BY 1")
 def fcs_export(spark, sf_dir):
-    _, report = fcs_folder(spark, sf_dir)
-    return report.groupBy("file").agg(F.sum("n_events").alias("n_events"))
+    """Rows that the committed files hold, by their own headers."""
+    folder, report = fcs_folder(spark, sf_dir)
+    held = fcs.headers(spark, folder).where("error IS NULL").select(F.concat(F.lit("P"), F.regexp_extract("sample_id", r"P(.*)\.fcs", 1)).alias("file"), "n_events")
+    return held.join(report.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.sum("n_events").alias("n_events"))
 
 
-@query("S1_discover_fcs", "SELECT DISTINCT 'P' || (l_suppkey % 10) || '.fcs' AS name FROM lineitem")
+@query("S1_discover_fcs", "SELECT DISTINCT 'P' || (l_suppkey % 10) || '.fcs' AS name FROM lineitem UNION ALL SELECT 'broken.fcs'")
 def discover_fcs(spark, sf_dir):
-    folder, report = fcs_folder(spark, sf_dir)
-    report.count()
+    folder, _ = fcs_folder(spark, sf_dir)
     return fcs.discover(spark, folder).select("name")
 
 
 @query("S2_load_fcs", f"""WITH {CELLS} SELECT 'P' || patient_id || '.fcs' AS sample_id, count(*) AS n, round(sum(CAST(FSC_A AS FLOAT)::DOUBLE), 2) AS fsc,
    round(sum(CAST(CD34 AS FLOAT)::DOUBLE), 4) AS cd34, max(CAST(HLA_DR AS FLOAT))::DOUBLE AS top, 'Pathologique' AS condition FROM cells GROUP BY 1""")
 def load_fcs(spark, sf_dir):
-    folder, report = fcs_folder(spark, sf_dir)
-    report.count()
+    folder, _ = fcs_folder(spark, sf_dir)
     events, _ = fcs.read_events(spark, folder, "Pathologique")
     return events.groupBy("sample_id", "condition").agg(
         F.count("*").alias("n"), F.round(F.sum(F.col("FSC_A").cast("double")), 2).alias("fsc"),
         F.round(F.sum(F.col("CD34").cast("double")), 4).alias("cd34"), F.max("HLA_DR").cast("double").alias("top"))
 
 
+@query("S2_ingest_errors", f"""WITH {CELLS} SELECT 'P' || patient_id || '.fcs' AS sample_id, count(*) AS n, false AS failed FROM cells GROUP BY 1
+   UNION ALL SELECT 'broken.fcs', 0, true""")
+def ingest_errors(spark, sf_dir):
+    """Every file of the folder with its events; one that cannot be read is told, not fatal."""
+    folder, _ = fcs_folder(spark, sf_dir)
+    events, errors = fcs.read_events(spark, folder, names=["CD45"])
+    good = events.groupBy("sample_id").agg(F.count("*").alias("n"), F.lit(False).alias("failed"))
+    return good.unionByName(errors.select("sample_id", F.lit(0).cast("long").alias("n"), F.col("error").isNotNull().alias("failed")))
+
+
+@query("S2_split_files", f"""WITH {CELLS} SELECT 'P' || patient_id || '.fcs' AS sample_id, count(*) AS n, CAST(ceil(count(*) / 1000) AS BIGINT) AS tasks,
+   count(*) - 1 AS last_event, round(sum(CAST(CD45 AS FLOAT)::DOUBLE), 4) AS cd45 FROM cells GROUP BY 1""")
+def split_files(spark, sf_dir):
+    """One file is read by several tasks, here one per thousand events."""
+    folder, _ = fcs_folder(spark, sf_dir)
+    events, _ = fcs.read_events(spark, folder, names=["CD45"], split_bytes=1000 * 4 * len(MARKERS))
+    return events.withColumn("task", F.spark_partition_id()).groupBy("sample_id").agg(
+        F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.max("event_id").alias("last_event"),
+        F.round(F.sum(F.col("CD45").cast("double")), 4).alias("cd45"))
+
+
+@query("F7_compensation_from_metadata", f"""WITH {CELLS}, f AS (
+   SELECT patient_id, CAST(CD45 AS FLOAT)::DOUBLE AS x, CAST(CD34 AS FLOAT)::DOUBLE AS y, 0.02 * patient_id AS a, 0.01 * patient_id AS b FROM cells)
+ SELECT 'P' || patient_id || '.fcs' AS sample_id, count(*) AS n,
+   round(sum(CASE WHEN patient_id < 9 THEN (x - b * y) / (1 - a * b) ELSE x END), 3) + 0.0 AS cd45,
+   round(sum(CASE WHEN patient_id < 9 THEN (y - a * x) / (1 - a * b) ELSE y END), 3) + 0.0 AS cd34,
+   round(max(CASE WHEN patient_id < 9 THEN (x - b * y) / (1 - a * b) ELSE x END), 6) + 0.0 AS top,
+   patient_id = 8 AS failed
+ FROM (SELECT * REPLACE (CASE WHEN patient_id = 8 THEN 0 ELSE a END AS a, CASE WHEN patient_id = 8 THEN 0 ELSE b END AS b) FROM f)
+ GROUP BY patient_id""")
+def compensation_from_metadata(spark, sf_dir):
+    """Each file records its own matrix; one file none (9) and one a matrix without inverse (8)."""
+    from marrowgrid.operators.gating import compensate_recorded
+
+    folder = scratch_path(spark, "spill")
+    source = cells(spark, sf_dir).withColumn("file", F.concat(F.lit("P"), "patient_id")).select("file", "event_id", "patient_id", "CD45", "CD34")
+    p = F.col("patient_id")
+    # fixed form of the keyword: number of detectors, names, matrix row by row
+    value = F.when(p == 8, F.lit("2,CD45,CD34,1,1,1,1")).otherwise(F.concat(
+        F.lit("2,CD45,CD34,1.0,"), (p * F.lit(0.02)).cast("string"), F.lit(","), (p * F.lit(0.01)).cast("string"), F.lit(",1.0")))
+    words = source.where(p < 9).select("file", value.alias("v")).distinct().select("file", F.create_map(F.lit("$SPILLOVER"), "v").alias("keywords"))
+    fcs.write_fcs(source.drop("patient_id"), folder, "file", key=["event_id"], keywords=words)
+    events, _ = fcs.read_events(spark, folder)
+    out, errors = compensate_recorded(events, fcs.spillovers(spark, folder))
+    failed = errors.select("sample_id", F.lit(True).alias("failed"))
+    return out.groupBy("sample_id").agg(
+        F.count("*").alias("n"), rounded(F.sum("CD45"), 3).alias("cd45"), rounded(F.sum("CD34"), 3).alias("cd34"),
+        rounded(F.max("CD45"), 6).alias("top")).join(failed, "sample_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+
+
 @query("K11_gate_export", f"""WITH {CELLS} SELECT 'P' || patient_id || '.fcs' AS sample_id, count(*) AS n FROM cells WHERE CD45 >= 2.5 AND CD45 < 8.5 GROUP BY 1""")
 def gate_export(spark, sf_dir):
     from marrowgrid.functions.gates import in_range
@@ -251,7 +310,7 @@ def gate_export(spark, sf_dir):
     folder = scratch_path(spark, "gate_fcs")
     tree = GateTree().add("bright", in_range("CD45", 2.5, 8.5))
     inside = tree.rows(cells(spark, sf_dir), "bright").withColumn("file", F.concat(F.lit("P"), "patient_id"))
-    fcs.write_fcs(inside.select("file", "event_id", *MARKERS), folder, "file", key=["event_id"]).count()
+    fcs.write_fcs(inside.select("file", "event_id", *MARKERS), folder, "file", key=["event_id"])
     events, _ = fcs.read_events(spark, folder)
     return events.groupBy("sample_id").agg(F.count("*").alias("n"))
 

@@ -352,6 +352,59 @@ def compensate_by(
     return mixed.withColumns(made).select(*events.columns)
 
 
+def inverse_spillovers(spillovers: DataFrame, detectors: Sequence[str], sample: str = "sample_id") -> DataFrame:
+    """(sample, inverse, error): matrices of many samples over one list of detectors, solved in batches.
+
+    ``spillovers`` has ``detectors`` and ``matrix`` (row by row) per sample.  A detector that a sample does not record
+    is left as it is; a matrix that has no inverse is an error.
+    """
+    import numpy as np
+    import pandas as pd
+
+    place, d = {n: i for i, n in enumerate(detectors)}, len(detectors)
+
+    def solve(frames):
+        for frame in frames:
+            full = np.repeat(np.eye(d)[None], len(frame), 0)
+            for k, (names, values) in enumerate(zip(frame["detectors"], frame["matrix"])):
+                at = [place[n] for n in names]
+                full[k][np.ix_(at, at)] = np.asarray(values, float).reshape(len(at), len(at))
+            sound = np.linalg.cond(full) < 1e12 if len(frame) else np.zeros(0, bool)
+            inverse = np.linalg.inv(np.where(sound[:, None, None], full, np.eye(d)))
+            yield pd.DataFrame({
+                sample: frame[sample], "inverse": [list(m.ravel()) if ok else None for m, ok in zip(inverse, sound)],
+                "error": [None if ok else "spillover matrix has no inverse" for ok in sound]})
+
+    kind = spillovers.schema[sample].dataType.simpleString()
+    return spillovers.where("detectors IS NOT NULL").select(sample, "detectors", "matrix").mapInPandas(
+        solve, f"`{sample}` {kind}, inverse array<double>, error string")
+
+
+def compensate_recorded(events: DataFrame, spillovers: DataFrame, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Events compensated with the matrix their own file records, and (sample, error) of matrices that cannot be used.
+
+    Events of a file without a usable matrix are left as they are.  A missing detector value stays NULL and counts as
+    zero for the others.
+    """
+    from marrowgrid.operators.sizing import as_model, model_rows
+
+    named = model_rows(spillovers.select(F.explode("detectors").alias("d")).distinct())
+    detectors = sorted(r["d"] for r in named if r["d"] in events.columns)
+    usable = F.size(F.array_except("detectors", F.array(*[F.lit(d) for d in detectors]).cast("array<string>"))) == 0
+    known = spillovers.where("detectors IS NOT NULL")
+    solved = as_model(inverse_spillovers(known.where(usable), detectors, sample))
+    missing = known.where(~usable).select(sample, F.lit("spillover names a detector that no event has").alias("error"))
+    errors = spillovers.where("error IS NOT NULL").select(sample, "error").unionByName(missing) \
+        .unionByName(solved.where("error IS NOT NULL").select(sample, "error"))
+    inverse = solved.where("inverse IS NOT NULL").select(sample, F.col("inverse").alias("_inv"))
+    mixed, d, made = events.join(inverse, sample, "left"), len(detectors), {}
+    for j, name in enumerate(detectors):
+        own = F.col(f"`{name}`").cast("double")
+        terms = [F.col("_inv")[i * d + j] * F.coalesce(F.col(f"`{s}`").cast("double"), F.lit(0.0)) for i, s in enumerate(detectors)]
+        made[name] = F.when(own.isNull() | F.col("_inv").isNull(), own).otherwise(reduce(lambda a, b: a + b, terms))
+    return mixed.withColumns(made).select(*[F.col(f"`{c}`") for c in events.columns]), errors
+
+
 def spillover_from_controls(controls: DataFrame, stain: str, primary: Mapping[str, str]) -> DataFrame:
     """Spillover rows from single-stained controls.
 
