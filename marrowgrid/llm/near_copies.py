@@ -30,6 +30,8 @@ from marrowgrid.session import staged
 WIDTH, SIMILAR = 5, 0.8
 #: texts of a tile, texts and shingles of a block that is confirmed at once
 TILE, BLOCK, BLOCK_SHINGLES = 2048, 4096, 1_000_000
+#: pairs that a task holds before it reduces them to links
+HELD_PAIRS = 1 << 19
 #: texts with a shingle in their prefix from which on it is counted as that of a common passage
 CROWDED = 256
 #: shingles of common passages that are told apart (2 MB); beyond these, cells are larger but nothing is missed
@@ -89,13 +91,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return made.join(wanted.select("node", "id"), ["node", "id"], "left_semi").select("node", "shingles")
 
 
+def _exploded(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", F.explode("prefix").alias("token"))
+
+
 def _common_last(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, crowded: DataFrame, width: int, least: float) -> DataFrame:
     """Prefixes ``node, token`` in an order that has the shingles of common passages last, the commonest at the end."""
     ids = nodes.select("node", "id")
     affected = ids.join(tokens.join(crowded, "token"), "node", "left_semi")
     counted = _sets(docs, affected, width).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     late = counted.where(F.col("df") > CROWDED // 2).orderBy(F.col("df").desc(), "token").limit(FREQUENT).toArrow().sort_by("token")
-    frame = docs.sparkSession.createDataFrame(late.select(["token"]))
+    # at most FREQUENT shingles
+    frame = F.broadcast(docs.sparkSession.createDataFrame(late.select(["token"])))
     sent = docs.sparkSession.sparkContext.broadcast((late["token"].to_numpy(), late["df"].to_numpy()))
 
     def run(batches):
@@ -115,32 +122,36 @@ def _common_last(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, crowded:
     # the prefix of any other text has none of these shingles, so it is the same in the new order
     moved = staged(ids.join(tokens.join(frame, "token", "left_semi"), "node", "left_semi"), "moved")
     fresh = _sets(docs, moved, width).mapInArrow(run, "node long, token long")
-    return tokens.join(moved, "node", "left_anti").unionByName(fresh)
+    return _exploded(nodes.join(moved, "node", "left_anti")).unionByName(fresh)
 
 
 def _links(batches, two_sided: bool):
     """Links between texts of unlike label that are near in bits and in size of set, per row's list(s) of texts."""
     for batch in batches:
-        lists = [batch["members"]] + ([batch["others"]] if two_sided else [])
-        flat = [x.flatten() for x in lists]
-        columns = [{c: f.field(c).to_numpy(zero_copy_only=False) for c in ("label", "n")} for f in flat]
-        wide = [f.field("fp").flatten().to_numpy().view(np.uint64).reshape(-1, 4) for f in flat]
-        bounds = [np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))) for x in lists]
-        a, b = [], []
-        for k in range(batch.num_rows):
-            left, right = (slice(bounds[s][k], bounds[s][k + 1]) for s in (0, -1))
-            i, j = close_pairs(wide[0][left], wide[-1][right], not two_sided)
-            a.append(i + left.start)
-            b.append(j + right.start)
-        i, j = np.concatenate(a), np.concatenate(b)
-        one, other = columns[0], columns[-1]
-        ok = (one["label"][i] != other["label"][j]) & (
-            np.minimum(one["n"][i], other["n"][j]) >= SIMILAR * np.maximum(one["n"][i], other["n"][j]) - 1e-6)
-        i, j = i[ok], j[ok]
-        yield _tree(one["label"][i], other["label"][j])
-
-
-def _tree(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b, held = [], [], 0
+        for row in range(batch.num_rows):
+            sides = [batch[c][row].values for c in (("members", "others") if two_sided else ("members",))]
+            label, n = ([x.field(c).to_numpy(zero_copy_only=False) for x in sides] for c in ("label", "n"))
+            wide = [x.field("fp").flatten().to_numpy().view(np.uint64).reshape(-1, 4) for x in sides]
+            for i, j in close_pairs(wide[0], wide[-1], not two_sided):
+                ok = (label[0][i] != label[-1][j]) & (
+                    np.minimum(n[0][i], n[-1][j]) >= SIMILAR * np.maximum(n[0][i], n[-1][j]) - 1e-6)
+                a.append(label[0][i[ok]])
+                b.append(label[-1][j[ok]])
+                held += int(ok.sum())
+                if held > HELD_PAIRS:
+                    # what a few links can say is not held as pairs
+                    x, y = _tree(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [x], [y], len(x)
+                    if held > HELD_PAIRS // 2:
+                        yield pa.RecordBatch.from_pydict({"a": x, "b": y})
+                        a, b, held = [], [], 0
+        if held:
+            x, y = _tree(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_pydict({"a": x, "b": y})
+
+
+def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the links (a, b) join, each node to the least one of its group."""
     values, owner = np.unique(np.concatenate([a, b]), return_inverse=True)
     i, j = owner[:len(a)], owner[len(a):]
@@ -154,7 +165,7 @@ def _tree(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         if (label == before).all():
             break
     moved = np.nonzero(label != np.arange(len(values)))[0]
-    return pa.RecordBatch.from_pydict({"a": values[label[moved]].astype(np.int64), "b": values[moved].astype(np.int64)})
+    return values[label[moved]].astype(np.int64), values[moved].astype(np.int64)
 
 
 def _in_cells(rows: DataFrame, tile: int, every_pair: bool) -> DataFrame:
@@ -297,7 +308,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     nodes = staged(marked.groupBy("node").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"),
         F.first("prefix").alias("prefix")), "nodes")
-    tokens = nodes.select("node", F.explode("prefix").alias("token"))
+    tokens = _exploded(nodes)
     crowded = staged(tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > CROWDED).select("token"), "crowded")
     if not crowded.isEmpty():
         tokens = staged(_common_last(docs, nodes, tokens, crowded, width, least), "prefixes")

@@ -243,8 +243,8 @@ def sketch(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found)), np.packbits(2 * ones > n, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of rows of ``a`` and ``b`` (four words each) near in the first word and in all four.
+def close_pairs(a: np.ndarray, b: np.ndarray, same: bool):
+    """Positions of rows of ``a`` and ``b`` (four words each) near in the first word and in all four, strip by strip.
 
     Both sides are ordered by population count, and a strip of ``a`` is compared only with the part of ``b`` whose
     counts are within the radius.  With ``same`` both are one tile, and each pair is given once.
@@ -252,8 +252,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, n
     count_a, count_b = np.bitwise_count(a[:, 0]), np.bitwise_count(b[:, 0])
     order_a, order_b = np.argsort(count_a, kind="stable"), np.argsort(count_b, kind="stable")
     sorted_b = count_b[order_b].astype(np.int64)
-    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = max(1, (1 << 20) // max(1, len(b)))
+    step = max(1, (1 << 18) // max(1, len(b)))
     for at in range(0, len(a), step):
         strip = order_a[at:at + step]
         low = np.searchsorted(sorted_b, int(count_a[strip[0]]) - SIMILAR_RADIUS, "left")
@@ -264,6 +263,4 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, n
         if same:
             i, j = i[i < j], j[i < j]
         near = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= WIDE_RADIUS
-        rows.append(i[near])
-        cols.append(j[near])
-    return np.concatenate(rows), np.concatenate(cols)
+        yield i[near], j[near]
