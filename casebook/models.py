@@ -79,10 +79,30 @@ def knn(spark, sf_dir):
 def knn_by_cells(spark, sf_dir):
     """The path for a base too large to ship, forced by a tiny limit."""
     v = vectors(spark, sf_dir)
+    out = nb.knn(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "base_id"), 5, shipped_numbers=640, block_rows=64, cell_share=2.0)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query("J6_knn_by_rounds", f"WITH {VEC}, {KNN} SELECT query_id, base_id, round(d, 6) AS distance, rank FROM nn WHERE rank <= 5")
+def knn_by_rounds(spark, sf_dir):
+    """The path for a large base in many dimensions: cells would leave nearly all pairs, so base blocks go round."""
+    v = vectors(spark, sf_dir)
     out = nb.knn(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "base_id"), 5, shipped_numbers=640, block_rows=64)
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query("J6_index_recall", f"""WITH {VEC} SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, 15 * count(*) FILTER (vec_id % 100 = 0) AS neighbours,
+   true AS reached FROM v""")
+def index_recall(spark, sf_dir):
+    """Every hundredth row against all rows: neighbours of the index held against exact ones, 0.9 or more must be reached."""
+    v = vectors(spark, sf_dir).select("vec_id", "x")
+    asked, base = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "base_id")
+    index, exact = nb.Index(base), nb.knn(asked, base, 15)
+    probes, _ = index.tuned(asked, exact, 15)
+    got = nb.recall(index.search(asked, 15, probes), exact)
+    return got.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def marker_vectors(spark, sf_dir):
     """Scaled marker vectors of all events."""
     scaled = [F.col("CD45") / 10, F.col("CD34") / 8, F.col("HLA_DR") / 2000, F.col("SSC_A") / 50]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marrowgrid.operators.neighbors import knn
+from marrowgrid.operators.neighbors import knn, knn_indexed
 from marrowgrid.operators.sizing import GROUP_ROWS, as_model, ordered_pieces
 from marrowgrid.session import staged
 
@@ -69,7 +71,11 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, node: str = "query_id",
     return labels.join(dense.select("label", "community"), "label").select(F.col("dst").alias(node), "community")
 
 
-def graph_clusters(events: DataFrame, k: int = 30, *, node: str = "event_id", x: str = "x", **kw) -> DataFrame:
-    """Neighbour graph and its communities in one call."""
-    found = staged(knn(events, events.withColumnRenamed(node, "base_id"), k, query_id=node, base_id="base_id", x=x), "neighbours")
+def graph_clusters(events: DataFrame, k: int = 30, *, node: str = "event_id", x: str = "x", probes: int | None = None, **kw) -> DataFrame:
+    """Neighbour graph and its communities in one call.
+
+    ``probes`` searches an index instead of all pairs (see :func:`knn_indexed`), which large cohorts need.
+    """
+    search = knn if probes is None else partial(knn_indexed, probes=probes)
+    found = staged(search(events, events.withColumnRenamed(node, "base_id"), k, query_id=node, base_id="base_id", x=x), "neighbours")
     return propagate_labels(events.select(node), jaccard_edges(found, node, "base_id"), node, **kw)

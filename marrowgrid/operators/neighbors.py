@@ -2,8 +2,14 @@
 
 Codes are a model: they travel with the task and each Arrow batch is one
 matrix product.  Neighbours among events use the same path while the base is
-small; a large base is cut into cells around pivots, and the triangle
-inequality decides which cells a query has to visit.
+small.  A large base is cut into cells around pivots, and the triangle
+inequality decides which cells a query has to visit.  In many dimensions it
+rules out next to nothing; how much is counted before any vector travels, and
+then queries meet the base block by block in rounds instead, carrying their
+best neighbours along, so a round shuffles each vector once.
+
+:func:`knn_indexed` is the approximate search for graphs over large cohorts:
+an inverted file of all rows, of which a query visits the nearest lists.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ from marrowgrid.session import staged
 SHIPPED_NUMBERS = 4_000_000
 #: rows of one block in the cell join
 BLOCK_ROWS = 8_192
+#: part of all (query, base row) pairs from which on cells give way to rounds
+CELL_SHARE = 0.2
+#: numbers of the sample that the lists of an index are learnt from, and rounds of learning
+TRAINED_NUMBERS, TRAINED_ROUNDS = 2_000_000, 8
 
 
 def nearest_code(
@@ -57,11 +67,12 @@ def nearest_code(
 
 def knn(
     queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "query_id", base_id: str = "base_id", x: str = "x",
-    exclude_same: bool = True, shipped_numbers: int = SHIPPED_NUMBERS, block_rows: int = BLOCK_ROWS,
+    exclude_same: bool = True, shipped_numbers: int = SHIPPED_NUMBERS, block_rows: int = BLOCK_ROWS, cell_share: float = CELL_SHARE,
 ) -> DataFrame:
     """Exact k nearest base rows of every query: (query_id, base_id, distance, rank).
 
-    ``exclude_same`` leaves out the base row with the query's own id.
+    ``exclude_same`` leaves out the base row with the query's own id.  ``cell_share`` is the part of all pairs that
+    cells may leave to compare; beyond it the search goes on in rounds (0: always, above 1: never).
     """
     q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(x).alias("x"))
     b = base.select(F.col(base_id).cast("long").alias("b"), F.col(x).alias("x"))
@@ -71,7 +82,7 @@ def knn(
     elif size["n"] * size["d"] <= shipped_numbers:
         found = _against_shipped(q, b, k, exclude_same)
     else:
-        found = _distinct_search(q, b, k, exclude_same, size["d"], block_rows, shipped_numbers)
+        found = _distinct_search(q, b, k, exclude_same, size["d"], block_rows, shipped_numbers, cell_share)
     order = Window.partitionBy("q").orderBy("distance", "b")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -114,7 +125,7 @@ def _against_shipped(q: DataFrame, b: DataFrame, k: int, exclude: bool) -> DataF
     return q.mapInArrow(search, _FOUND)
 
 
-def _distinct_search(q: DataFrame, b: DataFrame, k: int, exclude: bool, d: int, block: int, shipped: int) -> DataFrame:
+def _distinct_search(q: DataFrame, b: DataFrame, k: int, exclude: bool, d: int, block: int, shipped: int, cell_share: float) -> DataFrame:
     """Search distinct vectors once, however many copies they have.
 
     Copies of a base vector are at one distance, so only the k + 1 smallest
@@ -126,7 +137,7 @@ def _distinct_search(q: DataFrame, b: DataFrame, k: int, exclude: bool, d: int,
     copies = b.withColumn("_k", F.row_number().over(Window.partitionBy("x").orderBy("b"))).where(F.col("_k") <= wide).drop("_k")
     copies = staged(copies, "copies")
     asked = staged(q.groupBy("x").agg(F.min("q").alias("q")), "asked")
-    found = _by_cells(asked, copies, wide, False, copies.count(), d, block, shipped)
+    found = _by_cells(asked, copies, wide, False, copies.count(), d, block, shipped, cell_share)
     order = Window.partitionBy("q").orderBy("distance", "b")
     best = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= wide).drop("_k")
     named = best.withColumnRenamed("q", "_first").join(asked.select(F.col("q").alias("_first"), "x"), "_first")
@@ -134,7 +145,7 @@ def _distinct_search(q: DataFrame, b: DataFrame, k: int, exclude: bool, d: int,
     return dealt.where("q <> b") if exclude else dealt
 
 
-def _by_cells(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int, block: int, shipped: int) -> DataFrame:
+def _by_cells(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int, block: int, shipped: int, cell_share: float) -> DataFrame:
     # pivots are a model: about the square root of the base, bounded
     wanted = int(min(math.sqrt(n), 2048, shipped // d))
     rows = model_rows(take(b, max(wanted, 2), hash_order("b")))
@@ -169,10 +180,161 @@ def _by_cells(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int,
                 names=["q", "v", "cell"])
 
     bounded = asked.join(bound, "q", "left").select("q", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    sizes = np.array([book[i][0] for i in ids])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {int(name): n for name, n in zip(ids, sizes)}
+        for batch in visits(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([float(sum(at[c] for c in batch.column(2).to_pylist()))])], names=["pairs"])
+
+    # pairs that the cells would compare, against all pairs there are
+    pairs = bounded.mapInArrow(load, "pairs double").agg(F.sum("pairs")).first()[0] or 0.0
+    if pairs > cell_share * asked.count() * n:
+        return by_rounds(asked.select("q", "v"), kept.select("b", "v"), k, exclude, n, d, block)
     away = bounded.mapInArrow(visits, "q long, v array<double>, cell long")
     return home.unionByName(_cell_join(away, kept, cells, k, exclude, block))
 
 
+_STATE = "q long, v array<double>, block long, ids array<long>, distances array<double>"
+
+
+def _merged(k: int, exclude: bool):
+    """Best neighbours of the queries of a block, from what they have and one block of the base."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select([f.split()[0] for f in _STATE.split(", ")])
+        left, right = left.combine_chunks(), right.combine_chunks()
+        qid, qx = left["q"].to_numpy(), matrix_of(left["v"].chunk(0))
+        found = _top(qid, qx, right["b"].to_numpy(), matrix_of(right["v"].chunk(0)), k, exclude)
+        old = left["ids"].chunk(0)
+        had = old.value_lengths().to_numpy(zero_copy_only=False)
+        who = np.concatenate([np.repeat(np.arange(len(qid)), had), np.searchsorted(np.sort(qid), found[0])])
+        place = np.argsort(qid, kind="stable")
+        who[had.sum():] = place[who[had.sum():]]
+        ids = np.concatenate([old.flatten().to_numpy(), found[1]])
+        distances = np.concatenate([left["distances"].chunk(0).flatten().to_numpy(), found[2]])
+        order = np.lexsort((ids, distances, who))
+        who, ids, distances = who[order], ids[order], distances[order]
+        first = np.searchsorted(who, np.arange(len(qid) + 1))
+        keep = np.arange(len(who)) - first[who] < k
+        offsets = np.append(0, np.cumsum(np.minimum(np.diff(first), k))).astype("i4")
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[keep])) for x in (ids, distances)]
+        return pa.table([left["q"], left["v"], left["block"], *lists], names=[f.split()[0] for f in _STATE.split(", ")])
+
+    return run
+
+
+def by_rounds(q: DataFrame, b: DataFrame, k: int, exclude: bool, n: int, d: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Exact candidates ``q, b, distance`` without any pruning, at most k a query; ``q`` are unique ids.
+
+    Base and queries are dealt to the same number of blocks.  In round r the queries of block i meet base block
+    i + r; each keeps its k best so far.  A task holds one block of each, and a round moves every vector once.
+    """
+    slots = q.sparkSession.sparkContext.defaultParallelism
+    # as few rounds as memory and parallelism allow
+    rows = max(block, min(SHIPPED_NUMBERS // max(d, 1), -(-n // slots)))
+    blocks = max(1, -(-n // rows))
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    base = staged(b.select("b", "v", dealt("b").alias("block")), "base_blocks")
+    empty = [F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("distances")]
+    state = staged(q.select("q", "v", dealt("q").alias("block"), *empty), "best")
+    for turn in range(blocks):
+        met = state.withColumn("at", F.pmod(F.col("block") + turn, F.lit(blocks)))
+        state = staged(
+            met.groupBy("at").cogroup(base.withColumnRenamed("block", "at").groupBy("at")).applyInArrow(_merged(k, exclude), _STATE), "best")
+    return state.select("q", F.explode(F.arrays_zip("ids", "distances")).alias("f")).select("q", F.col("f.ids").alias("b"), F.col("f.distances").alias("distance"))
+
+
+# --- index -------------------------------------------------------------------
+
+
+def index_centres(base: DataFrame, lists: int, base_id: str = "base_id", x: str = "x") -> np.ndarray:
+    """Centres of an inverted file: k-means on a sample of at most ``TRAINED_NUMBERS`` numbers, drawn by hash of the id."""
+    d = base.agg(F.max(F.size(x))).first()[0] or 1
+    rows = model_rows(take(base.select(F.col(base_id).alias("b"), F.col(x).alias("x")), max(1, min(TRAINED_NUMBERS // d, 100_000)), hash_order("b")))
+    sample = np.array([r["x"] for r in sorted(rows, key=lambda r: r["b"])], float).reshape(len(rows), -1)
+    centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)]
+    for _ in range(TRAINED_ROUNDS):
+        own = np.concatenate([squared_distances(sample[i:i + 4096], centres).argmin(1) for i in range(0, len(sample), 4096)])
+        count = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, sample)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+class Index:
+    """Inverted file of all base rows: learnt centres, and every row filed under its nearest one."""
+
+    def __init__(self, base: DataFrame, lists: int | None = None, base_id: str = "base_id", x: str = "x"):
+        b = base.select(F.col(base_id).cast("long").alias("b"), F.col(x).alias("v"))
+        n = b.count()
+        self.base_id = base_id
+        self.centres = index_centres(base, lists or int(min(max(math.sqrt(n), 1), 4096)), base_id, x) if n else np.empty((0, 0))
+        if n:
+            self.kept = staged(nearest_code(b.withColumn("x", F.col("v")), self.centres, node="cell", distance=None, keep=["b", "v"]), "lists")
+            self.cells = as_model(self.kept.groupBy("cell").agg(F.count("*").alias("n")))
+
+    def search(
+        self, queries: DataFrame, k: int, probes: int, *, query_id: str = "query_id", x: str = "x", exclude_same: bool = True,
+        block_rows: int = BLOCK_ROWS,
+    ) -> DataFrame:
+        """Near neighbours in the ``probes`` nearest lists of every query: (query_id, base_id, distance, rank).
+
+        Distances are exact, neighbours in other lists are missed.  A list of many rows is cut into blocks, so no list
+        is one task's.
+        """
+        q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(x).alias("v"))
+        if not len(self.centres):
+            return q.select(F.col("q").alias(query_id), F.lit(0).cast("long").alias(self.base_id), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+        wide = min(probes, len(self.centres))
+        sent = queries.sparkSession.sparkContext.broadcast(self.centres)
+
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = matrix_of(batch.column(1))
+                if len(m):
+                    near = squared_distances(m, sent.value)
+                    pick = np.argpartition(near, wide - 1, axis=1)[:, :wide]
+                    who = pa.array(np.repeat(np.arange(len(m)), wide))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(pick.ravel())], names=["q", "v", "cell"])
+
+        asked = q.mapInArrow(visits, "q long, v array<double>, cell long")
+        found = _cell_join(asked, self.kept, self.cells, k, exclude_same, block_rows)
+        order = Window.partitionBy("q").orderBy("distance", "b")
+        return (
+            found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(F.col("q").alias(query_id), F.col("b").alias(self.base_id), "distance", "rank"))
+
+    def tuned(self, asked: DataFrame, exact: DataFrame, k: int, target: float = 0.9, **kw) -> tuple[int, float]:
+        """Fewest probes (doubled from 4) whose measured recall on ``asked`` reaches the target, and that recall."""
+        probes = 4
+        while True:
+            reached = recall(self.search(asked, k, probes, **kw), exact, kw.get("query_id", "query_id")).first()["recall"]
+            if reached is None or reached >= target or probes >= len(self.centres):
+                return probes, reached or 0.0
+            probes *= 2
+
+
+def knn_indexed(
+    queries: DataFrame, base: DataFrame, k: int, *, probes: int = 8, lists: int | None = None, query_id: str = "query_id",
+    base_id: str = "base_id", x: str = "x", exclude_same: bool = True,
+) -> DataFrame:
+    """Build an :class:`Index` of the base and search it."""
+    return Index(base, lists, base_id, x).search(queries, k, probes, query_id=query_id, x=x, exclude_same=exclude_same)
+
+
+def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """(queries, neighbours, recall): share of exact neighbours whose distance the found ones reach, over all queries.
+
+    A found neighbour counts if it is no farther than the exact one of its rank, so equal distances are no misses.
+    """
+    ours = found.select(query_id, "rank", F.col("distance").alias("_found"))
+    met = exact.select(query_id, "rank", "distance").join(ours, [query_id, "rank"], "left")
+    hit = F.coalesce(F.col("_found") <= F.col("distance") * (1 + 1e-9) + 1e-12, F.lit(False))
+    return met.agg(F.countDistinct(query_id).alias("queries"), F.count("*").alias("neighbours"), F.avg(hit.cast("double")).alias("recall"))
+
+
 def _cell_join(asked: DataFrame, kept: DataFrame, cells: DataFrame, k: int, exclude: bool, block: int) -> DataFrame:
     """Candidates of each query in its listed cells.
 

@@ -105,6 +105,45 @@ def test_neighbours_by_cells_equal_brute_force(spark, copies):
         assert np.allclose(np.sort(part["distance"]), want[i], atol=1e-9)
 
 
+@pytest.mark.parametrize("copies", [0, 60])
+def test_neighbours_by_rounds_equal_brute_force(spark, copies):
+    """Thirty dimensions: cells would visit nearly everything, so the rounds are taken by themselves."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(700, 30)), np.ones((copies, 30))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    found = knn(df, df.withColumnRenamed("id", "base_id"), 6, query_id="id", shipped_numbers=900, block_rows=90).toPandas()
+    want = brute(np.arange(len(x)), x, 6)
+    assert len(found) == 6 * len(x) and (found["id"] != found["base_id"]).all()
+    for i, part in found.groupby("id"):
+        assert np.allclose(np.sort(part["distance"]), want[i], atol=1e-6)
+
+
+def test_rounds_keep_one_state_per_query(spark):
+    """No round leaves more than k candidates a query, and empty blocks do no harm."""
+    from marrowgrid.operators.neighbors import by_rounds
+
+    rng = np.random.default_rng(9)
+    base = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=5)]) for i in range(200)], "b long, v array<double>")
+    asked = base.where("b < 3").select(F.col("b").alias("q"), "v")
+    out = by_rounds(asked, base, 4, True, 200, 5, block=30)
+    assert rows(out.groupBy("q").count()) == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_index_recall_grows_with_probes(spark):
+    from marrowgrid.operators.neighbors import knn_indexed, recall
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(scale=4, size=(20, 30))
+    x = np.concatenate([rng.normal(c, 1.0, size=(60, 30)) for c in centres])
+    base = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "base_id long, x array<double>")
+    asked = base.where("base_id % 100 = 0").withColumnRenamed("base_id", "query_id")
+    exact = knn(asked, base, 10)
+    reached = [recall(knn_indexed(asked, base, 10, probes=p, lists=30), exact).first() for p in (1, 8, 30)]
+    assert [r.queries for r in reached] == [12] * 3 and [r.neighbours for r in reached] == [120] * 3
+    assert reached[0].recall <= reached[1].recall <= reached[2].recall == 1.0 and reached[1].recall >= 0.9
+    assert knn_indexed(asked, base.limit(0), 3).count() == 0
+
+
 def test_large_model_is_written_not_collected(spark):
     df = spark.range(1000).withColumn("v", F.col("id") * 2)
     assert rows(as_model(df, 10)) == rows(df)
