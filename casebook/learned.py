@@ -122,6 +122,31 @@ def unmix_least_squares(spark, sf_dir):
     return out.select("event_id", *[(F.round(n, 4) + 0.0).alias(n) for n in ("a", "b", "c")])
 
 
+PAIR = [[0.9, 0.3, 0.2], [0.3, 0.8, 0.5]]
+
+
+def _pair_sql():
+    """Both sources, else the one that satisfies the conditions of optimality, else none."""
+    g = (np.array(PAIR) @ np.array(PAIR).T).tolist()
+    t = [" + ".join(f"{PAIR[j][i]!r} * {d}" for i, d in enumerate(("CD45", "CD34", "HLA_DR / 20000"))) for j in (0, 1)]
+    return f"""t AS (SELECT event_id, {t[0]} AS t1, {t[1]} AS t2, CD45 AS d0, CD34 AS d1, HLA_DR / 20000 AS d2 FROM cells),
+free AS (SELECT *, (t1 * {g[1][1]!r} - t2 * {g[0][1]!r}) / {g[0][0] * g[1][1] - g[0][1] ** 2!r} AS u,
+                (t2 * {g[0][0]!r} - t1 * {g[0][1]!r}) / {g[0][0] * g[1][1] - g[0][1] ** 2!r} AS w FROM t),
+x AS (SELECT *, CASE WHEN u >= 0 AND w >= 0 THEN u WHEN w < 0 AND t1 > 0 AND t1 / {g[0][0]!r} * {g[0][1]!r} >= t2 THEN t1 / {g[0][0]!r} ELSE 0 END AS a,
+                CASE WHEN u >= 0 AND w >= 0 THEN w WHEN u < 0 AND t2 > 0 AND t2 / {g[1][1]!r} * {g[0][1]!r} >= t1 THEN t2 / {g[1][1]!r} ELSE 0 END AS b FROM free)"""
+
+
+@query("F13_unmix_constrained", f"""WITH {CELLS}, {_pair_sql()}
+SELECT event_id, round(a, 4) + 0.0 AS a, round(b, 4) + 0.0 AS b, least(u, w) < 0 AS bound,
+   round(sqrt({" + ".join(f"power(d{i} - {PAIR[0][i]!r} * a - {PAIR[1][i]!r} * b, 2)" for i in range(3))}), 4) AS residual FROM x""")
+def unmix_constrained(spark, sf_dir):
+    """Readings that no positive mixture explains: the unconstrained abundance of one source is often negative."""
+    events = cells(spark, sf_dir).select("event_id", F.col("CD45").alias("d0"), F.col("CD34").alias("d1"), (F.col("HLA_DR") / 20000).alias("d2"))
+    out = unmix.non_negative(events, ["d0", "d1", "d2"], np.array(PAIR), ["a", "b"])
+    free = unmix.least_squares(events, ["d0", "d1", "d2"], np.array(PAIR), ["u", "w"]).select("event_id", (F.least("u", "w") < 0).alias("bound"))
+    return out.join(free, "event_id").select("event_id", rounded("a", 4).alias("a"), rounded("b", 4).alias("b"), "bound", F.round("residual", 4).alias("residual"))
+
+
 # --- embeddings and clusterings ----------------------------------------------
 
 
@@ -439,3 +464,22 @@ def score_arrivals(spark, sf_dir):
     return _rounded(jobs.merge_counts(spark.read.parquet(path), ["patient_id"]))
 
 
+@query("X2_score_on_map", f"""WITH {CELLS.replace("cells AS (", "raw AS (", 1)}, v AS (
+  SELECT *, [CD45 / 10, CD34 / 8, HLA_DR / 2000, SSC_A / 50] AS x FROM raw),
+code AS (SELECT metacluster AS node, [avg(CD45 / 10), avg(CD34 / 8), avg(HLA_DR / 2000), avg(SSC_A / 50)] AS c
+         FROM raw WHERE condition = 'Sain' GROUP BY 1),
+cells AS (SELECT v.* EXCLUDE (node_id), placed AS node_id FROM v JOIN (
+  SELECT event_id, arg_min(node, list_distance(x, c)) AS placed FROM v, code GROUP BY 1) USING (event_id)), {NODES}
+SELECT patient_id, node_id, n_total, n_sain, n_patho, is_mrd_jf, is_mrd_flo, is_mrd_eln FROM nodes""")
+def score_on_map(spark, sf_dir):
+    """Vectors arrive file by file, are placed on a frozen map inside the stream, counted in its state and flagged."""
+    events = marker_vectors(spark, sf_dir)
+    mean = [F.avg(F.col("x")[i]).alias(f"c{i}") for i in range(4)]
+    groups = cells(spark, sf_dir).select("event_id", "metacluster").join(events, "event_id")
+    book = sorted(groups.where("condition = 'Sain'").groupBy("metacluster").agg(*mean).collect())
+    folder = scratch_path(spark, "vectors")
+    events.select("event_id", "patient_id", "condition", "x").repartition(3, "event_id").write.parquet(folder)
+    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=1)
+    path = scratch_path(spark, "map_scores")
+    jobs.score_on_map(stream, np.array([r[1:] for r in book]), path, scratch_path(spark, "map_ck"), labels=[r[0] for r in book])
+    return jobs.scored_nodes(spark, path).select("patient_id", "node_id", "n_total", "n_sain", "n_patho", "is_mrd_jf", "is_mrd_flo", "is_mrd_eln")

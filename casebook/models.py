@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from casebook import statements as stm
-from casebook.base import query, rounded
+from casebook.base import CELLS, query, rounded
 from marrowgrid.functions import vectors as vec
 from marrowgrid.operators import graph
 from marrowgrid.operators import mapping as mp
@@ -130,6 +130,38 @@ def outliers(spark, sf_dir):
     return out.withColumns({"threshold": F.round("threshold", 6), "max_distance": F.round("max_distance", 6)})
 
 
+@query("C4_channel_outliers", f"""WITH {CELLS}, code AS (
+  SELECT metacluster AS node, avg(CD45) AS c45, avg(HLA_DR) AS hla FROM cells WHERE condition = 'Sain' GROUP BY 1),
+e AS (SELECT file_origin, condition, metacluster AS node, unnest(['CD45', 'HLA_DR']) AS channel, unnest([abs(CD45 - c45), abs(HLA_DR - hla)]) AS d
+      FROM cells JOIN code ON node = metacluster),
+m AS (SELECT node, channel, median(d) AS m FROM e WHERE condition = 'Sain' AND node > 0 GROUP BY 1, 2),
+l AS (SELECT node, channel, any_value(m) + 2 * median(abs(d - m)) AS t FROM e JOIN m USING (node, channel) WHERE condition = 'Sain' GROUP BY 1, 2)
+SELECT node AS metacluster, channel, round(coalesce(any_value(t), 0), 6) AS threshold, count(*) AS n, count(*) FILTER (d > coalesce(t, 0)) AS n_outliers
+FROM e LEFT JOIN l USING (node, channel) WHERE condition <> 'Sain' GROUP BY 1, 2""")
+def channel_outliers(spark, sf_dir):
+    """Healthy events give the limits of each channel; one node is unknown to them and has limit zero."""
+    events = cells(spark, sf_dir)
+    healthy = events.where("condition = 'Sain'")
+    codes = healthy.groupBy("metacluster").agg(F.avg("CD45").alias("CD45"), F.avg("HLA_DR").alias("HLA_DR"))
+    out = som.channel_outliers(
+        healthy.where("metacluster > 0"), events.where("condition <> 'Sain'"), codes, ["CD45", "HLA_DR"], node="metacluster", factor=2.0)
+    return out.withColumn("threshold", F.round("threshold", 6))
+
+
+@query("A11_outlier_grid", f"""WITH {POPS}, d AS (SELECT vec_id, c.population, list_distance(x, code) AS d FROM v, c),
+a AS (SELECT vec_id, vec_id % 7 AS file, arg_min(population, d) AS node, min(d) AS d FROM d GROUP BY 1, 2),
+m AS (SELECT node, median(d) AS m FROM a WHERE file < 3 AND node <> 4 GROUP BY 1),
+l AS (SELECT a.node, any_value(m) + 1.5 * median(abs(d - m)) AS t FROM a JOIN m USING (node) WHERE file < 3 GROUP BY 1),
+n AS (SELECT file, a.node, count(*) AS n, count(*) FILTER (d > coalesce(t, 0)) AS n_outliers FROM a LEFT JOIN l USING (node) WHERE file >= 3 GROUP BY 1, 2)
+SELECT f.file, g.node::BIGINT AS node_id, coalesce(n, 0) AS n, coalesce(n_outliers, 0) AS n_outliers
+FROM (SELECT DISTINCT file FROM a WHERE file >= 3) f, range(12) g(node) LEFT JOIN n ON n.file = f.file AND n.node = g.node""")
+def outlier_grid(spark, sf_dir):
+    """Every file by every node of a map of twelve, of which ten are ever reached and one is unknown to the reference."""
+    names, codes = population_codes(spark, sf_dir)
+    placed = nb.nearest_code(vectors(spark, sf_dir).select("vec_id", "x", (F.col("vec_id") % 7).alias("file")), codes, names)
+    return som.outlier_grid(placed.where("file < 3 AND node_id <> 4"), placed.where("file >= 3"), "file", 12, factor=1.5).select("file", "node_id", "n", "n_outliers")
+
+
 def patient_codebooks(spark, sf_dir):
     """Node mean vectors of every patient as codebooks of equal layout."""
     return marker_vectors(spark, sf_dir).join(

@@ -9,12 +9,12 @@ the same jobs when ``model`` names a key column.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -254,15 +254,61 @@ def fit_kmeans_codebook(events: DataFrame, *, x: str = "x", xdim: int = 10, ydim
     return SomModel(xdim, ydim, {None: codes})
 
 
-def flag_outliers(reference: DataFrame, new: DataFrame, *, node: str = "node_id", distance: str = "distance", factor: float = 4.0) -> DataFrame:
-    """Per node: limit median + factor * MAD of the reference, hits and maximum among new events."""
+def outlier_limits(reference: DataFrame, deviations: Mapping[str, "str | Column"], *, node: str = "node_id", factor: float = 4.0) -> DataFrame:
+    """Per node and deviation: median + factor * MAD of the reference, in long form (node, name, threshold).
+
+    Two passes serve all deviations; the limits are one small model.
+    """
     from marrowgrid.operators.quantiles import medians
     from marrowgrid.operators.sizing import as_model
 
-    middle = as_model(medians(reference, [node], {"_m": distance}))
-    spread = medians(reference.join(middle, node), [node], {"_mad": F.abs(F.col(distance) - F.col("_m"))})
-    limits = as_model(middle.join(spread, node).select(node, (F.col("_m") + factor * F.col("_mad")).alias("threshold")))
-    scored = new.join(limits, node).groupBy(node).agg(
+    value = {n: F.col(c) if isinstance(c, str) else c for n, c in deviations.items()}
+    held = reference.select(node, *[v.alias(f"_d{i}") for i, v in enumerate(value.values())])
+    middle = as_model(medians(held, [node], {f"_m{i}": f"_d{i}" for i in range(len(value))}))
+    spread = medians(held.join(middle, node), [node], {f"_s{i}": F.abs(F.col(f"_d{i}") - F.col(f"_m{i}")) for i in range(len(value))})
+    limits = F.array(*[F.struct(F.lit(n).alias("name"), (F.col(f"_m{i}") + factor * F.col(f"_s{i}")).alias("threshold")) for i, n in enumerate(value)])
+    return as_model(middle.join(spread, node).select(node, F.explode(limits).alias("l")).select(node, "l.name", "l.threshold"))
+
+
+def flag_outliers(reference: DataFrame, new: DataFrame, *, node: str = "node_id", distance: str = "distance", factor: float = 4.0) -> DataFrame:
+    """Per node: limit median + factor * MAD of the reference, hits and maximum among new events.
+
+    A node that the reference never reached has limit 0, so all that lies off its code is an outlier.
+    """
+    limits = outlier_limits(reference, {"distance": distance}, node=node, factor=factor).select(node, "threshold")
+    scored = new.join(limits, node, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0))).groupBy(node).agg(
         F.first("threshold").alias("threshold"), F.count("*").alias("n"),
         F.count_if(F.col(distance) > F.col("threshold")).alias("n_outliers"), F.max(distance).alias("max_distance"))
     return scored
+
+
+def channel_outliers(
+    reference: DataFrame, new: DataFrame, codes: DataFrame, channels: Sequence[str], *, node: str = "node_id", factor: float = 4.0,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """(by, node, channel, threshold, n, n_outliers): events whose single channel lies too far from their node's code.
+
+    ``codes`` holds the channels of every node.  Limits come from the reference as in :func:`flag_outliers`; ``by``
+    splits the counts, for example by file.
+    """
+    book = codes.select(node, *[F.col(c).alias(f"_code_{c}") for c in channels])
+    deviation = {c: F.abs(F.col(c) - F.col(f"_code_{c}")) for c in channels}
+    limits = outlier_limits(reference.join(book, node), deviation, node=node, factor=factor)
+    wide = limits.groupBy(node).pivot("name", list(channels)).agg(F.first("threshold")).select(node, *[F.col(c).alias(f"_limit_{c}") for c in channels])
+    limit = {c: F.coalesce(F.col(f"_limit_{c}"), F.lit(0.0)) for c in channels}
+    met = new.join(book, node).join(wide, node, "left")
+    counted = met.groupBy(*by, node).agg(
+        F.count("*").alias("n"), *[F.count_if(deviation[c] > limit[c]).alias(f"_n_{c}") for c in channels],
+        *[F.first(limit[c]).alias(f"_t_{c}") for c in channels])
+    each = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.col(f"_t_{c}").alias("threshold"), F.col("n"), F.col(f"_n_{c}").alias("n_outliers")) for c in channels]))
+    return counted.select(*by, node, each.alias("c")).select(*by, node, "c.*")
+
+
+def outlier_grid(reference: DataFrame, new: DataFrame, sample: str, nodes: int, *, node: str = "node_id", distance: str = "distance", factor: float = 4.0) -> DataFrame:
+    """(sample, node, n, n_outliers) for every file and every node of the map, zeros included."""
+    limits = outlier_limits(reference, {"distance": distance}, node=node, factor=factor).select(node, "threshold")
+    counted = new.join(limits, node, "left").groupBy(sample, node).agg(
+        F.count("*").alias("n"), F.count_if(F.col(distance) > F.coalesce("threshold", F.lit(0.0))).alias("n_outliers"))
+    grid = new.select(sample).distinct().withColumn(node, F.explode(F.sequence(F.lit(0), F.lit(nodes - 1)).cast(T.ArrayType(new.schema[node].dataType))))
+    return grid.join(counted, [sample, node], "left").na.fill(0, ["n", "n_outliers"])

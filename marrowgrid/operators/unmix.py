@@ -26,20 +26,41 @@ def least_squares(events: DataFrame, detectors: Sequence[str], reference: np.nda
         for i, n in enumerate(names)})
 
 
-def _non_negative(y: np.ndarray, spectra: np.ndarray, rounds: int = 2000, tol: float = 1e-12) -> np.ndarray:
-    """Cyclic descent on the normal equations, all rows of a batch together."""
+def _non_negative(y: np.ndarray, spectra: np.ndarray) -> np.ndarray:
+    """Exact non-negative least squares of all rows of a batch, by exchanging their sets of positive sources.
+
+    Rows with equal sets are solved together.  All violated sources of a row are exchanged at once while that leaves
+    fewer violations than the best so far; after three rounds without progress only the last violated source is, which
+    cannot cycle.  Ends when every row satisfies the conditions of optimality.
+    """
     gram, target = spectra @ spectra.T, y @ spectra.T
-    scale = np.maximum(np.diag(gram), 1e-300)
-    x = np.maximum(np.linalg.lstsq(spectra.T, y.T, rcond=None)[0].T, 0.0)
-    for _ in range(rounds):
-        biggest = 0.0
-        for j in range(len(gram)):
-            fresh = np.maximum(x[:, j] + (target[:, j] - x @ gram[:, j]) / scale[j], 0.0)
-            biggest = max(biggest, float(np.abs(fresh - x[:, j]).max(initial=0.0)))
-            x[:, j] = fresh
-        if biggest <= tol * max(float(np.abs(x).max(initial=0.0)), 1.0):
-            break
-    return x
+    n, k = target.shape
+    tol = 1e-10 * max(1.0, float(np.abs(target).max(initial=0.0)))
+    used = np.ones((n, k), bool)
+    patience, best = np.full(n, 3), np.full(n, k + 1)
+    x, slope = np.zeros((n, k)), np.zeros((n, k))
+    open_ = np.arange(n)
+    while len(open_):
+        patterns, of = np.unique(used[open_], axis=0, return_inverse=True)
+        for number, pattern in enumerate(patterns):
+            rows = open_[of.ravel() == number]
+            on = np.nonzero(pattern)[0]
+            x[rows] = 0.0
+            if len(on):
+                x[np.ix_(rows, on)] = np.linalg.lstsq(gram[np.ix_(on, on)], target[np.ix_(rows, on)].T, rcond=None)[0].T
+            slope[rows] = x[rows] @ gram - target[rows]
+        wrong = np.where(used[open_], x[open_] < -tol, slope[open_] < -tol)
+        count = wrong.sum(1)
+        open_, wrong, count = open_[count > 0], wrong[count > 0], count[count > 0]
+        better = count < best[open_]
+        best[open_] = np.where(better, count, best[open_])
+        patience[open_] = np.where(better, 3, patience[open_] - 1)
+        single = patience[open_] < 0
+        last = k - 1 - wrong[:, ::-1].argmax(1)
+        wrong[single] = False
+        wrong[single, last[single]] = True
+        used[open_] ^= wrong
+    return np.maximum(x, 0.0)
 
 
 def non_negative(
