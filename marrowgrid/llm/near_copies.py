@@ -32,6 +32,8 @@ WIDTH, SIMILAR = 5, 0.8
 TILE, BLOCK, BLOCK_SHINGLES = 2048, 4096, 1_000_000
 #: pairs that a task holds before it reduces them to links
 HELD_PAIRS = 1 << 19
+#: shingles that a task holds before it deals them out, and of a bucket
+HELD_TOKENS = 1 << 19
 #: texts with a shingle in their prefix from which on it is counted as that of a common passage
 CROWDED = 256
 #: shingles of common passages that are told apart (2 MB); beyond these, cells are larger but nothing is missed
@@ -91,38 +93,135 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return made.join(wanted.select("node", "id"), ["node", "id"], "left_semi").select("node", "shingles")
 
 
-def _exploded(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", F.explode("prefix").alias("token"))
+def _dealt(prefixes: DataFrame, buckets: int, without: np.ndarray, counted: bool) -> DataFrame:
+    """Shingles of prefixes dealt to buckets in packed lists: ``bucket, tokens, of``, with the nodes or with counts."""
+    sent = prefixes.sparkSession.sparkContext.broadcast(without)
 
+    def pack(tokens: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        if counted:
+            tokens, of = np.unique(tokens, return_counts=True)
+        bucket = (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (tokens, of)]
+        return pa.RecordBatch.from_arrays([pa.array(own), *lists], names=["bucket", "tokens", "of"])
 
-def _common_last(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, crowded: DataFrame, width: int, least: float) -> DataFrame:
-    """Prefixes ``node, token`` in an order that has the shingles of common passages last, the commonest at the end."""
-    ids = nodes.select("node", "id")
-    affected = ids.join(tokens.join(crowded, "token"), "node", "left_semi")
+    def run(batches):
+        tokens, nodes, held = [], [], 0
+        for batch in batches:
+            lists = batch["prefix"]
+            flat = lists.flatten().to_numpy()
+            of = np.repeat(batch["node"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+            if len(sent.value):
+                keep = ~_among(sent.value, flat)
+                flat, of = flat[keep], of[keep]
+            tokens.append(flat)
+            nodes.append(of)
+            held += len(flat)
+            if held > HELD_TOKENS:
+                yield pack(np.concatenate(tokens), np.concatenate(nodes))
+                tokens, nodes, held = [], [], 0
+        if held:
+            yield pack(np.concatenate(tokens), np.concatenate(nodes))
+
+    return prefixes.select("node", "prefix").mapInArrow(run, "bucket long, tokens array<long>, of array<long>")
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a bucket in order, what they are of, start and length of each run of equal ones."""
+    tokens, of = (table[c].combine_chunks().flatten().to_numpy() for c in ("tokens", "of"))
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], of[order]
+    first = np.nonzero(np.append(True, tokens[1:] != tokens[:-1]))[0]
+    return tokens, of, first, np.diff(np.append(first, len(tokens)))
+
+
+def _buckets(prefixes: DataFrame) -> int:
+    total = prefixes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    return max(8 * int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // HELD_TOKENS)
+
+
+def _crowded(prefixes: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in the prefixes of more than ``CROWDED`` texts with that number, at most the ``FREQUENT`` commonest."""
+    def count(table: pa.Table) -> pa.Table:
+        tokens, of, first, _ = _flat(table)
+        total = np.add.reduceat(of, first)
+        many = total > CROWDED
+        return pa.table({"token": tokens[first][many], "size": total[many]})
+
+    found = _dealt(prefixes, buckets, np.zeros(0, np.int64), True).groupBy("bucket").applyInArrow(count, "token long, size long")
+    top = found.orderBy(F.col("size").desc(), "token").limit(FREQUENT).toArrow().sort_by("token")
+    return top["token"].to_numpy(), top["size"].to_numpy()
+
+
+def _holding(nodes: DataFrame, tokens: np.ndarray) -> DataFrame:
+    """``node, id`` of the texts with one of these shingles in their prefix."""
+    sent = nodes.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch["prefix"]
+            hit = _among(sent.value, lists.flatten().to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            yield batch.select(["node", "id"]).take(pa.array(np.unique(row[hit])))
+
+    return nodes.select("node", "id", "prefix").mapInArrow(run, "node long, id long")
+
+
+def _common_last(docs: DataFrame, nodes: DataFrame, crowded: np.ndarray, width: int, least: float) -> DataFrame:
+    """``node, prefix`` in an order that has the shingles of common passages last, the commonest at the end."""
+    affected = staged(_holding(nodes, crowded), "affected")
     counted = _sets(docs, affected, width).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     late = counted.where(F.col("df") > CROWDED // 2).orderBy(F.col("df").desc(), "token").limit(FREQUENT).toArrow().sort_by("token")
-    # at most FREQUENT shingles
-    frame = F.broadcast(docs.sparkSession.createDataFrame(late.select(["token"])))
-    sent = docs.sparkSession.sparkContext.broadcast((late["token"].to_numpy(), late["df"].to_numpy()))
+    known, df = late["token"].to_numpy(), late["df"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((known, df))
 
     def run(batches):
         known, df = sent.value
         for batch in batches:
-            of, found = [], []
-            for node, s in zip(batch["node"].to_pylist(), batch["shingles"]):
+            found = []
+            for s in batch["shingles"]:
                 s = s.values.to_numpy()
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 order = np.lexsort((s.view(np.uint64), np.where(known[at] == s, df[at], 0)))
-                own = s[order[:prefix_length(len(s), least)]]
-                of.append(np.full(len(own), node))
-                found.append(own)
-            if of:
-                yield pa.RecordBatch.from_pydict({"node": np.concatenate(of), "token": np.concatenate(found)})
+                found.append(s[order[:prefix_length(len(s), least)]])
+            yield pa.RecordBatch.from_pydict({"node": batch["node"], "prefix": pa.array(found, pa.list_(pa.int64()))})
 
     # the prefix of any other text has none of these shingles, so it is the same in the new order
-    moved = staged(ids.join(tokens.join(frame, "token", "left_semi"), "node", "left_semi"), "moved")
-    fresh = _sets(docs, moved, width).mapInArrow(run, "node long, token long")
-    return _exploded(nodes.join(moved, "node", "left_anti")).unionByName(fresh)
+    moved = staged(_holding(nodes, known), "moved")
+    fresh = _sets(docs, moved, width).mapInArrow(run, "node long, prefix array<long>")
+    return nodes.select("node", "prefix").join(moved, "node", "left_anti").unionByName(fresh)
+
+
+def _meetings(prefixes: DataFrame) -> DataFrame:
+    """``token, node, size`` of every shingle that the prefixes of several texts hold."""
+    buckets = _buckets(prefixes)
+    crowded, sizes = _crowded(prefixes, buckets)
+    sent = prefixes.sparkSession.sparkContext.broadcast((crowded, sizes))
+
+    def several(table: pa.Table) -> pa.Table:
+        tokens, of, first, size = _flat(table)
+        size = np.repeat(size, size)
+        met = size > 1
+        return pa.table({"token": tokens[met], "node": of[met], "size": size[met].astype(np.int64)})
+
+    def large(batches):
+        crowded, sizes = sent.value
+        for batch in batches:
+            flat = batch["prefix"].flatten().to_numpy()
+            of = np.repeat(batch["node"].to_numpy(), batch["prefix"].value_lengths().to_numpy(zero_copy_only=False))
+            hit = _among(crowded, flat)
+            yield pa.RecordBatch.from_pydict({"token": flat[hit], "node": of[hit], "size": sizes[np.searchsorted(crowded, flat[hit])]})
+
+    schema = "token long, node long, size long"
+    few = _dealt(prefixes, buckets, crowded, False).groupBy("bucket").applyInArrow(several, schema)
+    return few if not len(crowded) else few.unionByName(prefixes.select("node", "prefix").mapInArrow(large, schema))
 
 
 def _links(batches, two_sided: bool):
@@ -195,13 +294,12 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def candidates(nodes: DataFrame, tokens: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links of ids whose texts (``node, id, n, fp``) share a prefix shingle (``node, token``) and are near in bits.
+def candidates(nodes: DataFrame, prefixes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links of ids whose texts (``node, id, n, fp``) share a prefix shingle and are near in bits.
 
     The groups that they make hold every pair that is alike.
     """
-    counts = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    met = staged(tokens.join(counts, "token"), "met")
+    met = staged(_meetings(prefixes), "met")
     home = met.groupBy("node").agg(F.max(F.struct("size", "token")).alias("home")) \
         .select("node", F.col("home.token").alias("cell"), F.col("home.size").alias("size"))
     links = staged(_in_cells(home.join(nodes, "node").withColumn("label", F.col("id")), tile, False), "links")
@@ -308,11 +406,11 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     nodes = staged(marked.groupBy("node").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"),
         F.first("prefix").alias("prefix")), "nodes")
-    tokens = _exploded(nodes)
-    crowded = staged(tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > CROWDED).select("token"), "crowded")
-    if not crowded.isEmpty():
-        tokens = staged(_common_last(docs, nodes, tokens, crowded, width, least), "prefixes")
-    near = components(candidates(nodes.select("node", "id", "n", "fp"), tokens, tile)).withColumnsRenamed({"node": "id", "root": "group"})
+    prefixes = nodes.select("node", "prefix")
+    crowded, _ = _crowded(prefixes, _buckets(prefixes))
+    if len(crowded):
+        prefixes = staged(_common_last(docs, nodes, crowded, width, least), "prefixes")
+    near = components(candidates(nodes.select("node", "id", "n", "fp"), prefixes, tile)).withColumnsRenamed({"node": "id", "root": "group"})
     groups = staged(nodes.select("node", "id", "n").join(near, "id"), "candidates")
     sets = staged(_sets(docs, groups, width), "sets")
     several = marked.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("doc_id")

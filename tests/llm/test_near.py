@@ -197,7 +197,9 @@ def plain_similar(texts, least=0.8):
 def test_similar_documents_equal_brute_force(spark, monkeypatch, tile, block, crowded):
     """Near copies too far apart for four bits are found, near fingerprints of unlike texts are not linked."""
     monkeypatch.setattr(near_copies, "CROWDED", crowded)
-    monkeypatch.setattr(near_copies, "HELD_PAIRS", 1 << 19 if tile > 5 else 3)
+    if tile == 5:
+        monkeypatch.setattr(near_copies, "HELD_PAIRS", 3)
+        monkeypatch.setattr(near_copies, "HELD_TOKENS", 50)
     rng, texts = random.Random(8), {}
     passage = " ".join(f"p{k}" for k in range(60))
     for k in range(12):
