@@ -42,7 +42,9 @@ PLAIN = frozenset("#text p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 #: fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea iframe object svg math select datalist canvas audio video".split())
+#: elements whose content is no markup, and elements that show none of theirs
+RAW = frozenset("script style title textarea iframe".split())
+ENCLOSED = frozenset("noscript template object svg math select datalist canvas audio video button".split())
 BLOCK = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td "
@@ -116,9 +118,12 @@ def parse(page: str) -> list[Node]:
     nodes, stack = [root], [("#root", root)]  # open elements with the block they lie in
     run: Node | None = None
     at, n, links = 0, len(page), 0
+    skip = 0  # place in the stack of the outermost element that shows nothing
 
     def add_text(raw: str) -> None:
         nonlocal run
+        if skip:
+            return
         if run is None:
             if not raw or raw.isspace():
                 return
@@ -129,13 +134,15 @@ def parse(page: str) -> list[Node]:
             run.links += len(raw)
 
     def close_to(depth: int) -> None:
-        nonlocal run, links
-        for tag, _ in stack[depth:]:
+        nonlocal run, links, skip
+        for tag, _ in stack[depth:skip or None]:
             if tag in BLOCK:
                 run = None
             elif tag == "a":
                 links -= 1
         del stack[depth:]
+        if depth <= skip:
+            skip = 0
 
     while at < n:
         found = _TOKEN.search(page, at)
@@ -154,40 +161,40 @@ def parse(page: str) -> list[Node]:
                 if stack[depth][0] == tag:
                     close_to(depth)
                     break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break  # an inline end tag does not reach out of its block
-            if tag in BLOCK or tag == "br":
+                if tag not in BLOCK and stack[depth][0] in BLOCK and not 0 < skip < depth:
+                    break  # an inline end tag does not reach out of its block, but ends what shows nothing
+            if (tag in BLOCK or tag == "br") and not skip:
                 run = None
             continue
         block = stack[-1][1]
-        if tag in CONTROLS:
+        if tag in CONTROLS and not skip:
             block.controls += 1
-        if tag in HIDDEN:
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
+            if tag in ("br", "hr") and not skip:
                 run = None
             continue
+        # a slash ends elements of drawings and formulas only
+        if attributes.rstrip().endswith("/") and (tag in ("svg", "math") or skip and stack[skip][0] in ("svg", "math")):
+            continue
         if tag not in BLOCK:
-            if run is None or tag != "b":
+            if not skip and (run is None or tag != "b"):
                 block.inline += 1
-            if tag == "a":
+            if tag == "a" and not skip:
                 for depth in range(len(stack) - 1, 0, -1):  # links do not nest
                     if stack[depth][0] == "a":
                         close_to(depth)
                     if stack[depth - 1][0] in BLOCK:
                         break
                 links += 1
-            if tag == "button":  # its text is a control's
-                end = re.compile(r"</button\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-                continue
-            stack.append((tag, _inline(block, attributes)))
-            if stack[-1][1] is not block:
-                nodes.append(stack[-1][1])
-                run = None
+            stack.append((tag, block))
+            # what stands around such an element stays one run of text; it ends with its parent at the latest
+            if not skip and (tag in ENCLOSED or attributes and _CONCEALED.search(attributes)):
+                links -= tag == "a"
+                skip = len(stack) - 1
             continue
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):
@@ -204,6 +211,9 @@ def parse(page: str) -> list[Node]:
                 if stack[depth][0] in ends:
                     close_to(depth)
                     break
+        if skip:
+            stack.append((tag, block))
+            continue
         run = None
         node = Node(tag, stack[-1][1], attributes)
         nodes.append(node)
@@ -220,16 +230,6 @@ def parse(page: str) -> list[Node]:
     return kept
 
 
-def _inline(block: Node, attributes: str) -> Node:
-    """The node an inline element's text belongs to: its block, or a node of its own if its name says what it is."""
-    if not attributes:
-        return block
-    node = Node("span", None, attributes)
-    if not node.parts & ~(1 << len(PARTS) - 1) and not node.concealed:
-        return block
-    return Node("div", block, attributes)
-
-
 # --------------------------------------------------------------------------------------------------------------------
 # features
 # --------------------------------------------------------------------------------------------------------------------
@@ -468,9 +468,30 @@ def training_rows(pages: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.vstack(xs), np.concatenate(ys), np.concatenate(ws)
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BoostedTrees:
-    """Train on a sample of ``html``; without usable pages every node has the log-odds 0."""
-    known = pages.where("html IS NOT NULL")
+#: pages with a semantic article
+_SEMANTIC = r"(?i)<(article|main)[\s>/]"
+
+
+class Density:
+    """Log-odds from text and link density alone, for a table in which no page marks its article."""
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        own, above = x[:, 26:26 + len(PARTS)], x[:, 26 + len(PARTS):]
+        boiler = own[:, :-1].any(1) | above[:, :len(PARTS) - 1].any(1) | (above[:, len(PARTS)] > 0)
+        boiler |= np.isin(x[:, 0], [TAG_NUMBER[t] for t in ("nav", "footer", "aside", "form")])
+        text, words, linked = x[:, 0] == TAG_NUMBER["#text"], np.expm1(x[:, 3]), x[:, 4]
+        in_prose = np.isin(x[:, 20], [TAG_NUMBER[t] for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "td")])
+        good = text & (linked < 0.4) & (in_prose | (words >= 8))
+        return np.where(boiler, -6.0, np.where(good, 2.0, np.where(text, -2.0, 0.1)))
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BoostedTrees | Density:
+    """Train on a sample of the ``html`` that marks its article (by element); without such pages use densities.
+
+    The sample is drawn among all pages of the table that have an article or main element, so a table in which they
+    are rare still trains on as many as there are, up to the bound.
+    """
+    known = pages.where(F.col("html").rlike(_SEMANTIC))
     ids = known.select("page_id", sample_share("page_id", 5).alias("share")).orderBy("share", "page_id").limit(sample_pages)
     n = known.count()
     # the share below which about so many pages lie, so that no text is sorted
@@ -479,8 +500,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BoostedTrees:
     texts = rows.sort_values(["page_id", "html"])["html"].tolist() if n else []
     x, y, weight = training_rows(texts)
     if not len(x) or y.min() == y.max():
-        inner = 2 ** DEPTH - 1
-        return BoostedTrees(0.0, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
+        return Density()
     return boost(x, y, weight)
 
 
@@ -511,11 +531,12 @@ def decode(nodes: list[Node], logit: np.ndarray) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, model: BoostedTrees) -> DataFrame:
+def extract(pages: DataFrame, model: BoostedTrees | Density) -> DataFrame:
     """``page_id, url, text, n_chars`` of every whole page.
 
     Character references are decoded, white space inside a block becomes one blank, blocks are joined by line ends in
-    page order.  A null or empty page has the empty text.
+    page order.  A null or empty page has the empty text.  Repeated rows come back as often as given, extra columns are
+    ignored, an empty table gives no rows, and pages of any length are read whole.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -24,6 +24,54 @@ def test_parsing(page, want):
     assert [t for _, _, t in texts(page)] == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>Alpha <span class=\"screen-reader-text\">Beta</span> rest</p>", ["Alpha Beta rest"]),
+    ("<p>Alpha <span aria-hidden=\"true\">x</span> rest</p><p>next</p>", ["Alpha rest", "next"]),
+    ("<div>Alpha <span hidden><div>x</div> y</span> rest</div>", ["Alpha rest"]),
+    ("<p>See <a class=\"tag\">tag</a> and more.</p>", ["See tag and more."]),
+    ("<p>a <a style='display:none' href=/>x</a>b</p>", ["a b"]),
+    ("<p>a <svg viewBox='0 0 1 1'/> b</p><p>c</p>", ["a b", "c"]), ("<p>a <svg><path d='x'/><text>t</text></svg> b</p>", ["a b"]),
+    ("<div><video src=x></div><p>a</p>", ["a"]), ("<div>a<object data=x>alt<p>in</div>b", ["a", "b"]),
+    ("<p>a <button><b>x</b></button> c</p>", ["a c"]), ("<p>a<select><option>x<option>y</select>b</p>", ["ab"]),
+    ("<p>a<br/>b<span/>c</p>", ["a", "bc"]), ("<noscript><p>n</p></noscript><p>a</p>", ["a"]), ("<div><canvas>x<div>y</div></canvas>z</div>", ["z"])])
+def test_text_around_elements_that_show_nothing(page, want):
+    assert [t for _, _, t in texts(page)] == want
+
+
+def test_rare_articles_and_none(spark, pages):
+    """Pages that mark an article are looked for in the whole table; without any, densities decide."""
+    article = "<html><body><div class='menu'><a href=/>Home</a> <a href=/>News</a></div>{}<div class='footer'>Copyright</div></body></html>"
+    body = "<h1>Title of it</h1><p>First paragraph with a link <a href=/>here</a> and words.</p><p>Second one.</p>"
+    plain = spark.createDataFrame([(i, "u", article.format(f"<div>{body}</div>")) for i in range(40)], PAGES)
+    got = {r.text for r in pages_.main_text(plain).collect()}
+    assert got == {"Title of it\nFirst paragraph with a link here and words.\nSecond one."}
+    one = spark.createDataFrame([(1000, "u", article.format(f"<article>{body}</article>"))], PAGES)
+    assert isinstance(pages_.fit(plain.unionByName(one), 5), pages_.BoostedTrees)
+    assert isinstance(pages_.fit(plain, 5), pages_.Density)
+
+
+def best_subtree(nodes, gain):
+    """Largest sum of gains over all sets of nodes that contain each member's parent, by trying all of them."""
+    place = {id(x): i for i, x in enumerate(nodes)}
+    best = (0.0, [])
+    for bits in range(1 << len(nodes) - 1):
+        chosen = [0] + [i for i in range(1, len(nodes)) if bits >> i - 1 & 1]
+        if all(i == 0 or place[id(nodes[i].parent)] in chosen for i in chosen):
+            total = sum(gain[i] for i in chosen if i)
+            if total > best[0] + 1e-12:
+                best = (total, chosen)
+    return [nodes[i].text for i in best[1] if nodes[i].text]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_decoding_is_the_best_choice_of_subtrees(seed):
+    rng = np.random.default_rng(seed)
+    page = "<div><section><span>a</span><div>b</div></section><ul><li>c</ul></div><div><div>d</div></div>"
+    nodes = pages_.parse(page)
+    gain = rng.normal(size=len(nodes))
+    assert pages_.decode(nodes, gain.copy()) == best_subtree(nodes, gain)
+
+
 def test_parsing_deep_and_long_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert [t for _, _, t in texts(deep)] == ["x"]
