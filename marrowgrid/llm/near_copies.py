@@ -29,9 +29,11 @@ from marrowgrid.session import staged
 
 WIDTH, SIMILAR = 5, 0.8
 #: texts of a tile, texts and shingles of a block that is confirmed at once
-TILE, BLOCK, BLOCK_SHINGLES = 2048, 4096, 1_000_000
+TILE, BLOCK, BLOCK_SHINGLES = 2048, 4096, 500_000
 #: pairs that a task holds before it reduces them to links
 HELD_PAIRS = 1 << 19
+#: bytes of text whose shingles are made at once, and times that a task must see a shingle to count it
+PIECE, SEEN = 1_000_000, 3
 #: shingles that a task holds before it deals them out, and of a bucket
 HELD_TOKENS = 1 << 19
 #: texts with a shingle in their prefix from which on it is counted as that of a common passage
@@ -56,41 +58,68 @@ def _marked(docs: DataFrame, width: int, least: float) -> DataFrame:
     """``doc_id, node, n, fp, prefix``: hash and size of the shingle set, wide fingerprint, first shingles by hash."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PIECE):
                 sets, prints = zip(*(sketch(utf8(t), width) for t in part["text"].to_pylist()))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part["doc_id"], "node": _node(sets), "n": np.array([len(s) for s in sets], np.int64),
                     "fp": pa.array([p.view(np.int64) for p in prints], pa.list_(pa.int64())),
                     "prefix": pa.array([s[:prefix_length(len(s), least)].view(np.int64) for s in sets], pa.list_(pa.int64()))})
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "doc_id long, node long, n long, fp array<long>, prefix array<long>")
 
 
-def _slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(ID_BITS))
+def _slot(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(ID_BITS))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` of the wanted ``node, id``: one pass that makes shingles of hardly any other text."""
-    slot = _slot(F.col("id"))
+def _bitmap(wanted: DataFrame, *columns: str) -> np.ndarray:
+    """Set of the rows' slots, in 8 MB whatever their number; merged in Spark."""
+    slot = _slot(*map(F.col, columns))
     words = wanted.select(F.floor(slot / 64).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")) \
         .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     held = np.zeros(ID_BITS // 64, np.int64)
     held[words["at"].to_numpy()] = words["bits"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+    return held.view(np.uint64)
 
-    def run(batches):
-        bits = sent.value.view(np.uint64)
+
+def _marked_in(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _text_sets(docs: DataFrame, wanted: DataFrame, width: int, then, schema: str) -> DataFrame:
+    """``then(batches)`` over ``(nodes, sets)`` of the texts of the wanted ``node, id``, in one pass without a shuffle.
+
+    Texts are looked up in two sets of bits, by id before any shingle is made and by shingle set and id after; one text
+    in a thousand or so that is not wanted comes through, and one of several equal rows is as good as the others.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((_bitmap(wanted, "id"), _bitmap(wanted, "node", "id")))
+
+    def chosen(batches):
+        by_id, by_both = sent.value
         for batch in batches:
-            slots = batch["slot"].to_numpy()
-            chosen = (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)
-            for part in slices(batch.filter(pa.array(chosen.astype(bool)))):
+            rows = batch.filter(pa.array(_marked_in(by_id, batch["slot"].to_numpy())))
+            for part in slices(rows, limit=PIECE):
                 sets = [sketch(utf8(t), width)[0] for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    "node": _node(sets), "id": part["doc_id"], "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+                nodes = _node(sets)
+                both = [xxhash.xxh64_intdigest(i, xxhash.xxh64_intdigest(n, 42)) for n, i in zip(
+                    np.split(nodes.view(np.uint8), len(nodes)), np.split(part["doc_id"].to_numpy().view(np.uint8), len(nodes)))]
+                keep = np.nonzero(_marked_in(by_both, (np.array(both, np.uint64).view(np.int64) % ID_BITS)))[0]
+                if len(keep):
+                    yield nodes[keep], [sets[k].view(np.int64) for k in keep]
+            pa.default_memory_pool().release_unused()
 
-    made = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(run, "node long, id long, shingles array<long>")
-    return made.join(wanted.select("node", "id"), ["node", "id"], "left_semi").select("node", "shingles")
+    given = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
+    return given.mapInArrow(lambda batches: then(chosen(batches)), schema)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the wanted ``node, id`` (and of hardly any other)."""
+    def then(found):
+        for nodes, sets in found:
+            yield pa.RecordBatch.from_pydict({"node": nodes, "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    return _text_sets(docs, wanted, width, then, "node long, shingles array<long>")
 
 
 def _dealt(prefixes: DataFrame, buckets: int, without: np.ndarray, counted: bool) -> DataFrame:
@@ -175,27 +204,51 @@ def _holding(nodes: DataFrame, tokens: np.ndarray) -> DataFrame:
 
 
 def _common_last(docs: DataFrame, nodes: DataFrame, crowded: np.ndarray, width: int, least: float) -> DataFrame:
-    """``node, prefix`` in an order that has the shingles of common passages last, the commonest at the end."""
+    """``node, prefix`` in an order that has the shingles of common passages last, the commonest at the end.
+
+    Any order will do as long as it is one for all texts.  Shingles are counted in the texts that hold a crowded one;
+    a task counts those that it sees ``SEEN`` times, so the many that occur once do not travel.
+    """
+    def count(found):
+        sets, held = [], 0
+
+        def flush():
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_pydict({"token": tokens[n >= SEEN], "df": n[n >= SEEN].astype(np.int64)})
+
+        for _, some in found:
+            sets += some
+            held += sum(map(len, some))
+            if held > 4 * HELD_TOKENS:
+                yield flush()
+                sets, held = [], 0
+        if sets:
+            yield flush()
+
     affected = staged(_holding(nodes, crowded), "affected")
-    counted = _sets(docs, affected, width).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    late = counted.where(F.col("df") > CROWDED // 2).orderBy(F.col("df").desc(), "token").limit(FREQUENT).toArrow().sort_by("token")
+    late = _text_sets(docs, affected, width, count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")) \
+        .where(F.col("df") > CROWDED // 2).orderBy(F.col("df").desc(), "token").limit(FREQUENT).toArrow().sort_by("token")
     known, df = late["token"].to_numpy(), late["df"].to_numpy()
+    # what is crowded goes last too, also where no task sees it often
+    more = np.setdiff1d(crowded, known)
+    known, df = np.concatenate([known, more]), np.concatenate([df, np.full(len(more), CROWDED)])
+    order = np.argsort(known)
+    known, df = known[order], df[order]
     sent = docs.sparkSession.sparkContext.broadcast((known, df))
 
-    def run(batches):
+    def prefixes(found):
         known, df = sent.value
-        for batch in batches:
-            found = []
-            for s in batch["shingles"]:
-                s = s.values.to_numpy()
+        for nodes, sets in found:
+            firsts = []
+            for s in sets:
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 order = np.lexsort((s.view(np.uint64), np.where(known[at] == s, df[at], 0)))
-                found.append(s[order[:prefix_length(len(s), least)]])
-            yield pa.RecordBatch.from_pydict({"node": batch["node"], "prefix": pa.array(found, pa.list_(pa.int64()))})
+                firsts.append(s[order[:prefix_length(len(s), least)]])
+            yield pa.RecordBatch.from_pydict({"node": nodes, "prefix": pa.array(firsts, pa.list_(pa.int64()))})
 
     # the prefix of any other text has none of these shingles, so it is the same in the new order
     moved = staged(_holding(nodes, known), "moved")
-    fresh = _sets(docs, moved, width).mapInArrow(run, "node long, prefix array<long>")
+    fresh = _text_sets(docs, moved, width, prefixes, "node long, prefix array<long>")
     return nodes.select("node", "prefix").join(moved, "node", "left_anti").unionByName(fresh)
 
 
