@@ -161,7 +161,7 @@ def batch_correction(spark, sf_dir):
     """Share of variance between files' sites before and after correction."""
     shifted = cells(spark, sf_dir).select(
         "event_id", (F.col("patient_id") % 3).alias("batch"), (F.col("SSC_A") + (F.col("patient_id") % 3) * 6).alias("SSC_A"), "HLA_DR")
-    fixed = staged(em.correct_batches(shifted, ["SSC_A"], "batch", clusters=6, rounds=5), "corrected")
+    fixed = staged(em.correct_batches(shifted, ["SSC_A"], "batch", clusters=6), "corrected")
     before = em.batch_spread(shifted, ["SSC_A"], "batch").withColumn("stage", F.lit("before"))
     return before.unionByName(em.batch_spread(fixed, ["SSC_A"], "batch").withColumn("stage", F.lit("after")))
 
@@ -362,6 +362,55 @@ def reference_csv(spark, sf_dir):
     return means.withColumns({"CD45": F.round("CD45", 6), "HLA_DR": F.round("HLA_DR", 6)})
 
 
+@query("S4_reference_latin1", f"""WITH {CELLS} SELECT CASE WHEN metacluster < 5 THEN 'Éosinophiles' ELSE 'Lymphocytes mûrs' END AS population,
+   count(*) AS n_cells, round(avg(CD45), 6) AS "CD45" FROM cells GROUP BY 1""")
+def reference_latin1(spark, sf_dir):
+    """Files in two encodings, found out file by file."""
+    path = scratch_path(spark, "encodings")
+    comma = F.regexp_replace(F.col("CD45").cast("string"), r"\.", ",").alias("CD45")
+    for kind, rule, name in (("UTF-8", "metacluster < 5", "Éosinophiles"), ("ISO-8859-1", "metacluster >= 5", "Lymphocytes mûrs")):
+        cells(spark, sf_dir).where(rule).select(F.lit(name).alias("population"), comma).write.mode("append") \
+            .options(sep=";", encoding=kind).csv(path, header=True)
+    means = readers.reference_means(readers.read_reference_csv(spark, path, ["CD45"]), ["CD45"])
+    return means.withColumn("CD45", F.round("CD45", 6))
+
+
+@query("K9_analysis_metadata", f"""WITH {CELLS} SELECT 'condition' AS section, condition AS name, count(*) AS n, NULL::DOUBLE AS pct FROM cells GROUP BY 2
+   UNION ALL SELECT 'file', file_origin, count(*), NULL FROM cells GROUP BY 2
+   UNION ALL SELECT 'metacluster', m::VARCHAR, count(metacluster), round(100.0 * count(metacluster) / (SELECT count(*) FROM cells), 3)
+             FROM range(12) r(m) LEFT JOIN cells ON metacluster = m GROUP BY 2
+   UNION ALL SELECT 'total', 'cells', count(*), NULL FROM cells
+   UNION ALL SELECT 'total', 'files', count(DISTINCT file_origin), NULL FROM cells""")
+def metadata_json(spark, sf_dir):
+    """Written as JSON, read back and laid out in rows; two of twelve metaclusters have no cell."""
+    path = scratch_path(spark, "metadata")
+    sinks.analysis_metadata(
+        cells(spark, sf_dir), sample="file_origin", condition="condition", metacluster="metacluster", n_metaclusters=12, markers=MARKERS,
+        used=["CD45", "CD34"], config={"xdim": 10}).write.json(path)
+    held = spark.read.schema(
+        "data_summary struct<total_cells: long, cells_per_condition: map<string,long>, cells_per_file: map<string,long>>, "
+        "input_files struct<total_files: long>, metacluster_summary map<string,struct<n_cells: long, pct_total: double>>").json(path)
+
+    def laid(kind, column, n, pct):
+        return held.select(F.lit(kind).alias("section"), F.explode(column).alias("name", "v")).select("section", "name", n.alias("n"), pct.alias("pct"))
+
+    none = F.lit(None).cast("double")
+    totals = F.explode(F.create_map(F.lit("cells"), F.col("data_summary.total_cells"), F.lit("files"), F.col("input_files.total_files")))
+    return laid("condition", "data_summary.cells_per_condition", F.col("v"), none) \
+        .unionByName(laid("file", "data_summary.cells_per_file", F.col("v"), none)) \
+        .unionByName(laid("metacluster", "metacluster_summary", F.col("v.n_cells"), F.col("v.pct_total"))) \
+        .unionByName(held.select(F.lit("total").alias("section"), totals.alias("name", "n")).withColumn("pct", none))
+
+
+@query("K4_json_payload", f"""WITH {CELLS} SELECT 'run' AS name, count(*) AS n_cells, count(DISTINCT file_origin) AS n_files FROM cells""")
+def json_payload(spark, sf_dir):
+    """A small document written as JSON and read back."""
+    row = cells(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("file_origin").alias("f")).first()
+    path = scratch_path(spark, "payload")
+    sinks.write_payload(spark, {"name": "run", "n_cells": row["n"], "n_files": row["f"], "at": np.datetime64("2024-01-01")}, path)
+    return spark.read.json(path).select("name", "n_cells", "n_files")
+
+
 @query("S7_pool_cache", f"WITH {CELLS} SELECT file_origin, count(*) AS n, round(sum(CD45), 4) AS total FROM cells WHERE condition = 'Sain' GROUP BY 1")
 def pool_cache(spark, sf_dir):
     pool = cells(spark, sf_dir).where("condition = 'Sain'").select("event_id", "CD45", "file_origin")

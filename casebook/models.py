@@ -177,7 +177,7 @@ def metaclusters(spark, sf_dir):
 
 @query("C5_consensus_metaclusters")
 def consensus(spark, sf_dir):
-    return mc.consensus_metacluster(patient_codebooks(spark, sf_dir), 8, resamples=20)
+    return mc.consensus_metacluster(patient_codebooks(spark, sf_dir), 8)
 
 
 TREE = f"""{POPS}, pts AS (SELECT population AS n, code FROM c),
@@ -199,17 +199,18 @@ def spanning_tree(spark, sf_dir):
 @query("C6_choose_k")
 def choose_k(spark, sf_dir):
     events = marker_vectors(spark, sf_dir)
-    codes = som.fit_som(events, xdim=6, ydim=6, epochs=5).codes[None]
-    best, scores = mc.choose_k(events, codes, range(3, 9), xdim=6, ydim=6, epochs=5)
+    codes = som.fit_som(events, xdim=6, ydim=6).codes[None]
+    best, scores = mc.choose_k(events, codes, range(3, 9), xdim=6, ydim=6)
     rows = [(k, s, st, cp, k == best) for k, s, st, cp in scores]
     return spark.createDataFrame(rows, "k int, silhouette double, stability double, composite double, chosen boolean")
 
 
-@query("C10_graph_communities", f"""WITH {VEC}, {KNN}, {stm.communities(6)}, sz AS (SELECT label, count(*) AS n FROM lab6 GROUP BY 1),
+@query("C10_graph_communities", f"""WITH {VEC}, {KNN}, {stm.communities(40)}, sz AS (SELECT label, count(*) AS n FROM lab40 GROUP BY 1),
 cm AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS community FROM sz)
-SELECT id AS vec_id, community FROM lab6 JOIN cm USING (label)""")
+SELECT id AS vec_id, community FROM lab40 JOIN cm USING (label)""")
 def graph_communities(spark, sf_dir):
-    return graph.graph_clusters(vectors(spark, sf_dir).select("vec_id", "x"), 15, node="vec_id", max_iter=6)
+    """Communities once no label moves any more; the statement goes on for forty steps, more than these graphs need."""
+    return graph.graph_clusters(vectors(spark, sf_dir).select("vec_id", "x"), 15, node="vec_id")
 
 
 # --- population mapping ------------------------------------------------------

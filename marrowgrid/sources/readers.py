@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marrowgrid.operators.sizing import model_rows
 from marrowgrid.sources.sinks import sliced
 
 
@@ -26,20 +27,38 @@ def read_spillover_csv(spark: SparkSession, path: str) -> tuple[list[str], list[
 
 
 def read_reference_csv(
-    spark: SparkSession, path: str, markers: Sequence[str], transform: Callable[[Column], Column] | None = None, encoding: str = "UTF-8",
+    spark: SparkSession, path: str, markers: Sequence[str], transform: Callable[[Column], Column] | None = None, encoding: str | None = None,
 ) -> DataFrame:
     """Cells of reference populations: ``;`` separated, decimal comma.
 
-    Rows with a missing marker are dropped; ``population`` is the file name.
+    Rows with a missing marker are dropped; ``population`` is the file name.  Without an ``encoding`` each file is
+    UTF-8 if all of it is, else Latin-1.
     """
+    if encoding is None:
+        # a byte that is no UTF-8 is read as U+FFFD
+        lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").contains("\ufffd").alias("odd"))
+        found = lines.groupBy("file").agg(F.max("odd").alias("odd"))
+        kinds: dict[str, list[str]] = {}
+        for r in model_rows(found):
+            kinds.setdefault("ISO-8859-1" if r["odd"] else "UTF-8", []).append(r["file"])
+        if len(kinds) > 1:
+            parts = [_reference_cells(spark, files, markers, kind) for kind, files in sorted(kinds.items())]
+            out = parts[0].unionByName(parts[1])
+        else:
+            out = _reference_cells(spark, path, markers, next(iter(kinds), "UTF-8"))
+    else:
+        out = _reference_cells(spark, path, markers, encoding)
+    return out if transform is None else out.withColumns({m: transform(F.col(m)) for m in markers})
+
+
+def _reference_cells(spark: SparkSession, path: str | list[str], markers: Sequence[str], encoding: str) -> DataFrame:
     raw = spark.read.option("encoding", encoding).csv(path, header=True, sep=";")
-    clean = {c: c.lstrip("﻿").strip() for c in raw.columns}
+    clean = {c: c.lstrip("\ufeff").strip() for c in raw.columns}
     raw = raw.withColumnsRenamed({k: v for k, v in clean.items() if k != v})
     numbers = [F.regexp_replace(F.col(f"`{m}`"), ",", ".").try_cast("double").alias(m) for m in markers]
     name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\.csv$", "")
     has = ["population"] if "population" in raw.columns else []
-    out = raw.select(*([F.col("population")] if has else [name.alias("population")]), *numbers).na.drop(subset=list(markers))
-    return out if transform is None else out.withColumns({m: transform(F.col(m)) for m in markers})
+    return raw.select(*([F.col("population")] if has else [name.alias("population")]), *numbers).na.drop(subset=list(markers))
 
 
 def reference_means(cells: DataFrame, markers: Sequence[str]) -> DataFrame:

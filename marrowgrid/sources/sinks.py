@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrowgrid.functions.numeric import finite_or
@@ -52,6 +53,44 @@ def append_log(log: DataFrame, path: str, run_id: str) -> None:
     log.write.mode("overwrite").json(f"{path}/run_id={run_id}")
 
 
+def write_payload(spark: SparkSession, payload: Mapping, path: str) -> None:
+    """A small document as one JSON file in a folder; values that JSON lacks become text."""
+    text = json.dumps(dict(payload), default=str, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def analysis_metadata(
+    events: DataFrame, *, sample: str, condition: str, metacluster: str, n_metaclusters: int, markers: Sequence[str], used: Sequence[str],
+    config: Mapping | None = None, export_files: Mapping[str, str] | None = None, version: str = "1",
+) -> DataFrame:
+    """One row that describes an analysis: inputs, settings, cells per condition, file and metacluster.
+
+    One pass counts the combinations, everything else follows from these counts; a metacluster without cells counts 0.
+    Write it with ``df.write.json``.
+    """
+    counts = events.groupBy(condition, sample, metacluster).agg(F.count("*").alias("n"))
+    parts = [counts.groupBy(F.col(c).cast("string").alias("name")).agg(F.sum("n").alias("n")).withColumn("section", F.lit(kind))
+             for kind, c in (("condition", condition), ("file", sample), ("metacluster", metacluster))]
+    empty = events.sparkSession.range(n_metaclusters).select(F.col("id").cast("string").alias("name"), F.lit(0).cast("long").alias("n"), F.lit("metacluster").alias("section"))
+    told = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(empty).groupBy("section", "name").agg(F.sum("n").alias("n")).where("name IS NOT NULL")
+
+    def entries(kind: str, value: Column) -> Column:
+        # nulls are left out of a list
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("section") == kind, F.struct("name", value.alias("n"))))))
+
+    total = F.sum(F.when(F.col("section") == "metacluster", F.col("n")))
+    text = lambda m: F.create_map(*[F.lit(str(x)) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
+    names = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    one = told.agg(entries("condition", F.col("n")).alias("c"), entries("file", F.col("n")).alias("f"), entries("metacluster", F.col("n")).alias("m"), total.alias("t"))
+    share = F.transform_values("m", lambda _, n: F.struct(n.alias("n_cells"), F.round(100.0 * n / F.greatest("t", F.lit(1)), 3).alias("pct_total")))
+    return one.select(
+        F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit(version).alias("pipeline_version")).alias("analysis_info"),
+        F.struct(F.size("f").alias("total_files"), F.map_keys("f").alias("files")).alias("input_files"), text(config or {}).alias("configuration"),
+        F.struct(F.coalesce("t", F.lit(0)).alias("total_cells"), names(markers).alias("all_markers"), names(used).alias("markers_used_for_clustering"),
+                 F.lit(len(used)).alias("n_markers_used"), F.col("c").alias("cells_per_condition"), F.col("f").alias("cells_per_file")).alias("data_summary"),
+        share.alias("metacluster_summary"), text(export_files or {}).alias("export_files"))
+
+
 def sanitized(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Numeric columns as finite floats; others only when named in ``keep``."""
     numeric = [f.name for f in df.schema if f.dataType.typeName() in

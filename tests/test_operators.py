@@ -512,3 +512,74 @@ def test_cluster_export_report(spark):
     got = {r["cluster"]: r["status"] for r in sinks.cluster_export(df, path, "cluster", 10).collect()}
     assert got == {-1: "noise", 1: "exported", 2: "too_small"}
     assert spark.read.parquet(path).count() == 12
+
+
+def test_non_negative_unmixing_is_optimal():
+    """Against all sets of positive sources; the conditions of optimality hold for every row."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    spectra = np.abs(rng.normal(size=(4, 6)))
+    spectra[3] = spectra[2] + 0.01 * rng.normal(size=6)  # nearly the same source twice
+    y = rng.normal(size=(400, 6)) * 10
+    y[:5] = 0.0
+    got = unmix._non_negative(y, spectra)
+    slope = got @ (spectra @ spectra.T) - y @ spectra.T
+    assert (got >= 0).all() and (slope > -1e-5).all() and np.abs(got * slope).max() < 1e-4
+    best = np.full(len(y), np.inf)
+    for size in range(5):
+        for on in combinations(range(4), size):
+            x = np.zeros((len(y), 4))
+            if on:
+                x[:, on] = np.linalg.lstsq(spectra[list(on)].T, y.T, rcond=None)[0].T
+            ok = (x >= -1e-12).all(axis=1)
+            best = np.where(ok, np.minimum(best, ((y - x @ spectra) ** 2).sum(axis=1)), best)
+    assert np.allclose(((y - got @ spectra) ** 2).sum(axis=1), best, rtol=1e-7, atol=1e-7)
+    assert (np.linalg.lstsq(spectra.T, y.T, rcond=None)[0] < 0).any(axis=0).sum() > 100
+
+
+def test_a_repeated_batch_counts_once(spark, monkeypatch):
+    """The job dies after a batch stored its counts and before its flags; a restart repeats the batch."""
+    from marrowgrid.streaming import jobs
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 3), "Sain" if i % 2 else "Pathologique", [float(v) for v in rng.normal(size=2) + (i % 4)]) for i in range(600)]
+    events = spark.createDataFrame(rows, "patient_id long, condition string, x array<double>")
+    folder, path, ck = (scratch_path(spark, n) for n in ("arrive", "scores", "scores_ck"))
+    events.repartition(4).write.parquet(folder)
+    codes = np.array([[0.0, 0.0], [1.5, 1.5], [3.0, 3.0]])
+    stream = lambda: jobs.open_files(spark, folder, events.schema, "*.parquet", per_trigger=1)
+    plain, calls = jobs._running, []
+
+    def dying(session, root, number, keys):
+        calls.append(number)
+        if number == 2 and calls.count(2) == 1:
+            raise RuntimeError("killed")
+        return plain(session, root, number, keys)
+
+    monkeypatch.setattr(jobs, "_running", dying)
+    with pytest.raises(Exception, match="killed"):
+        jobs.score_on_map(stream(), codes, path, ck)
+    jobs.score_on_map(stream(), codes, path, ck)
+    assert calls.count(2) == 2
+    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
+    got = sorted((r.patient_id, r.node_id, r.n_total, r.n_sain, r.n_patho, r.is_mrd_eln) for r in jobs.scored_nodes(spark, path).collect())
+    x = np.array([r[2] for r in rows])
+    node = ((x[:, None] - codes[None]) ** 2).sum(axis=2).argmin(axis=1)
+    frame = spark.createDataFrame([(r[0], r[1], int(n)) for r, n in zip(rows, node)], "patient_id long, condition string, node_id long")
+    want = mrd.flag_nodes(mrd.node_shares(mrd.node_counts(frame)))
+    assert got == sorted((r.patient_id, r.node_id, r.n_total, r.n_sain, r.n_patho, r.is_mrd_eln) for r in want.collect())
+
+
+def test_snapshots_stand_for_earlier_batches(spark, monkeypatch):
+    from marrowgrid.streaming import jobs
+
+    monkeypatch.setattr(jobs, "SNAPSHOT_EVERY", 2)
+    rows = [(1, "Sain", [float(i)]) for i in range(40)] + [(2, "Pathologique", [float(i)]) for i in range(40)]
+    events = spark.createDataFrame(rows, "patient_id long, condition string, x array<double>")
+    folder, path = scratch_path(spark, "many"), scratch_path(spark, "many_scores")
+    events.repartition(6).write.parquet(folder)
+    jobs.score_on_map(jobs.open_files(spark, folder, events.schema, "*.parquet", per_trigger=1), np.array([[0.0], [30.0]]), path, scratch_path(spark, "many_ck"))
+    assert spark.read.parquet(f"{path}/snapshots").select("snapshot").distinct().count() >= 2
+    got = sorted((r.patient_id, r.node_id, r.n_total) for r in jobs.scored_nodes(spark, path).collect())
+    assert got == [(1, 0, 16), (1, 1, 24), (2, 0, 16), (2, 1, 24)]
