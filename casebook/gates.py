@@ -58,6 +58,18 @@ def sequence_log(spark, sf_dir):
     return log.withColumn("pct_kept", F.round("pct_kept", 6))
 
 
+@query("G14_patient_cd34", f"""WITH {CELLS}, {LIMITS},
+t AS (SELECT condition, count(*) AS n0, count(*) FILTER (m1 AND m2 AND m3) AS n3,
+             count(*) FILTER (m1 AND m2 AND m3 AND (m4 OR condition <> 'Pathologique')) AS n4 FROM masked GROUP BY 1)
+SELECT condition, n0 AS n_raw, n3 AS n_before, n4 AS n_after FROM t""")
+def patient_cd34(spark, sf_dir):
+    """The CD34 gate selects among the patients' events only; healthy marrow passes it whole."""
+    events = cells(spark, sf_dir)
+    log = g.gating_log(events, g.standard_masks(events, cd34_of="Pathologique"), ["condition"])
+    first = log.where("gate = 'viable'").select("condition", F.col("n_before").alias("n_raw"))
+    return log.where("gate = 'cd34'").join(first, "condition").select("condition", "n_raw", "n_before", "n_after")
+
+
 @query("K9_gating_log_json", f"""WITH {CELLS}, {LIMITS},
 t AS (SELECT count(*) AS n0, count(*) FILTER (m1) AS n1, count(*) FILTER (m1 AND m2) AS n2,
              count(*) FILTER (m1 AND m2 AND m3) AS n3, count(*) FILTER (m1 AND m2 AND m3 AND m4) AS n4 FROM masked)

@@ -396,6 +396,24 @@ def knn_vote(spark, sf_dir):
     return votes(spark, sf_dir).withColumn("dist", F.round("dist", 6))
 
 
+@query("S5_population_ridge", f"""WITH {CELLS}, t AS (SELECT metacluster AS population, event_id, asinh(CD45 / 5) AS a, asinh(HLA_DR / 5) AS b FROM cells),
+m AS (SELECT population, count(*) AS n, avg(a) AS va, avg(b) AS vb, var_samp(a) AS sa, var_samp(b) AS sb FROM t GROUP BY 1),
+s AS (SELECT population, count(*) AS n_sample, avg(a) AS ma, avg(b) AS mb FROM (
+  SELECT *, row_number() OVER (PARTITION BY population ORDER BY md5(concat_ws('|', '42', event_id)), event_id) AS r FROM t) WHERE r <= 50 GROUP BY 1)
+SELECT population::VARCHAR AS population, 'CD45' AS marker, n AS n_cells, round(va, 8) AS v, round(sa + 0.01 * greatest(sa, sb, 1), 8) AS var,
+       n_sample, round(ma, 8) AS sample_mean FROM m JOIN s USING (population)
+UNION ALL SELECT population::VARCHAR, 'HLA_DR', n, round(vb, 8), round(sb + 0.01 * greatest(sa, sb, 1), 8), n_sample, round(mb, 8) FROM m JOIN s USING (population)""")
+def population_ridge(spark, sf_dir):
+    """Mergeable moments with ridge, and a uniform sample of fifty cells of each population."""
+    names = ["CD45", "HLA_DR"]
+    reference, sample = mp.population_statistics(
+        cells(spark, sf_dir), "metacluster", names, ["event_id"], ridge=0.01, sample_rows=50, transform=lambda c: F.asinh(c / 5))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(f"m_{m}").alias("sample_mean")) for m in names])).alias("s")
+    means = sample.groupBy("population").agg(F.count("*").alias("n_sample"), *[F.round(F.avg(m), 8).alias(f"m_{m}") for m in names]) \
+        .select("population", "n_sample", each).select("population", "n_sample", "s.*")
+    return reference.join(means, ["population", "marker"]).withColumns({"v": F.round("v", 8), "var": F.round("var", 8)})
+
+
 @query("S5_population_stats", f"""WITH {POPS} SELECT population::VARCHAR AS population, marker::VARCHAR AS marker, n_cells, round(v, 8) + 0.0 AS v, round(var, 8) AS var FROM p""")
 def population_stats(spark, sf_dir):
     out = populations_long(spark, sf_dir)

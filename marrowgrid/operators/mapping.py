@@ -7,7 +7,7 @@ are a model; nodes may belong to many patients (``by``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ METRICS = tuple(f"M{i}" for i in range(1, 13))
 SCATTER_WEIGHT, ASINH_COFACTOR, HARD_LIMIT, MIN_ASSIGNED = 0.3, 5.0, 5.0, 0.30
 OTSU_BINS, MAD_FACTOR, NEIGHBOURS, POOL_ROWS, POOL_MIN = 64, 2.0, 15, 15_000, 50
 UNKNOWN = "Unknown"
+#: part of the largest variance that the ridge adds, and cells of a population's uniform sample
+RIDGE, SAMPLE_ROWS = 1e-4, 2_000
 
 
 def population_reference(cells: DataFrame, population: str, markers: Sequence[str], ridge: float = 0.0) -> DataFrame:
@@ -36,6 +38,30 @@ def population_reference(cells: DataFrame, population: str, markers: Sequence[st
     return wide.select("population", "n_cells", F.explode(F.array(*rows)).alias("_r")).select("population", "n_cells", "_r.*")
 
 
+def population_statistics(
+    cells: DataFrame, population: str, markers: Sequence[str], key: Sequence[str], *, ridge: float = RIDGE, sample_rows: int = SAMPLE_ROWS,
+    transform: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Reference of every population and a uniform sample of its cells.
+
+    The reference is long (population, n_cells, marker, v, var): one aggregation of mergeable moments.  The ridge keeps
+    the covariance regular: ``ridge`` times the population's largest variance, at least 1, is added to each.  The
+    sample has the ``sample_rows`` cells of each population whose hashed ``key`` is smallest, so it does not depend on
+    partitions.  Cells with a missing marker are left out of both.
+    """
+    complete = cells.na.drop(subset=list(markers))
+    if transform is not None:
+        complete = complete.withColumns({m: transform(F.col(m)) for m in markers})
+    wide = complete.groupBy(F.col(population).cast("string").alias("population")).agg(
+        F.count("*").alias("n_cells"), *[F.struct(F.avg(m).alias("v"), F.var_samp(m).alias("s")).alias(m) for m in markers])
+    spread = [F.coalesce(F.col(f"{m}.s"), F.lit(0.0)) for m in markers]
+    added = ridge * F.greatest(*spread, F.lit(1.0))
+    rows = [F.struct(F.lit(m).alias("marker"), F.col(f"{m}.v").alias("v"), (s + added).alias("var")) for m, s in zip(markers, spread)]
+    reference = wide.select("population", "n_cells", F.explode(F.array(*rows)).alias("_r")).select("population", "n_cells", "_r.*")
+    named = complete.select(F.col(population).cast("string").alias("population"), *key, *markers)
+    return reference, smallest(named, ["population"], sample_rows, hash_order(*key), ties=list(key))
+
+
 def vector_reference(vectors: DataFrame, population: str, x: str = "x") -> DataFrame:
     """The same reference from array columns; the marker is the position."""
     long = vectors.select(F.col(population).cast("string").alias("population"), F.posexplode(x).alias("marker", "value"))

@@ -35,8 +35,7 @@ def read_reference_csv(
     UTF-8 if all of it is, else Latin-1.
     """
     if encoding is None:
-        # a byte that is no UTF-8 is read as U+FFFD
-        lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").contains("\ufffd").alias("odd"))
+        lines = spark.read.text(path).select(F.input_file_name().alias("file"), (~F.is_valid_utf8("value")).alias("odd"))
         found = lines.groupBy("file").agg(F.max("odd").alias("odd"))
         kinds: dict[str, list[str]] = {}
         for r in model_rows(found):
