@@ -279,6 +279,15 @@ def prevalence_prior(spark, sf_dir):
     return wide.select("node_id", "population", F.round("M9", 6).alias("M9"), F.round("M12", 8).alias("M12"))
 
 
+@query("B3_linear_prior", f"""WITH {NODE} SELECT node_id, population::VARCHAR AS population,
+   round(CASE WHEN isinf(M9) THEN M9 ELSE M8 / greatest(greatest(n_cells, 1) / greatest((SELECT avg(n_cells) FROM nc), 1), 1e-9) END, 6) AS dist FROM ranked""")
+def linear_prior(spark, sf_dir):
+    """The weight in proportion to a population's cells."""
+    wide = mp.node_distances(nodes_long(spark, sf_dir), populations_long(spark, sf_dir)).join(node_sizes(spark, sf_dir), "node_id")
+    out = wide.select("node_id", "population", mp.with_prior(F.col("M8"), "linear").alias("dist"))
+    return out.withColumn("dist", F.round("dist", 6))
+
+
 @query("W3_rank_normalized", f"WITH {NODE} SELECT node_id, population::VARCHAR AS population, round(M7, 8) AS M7 FROM ranked")
 def rank_normalized(spark, sf_dir):
     out = mp.all_metrics(nodes_long(spark, sf_dir), populations_long(spark, sf_dir), node_sizes(spark, sf_dir))

@@ -11,14 +11,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrowgrid.functions.numeric import all_of, is_finite
+from marrowgrid.operators.neighbors import SHIPPED_NUMBERS
 from marrowgrid.operators.quantiles import medians, quantiles
 from marrowgrid.operators.selection import smallest
 from marrowgrid.operators.sizing import as_model, model_rows
+from marrowgrid.session import staged
 
 # Parameters of the learnt gates.
 MIN_ROWS, MIN_FRACTION, FSC_SHARE, DENSITY_SHARE = 200, 0.02, 0.25, 0.3
@@ -356,13 +359,18 @@ def robust_lines(events: DataFrame, file: str, area: str, height: str, order: Co
     rows of the file then decide: the line with most inliers (within one raw
     MAD of the areas) wins and is refitted on its inliers.
     """
-    middle = as_model(events.groupBy(file).agg(F.count("*").alias("n")).join(medians(events, [file], {"_mid": area}), file))
-    near = events.join(middle, file)
+    return _lines(staged(events.select(file, area, height, order.alias("_o")), "lines"), file, area, height, proposals)
+
+
+def _lines(rows: DataFrame, file: str, area: str, height: str, proposals: int = LINE_SAMPLE) -> DataFrame:
+    """As :func:`robust_lines`, over stored rows with their order in ``_o``."""
+    middle = as_model(rows.groupBy(file).agg(F.count("*").alias("n")).join(medians(rows, [file], {"_mid": area}), file))
+    near = rows.join(middle, file)
     limits = as_model(medians(near, [file], {"_limit": F.abs(F.col(area) - F.col("_mid"))}))
     large = F.col("n") >= LINE_MIN_ROWS
-    part = smallest(near.where(large).select(file, area, height, order.alias("_o")), [file], proposals, F.col("_o"))
+    part = smallest(near.where(large).select(file, area, height, "_o"), [file], proposals, F.col("_o"))
     pair = T.ArrayType(T.DoubleType())
-    schema = T.StructType([events.schema[file], T.StructField("_slopes", pair), T.StructField("_starts", pair)])
+    schema = T.StructType([rows.schema[file], T.StructField("_slopes", pair), T.StructField("_starts", pair)])
 
     def propose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
@@ -374,24 +382,50 @@ def robust_lines(events: DataFrame, file: str, area: str, height: str, order: Co
         return pd.DataFrame({file: [key[0]], "_slopes": [slopes], "_starts": [py.mean(axis=1) - slopes * px.mean(axis=1)]})
 
     offered = as_model(part.groupBy(file).applyInPandas(propose, schema)).join(limits, file)
-    judged = events.join(offered, file)
-
-    def inside(slope: Column, start: Column) -> Column:
-        return F.abs(F.col(area) - slope * F.col(height) - start) <= F.col("_limit")
-
-    votes = judged.groupBy(file).agg(F.array(*[
-        F.count_if(inside(F.col("_slopes")[i], F.col("_starts")[i])) for i in range(LINE_TRIALS)]).alias("_votes"))
-    best = F.array_position("_votes", F.array_max("_votes")).cast("int") - 1
-    chosen = as_model(votes.select(file, best.alias("_b")).join(offered, file).select(
+    best = as_model(_votes(rows, offered, file, area, height).groupBy(file).agg(
+        F.max(F.struct("votes", (-F.col("trial")).alias("first"))).alias("_w")).select(file, (-F.col("_w.first")).alias("_b")))
+    chosen = as_model(best.join(offered, file).select(
         file, "_limit", F.col("_slopes")[F.col("_b")].alias("_slope"), F.col("_starts")[F.col("_b")].alias("_start")))
-    held = events.join(chosen, file).where(inside(F.col("_slope"), F.col("_start")))
     y, x = F.col(area), F.col(height)
+    held = rows.join(chosen, file).where(F.abs(y - F.col("_slope") * x - F.col("_start")) <= F.col("_limit"))
     fitted = held.groupBy(file).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
         F.when(F.count("*") > LINE_MIN_ROWS, F.regr_r2(y, x)).alias("r2"))
     return as_model(middle.select(file, "n").join(fitted, file, "left"))
 
 
+def _votes(rows: DataFrame, offered: DataFrame, file: str, area: str, height: str) -> DataFrame:
+    """(file, trial, votes): inliers of every proposed line among all rows of its file.
+
+    The lines of up to ``SHIPPED_NUMBERS`` numbers travel to the tasks, where each Arrow batch leaves one count per
+    line; more files than that are judged by columns after a join.
+    """
+    if offered.count() * 2 * LINE_TRIALS > SHIPPED_NUMBERS:
+        judged = rows.join(offered, file)
+        counts = judged.groupBy(file).agg(F.array(*[
+            F.count_if(F.abs(F.col(area) - F.col("_slopes")[i] * F.col(height) - F.col("_starts")[i]) <= F.col("_limit")) for i in range(LINE_TRIALS)]).alias("_v"))
+        return counts.select(file, F.posexplode("_v").alias("trial", "votes"))
+    lines = {r[file]: (np.array(r["_slopes"]), np.array(r["_starts"]), r["_limit"]) for r in offered.collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(lines)
+    schema = T.StructType([rows.schema[file], T.StructField("trial", T.IntegerType()), T.StructField("votes", T.LongType())])
+    trials = np.arange(LINE_TRIALS, dtype="int32")
+
+    def judge(batches):
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            index = np.asarray(codes.indices.fill_null(-1))
+            x, y = (batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                if name in sent.value:
+                    slopes, starts, limit = sent.value[name]
+                    own = index == k
+                    near = np.abs(y[own, None] - slopes[None, :] * x[own, None] - starts[None, :]) <= limit
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * LINE_TRIALS, batch.column(0).type), pa.array(trials), pa.array(near.sum(axis=0).astype("int64"))], names=[file, "trial", "votes"])
+
+    return rows.select(file, height, area).mapInArrow(judge, schema).groupBy(file, "trial").agg(F.sum("votes").alias("votes"))
+
+
 def auto_singlets(
     events: DataFrame, file: str, area: str, height: str, order: Column, mask: str = "singlet", valid: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -406,16 +440,17 @@ def auto_singlets(
         is_finite(area), is_finite(height), F.col(area) > LINE_FLOOR, F.col(height) > LINE_FLOOR,
         *([valid] if valid is not None else [])])
     usable = F.coalesce(usable, F.lit(False))
-    lines = robust_lines(events.where(usable), file, area, height, order)
+    # the passes below read these three columns and no lineage
+    base = staged(events.where(usable).select(file, area, height, order.alias("_o")), "singlets")
+    lines = _lines(base, file, area, height)
     enough = (lines.agg(F.sum("n")).first()[0] or 0) >= MIN_ROWS
     lines = lines.drop("n")
     joined = events.join(lines, file, "left")
     residual = F.col(area) - (F.col("slope") * F.col(height) + F.col("intercept"))
-    scored = joined.withColumn("_res", F.when(usable, residual))
-    middle = as_model(medians(scored, [file], {"_med": "_res"}))
-    scored = scored.join(middle, file, "left")
-    mad = as_model(medians(scored, [file], {"_mad": F.abs(F.col("_res") - F.col("_med"))}))
-    scored = scored.join(mad, file, "left")
+    placed = base.join(lines, file)
+    middle = as_model(medians(placed, [file], {"_med": residual}))
+    mad = as_model(medians(placed.join(middle, file), [file], {"_mad": F.abs(residual - F.col("_med"))}))
+    scored = joined.withColumn("_res", F.when(usable, residual)).join(middle, file, "left").join(mad, file, "left")
     ratio = F.col(area) / F.greatest(F.col(height), F.lit(1.0))
     poor = F.coalesce(F.col("r2") < LINE_R2, F.lit(False))
     keep = (
