@@ -343,10 +343,16 @@ def stack_samples(spark, sf_dir):
     return co.stack([a, b]).groupBy("sample").agg(F.count("*").alias("n"), F.round(F.sum("CD34"), 4).alias("total"))
 
 
-@query("S12_stack_cohort", f"""WITH {CELLS} SELECT patient_id AS "__sample__", count(*) AS n, round(avg(CD45), 6) AS mean FROM cells GROUP BY 1""")
+@query("S12_stack_cohort", f"""WITH {CELLS} SELECT patient_id AS "__sample__", 'CD45,SSC_A' AS columns, count(*) AS n, round(avg(CD45), 6) AS mean,
+   round(avg(SSC_A), 6) AS ssc FROM cells GROUP BY 1""")
 def stack_cohort(spark, sf_dir):
-    events = cells(spark, sf_dir)
-    return events.select(F.col("patient_id").alias("__sample__"), "CD45").groupBy("__sample__").agg(F.count("*").alias("n"), F.round(F.avg("CD45"), 6).alias("mean"))
+    """Patients 3 and 7 lack a marker each; the stacked table has what all share."""
+    lacks = lambda c, p: F.when(F.col("patient_id") != p, F.col(c)).alias(c)
+    events = cells(spark, sf_dir).select("patient_id", "CD45", lacks("CD34", 3), "SSC_A", lacks("HLA_DR", 7))
+    stacked = co.stack_cohort(events, "patient_id", ["CD45", "CD34", "SSC_A", "HLA_DR"])
+    return stacked.groupBy("__sample__").agg(
+        F.lit(",".join(stacked.columns[1:])).alias("columns"), F.count("*").alias("n"), F.round(F.avg("CD45"), 6).alias("mean"),
+        F.round(F.avg("SSC_A"), 6).alias("ssc"))
 
 
 # --- statistics --------------------------------------------------------------

@@ -50,6 +50,18 @@ def common_columns(samples: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def stack_cohort(events: DataFrame, sample: str, columns: Sequence[str], label: str = "__sample__") -> DataFrame:
+    """One long table of many samples over the columns that every sample has, with the sample in ``label``.
+
+    ``events`` is a table in which a column that a sample lacks is NULL throughout (as the readers give it).  One
+    aggregation counts the values of all columns per sample, whatever the number of samples.
+    """
+    held = events.groupBy(sample).agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(columns)])
+    least = held.agg(*[F.min(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))]).first()
+    shared = [c for i, c in enumerate(columns) if least[f"_n{i}"]]
+    return events.select(F.col(sample).alias(label), *[F.col(f"`{c}`") for c in shared])
+
+
 def with_metadata(events: DataFrame, metadata: DataFrame, key: str, batch: Sequence[str], label: str = "batch") -> DataFrame:
     """Cohort metadata onto events; batch = first non-null of ``batch``, else the key."""
     joined = events.join(as_model(metadata), key, "left")
