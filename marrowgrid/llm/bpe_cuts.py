@@ -193,7 +193,10 @@ def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, ids, decoded``: every whole text encoded, and its ids decoded again; a null text is like empty."""
+    """``doc_id, ids, decoded``: every whole text encoded, and its ids decoded again; a null text is like empty.
+
+    Repeated rows come back as often as given, an empty table gives no rows, further columns are ignored.
+    """
     held = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
 
     def run(batches):

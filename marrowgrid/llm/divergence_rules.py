@@ -240,7 +240,8 @@ def apply_rules(docs: DataFrame, known: dict[str, Reference]) -> DataFrame:
 
     Columns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence,
     word_divergence``.  Null and empty texts have no words and fail.  Without a reference of its language only the counting
-    rules count.
+    rules count.  Repeated rows are judged as often as given, an empty table gives no rows, texts of any length are
+    read whole, and columns beyond ``doc_id``, ``text`` and ``lang`` are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(known)
 

@@ -181,7 +181,8 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
     The edited text has its last ``floor(n_chars / 2)`` code points replaced by the first as many of the next document
     by descending id.  Columns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``.  Repeated rows come back as often as given; an empty table gives no rows.
+    near_next``.  Repeated rows come back as often as given; an empty table gives no rows.  Rows of equal id follow by
+    text, longer texts are read whole, and columns beyond ``doc_id`` and ``text`` are ignored.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).select(

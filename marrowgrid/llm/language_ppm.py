@@ -172,7 +172,8 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, bits_per_byte``.
 
     ``score`` is the posterior of the language with equal priors; the smaller name wins a tie.  A text that is null
-    or has no letter, and every text under a model without languages, is ``und`` with score 0.
+    or has no letter, and every text under a model without languages, is ``und`` with score 0.  Repeated rows are
+    predicted as often as given, an empty table gives no rows, and columns beyond ``doc_id`` and ``text`` are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -243,7 +243,11 @@ def fit(features: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = R
 
 
 def score(features: DataFrame, model: CoModel) -> DataFrame:
-    """``doc_id, text_score, meta_score, score, kept`` of every row of the features; kept from a score of 0.5."""
+    """``doc_id, text_score, meta_score, score, kept`` of every row of the features; kept from a score of 0.5.
+
+    Repeated rows are scored as often as given, an empty table gives no rows, and texts of any length are read whole.
+    Columns beyond those of documents are ignored, whatever their names.
+    """
     held = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

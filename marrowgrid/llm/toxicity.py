@@ -290,7 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """``doc_id, score, predicted`` of every whole text; null and empty texts get the score of no words."""
+    """``doc_id, score, predicted`` of every whole text; null and empty texts get the score of no words.
+
+    Repeated rows are scored as often as given, an empty table gives no rows, and columns beyond ``doc_id`` and ``text``
+    are ignored.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -96,7 +96,10 @@ def sentencepiece_pieces(path: str) -> list[tuple[str, float]]:
 
 
 def token_counts(docs: DataFrame, pieces: Sequence[tuple[str, float]]) -> DataFrame:
-    """``doc_id, n_tokens`` of every whole text; null and empty texts have 0.  Repeated rows stay as given."""
+    """``doc_id, n_tokens`` of every whole text; null and empty texts have 0.
+
+    Repeated rows stay as given, an empty table gives no rows, and columns beyond ``doc_id`` and ``text`` are ignored.
+    """
     held = docs.sparkSession.sparkContext.broadcast(list(pieces))
 
     def run(batches):
