@@ -30,6 +30,8 @@ from marrowgrid.session import staged
 WIDTH, SIMILAR = 5, 0.8
 #: texts of a tile, texts and shingles of a block that is confirmed at once
 TILE, BLOCK, BLOCK_SHINGLES = 2048, 4096, 500_000
+#: links that one task joins to groups
+LOCAL_LINKS = 1_000_000
 #: pairs that a task holds before it reduces them to links
 HELD_PAIRS = 1 << 19
 #: bytes of text whose shingles are made at once, and times that a task must see a shingle to count it
@@ -123,12 +125,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _dealt(prefixes: DataFrame, buckets: int, without: np.ndarray, counted: bool) -> DataFrame:
-    """Shingles of prefixes dealt to buckets in packed lists: ``bucket, tokens, of``, with the nodes or with counts."""
+    """Shingles of prefixes dealt to buckets in packed lists: ``bucket, tokens, of``, with the nodes or with counts.
+
+    Only shingles that a task holds twice are counted.  The counts choose an order and what is compared in tiles, never
+    what is compared.
+    """
     sent = prefixes.sparkSession.sparkContext.broadcast(without)
 
     def pack(tokens: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
         if counted:
             tokens, of = np.unique(tokens, return_counts=True)
+            tokens, of = tokens[of > 1], of[of > 1]
         bucket = (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
@@ -167,7 +174,7 @@ def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     tokens, of = (table[c].combine_chunks().flatten().to_numpy() for c in ("tokens", "of"))
     order = np.argsort(tokens, kind="stable")
     tokens, of = tokens[order], of[order]
-    first = np.nonzero(np.append(True, tokens[1:] != tokens[:-1]))[0]
+    first = np.nonzero(np.append(True, tokens[1:] != tokens[:-1]))[0] if len(tokens) else np.zeros(0, np.int64)
     return tokens, of, first, np.diff(np.append(first, len(tokens)))
 
 
@@ -180,7 +187,7 @@ def _crowded(prefixes: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
     """Shingles in the prefixes of more than ``CROWDED`` texts with that number, at most the ``FREQUENT`` commonest."""
     def count(table: pa.Table) -> pa.Table:
         tokens, of, first, _ = _flat(table)
-        total = np.add.reduceat(of, first)
+        total = np.add.reduceat(of, first) if len(first) else of
         many = total > CROWDED
         return pa.table({"token": tokens[first][many], "size": total[many]})
 
@@ -320,6 +327,26 @@ def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[label[moved]].astype(np.int64), values[moved].astype(np.int64)
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """``node, root`` of the links: the least node reachable, as by ``components``.
+
+    Up to ``LOCAL_LINKS`` links (16 MB) are joined in one task instead of rounds of jobs.
+    """
+    held = staged(links, "links")
+    if held.count() > LOCAL_LINKS:
+        return components(held)
+
+    def join(batches):
+        parts = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+        if parts:
+            a, b = (np.concatenate(x) for x in zip(*parts))
+            root, node = _tree(a, b)
+            top = np.setdiff1d(np.concatenate([a, b]), node)
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate([node, top]), "root": np.concatenate([root, top])})
+
+    return held.coalesce(1).mapInArrow(join, "node long, root long")
+
+
 def _in_cells(rows: DataFrame, tile: int, every_pair: bool) -> DataFrame:
     """Links of labels within the cells ``cell`` of rows ``cell, size, node, label, n, fp``; large cells are cut into tiles.
 
@@ -357,7 +384,7 @@ def candidates(nodes: DataFrame, prefixes: DataFrame, tile: int = TILE) -> DataF
         .select("node", F.col("home.token").alias("cell"), F.col("home.size").alias("size"))
     links = staged(_in_cells(home.join(nodes, "node").withColumn("label", F.col("id")), tile, False), "links")
     # a cell of one group has nothing left to find
-    named = staged(_labelled(nodes, components(links)).select("node", "label"), "labels")
+    named = staged(_labelled(nodes, _groups(links)).select("node", "label"), "labels")
     rows = met.join(named, "node")
     several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     rest = rows.join(several, "token").join(nodes, "node").withColumnRenamed("token", "cell")
@@ -432,7 +459,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, least: float, block: int = BLO
     if large.isEmpty():
         return own
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
-    dealt = _labelled(large, staged(components(own), "settled")).select("*", other).where("other <> cut").select(
+    dealt = _labelled(large, staged(_groups(own), "settled")).select("*", other).where("other <> cut").select(
         "group", "node", "id", "label", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"),
         F.when(F.col("cut") < F.col("other"), 0).otherwise(1).alias("side"))
     # two blocks that are one group by now have no pair to compare
@@ -463,13 +490,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     crowded, _ = _crowded(prefixes, _buckets(prefixes))
     if len(crowded):
         prefixes = staged(_common_last(docs, nodes, crowded, width, least), "prefixes")
-    near = components(candidates(nodes.select("node", "id", "n", "fp"), prefixes, tile)).withColumnsRenamed({"node": "id", "root": "group"})
+    near = _groups(candidates(nodes.select("node", "id", "n", "fp"), prefixes, tile)).withColumnsRenamed({"node": "id", "root": "group"})
     groups = staged(nodes.select("node", "id", "n").join(near, "id"), "candidates")
     sets = staged(_sets(docs, groups, width), "sets")
     several = marked.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("doc_id")
     own = marked.select("doc_id", "node").join(several, "doc_id").join(nodes.select("node", "id"), "node").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    root = components(confirmed(groups, sets, least, block).unionByName(own)).withColumnsRenamed({"node": "id", "root": "component_id"})
+    root = _groups(confirmed(groups, sets, least, block).unionByName(own)).withColumnsRenamed({"node": "id", "root": "component_id"})
     # only sets of several documents, or with alike ones, meet the documents again
     named = staged(nodes.join(root, "id", "left").where("copies > 1 OR component_id IS NOT NULL")
                    .select("node", F.coalesce("component_id", "id").alias("component_id")), "named")

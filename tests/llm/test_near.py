@@ -199,6 +199,7 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch, tile, block, cr
     monkeypatch.setattr(near_copies, "CROWDED", crowded)
     if tile == 5:
         monkeypatch.setattr(near_copies, "HELD_PAIRS", 3)
+        monkeypatch.setattr(near_copies, "LOCAL_LINKS", 0 if crowded == 256 else 200_000)
         monkeypatch.setattr(near_copies, "HELD_TOKENS", 50)
     rng, texts = random.Random(8), {}
     passage = " ".join(f"p{k}" for k in range(60))
