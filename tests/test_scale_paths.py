@@ -105,6 +105,35 @@ def test_neighbours_by_cells_equal_brute_force(spark, copies):
         assert np.allclose(np.sort(part["distance"]), want[i], atol=1e-9)
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_neighbours_in_small_tiles(spark, monkeypatch, share):
+    """Cells and blocks cut to a few rows, ties and copies at the last place: the smaller id wins, as in an ORDER BY."""
+    from marrowgrid.operators import neighbors as nb
+
+    for name, value in (("TILE_NUMBERS", 60), ("TILE_PAIRS", 200), ("PIECE_QUERIES", 7), ("PIECE_ROWS", 11), ("PIECE_NUMBERS", 30)):
+        monkeypatch.setattr(nb, name, value)
+    x = np.random.default_rng(9).integers(0, 4, (150, 2)).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = sorted((i, k + 1, int(j)) for i in range(150) for k, j in enumerate(np.lexsort((np.arange(150), d[i]))[:4]))
+    for shipped in (10, 10 ** 6):
+        found = knn(df, df.withColumnRenamed("id", "base_id"), 4, query_id="id", shipped_numbers=shipped, block_rows=8, cell_share=share)
+        assert sorted((r["id"], r["rank"], r["base_id"]) for r in found.collect()) == want
+
+
+def test_nothing_beyond_the_bound_is_looked_at():
+    from marrowgrid.operators import neighbors as nb
+
+    rng = np.random.default_rng(2)
+    q, b = rng.normal(size=(40, 3)), rng.normal(size=(500, 3))
+    d = np.sqrt(((q[:, None] - b[None]) ** 2).sum(axis=2))
+    limit = np.sort(d, axis=1)[:, 2]
+    who, where, far = nb._top(np.arange(40), q, np.arange(500), b, 5, False, limit)
+    assert sorted(zip(who, where)) == [(i, j) for i in range(40) for j in sorted(np.argsort(d[i])[:3])]
+    assert np.allclose(far, d[who, where], atol=0, rtol=1e-12)
+
+
 @pytest.mark.parametrize("copies", [0, 60])
 def test_neighbours_by_rounds_equal_brute_force(spark, copies):
     """Thirty dimensions: cells would visit nearly everything, so the rounds are taken by themselves."""
