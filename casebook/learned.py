@@ -502,12 +502,21 @@ def acquisition_drift(spark, sf_dir):
         F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "sample_id", "n", F.round("mean", 9).alias("mean"), "median", "low", "high")
 
 
+#: rows of one arriving file at most
+ARRIVAL_ROWS = 1_000_000
+
+
+def arriving(spark, sf_dir, batches: int = 3) -> int:
+    """Files that arrive at once, so that all of them come in three batches and none holds too many rows for a task."""
+    return max(1, -(-cells(spark, sf_dir).count() // (batches * ARRIVAL_ROWS)))
+
+
 @query("X2_score_arrivals", f"WITH {CELLS}, {NODES} {_SUMMARY}")
 def score_arrivals(spark, sf_dir):
     """Events arrive as several files and are counted per node, batch by batch."""
-    folder = scratch_path(spark, "arrivals")
-    cells(spark, sf_dir).select("event_id", "patient_id", "node_id", "condition").repartition(3).write.parquet(folder)
-    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=1)
+    folder, once = scratch_path(spark, "arrivals"), arriving(spark, sf_dir)
+    cells(spark, sf_dir).select("event_id", "patient_id", "node_id", "condition").repartition(3 * once).write.parquet(folder)
+    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=once)
     path = scratch_path(spark, "scored")
     jobs.score_arrivals(stream, lambda b: mrd.node_counts(b), path, scratch_path(spark, "scored_ck"))
     return _rounded(jobs.merge_counts(spark.read.parquet(path), ["patient_id"]))
@@ -526,9 +535,9 @@ def score_on_map(spark, sf_dir):
     mean = [F.avg(F.col("x")[i]).alias(f"c{i}") for i in range(4)]
     groups = cells(spark, sf_dir).select("event_id", "metacluster").join(events, "event_id")
     book = sorted(groups.where("condition = 'Sain'").groupBy("metacluster").agg(*mean).collect())
-    folder = scratch_path(spark, "vectors")
-    events.select("event_id", "patient_id", "condition", "x").repartition(3, "event_id").write.parquet(folder)
-    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=1)
+    folder, once = scratch_path(spark, "vectors"), arriving(spark, sf_dir)
+    events.select("event_id", "patient_id", "condition", "x").repartition(3 * once, "event_id").write.parquet(folder)
+    stream = jobs.open_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", per_trigger=once)
     path = scratch_path(spark, "map_scores")
     jobs.score_on_map(stream, np.array([r[1:] for r in book]), path, scratch_path(spark, "map_ck"), labels=[r[0] for r in book])
     return jobs.scored_nodes(spark, path).select("patient_id", "node_id", "n_total", "n_sain", "n_patho", "is_mrd_jf", "is_mrd_flo", "is_mrd_eln")

@@ -188,3 +188,26 @@ def test_som_of_more_maps_than_model_rows_over_nodes(spark):
     events = spark.createDataFrame(rows, "event_id string, patient_id long, x array<double>")
     model = fit_som(events, x="x", key=["event_id"], model="patient_id", xdim=10, ydim=10, epochs=1)
     assert len(model.codes) == 1001
+
+
+@pytest.mark.parametrize("name", ["X2_score_arrivals", "X2_score_on_map"])
+def test_arriving_files_stay_small(spark, sf_dir, monkeypatch, name):
+    """More rows are more files, not larger ones; they still come in three batches."""
+    import __spark_entry__ as entry
+    from casebook import learned
+    from tests.compare import compare, duck
+
+    opened = []
+    real = learned.jobs.open_files
+
+    def watched(spark, folder, schema, glob, per_trigger=None):
+        counts = spark.read.parquet(folder).groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()
+        opened.append((*counts, per_trigger))
+        return real(spark, folder, schema, glob, per_trigger)
+
+    monkeypatch.setattr(learned, "ARRIVAL_ROWS", 500)
+    monkeypatch.setattr(learned.jobs, "open_files", watched)
+    got = entry.queries()[name](spark, sf_dir).toPandas()
+    (files, most, once), = opened
+    assert files > 3 and most < 700 and files <= 3 * once
+    assert compare(got, duck(sf_dir).execute(entry.oracle_sql()[name]).df()) is None
