@@ -7,14 +7,16 @@ codebooks are clustered in parallel by ``model_id``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marrowgrid.functions.vectors import matrix_of, nearest
 from marrowgrid.operators.sizing import model_rows
 
 # Consensus and selection parameters.
@@ -173,6 +175,34 @@ def adjusted_rand(counts: np.ndarray) -> float:
     return 1.0 if top == expected else float((pairs(counts) - expected) / (top - expected))
 
 
+def _contingency(events: DataFrame, books: Sequence[np.ndarray], x: str = "x") -> DataFrame:
+    """(a, b, i, j, count): events that lie on node i of map a and on node j of map b.
+
+    A task hands on its counts, never the events' nodes.
+    """
+    sent = events.sparkSession.sparkContext.broadcast(list(books))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = sent.value
+        met = {(a, b): np.zeros(len(maps[a]) * len(maps[b]), dtype="int64") for a, b in combinations(range(len(maps)), 2)}
+        for batch in batches:
+            if batch.num_rows:
+                m = matrix_of(batch.column(0))
+                node = [nearest(m, book) for book in maps]
+                for (a, b), cells in met.items():
+                    cells += np.bincount(node[a] * len(maps[b]) + node[b], minlength=len(cells))
+        for (a, b), cells in met.items():
+            used = np.nonzero(cells)[0]
+            if len(used):
+                i, j = np.divmod(used, len(maps[b]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), v, dtype="int64")) for v in (a, b)] + [pa.array(v) for v in (i, j, cells[used])],
+                    names=["a", "b", "i", "j", "n"])
+
+    found = events.select(x).mapInArrow(count, "a long, b long, i long, j long, n long")
+    return found.groupBy("a", "b", "i", "j").agg(F.sum("n").alias("count"))
+
+
 def choose_k(
     events: DataFrame, codes: np.ndarray, ks: Sequence[int], *, x: str = "x", key: Sequence[str] = ("event_id",), xdim: int = 10, ydim: int = 10,
     bootstraps: int = BOOTSTRAPS, min_stability: float = MIN_STABILITY, seed: int = 42, epochs: int | None = None,
@@ -180,28 +210,20 @@ def choose_k(
     """Number of metaclusters and the (k, silhouette, stability, composite) scores.
 
     Silhouettes of the codebook keep the better half of the candidates.  Then
-    maps are trained with different seeds on all rows; every
-    pair of maps is compared by its node-by-node contingency counts, from
+    maps are trained with different seeds on all rows, all of them in the same
+    jobs; every pair of maps is compared by its node-by-node contingency counts, from
     which the Rand index follows for all k at once.
     """
-    from marrowgrid.operators.som import fit_som
+    from marrowgrid.operators.som import fit_soms
     from marrowgrid.session import staged
 
     labels = agglomerate(codes, list(ks))
     sil = {k: silhouette(codes, labels[k]) for k in ks}
     kept = sorted(sorted(ks, key=lambda k: -sil[k])[: max(len(ks) // 2, 3)])
     rows = staged(events.select(*key, x), "evaluation")
-    runs = [fit_som(rows, x=x, key=key, xdim=xdim, ydim=ydim, seed=seed + 100 + b, epochs=epochs) for b in range(bootstraps)]
-    placed = rows
-    for b, model in enumerate(runs):
-        held = [c for c in placed.columns if c != x]
-        placed = model.transform(placed.withColumn("_v", F.col(x)), x="_v", node=f"_n{b}", distance="_d").drop("_d").select(*held, x, f"_n{b}")
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{a}").alias("i"), F.col(f"_n{b}").alias("j"))
-        for a, b in combinations(range(bootstraps), 2)]))
-    counted = placed.select(pairs.alias("_p")).groupBy("_p.a", "_p.b", "_p.i", "_p.j").count()
+    runs = fit_soms(rows, [seed + 100 + b for b in range(bootstraps)], x=x, key=key, xdim=xdim, ydim=ydim, epochs=epochs)
     tables: dict = {}
-    for r in model_rows(counted, math.comb(bootstraps, 2) * (xdim * ydim) ** 2 + 1):
+    for r in model_rows(_contingency(rows, [m.codes[None] for m in runs], x), math.comb(bootstraps, 2) * (xdim * ydim) ** 2 + 1):
         tables.setdefault((r["a"], r["b"]), []).append((r["i"], r["j"], r["count"]))
     cut = [agglomerate(m.codes[None], kept) for m in runs]
     stability = {}

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marrowgrid.functions.vectors import matrix_of, squared_distances
+from marrowgrid.functions.vectors import matrix_of, nearest, squared_distances
 from marrowgrid.operators.neighbors import SHIPPED_NUMBERS, nearest_code
 from marrowgrid.operators.selection import hash_order, smallest
-from marrowgrid.operators.sizing import cached, model_rows
+from marrowgrid.operators.sizing import folded, model_rows
 
 # Limits of the heuristics.
 MIN_EPOCHS, MAX_EPOCHS, SMALL_SAMPLE, SMALL_SIDE, START_QUANTILE = 10, 100, 50_000, 7, 0.67
@@ -138,9 +138,13 @@ def _rows_by_key(batch: pa.RecordBatch, at: int | None):
 
 
 def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: str, d: int) -> list:
-    """Per (model, node): event count and vector sum."""
+    """Per (model, node): event count and vector sum.
+
+    ``events`` holds distinct rows with their number ``_n``.  Without a
+    ``model`` column every row takes part in every one of the books.
+    """
     sent = events.sparkSession.sparkContext.broadcast((books, weights))
-    kind = events.schema[model].dataType if model else T.StringType()
+    kind = events.schema[model].dataType if model else T.IntegerType()
     key_type = to_arrow_type(kind)
     schema = T.StructType(
         [T.StructField("m", kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType())]
@@ -155,13 +159,14 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
                 continue
             m = matrix_of(batch.column(batch.num_columns - 1))
             m = m if w is None else m * w
-            for key, rows in _rows_by_key(batch, 0 if model else None):
-                if key in codes and len(rows):
-                    best = squared_distances(m[rows], codes[key]).argmin(axis=1)
-                    k = len(codes[key])
-                    sizes[key] += np.bincount(best, minlength=k)
+            copies = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            for key, rows in _rows_by_key(batch, 0) if model else ((k, slice(None)) for k in codes):
+                if key in codes and len(m[rows]):
+                    best = nearest(m[rows], codes[key])
+                    k, times = len(codes[key]), copies[rows]
+                    sizes[key] += np.bincount(best, weights=times, minlength=k).astype("int64")
                     for i in range(d):
-                        sums[key][:, i] += np.bincount(best, weights=m[rows, i], minlength=k)
+                        sums[key][:, i] += np.bincount(best, weights=m[rows, i] * times, minlength=k)
         for key, n in sizes.items():
             used = np.nonzero(n)[0]
             if len(used):
@@ -170,7 +175,7 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
                     [keys, pa.array(used), pa.array(n[used])] + [pa.array(sums[key][used, i]) for i in range(d)],
                     names=[f.name for f in schema])
 
-    partial = events.select(*([model] if model else []), x).mapInArrow(reduce, schema)
+    partial = events.select(*([model] if model else []), "_n", x).mapInArrow(reduce, schema)
     return partial.groupBy("m", "node").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
 
 
@@ -196,11 +201,9 @@ def fit_som(
     shrinks from the 0.67 quantile of the grid distances to the node itself.
     """
     # the keys only pick the start, they need not be cached
-    source = cached(events.select(*([model] if model else []), x))
+    source = folded(events.select(*([model] if model else []), x))
     try:
-        n = source.count()
-        d = source.select(F.max(F.size(x))).first()[0]
-        grid = grid_distances(xdim, ydim)
+        n, d = source.agg(F.sum("_n"), F.max(F.size(x))).first()
         by = [model] if model else []
         models = source.select(model).distinct().count() if model else 1
         held = max(1, shipped_numbers // (xdim * ydim * d))
@@ -212,37 +215,71 @@ def fit_som(
                             weights=weights, seed=seed, tol=tol, shipped_numbers=shipped_numbers) for g in groups]
             joined = {k: c for f in fits for k, c in f.codes.items()}
             return SomModel(xdim, ydim, joined, fits[0].weights, model, shipped_numbers=shipped_numbers)
-        seeds_from = events.select(*dict.fromkeys([*key, *by, x]))
-        start = smallest(seeds_from, by, xdim * ydim, hash_order(*key, seed=seed), ties=list(key))
         w = None if weights is None else np.asarray(weights, dtype=float)
-        seeds: dict = {}
-        # at most `held` models are trained at once, so this is bounded like the codebooks themselves
-        for r in model_rows(start, max(models, 1) * xdim * ydim):
-            seeds.setdefault(r[model] if model else None, []).append((tuple(str(r[k]) for k in key), r[x]))
-        books = {}
-        for k, rows in seeds.items():
-            first = np.array([v for _, v in sorted(rows)], dtype=float)
-            first = first if w is None else first * w
-            books[k] = np.resize(first, (xdim * ydim, d))
-        rounds = epochs or epochs_for(n // max(models, 1))
-        top = float(np.quantile(grid, START_QUANTILE))
-        for e in range(rounds):
-            radius = top * (1 - e / max(rounds - 1, 1))
-            sums = {k: (np.zeros(len(b)), np.zeros((len(b), d))) for k, b in books.items()}
-            for r in _epoch_sums(source, books, w, model, x, d):
-                count, total = sums[r["m"]]
-                count[r["node"]] = r["n"]
-                total[r["node"]] = [r[f"s{i}"] for i in range(d)]
-            moved = {k: _moved(books[k], *sums[k], grid, radius) for k in books}
-            change = max(float(np.abs(moved[k] - books[k]).max()) for k in books)
-            books = moved
-            if radius <= 0.5 and change <= tol:
-                break
+        # at most `held` models are trained at once, so the start is bounded like the codebooks themselves
+        books = _start(events, x, key, by, xdim * ydim, d, w, seed, max(models, 1))
+        books = _train(source, books, w, model, x, d, grid_distances(xdim, ydim), epochs or epochs_for(n // max(models, 1)), tol)
         return SomModel(xdim, ydim, books, w, model)
     finally:
         source.unpersist()
 
 
+def fit_soms(
+    events: DataFrame, seeds: Sequence[int], *, x: str = "x", key: Sequence[str] = ("event_id",), xdim: int = 10, ydim: int = 10,
+    epochs: int | None = None, tol: float = 0.0, shipped_numbers: int = SHIPPED_NUMBERS,
+) -> list[SomModel]:
+    """One map per seed over the same events, as :func:`fit_som` trains each; an epoch of all maps is one job."""
+    source = folded(events.select(x))
+    try:
+        n, d = source.agg(F.sum("_n"), F.max(F.size(x))).first()
+        held, fitted = max(1, shipped_numbers // (xdim * ydim * d)), []
+        for i in range(0, len(seeds), held):
+            books = {b: _start(events, x, key, [], xdim * ydim, d, None, seed, 1)[None] for b, seed in enumerate(seeds[i:i + held])}
+            books = _train(source, books, None, None, x, d, grid_distances(xdim, ydim), epochs or epochs_for(n), tol)
+            fitted += [SomModel(xdim, ydim, {None: books[b]}) for b in sorted(books)]
+        return fitted
+    finally:
+        source.unpersist()
+
+
+def _start(events: DataFrame, x: str, key: Sequence[str], by: Sequence[str], nodes: int, d: int, weights, seed: int, models: int) -> dict:
+    """Codebooks of the first rows in hash order, repeated where a map has fewer rows than nodes."""
+    seeds_from = events.select(*dict.fromkeys([*key, *by, x]))
+    start = smallest(seeds_from, by, nodes, hash_order(*key, seed=seed), ties=list(key))
+    seeds: dict = {}
+    for r in model_rows(start, models * nodes):
+        seeds.setdefault(r[by[0]] if by else None, []).append((tuple(str(r[k]) for k in key), r[x]))
+    books = {}
+    for k, rows in seeds.items():
+        first = np.array([v for _, v in sorted(rows)], dtype=float)
+        first = first if weights is None else first * weights
+        books[k] = np.resize(first, (nodes, d))
+    return books
+
+
+def _train(source: DataFrame, books: dict, weights, model: str | None, x: str, d: int, grid: np.ndarray, rounds: int, tol: float) -> dict:
+    """Codebooks after the epochs; a map that no longer moves takes no further part."""
+    top = float(np.quantile(grid, START_QUANTILE))
+    moving, done = dict(books), {}
+    for e in range(rounds):
+        radius = top * (1 - e / max(rounds - 1, 1))
+        sums = {k: (np.zeros(len(b)), np.zeros((len(b), d))) for k, b in moving.items()}
+        # a single map without a key column goes by the number 0
+        sent = {0: moving[None]} if None in moving and model is None else moving
+        for r in _epoch_sums(source, sent, weights, model, x, d):
+            count, total = sums[None if sent is not moving else r["m"]]
+            count[r["node"]] = r["n"]
+            total[r["node"]] = [r[f"s{i}"] for i in range(d)]
+        for k, book in list(moving.items()):
+            moving[k] = _moved(book, *sums[k], grid, radius)
+            if radius <= 0.5 and float(np.abs(moving[k] - book).max()) <= tol:
+                done[k] = moving.pop(k)
+        if not moving:
+            break
+    fitted = {**moving, **done}
+    return {k: fitted[k] for k in books}
+
+
 def fit_kmeans_codebook(events: DataFrame, *, x: str = "x", xdim: int = 10, ydim: int = 10, seed: int = 42, iterations: int = 20) -> SomModel:
     """Codebook by distributed k-means, for the k-means backend of the map."""
     from pyspark.ml.clustering import KMeans

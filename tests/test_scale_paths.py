@@ -211,3 +211,38 @@ def test_arriving_files_stay_small(spark, sf_dir, monkeypatch, name):
     (files, most, once), = opened
     assert files > 3 and most < 700 and files <= 3 * once
     assert compare(got, duck(sf_dir).execute(entry.oracle_sql()[name]).df()) is None
+
+
+def _repeated_vectors(spark):
+    rng = np.random.default_rng(7)
+    kinds = np.round(rng.normal(size=(40, 3)), 2)
+    return spark.createDataFrame([(i, [float(v) for v in kinds[i % 40]]) for i in range(2000)], "event_id long, x array<double>")
+
+
+def test_candidate_maps_train_in_the_same_jobs(spark, monkeypatch):
+    """Every map equals the one trained alone, and an epoch of all of them is one job over distinct vectors."""
+    from marrowgrid.operators import metacluster, som
+
+    df = _repeated_vectors(spark)
+    alone = [som.fit_som(df, xdim=3, ydim=3, epochs=6, seed=s).codes[None] for s in (1, 2, 3)]
+    seen, sums = [], som._epoch_sums
+    monkeypatch.setattr(som, "_epoch_sums", lambda source, *a: seen.append(source.count()) or sums(source, *a))
+    together = som.fit_soms(df, [1, 2, 3], xdim=3, ydim=3, epochs=6)
+    assert all(np.allclose(a, b.codes[None], atol=1e-9) for a, b in zip(alone, together))
+    assert len(seen) <= 6 and set(seen) == {40}
+    seen.clear()
+    metacluster.choose_k(df, alone[0], range(2, 6), xdim=3, ydim=3, bootstraps=3, epochs=6)
+    assert len(seen) <= 6
+
+
+def test_contingency_counts_every_event(spark):
+    from marrowgrid.operators import metacluster
+
+    df = _repeated_vectors(spark)
+    x = np.array([r["x"] for r in df.collect()])
+    books = [x[:4], x[4:9], x[9:12]]
+    node = [((x[:, None, :] - b[None]) ** 2).sum(axis=2).argmin(axis=1) for b in books]
+    want = {(a, b, i, j): int(((node[a] == i) & (node[b] == j)).sum())
+            for a in range(3) for b in range(a + 1, 3) for i in range(len(books[a])) for j in range(len(books[b]))}
+    got = {(r["a"], r["b"], r["i"], r["j"]): r["count"] for r in metacluster._contingency(df, books).collect()}
+    assert got == {k: n for k, n in want.items() if n}
