@@ -285,8 +285,12 @@ def fit_kmeans_codebook(events: DataFrame, *, x: str = "x", xdim: int = 10, ydim
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = events.select(array_to_vector(F.col(x)).alias("features"))
-    fitted = KMeans(k=xdim * ydim, seed=seed, maxIter=iterations).fit(data)
+    source = folded(events.select(x))
+    try:
+        data = source.select(array_to_vector(F.col(x)).alias("features"), F.col("_n").cast("double").alias("weight"))
+        fitted = KMeans(k=xdim * ydim, seed=seed, maxIter=iterations, weightCol="weight").fit(data)
+    finally:
+        source.unpersist()
     codes = np.array([c for c in fitted.clusterCenters()], dtype=float)
     return SomModel(xdim, ydim, {None: codes})
 

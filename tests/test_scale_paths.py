@@ -246,3 +246,28 @@ def test_contingency_counts_every_event(spark):
             for a in range(3) for b in range(a + 1, 3) for i in range(len(books[a])) for j in range(len(books[b]))}
     got = {(r["a"], r["b"], r["i"], r["j"]): r["count"] for r in metacluster._contingency(df, books).collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_rows_of_iterative_jobs_are_folded_and_cut(spark):
+    """Equal rows are held once with their number; different rows lie in partitions of bounded size, however few files hold them."""
+    from marrowgrid.operators import som
+    from marrowgrid.operators.sizing import cached, folded
+
+    few = folded(_repeated_vectors(spark).select("x"))
+    assert few.count() == 40 and few.agg(F.sum("_n")).first()[0] == 2000
+    own = spark.range(20_000).coalesce(1)
+    assert folded(own).where("_n = 1").count() == 20_000
+    held = cached(own.withColumn("v", F.rand(1)), rows=1000)
+    assert max(r[0] for r in held.groupBy(F.spark_partition_id()).count().select("count").collect()) <= 1100
+    seen, persist = [], type(own).persist
+
+    def noted(df, *a):
+        seen.append(df.columns)
+        return persist(df, *a)
+
+    type(own).persist = noted
+    try:
+        model = som.fit_kmeans_codebook(_repeated_vectors(spark), xdim=2, ydim=2)
+    finally:
+        type(own).persist = persist
+    assert model.codes[None].shape == (4, 3) and ["x", "_n"] in seen
