@@ -271,3 +271,23 @@ def test_rows_of_iterative_jobs_are_folded_and_cut(spark):
     finally:
         type(own).persist = persist
     assert model.codes[None].shape == (4, 3) and ["x", "_n"] in seen
+
+
+def test_batch_correction_rounds_go_over_distinct_rows(spark, monkeypatch):
+    """The rounds see equal rows once with their number, and repeated rows are corrected as single ones are."""
+    from marrowgrid.operators import embed
+
+    rng = np.random.default_rng(3)
+    m, batch = np.round(rng.normal(size=(900, 2)), 0), rng.integers(0, 2, 900)
+    stages = [(rng.normal(size=(3, 2)), np.ones((3, 2)), rng.normal(size=(3, 2, 2))) for _ in range(4)]
+    assert np.allclose(embed._corrected(m, batch, stages, 0.7), embed._corrected_rows(m, batch, stages, 0.7), atol=1e-12)
+    df = spark.createDataFrame(pd.DataFrame({"u": m[:, 0] + batch, "b": batch}))
+    sums, held = embed._cluster_sums, []
+
+    def noted(events, *a):
+        held.append((events.count(), events.agg(F.sum("_n")).first()[0]))
+        return sums(events, *a)
+
+    monkeypatch.setattr(embed, "_cluster_sums", noted)
+    embed.correct_batches(df, ["u"], "b", clusters=2, rounds=3)
+    assert len(held) == 3 and all(kinds < 30 and n == 900 for kinds, n in held)
