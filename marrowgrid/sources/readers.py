@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marrowgrid.operators.sizing import model_rows
-from marrowgrid.sources.sinks import sliced
+from marrowgrid.sources.sinks import ROWS_PER_FILE
 
 
 def read_events_csv(spark: SparkSession, path: str, schema: "StructType | str") -> DataFrame:
@@ -95,10 +95,17 @@ def pool_version(
     return spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 
-def save_pool(pool: DataFrame, path: str, version: str, sample: str = "file_origin") -> None:
-    """Write the pool below its version, one folder per sample."""
+def save_pool(pool: DataFrame, path: str, version: str, sample: str = "file_origin", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write the pool below its version, in the order of its samples.
+
+    A file holds a range of samples, or a part of a large one, so there are as many files as the rows need; the
+    statistics of the files tell a reader of one sample which of them to open.
+    """
     target = f"{path.rstrip('/')}/pool_version={version}"
-    sliced(pool, sample).write.mode("overwrite").partitionBy(sample).parquet(target)
+    others = [c for c in pool.columns if c != sample]
+    files = max(pool.sparkSession.sparkContext.defaultParallelism, -(-pool.count() // rows_per_file))
+    placed = pool.repartitionByRange(files, F.col(sample), F.xxhash64(*others)).sortWithinPartitions(sample)
+    placed.write.mode("overwrite").parquet(target)
 
 
 def load_pool(spark: SparkSession, path: str, version: str) -> DataFrame | None:

@@ -291,3 +291,16 @@ def test_batch_correction_rounds_go_over_distinct_rows(spark, monkeypatch):
     monkeypatch.setattr(embed, "_cluster_sums", noted)
     embed.correct_batches(df, ["u"], "b", clusters=2, rounds=3)
     assert len(held) == 3 and all(kinds < 30 and n == 900 for kinds, n in held)
+
+
+def test_pool_of_many_samples_has_few_files(spark, tmp_path):
+    """The files of a stored pool grow with its rows, not with its samples, and a crowded sample is cut."""
+    from marrowgrid.sources import readers
+
+    pool = spark.range(6000).select(F.col("id").alias("event_id"), F.concat(F.lit("F"), F.least(F.col("id"), F.lit(400))).alias("file_origin"))
+    readers.save_pool(pool, str(tmp_path), "v", rows_per_file=500)
+    back = readers.load_pool(spark, str(tmp_path), "v")
+    assert rows(back.select("event_id", "file_origin")) == rows(pool)
+    per = back.groupBy(F.input_file_name()).count().collect()
+    assert len(per) <= 13 and max(r["count"] for r in per) < 1500
+    assert readers.load_pool(spark, str(tmp_path), "other") is None
