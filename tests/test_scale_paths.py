@@ -304,3 +304,30 @@ def test_pool_of_many_samples_has_few_files(spark, tmp_path):
     per = back.groupBy(F.input_file_name()).count().collect()
     assert len(per) <= 13 and max(r["count"] for r in per) < 1500
     assert readers.load_pool(spark, str(tmp_path), "other") is None
+
+
+def test_stratifying_hierarchy_goes_over_distinct_vectors(spark, monkeypatch):
+    """The hierarchy is fitted on equal vectors once with their number and splits as it does on all rows."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from marrowgrid.operators import embed
+
+    rng = np.random.default_rng(5)
+    spots = np.array([[0, 0], [8, 0], [0, 9], [7, 8]])
+    x = spots[rng.integers(0, 4, 1200)] + rng.integers(0, 2, (1200, 2))
+    df = spark.createDataFrame(pd.DataFrame({
+        "event_id": np.arange(1200), "file": [f"F{i % 12}" for i in range(1200)], "u": x[:, 0].astype(float), "v": x[:, 1].astype(float)}))
+    df = df.withColumn("endpoint", (F.substring("file", 2, 2).cast("int") % 2))
+    fit, seen = BisectingKMeans.fit, []
+
+    def noted(self, data, *a):
+        seen.append((data.count(), self.getWeightCol()))
+        return fit(self, data, *a)
+
+    whole = fit(BisectingKMeans(k=4, seed=42), df.select(array_to_vector(F.array("u", "v")).alias("features")))
+    want = sorted(whole.transform(df.select(array_to_vector(F.array("u", "v")).alias("features"))).groupBy("prediction").count().toPandas()["count"])
+    monkeypatch.setattr(BisectingKMeans, "fit", noted)
+    monkeypatch.setattr(embed, "lasso_importance", lambda table, columns, *_, **__: spark.createDataFrame([(c, 1.0) for c in columns], "feature string, importance double"))
+    out = embed.stratifying_clusters(df, "file", "endpoint", ["u", "v"], hash_order("event_id"), clusters=4).toPandas()
+    assert seen == [(16, "weight")] and sorted(out["n"]) == want
