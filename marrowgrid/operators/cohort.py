@@ -91,12 +91,14 @@ def balanced_pool(
     """
     is_patho = F.col(condition) == patho
     patient, normal = events.where(is_patho), events.where(~is_patho)
-    sizes = as_model(normal.groupBy(file).agg(F.count("*").alias("_size")))
+    # one scan counts both sides
+    sides = as_model(events.groupBy(file).agg(F.count_if(is_patho).alias("_patients"), F.count_if(~is_patho).alias("_size")))
+    sizes = sides.where("_size > 0").drop("_patients")
     n_files = sizes.count()
-    wanted = round(patient.count() * ratio)
+    wanted = round((sides.agg(F.sum("_patients")).first()[0] or 0) * ratio)
     quota = -(-wanted // max(n_files, 1))
     if not replace:
-        return patient.unionByName(smallest(normal, [file], quota, order))
+        return patient.unionByName(smallest(normal, [file], quota, order, sizes=sizes))
     # copy i of a row is row number rank + i * size of an endless deck; cards
     # up to the quota are dealt, so only the last, partial deal needs ranks
     full = F.floor(F.lit(quota) / F.col("_size"))
@@ -116,8 +118,17 @@ def pool_per_patient(
     all of it.  The pool is ranked once per file up to the largest quota; a
     row goes to each patient whose quota reaches its rank.
     """
-    sizes = pool.groupBy(file).agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("*").alias("files")).first()
+    chosen, wanted = ranked_pool(patients, pool, order, patient=patient, file=file, ratio=ratio, n_files=n_files)
+    return dealt(chosen.drop(patient), wanted.withColumnRenamed("quota", "_rank"))
+
+
+def ranked_pool(
+    patients: DataFrame, pool: DataFrame, order: Column, *, patient: str = "patient_id", file: str = "file_origin",
+    ratio: float = 2.0, n_files: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The pool up to the largest quota with ``_rank`` in the file, and the ``quota`` of every patient."""
+    files = as_model(pool.groupBy(file).agg(F.count("*").alias("_size")))
+    sizes = files.agg(F.sum("_size").alias("rows"), F.max("_size").alias("top"), F.count("*").alias("files")).first()
     n_files = n_files or sizes["files"]
     target = F.floor(F.count("*") * ratio)
     wanted = patients.groupBy(patient).agg(
@@ -125,7 +136,11 @@ def pool_per_patient(
         .otherwise(F.greatest(F.lit(1), F.floor(target / max(n_files, 1)))).cast("long").alias("quota")).where("quota > 0")
     wanted = as_model(wanted)
     top = wanted.agg(F.max("quota")).first()[0] or 0
-    chosen = smallest(pool, [file], top, order, rank="_rank")
-    # patients ask for ranks 1..quota, an equality join deals the rows
-    asked = wanted.select(patient, F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("_rank"))
-    return chosen.drop(patient).join(asked, "_rank").drop("_rank")
+    return smallest(pool, [file], top, order, rank="_rank", sizes=files), wanted
+
+
+def dealt(rows: DataFrame, wanted: DataFrame, rank: str = "_rank") -> DataFrame:
+    """Every row to each patient of ``wanted`` whose ``rank`` is not below the row's."""
+    # patients ask for ranks 1.., an equality join deals the rows
+    asked = wanted.withColumn(rank, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rank))))
+    return rows.join(asked, rank).drop(rank)

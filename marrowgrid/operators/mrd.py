@@ -116,6 +116,11 @@ def mrd_summary(events: DataFrame, rules: MrdRules = MrdRules(), by: Sequence[st
     return summarize(mrd_nodes(events, rules, by, **kw), by, rules)
 
 
+def counted_summary(counts: DataFrame, rules: MrdRules = MrdRules(), by: Sequence[str] = ("patient_id",)) -> DataFrame:
+    """:func:`mrd_summary` from node counts."""
+    return summarize(flag_nodes(node_shares(counts, by), rules), by, rules)
+
+
 def flagged_view(nodes: DataFrame, method: str, by: Sequence[str] = ("patient_id",)) -> DataFrame:
     """Flagged nodes of one method, ranked by their patient share."""
     order = Window.partitionBy(*by).orderBy(F.desc("pct_patho"), "node_id")

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrowgrid.functions.vectors import matrix_of, nearest, squared_distances
 from marrowgrid.operators.neighbors import SHIPPED_NUMBERS, nearest_code
 from marrowgrid.operators.selection import hash_order, smallest
-from marrowgrid.operators.sizing import folded, model_rows
+from marrowgrid.operators.sizing import as_model, folded, model_rows
 
 # Limits of the heuristics.
 MIN_EPOCHS, MAX_EPOCHS, SMALL_SAMPLE, SMALL_SIDE, START_QUANTILE = 10, 100, 50_000, 7, 0.67
@@ -66,12 +66,14 @@ class SomModel:
         return out if not self.metaclusters else out.join(self._labels(out), [*([self.model] if self.model else []), node], "left")
 
     def _labels(self, like: DataFrame) -> DataFrame:
-        spark = like.sparkSession
         rows = [(k, i, int(m)) for k, labels in self.metaclusters.items() for i, m in enumerate(labels)]
+        fields = [T.StructField("node_id", T.LongType()), T.StructField("metacluster", T.IntegerType())]
         if self.model is None:
-            return spark.createDataFrame([r[1:] for r in rows], "node_id long, metacluster int")
-        kind = like.schema[self.model].dataType.simpleString()
-        return spark.createDataFrame(rows, f"`{self.model}` {kind}, node_id long, metacluster int")
+            rows = [r[1:] for r in rows]
+        else:
+            fields = [like.schema[self.model], *fields]
+        # a local relation, whose size is known
+        return as_model(like.sparkSession.createDataFrame(rows, T.StructType(fields)))
 
     def _in_groups(self, events: DataFrame, x: str, node: str, distance: str) -> DataFrame:
         """Assign with as many codebooks at a time as may travel to a task."""
@@ -193,15 +195,17 @@ def _moved(book: np.ndarray, n: np.ndarray, s: np.ndarray, grid: np.ndarray, rad
 def fit_som(
     events: DataFrame, *, x: str = "x", key: Sequence[str] = ("event_id",), model: str | None = None, xdim: int = 10, ydim: int = 10,
     epochs: int | None = None, weights: Sequence[float] | None = None, seed: int = 42, tol: float = 0.0,
-    shipped_numbers: int = SHIPPED_NUMBERS,
+    shipped_numbers: int = SHIPPED_NUMBERS, rows: DataFrame | None = None,
 ) -> SomModel:
     """Train one map, or one per ``model`` key, over all events.
 
     Codes start as distinct-row samples in hash order; the neighbourhood
     shrinks from the 0.67 quantile of the grid distances to the node itself.
+    ``rows`` are the same events as :func:`sizing.folded` holds them, where the
+    caller has them; the events then only give the start.
     """
     # the keys only pick the start, they need not be cached
-    source = folded(events.select(*([model] if model else []), x))
+    source = folded(events.select(*([model] if model else []), x)) if rows is None else rows
     try:
         n, d = source.agg(F.sum("_n"), F.max(F.size(x))).first()
         by = [model] if model else []
@@ -212,7 +216,8 @@ def fit_som(
             keys = sorted(r[0] for r in model_rows(source.select(model).distinct().where(F.col(model).isNotNull())))
             groups = [keys[i:i + held] for i in range(0, len(keys), held)]
             fits = [fit_som(events.where(F.col(model).isin(g)), x=x, key=key, model=model, xdim=xdim, ydim=ydim, epochs=epochs,
-                            weights=weights, seed=seed, tol=tol, shipped_numbers=shipped_numbers) for g in groups]
+                            weights=weights, seed=seed, tol=tol, shipped_numbers=shipped_numbers,
+                            rows=None if rows is None else rows.where(F.col(model).isin(g))) for g in groups]
             joined = {k: c for f in fits for k, c in f.codes.items()}
             return SomModel(xdim, ydim, joined, fits[0].weights, model, shipped_numbers=shipped_numbers)
         w = None if weights is None else np.asarray(weights, dtype=float)
@@ -221,7 +226,8 @@ def fit_som(
         books = _train(source, books, w, model, x, d, grid_distances(xdim, ydim), epochs or epochs_for(n // max(models, 1)), tol)
         return SomModel(xdim, ydim, books, w, model)
     finally:
-        source.unpersist()
+        if rows is None:
+            source.unpersist()
 
 
 def fit_soms(

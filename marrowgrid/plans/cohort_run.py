@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrowgrid.functions import blast
 from marrowgrid.functions.transforms import transform_markers
 from marrowgrid.functions.vectors import vector
 from marrowgrid.operators import mapping, metacluster, mrd, normalize, som, validate
-from marrowgrid.operators.cohort import balanced_pool, pool_per_patient
+from marrowgrid.operators.cohort import balanced_pool, dealt, ranked_pool
 from marrowgrid.operators.gating import gating_log, standard_masks
 from marrowgrid.operators.quantiles import medians
-from marrowgrid.operators.sizing import as_model
+from marrowgrid.operators.selection import hash_order, smallest
+from marrowgrid.operators.sizing import as_model, cached, counted
 from marrowgrid.session import staged
 
 
@@ -58,15 +59,24 @@ def cluster(
     ``ks`` chooses the number of metaclusters for a single map.
     """
     data = staged(events.withColumn("x", vector(settings.markers)), "vectors")
-    fitted = som.fit_som(data, key=key, model=model, xdim=settings.xdim, ydim=settings.ydim, epochs=settings.epochs)
+    fitted = fit(data, settings, key, model, ks)
+    return fitted.transform(data), fitted
+
+
+def fit(
+    data: DataFrame, settings: Settings, key: Sequence[str] = ("event_id",), model: str | None = None, ks: Sequence[int] | None = None,
+    rows: DataFrame | None = None,
+) -> som.SomModel:
+    """Trained and metaclustered map(s) of vectors ``x``; ``rows`` are the events with their number as ``fit_som`` takes them."""
+    fitted = som.fit_som(data, key=key, model=model, xdim=settings.xdim, ydim=settings.ydim, epochs=settings.epochs, rows=rows)
     k = settings.metaclusters
     if ks is not None and model is None:
         k, _ = metacluster.choose_k(data, fitted.codes[None], ks, key=key, xdim=settings.xdim, ydim=settings.ydim, epochs=settings.epochs)
     names = {str(m): m for m in fitted.codes}
-    for row in metacluster.metacluster(fitted.codebook(events.sparkSession), k).collect():
+    for row in metacluster.metacluster(fitted.codebook(data.sparkSession), k).collect():
         labels = fitted.metaclusters.setdefault(names[row["model_id"]], [0] * (settings.xdim * settings.ydim))
         labels[row["node_id"]] = row["metacluster"]
-    return fitted.transform(data), fitted
+    return fitted
 
 
 def patient_runs(
@@ -78,15 +88,39 @@ def patient_runs(
     Each patient gets its own share of the pool and its own map; all maps
     train in the same jobs.  A patient is scaled by its own rows and the pool
     once by the whole pool, so no result depends on the other patients.
+
+    Maps and summary come from equal rows with their number; pool rows are
+    folded before they are dealt, by the patients that get them.  The labelled
+    events are made when they are asked for.
     """
     moved = transform_markers(events, settings.markers, settings.transform)
     ill = normalize.normalize(
         moved.where(F.col(condition) == rules.patho), settings.markers, settings.normalization, "sample", patient)
     pool = normalize.normalize(moved.where(F.col(condition) == rules.sain), settings.markers, settings.normalization)
-    shared = pool_per_patient(ill, pool, order, patient=patient, ratio=ratio)
-    labelled, _ = cluster(ill.unionByName(shared.select(*ill.columns)), settings, model=patient)
-    labelled = staged(labelled, "labelled")
-    return labelled, mrd.mrd_summary(labelled, rules, [patient])
+    ranked, wanted = ranked_pool(ill, pool, order, patient=patient, ratio=ratio)
+    ranked, by_quota = staged(ranked.drop(patient), "pool"), Window.orderBy("quota")
+    # a step is a range of ranks that the same patients get
+    steps = wanted.select("quota").distinct().select(
+        "quota", F.row_number().over(by_quota).cast("long").alias("_step"), (F.lag("quota", 1, 0).over(by_quota) + 1).alias("_first"))
+    reached = as_model(steps.select("_step", F.explode(F.sequence("_first", "quota")).alias("_rank")))
+    pooled, takers = ranked.join(reached, "_rank"), as_model(wanted.join(steps, "quota").select(patient, "_step"))
+    shares = dealt(counted(pooled.select("_step", condition, *settings.markers)), takers, "_step")
+    # codes start at the first rows in hash order; those of a patient's steps are among the first of each step
+    first = smallest(pooled.select("event_id", "_step", *settings.markers), ["_step"], settings.xdim * settings.ydim, hash_order("event_id"), ties=["event_id"])
+    start = ill.select("event_id", patient, *settings.markers).unionByName(
+        dealt(first, takers, "_step").select("event_id", patient, *settings.markers)).withColumn("x", vector(settings.markers))
+    own = counted(ill.select(patient, condition, *settings.markers))
+    kinds = cached(own.unionByName(shares.select(*own.columns)).select(patient, condition, "_n", vector(settings.markers).alias("x")))
+    try:
+        fitted = fit(start, settings, model=patient, rows=kinds)
+        placed = fitted.transform(kinds)
+        number = lambda c: F.sum(F.when(F.col(condition) == c, F.col("_n")).otherwise(0))
+        counts = as_model(placed.groupBy(patient, "node_id").agg(
+            F.sum("_n").alias("n_total"), number(rules.sain).alias("n_sain"), number(rules.patho).alias("n_patho")))
+    finally:
+        kinds.unpersist()
+    events = ill.unionByName(dealt(ranked, wanted.withColumnRenamed("quota", "_rank")).select(*ill.columns))
+    return fitted.transform(events.withColumn("x", vector(settings.markers))), mrd.counted_summary(counts, rules, [patient])
 
 
 def combined_run(events: DataFrame, settings: Settings, order: Column) -> dict[str, DataFrame]:

@@ -149,3 +149,28 @@ def test_communities_settle_and_are_numbered_by_size(spark):
     nodes = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 10, 11, 12, 20)], "query_id long")
     got = {r["query_id"]: r["community"] for r in graph.propagate_labels(nodes, edges).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 1, 11: 1, 12: 1, 20: 2}
+
+
+def test_summary_from_equal_rows_equals_that_of_the_labelled_events(spark, sf_dir):
+    """Rows four times over; quotas of the patients differ, one lacks normal rows of its own."""
+    from marrowgrid.operators import mrd
+
+    settings = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=3, ydim=3, epochs=3, metaclusters=3)
+    few = cells(spark, sf_dir).drop("node_id", "metacluster").where("patient_id < 4 AND (patient_id <> 2 OR condition = 'Pathologique')")
+    events = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("patient_id") == 1, 7).otherwise(3)))) \
+        .withColumn("event_id", F.concat_ws("-", "event_id", "copy")).drop("copy")
+    labelled, summary = run.patient_runs(events, settings, hash_order("event_id"), ratio=0.5)
+    assert "metacluster" in labelled.columns and labelled.where("node_id IS NULL").isEmpty()
+    assert sorted(summary.collect()) == sorted(mrd.mrd_summary(labelled).select(*summary.columns).collect())
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_first_rows_of_large_groups_under_a_bound(spark, even):
+    """Also where hashes of a group are not spread, and with a group without name."""
+    df = spark.range(12_000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, "b").alias("g"))
+    order = hash_order("id") if even else F.concat(F.lit("f"), hash_order("id"))
+    want = {}
+    for r in df.withColumn("h", order).orderBy("h").collect():
+        want.setdefault(r.g, []).append(r.id)
+    got = smallest(df, ["g"], 20, order, ties=["id"]).collect()
+    assert sorted((str(r.g), r.id) for r in got) == sorted((str(g), i) for g, ids in want.items() for i in ids[:20])
