@@ -466,8 +466,7 @@ def patient_runs(spark, sf_dir):
 
 @query("C16_combined_run")
 def combined_run(spark, sf_dir):
-    tables = run.combined_run(cells(spark, sf_dir), SETTINGS, order())
-    return tables["cells"].groupBy("metacluster", "condition").agg(F.count("*").alias("n"))
+    return run.combined_run(cells(spark, sf_dir), SETTINGS, order(), ["conditions"])["conditions"]
 
 
 @query("B8_mapping_service", f"""WITH {CELLS}, {MED}, {OTSU}

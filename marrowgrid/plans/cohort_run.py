@@ -16,7 +16,7 @@ from marrowgrid.operators.cohort import balanced_pool, dealt, ranked_pool
 from marrowgrid.operators.gating import gating_log, standard_masks
 from marrowgrid.operators.quantiles import medians
 from marrowgrid.operators.selection import hash_order, smallest
-from marrowgrid.operators.sizing import as_model, cached, counted
+from marrowgrid.operators.sizing import as_model, cached, counted, folded
 from marrowgrid.session import staged
 
 
@@ -123,19 +123,33 @@ def patient_runs(
     return fitted.transform(events.withColumn("x", vector(settings.markers))), mrd.counted_summary(counts, rules, [patient])
 
 
-def combined_run(events: DataFrame, settings: Settings, order: Column) -> dict[str, DataFrame]:
-    """Gate, scale, balance, cluster and summarise one cohort."""
+TABLES = ("cells", "log", "codebook", "mfi", "counts", "conditions")
+
+
+def combined_run(events: DataFrame, settings: Settings, order: Column, tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+    """Gate, scale, balance, cluster and summarise one cohort; ``tables`` are the results to return.
+
+    The map and the counts come from equal rows with their number; the labelled cells are made when they are asked for.
+    """
     ready, log = preprocess(events, settings)
-    pool = balanced_pool(ready, order, ratio=settings.balance_ratio)
-    labelled, fitted = cluster(pool.drop("node_id", "metacluster"), settings)
-    labelled = staged(labelled, "labelled")
-    return {
-        "cells": labelled,
-        "log": log,
-        "codebook": fitted.codebook(events.sparkSession),
-        "mfi": medians(labelled, ["metacluster"], {m: m for m in settings.markers}),
-        "counts": labelled.groupBy("node_id").agg(F.count("*").alias("n")),
+    pool = balanced_pool(ready, order, ratio=settings.balance_ratio).drop("node_id", "metacluster")
+    data = staged(pool.select("event_id", "condition", *settings.markers), "vectors").withColumn("x", vector(settings.markers))
+    kinds = folded(data.select("condition", "x"))
+    try:
+        fitted = fit(data, settings, rows=kinds)
+        counts = as_model(fitted.transform(kinds).groupBy("node_id", "metacluster", "condition").agg(F.sum("_n").alias("n")))
+    finally:
+        kinds.unpersist()
+    labelled = fitted.transform(data.drop("event_id", "condition"))
+    made = {
+        "cells": lambda: fitted.transform(pool.withColumn("x", vector(settings.markers))),
+        "log": lambda: log,
+        "codebook": lambda: fitted.codebook(events.sparkSession),
+        "mfi": lambda: medians(labelled, ["metacluster"], {m: m for m in settings.markers}),
+        "counts": lambda: counts.groupBy("node_id").agg(F.sum("n").alias("n")),
+        "conditions": lambda: counts.groupBy("metacluster", "condition").agg(F.sum("n").alias("n")),
     }
+    return {name: made[name]() for name in tables}
 
 
 def map_and_score(

@@ -164,6 +164,15 @@ def test_summary_from_equal_rows_equals_that_of_the_labelled_events(spark, sf_di
     assert sorted(summary.collect()) == sorted(mrd.mrd_summary(labelled).select(*summary.columns).collect())
 
 
+def test_counts_of_the_combined_run_equal_its_cells(spark, sf_dir):
+    settings = run.Settings(("CD45", "CD34", "HLA_DR"), xdim=3, ydim=3, epochs=3, metaclusters=3, min_cells=1)
+    tables = run.combined_run(cells(spark, sf_dir), settings, hash_order("event_id"))
+    held = tables["cells"]
+    assert sorted(tables["conditions"].collect()) == sorted(held.groupBy("metacluster", "condition").agg(F.count("*").alias("n")).collect())
+    assert sorted(tables["counts"].collect()) == sorted(held.groupBy("node_id").agg(F.count("*").alias("n")).collect())
+    assert tables["mfi"].count() == held.select("metacluster").distinct().count()
+
+
 @pytest.mark.parametrize("even", [True, False])
 def test_first_rows_of_large_groups_under_a_bound(spark, even):
     """Also where hashes of a group are not spread, and with a group without name."""
@@ -174,3 +183,11 @@ def test_first_rows_of_large_groups_under_a_bound(spark, even):
         want.setdefault(r.g, []).append(r.id)
     got = smallest(df, ["g"], 20, order, ties=["id"]).collect()
     assert sorted((str(r.g), r.id) for r in got) == sorted((str(g), i) for g, ids in want.items() for i in ids[:20])
+
+
+def test_groups_within_their_quota_are_not_ranked(spark):
+    df = spark.range(3_000).select("id", F.when(F.col("id") < 400, "large").when(F.col("id") % 7 > 0, (F.col("id") % 60).cast("string")).alias("g"))
+    sizes = df.groupBy("g").agg(F.count("*").alias("_size"))
+    order = hash_order("id")
+    got = smallest(df, ["g"], 380, order, sizes=sizes)
+    assert sorted(got.collect(), key=str) == sorted(smallest(df, ["g"], 380, order).collect(), key=str)
