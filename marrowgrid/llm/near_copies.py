@@ -196,8 +196,26 @@ def _crowded(prefixes: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return top["token"].to_numpy(), top["size"].to_numpy()
 
 
-def _holding(nodes: DataFrame, tokens: np.ndarray) -> DataFrame:
-    """``node, id`` of the texts with one of these shingles in their prefix."""
+def _prefixes(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, id, prefix`` of one text of each node, without a shuffle of the prefixes of texts that have no copy."""
+    context = marked.sparkSession.sparkContext
+    sent = context.broadcast((_bitmap(nodes.where("copies > 1"), "node"), _bitmap(nodes, "row")))
+
+    def run(batches, alone: bool):
+        several, chosen = sent.value
+        for batch in batches:
+            copied = _marked_in(several, batch["of"].to_numpy())
+            keep = ~copied if alone else copied & _marked_in(chosen, batch["at"].to_numpy())
+            yield batch.filter(pa.array(keep)).drop_columns(["of", "at"])
+
+    given = marked.select("node", F.col("doc_id").alias("id"), "prefix", "row", _slot(F.col("node")).alias("of"), _slot(F.col("row")).alias("at"))
+    schema = "node long, id long, prefix array<long>, row long"
+    copied = staged(given.mapInArrow(lambda b: run(b, False), schema).join(nodes.select("row"), "row", "left_semi").drop("row"), "copied")
+    return given.mapInArrow(lambda b: run(b, True), schema).drop("row").unionByName(copied)
+
+
+def _holding(nodes: DataFrame, tokens: np.ndarray, hold: bool = True) -> DataFrame:
+    """``node, id`` of the texts with one of these shingles in their prefix; without ``hold`` ``node, prefix`` of the others."""
     sent = nodes.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches):
@@ -205,9 +223,13 @@ def _holding(nodes: DataFrame, tokens: np.ndarray) -> DataFrame:
             lists = batch["prefix"]
             hit = _among(sent.value, lists.flatten().to_numpy())
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            yield batch.select(["node", "id"]).take(pa.array(np.unique(row[hit])))
+            found = np.unique(row[hit])
+            if hold:
+                yield batch.select(["node", "id"]).take(pa.array(found))
+            else:
+                yield batch.select(["node", "prefix"]).take(pa.array(np.setdiff1d(np.arange(batch.num_rows), found)))
 
-    return nodes.select("node", "id", "prefix").mapInArrow(run, "node long, id long")
+    return nodes.select("node", "id", "prefix").mapInArrow(run, "node long, id long" if hold else "node long, prefix array<long>")
 
 
 def _common_last(docs: DataFrame, nodes: DataFrame, crowded: np.ndarray, width: int, least: float) -> DataFrame:
@@ -256,7 +278,7 @@ def _common_last(docs: DataFrame, nodes: DataFrame, crowded: np.ndarray, width:
     # the prefix of any other text has none of these shingles, so it is the same in the new order
     moved = staged(_holding(nodes, known), "moved")
     fresh = _text_sets(docs, moved, width, prefixes, "node long, prefix array<long>")
-    return nodes.select("node", "prefix").join(moved, "node", "left_anti").unionByName(fresh)
+    return _holding(nodes, known, False).unionByName(fresh)
 
 
 def _meetings(prefixes: DataFrame) -> DataFrame:
@@ -481,15 +503,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     deviation of six; pairs beyond ``WIDE_RADIUS`` bits are not looked at.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    marked = staged(_marked(docs, width, least), "marked")
+    marked = staged(_marked(docs, width, least).withColumn("row", F.monotonically_increasing_id()), "marked")
     # a set (node) is known by the least id that has it
     nodes = staged(marked.groupBy("node").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"),
-        F.first("prefix").alias("prefix")), "nodes")
-    prefixes = nodes.select("node", "prefix")
+        F.min("row").alias("row")), "nodes")
+    prefixes = _prefixes(marked, nodes)
     crowded, _ = _crowded(prefixes, _buckets(prefixes))
     if len(crowded):
-        prefixes = staged(_common_last(docs, nodes, crowded, width, least), "prefixes")
+        prefixes = staged(_common_last(docs, prefixes, crowded, width, least), "prefixes")
     near = _groups(candidates(nodes.select("node", "id", "n", "fp"), prefixes, tile)).withColumnsRenamed({"node": "id", "root": "group"})
     groups = staged(nodes.select("node", "id", "n").join(near, "id"), "candidates")
     sets = staged(_sets(docs, groups, width), "sets")

@@ -258,3 +258,16 @@ def test_close_pairs_equal_all_pairs():
     assert found == want and len(want) >= 20
     inside = {(int(i), int(j)) for x, y in simhash.close_pairs(b, b, True) for i, j in zip(x, y)}
     assert all(i < j for i, j in inside)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 7])
+def test_prefixes_of_one_text_of_each_node(spark, monkeypatch, bits):
+    """Also where the sets of bits are so small that most nodes and rows meet there by chance."""
+    monkeypatch.setattr(near_copies, "ID_BITS", bits)
+    rows = [(n * 100 + i, n, i, [n, n + i]) for n in range(300) for i in range(1 if n % 3 else 4)]
+    marked = spark.createDataFrame([(d, n, p, r) for r, (d, n, _, p) in enumerate(rows)], "doc_id long, node long, prefix array<long>, row long")
+    nodes = marked.groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
+    got = sorted((r.node, r.id, r.prefix) for r in near_copies._prefixes(marked, nodes).collect())
+    assert got == [(n, n * 100, [n, n]) for n in range(300)]
+    rest = sorted(r.node for r in near_copies._holding(near_copies._prefixes(marked, nodes), np.arange(0, 300, 2), False).collect())
+    assert rest == list(range(1, 300, 2))
