@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marrowgrid.llm import divergence_rules, near_copies, packing, quality_cotraining
 from marrowgrid.llm.common import table
-from marrowgrid.session import staged
+from marrowgrid.session import shuffles_released, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,12 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of one id are one document; of different rows the first by text and then by the other columns stays.
     Rows without id cannot be told apart and stay.
     """
-    found = near_copies.similar_documents(docs)
-    dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
+    docs = docs.select(*COLUMNS)
+    with shuffles_released(spark):
+        found = near_copies.similar_documents(docs)
+        dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+        kept = near_copies.without(docs, dropped)
+        repeated = staged(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+        if repeated.isEmpty():
+            return kept
     first = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
     return kept.join(repeated, "doc_id", "left_anti").unionByName(first.select("doc_id", "row.*"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marrowgrid.llm.common import components, slices, utf8
 from marrowgrid.llm.simhash import WIDE_RADIUS, close_pairs, sketch
-from marrowgrid.session import staged
+from marrowgrid.session import staged, unstaged
 
 WIDTH, SIMILAR = 5, 0.8
 #: texts of a tile, texts and shingles of a block that is confirmed at once
@@ -75,11 +75,21 @@ def _slot(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(ID_BITS))
 
 
+def _place(*columns: str) -> tuple[Column, Column]:
+    """Word of the set that has a row's slot, and its bit there."""
+    slot = _slot(*map(F.col, columns))
+    return F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+
+def _words(wanted: DataFrame, *columns: str) -> DataFrame:
+    """``at, bits``: the words of the set of the rows' slots, at most ``ID_BITS / 64``."""
+    at, bit = _place(*columns)
+    return wanted.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+
+
 def _bitmap(wanted: DataFrame, *columns: str) -> np.ndarray:
     """Set of the rows' slots, in 8 MB whatever their number; merged in Spark."""
-    slot = _slot(*map(F.col, columns))
-    words = wanted.select(F.floor(slot / 64).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")) \
-        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = _words(wanted, *columns).toArrow()
     held = np.zeros(ID_BITS // 64, np.int64)
     held[words["at"].to_numpy()] = words["bits"].to_numpy()
     return held.view(np.uint64)
@@ -89,6 +99,21 @@ def _marked_in(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of other ids than the given ``doc_id``, and rows without id; whole rows are not shuffled for the many of them.
+
+    Rows whose id is not in the set of bits stay.  Of the others only ids meet the given ones, and those that were there by
+    chance, one in a thousand or so, are joined to their rows.  The set has a bounded number of words, so it is broadcast.
+    """
+    at, bit = _place("doc_id")
+    words = F.broadcast(staged(_words(ids, "doc_id"), "words"))
+    looked_up = docs.withColumn("_at", at).join(words.withColumnsRenamed({"at": "_at", "bits": "_bits"}), "_at", "left")
+    hit = F.col("doc_id").isNotNull() & (F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(bit) != 0)
+    rest, hits = (looked_up.where(w).select(*docs.columns) for w in (~hit, hit))
+    chance = staged(hits.select("doc_id").distinct().join(ids, "doc_id", "left_anti"), "chance")
+    return rest if chance.isEmpty() else rest.unionByName(hits.join(chance, "doc_id", "left_semi"))
+
+
 def _text_sets(docs: DataFrame, wanted: DataFrame, width: int, then, schema: str) -> DataFrame:
     """``then(batches)`` over ``(nodes, sets)`` of the texts of the wanted ``node, id``, in one pass without a shuffle.
 
@@ -210,7 +235,7 @@ def _prefixes(marked: DataFrame, nodes: DataFrame) -> DataFrame:
 
     given = marked.select("node", F.col("doc_id").alias("id"), "prefix", "row", _slot(F.col("node")).alias("of"), _slot(F.col("row")).alias("at"))
     schema = "node long, id long, prefix array<long>, row long"
-    copied = staged(given.mapInArrow(lambda b: run(b, False), schema).join(nodes.select("row"), "row", "left_semi").drop("row"), "copied")
+    copied = given.mapInArrow(lambda b: run(b, False), schema).join(nodes.select("row"), "row", "left_semi").drop("row")
     return given.mapInArrow(lambda b: run(b, True), schema).drop("row").unionByName(copied)
 
 
@@ -396,12 +421,11 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def candidates(nodes: DataFrame, prefixes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links of ids whose texts (``node, id, n, fp``) share a prefix shingle and are near in bits.
+def candidates(nodes: DataFrame, met: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links of ids whose texts (``node, id, n, fp``) share a prefix shingle (``met``, as by ``_meetings``) and are near in bits.
 
     The groups that they make hold every pair that is alike.
     """
-    met = staged(_meetings(prefixes), "met")
     home = met.groupBy("node").agg(F.max(F.struct("size", "token")).alias("home")) \
         .select("node", F.col("home.token").alias("cell"), F.col("home.size").alias("size"))
     links = staged(_in_cells(home.join(nodes, "node").withColumn("label", F.col("id")), tile, False), "links")
@@ -508,19 +532,27 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: float = SIMILA
     nodes = staged(marked.groupBy("node").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"),
         F.min("row").alias("row")), "nodes")
-    prefixes = _prefixes(marked, nodes)
+    # staged, so that no later task runs two Python workers at a time, one for this filter and one for what reads it
+    prefixes = staged(_prefixes(marked, nodes), "own")
+    ids = staged(marked.select("doc_id", "node"), "ids")
+    unstaged(marked)
     crowded, _ = _crowded(prefixes, _buckets(prefixes))
     if len(crowded):
-        prefixes = staged(_common_last(docs, prefixes, crowded, width, least), "prefixes")
-    near = _groups(candidates(nodes.select("node", "id", "n", "fp"), prefixes, tile)).withColumnsRenamed({"node": "id", "root": "group"})
+        own, prefixes = prefixes, staged(_common_last(docs, prefixes, crowded, width, least), "prefixes")
+        unstaged(own)
+    met = staged(_meetings(prefixes), "met")
+    unstaged(prefixes)
+    near = _groups(candidates(nodes.select("node", "id", "n", "fp"), met, tile)).withColumnsRenamed({"node": "id", "root": "group"})
+    unstaged(met)
     groups = staged(nodes.select("node", "id", "n").join(near, "id"), "candidates")
     sets = staged(_sets(docs, groups, width), "sets")
-    several = marked.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("doc_id")
-    own = marked.select("doc_id", "node").join(several, "doc_id").join(nodes.select("node", "id"), "node").select(
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("doc_id")
+    own = ids.join(several, "doc_id").join(nodes.select("node", "id"), "node").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b"))
     root = _groups(confirmed(groups, sets, least, block).unionByName(own)).withColumnsRenamed({"node": "id", "root": "component_id"})
+    unstaged(sets)
     # only sets of several documents, or with alike ones, meet the documents again
     named = staged(nodes.join(root, "id", "left").where("copies > 1 OR component_id IS NOT NULL")
                    .select("node", F.coalesce("component_id", "id").alias("component_id")), "named")
-    return marked.select("doc_id", "node").join(named, "node", "left").select(
+    return ids.join(named, "node", "left").select(
         "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

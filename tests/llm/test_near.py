@@ -271,3 +271,31 @@ def test_prefixes_of_one_text_of_each_node(spark, monkeypatch, bits):
     assert got == [(n, n * 100, [n, n]) for n in range(300)]
     rest = sorted(r.node for r in near_copies._holding(near_copies._prefixes(marked, nodes), np.arange(0, 300, 2), False).collect())
     assert rest == list(range(1, 300, 2))
+
+
+def test_no_task_runs_two_python_steps(documents, monkeypatch):
+    """Prefixes are read from a table, so a task has one Python worker and not a second one that makes them."""
+    plans = []
+    for name in ("_dealt", "_holding"):
+        def step(prefixes, *rest, inner=getattr(near_copies, name)):
+            plans.append(prefixes._jdf.queryExecution().optimizedPlan().toString())
+            return inner(prefixes, *rest)
+
+        monkeypatch.setattr(near_copies, name, step)
+    monkeypatch.setattr(near_copies, "CROWDED", 4)
+    near_copies.similar_documents(documents)
+    assert len(plans) >= 5 and not any("MapInArrow" in p for p in plans)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 7])
+@pytest.mark.parametrize("share", [0, 3, 1])
+def test_rows_without_the_given_ids(spark, monkeypatch, bits, share):
+    """Also where most ids meet a given one in the set of bits by chance, and where none or all are given."""
+    monkeypatch.setattr(near_copies, "ID_BITS", bits)
+    rows = [(i % 200 - 20, f"text {i}") for i in range(240)] + [(None, "no id"), (None, None)]
+    given = [i for i in range(-20, 180) if share and i % share == 0]
+    ids = spark.createDataFrame([(i,) for i in given], "doc_id long")
+    got = near_copies.without(spark.createDataFrame(rows, DOCS), ids)
+    assert got.columns == ["doc_id", "text"]
+    want = [r for r in rows if r[0] not in given]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

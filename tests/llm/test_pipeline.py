@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marrowgrid import session
 from marrowgrid.llm import divergence_rules, quality_cotraining, queries
 from tests.llm.test_near import plain_similar
 
@@ -50,5 +51,24 @@ def test_repeated_rows_are_one_document(spark, sf_dir, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (False, 7), (True, 0)]
 
 
+def test_near_duplicates_keep_no_large_table(spark, sf_dir, documents, monkeypatch, tmp_path):
+    """Prefixes, meetings and shingle sets go once they are used, and the setting that releases shuffle files is put back."""
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    assert STAGES["near duplicates"](spark, documents, sf_dir).count() > 0
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "dropped" in left and not left & {"marked", "own", "prefixes", "met", "sets"}
+    assert spark.conf.get(key) == before
+
+
+def test_only_stage_tables_can_be_removed(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    with pytest.raises(KeyError):
+        session.unstaged(given)
+    assert given.count() == 3
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
