@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's input.  All stages but the last return the columns of ``documents``.
+stage's input.  All stages but the last return the columns of ``documents``.  A stage leaves the session with Arrow batches
+of ``BATCH_ROWS`` rows, since what it returns is computed after it.
 """
 
 from __future__ import annotations
@@ -15,10 +16,17 @@ from marrowgrid.llm.common import table
 from marrowgrid.session import shuffles_released, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: rows that a task hands to Python at once; texts of 10 000 rows, Spark's default, take up to 64 MB there and more in the JVM
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the co-trained classifier rejects; every labelled document at hand is learnt from."""
+    _small_batches(spark)
     features = quality_cotraining.with_labels(docs, table(spark, sf_dir, "labels"))
     model = quality_cotraining.fit(features)
     return docs.where(quality_cotraining.keeps(docs, model)).select(*COLUMNS)
@@ -26,6 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the counting and divergence rules reject, against references of the documents at hand."""
+    _small_batches(spark)
     known = divergence_rules.references(docs)
     return docs.where(divergence_rules.passes(docs, known)).select(*COLUMNS)
 
@@ -36,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of one id are one document; of different rows the first by text and then by the other columns stays.
     Rows without id cannot be told apart and stay.
     """
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     with shuffles_released(spark):
         found = near_copies.similar_documents(docs)
@@ -50,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the token ids of the remaining documents into sequences."""
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -62,6 +62,18 @@ def test_near_duplicates_keep_no_large_table(spark, sf_dir, documents, monkeypat
     assert spark.conf.get(key) == before
 
 
+@pytest.mark.parametrize("name", list(STAGES))
+def test_texts_go_to_python_in_small_batches(spark, sf_dir, none, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        STAGES[name](spark, none, sf_dir)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_only_stage_tables_can_be_removed(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "given"))
     given = spark.read.parquet(str(tmp_path / "given"))
