@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrowgrid.functions.vectors import matrix_of, nearest
-from marrowgrid.operators.sizing import model_rows
+from marrowgrid.operators.sizing import folded, model_rows
 
 # Consensus and selection parameters.
 RESAMPLES, RESAMPLE_SHARE, RUNS_PER_TASK = 100, 0.9, 10
@@ -178,8 +178,9 @@ def adjusted_rand(counts: np.ndarray) -> float:
 def _contingency(events: DataFrame, books: Sequence[np.ndarray], x: str = "x") -> DataFrame:
     """(a, b, i, j, count): events that lie on node i of map a and on node j of map b.
 
-    A task hands on its counts, never the events' nodes.
+    A task hands on its counts, never the events' nodes.  A column ``_n`` is the number of equal events of a row.
     """
+    weighed = "_n" in events.columns
     sent = events.sparkSession.sparkContext.broadcast(list(books))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +190,9 @@ def _contingency(events: DataFrame, books: Sequence[np.ndarray], x: str = "x") -
             if batch.num_rows:
                 m = matrix_of(batch.column(0))
                 node = [nearest(m, book) for book in maps]
+                copies = batch.column(1).to_numpy(zero_copy_only=False) if weighed else None
                 for (a, b), cells in met.items():
-                    cells += np.bincount(node[a] * len(maps[b]) + node[b], minlength=len(cells))
+                    cells += np.bincount(node[a] * len(maps[b]) + node[b], weights=copies, minlength=len(cells)).astype("int64")
         for (a, b), cells in met.items():
             used = np.nonzero(cells)[0]
             if len(used):
@@ -199,32 +201,36 @@ def _contingency(events: DataFrame, books: Sequence[np.ndarray], x: str = "x") -
                     [pa.array(np.full(len(used), v, dtype="int64")) for v in (a, b)] + [pa.array(v) for v in (i, j, cells[used])],
                     names=["a", "b", "i", "j", "n"])
 
-    found = events.select(x).mapInArrow(count, "a long, b long, i long, j long, n long")
+    found = events.select(x, *(["_n"] if weighed else [])).mapInArrow(count, "a long, b long, i long, j long, n long")
     return found.groupBy("a", "b", "i", "j").agg(F.sum("n").alias("count"))
 
 
 def choose_k(
     events: DataFrame, codes: np.ndarray, ks: Sequence[int], *, x: str = "x", key: Sequence[str] = ("event_id",), xdim: int = 10, ydim: int = 10,
     bootstraps: int = BOOTSTRAPS, min_stability: float = MIN_STABILITY, seed: int = 42, epochs: int | None = None,
+    rows: DataFrame | None = None,
 ) -> tuple[int, list[tuple[int, float, float, float]]]:
     """Number of metaclusters and the (k, silhouette, stability, composite) scores.
 
     Silhouettes of the codebook keep the better half of the candidates.  Then
     maps are trained with different seeds on all rows, all of them in the same
     jobs; every pair of maps is compared by its node-by-node contingency counts, from
-    which the Rand index follows for all k at once.
+    which the Rand index follows for all k at once.  ``rows`` are the events with their number, where the caller has them.
     """
     from marrowgrid.operators.som import fit_soms
-    from marrowgrid.session import staged
 
     labels = agglomerate(codes, list(ks))
     sil = {k: silhouette(codes, labels[k]) for k in ks}
     kept = sorted(sorted(ks, key=lambda k: -sil[k])[: max(len(ks) // 2, 3)])
-    rows = staged(events.select(*key, x), "evaluation")
-    runs = fit_soms(rows, [seed + 100 + b for b in range(bootstraps)], x=x, key=key, xdim=xdim, ydim=ydim, epochs=epochs)
-    tables: dict = {}
-    for r in model_rows(_contingency(rows, [m.codes[None] for m in runs], x), math.comb(bootstraps, 2) * (xdim * ydim) ** 2 + 1):
-        tables.setdefault((r["a"], r["b"]), []).append((r["i"], r["j"], r["count"]))
+    kinds = folded(events.select(x)) if rows is None else rows
+    try:
+        runs = fit_soms(events, [seed + 100 + b for b in range(bootstraps)], x=x, key=key, xdim=xdim, ydim=ydim, epochs=epochs, rows=kinds)
+        tables: dict = {}
+        for r in model_rows(_contingency(kinds, [m.codes[None] for m in runs], x), math.comb(bootstraps, 2) * (xdim * ydim) ** 2 + 1):
+            tables.setdefault((r["a"], r["b"]), []).append((r["i"], r["j"], r["count"]))
+    finally:
+        if rows is None:
+            kinds.unpersist()
     cut = [agglomerate(m.codes[None], kept) for m in runs]
     stability = {}
     for k in kept:

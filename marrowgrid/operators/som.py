@@ -139,11 +139,23 @@ def _rows_by_key(batch: pa.RecordBatch, at: int | None):
         yield key, np.nonzero(index == i)[0]
 
 
-def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: str, d: int) -> list:
-    """Per (model, node): event count and vector sum.
+def _packed(rows: DataFrame, x: str) -> DataFrame:
+    """The rows of a map with their number as blocks of doubles, persisted; an epoch reads a block as it lies."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                block = np.column_stack([matrix_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)]).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    return rows.select(x, "_n").mapInArrow(pack, "block binary").persist()
+
+
+def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: str, d: int, blocks: DataFrame | None = None) -> dict:
+    """Event count and vector sum of every node, by model.
 
     ``events`` holds distinct rows with their number ``_n``.  Without a
-    ``model`` column every row takes part in every one of the books.
+    ``model`` column every row takes part in every one of the books, and
+    ``blocks`` holds the same rows as :func:`_packed` does.
     """
     sent = events.sparkSession.sparkContext.broadcast((books, weights))
     kind = events.schema[model].dataType if model else T.IntegerType()
@@ -152,6 +164,17 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
         [T.StructField("m", kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType())]
         + [T.StructField(f"s{i}", T.DoubleType()) for i in range(d)])
 
+    def pieces(batch: pa.RecordBatch, keys) -> Iterator[tuple]:
+        if model:
+            m, copies = matrix_of(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
+            for key, rows in _rows_by_key(batch, 0):
+                yield key, m[rows], copies[rows]
+            return
+        for block in batch.column(0):
+            held = np.frombuffer(block.as_buffer(), float).reshape(-1, d + 1)
+            for key in keys:
+                yield key, held[:, :d], held[:, d]
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, w = sent.value
         sums = {k: np.zeros((len(c), d)) for k, c in codes.items()}
@@ -159,16 +182,13 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = matrix_of(batch.column(batch.num_columns - 1))
-            m = m if w is None else m * w
-            copies = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
-            for key, rows in _rows_by_key(batch, 0) if model else ((k, slice(None)) for k in codes):
-                if key in codes and len(m[rows]):
-                    best = nearest(m[rows], codes[key])
-                    k, times = len(codes[key]), copies[rows]
-                    sizes[key] += np.bincount(best, weights=times, minlength=k).astype("int64")
+            for key, m, copies in pieces(batch, codes):
+                if key in codes and len(m):
+                    m = m if w is None else m * w
+                    best, k = nearest(m, codes[key]), len(codes[key])
+                    sizes[key] += np.bincount(best, weights=copies, minlength=k).astype("int64")
                     for i in range(d):
-                        sums[key][:, i] += np.bincount(best, weights=m[rows, i] * times, minlength=k)
+                        sums[key][:, i] += np.bincount(best, weights=m[:, i] * copies, minlength=k)
         for key, n in sizes.items():
             used = np.nonzero(n)[0]
             if len(used):
@@ -177,8 +197,22 @@ def _epoch_sums(events: DataFrame, books: dict, weights, model: str | None, x: s
                     [keys, pa.array(used), pa.array(n[used])] + [pa.array(sums[key][used, i]) for i in range(d)],
                     names=[f.name for f in schema])
 
-    partial = events.select(*([model] if model else []), "_n", x).mapInArrow(reduce, schema)
-    return partial.groupBy("m", "node").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
+    read = events.select(model, "_n", x) if model else blocks
+    partial = read.mapInArrow(reduce, schema)
+    # the sums of few tasks are added up here, those of many meet in a shuffle first
+    if model or blocks.rdd.getNumPartitions() * sum(c.size for c in books.values()) > SHIPPED_NUMBERS:
+        partial = partial.groupBy("m", "node").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
+    table = partial.toArrow()
+    out = {k: (np.zeros(len(c)), np.zeros((len(c), d))) for k, c in books.items()}
+    places: dict = {}
+    for i, key in enumerate(table.column("m").to_pylist()):
+        places.setdefault(key, []).append(i)
+    node, number, *sums = [c.to_numpy() for c in table.columns[1:]]
+    for key, at in places.items():
+        np.add.at(out[key][0], node[at], number[at])
+        for i in range(d):
+            np.add.at(out[key][1][:, i], node[at], sums[i][at])
+    return out
 
 
 def neighbourhood(grid: np.ndarray, radius: float) -> np.ndarray:
@@ -232,20 +266,30 @@ def fit_som(
 
 def fit_soms(
     events: DataFrame, seeds: Sequence[int], *, x: str = "x", key: Sequence[str] = ("event_id",), xdim: int = 10, ydim: int = 10,
-    epochs: int | None = None, tol: float = 0.0, shipped_numbers: int = SHIPPED_NUMBERS,
+    epochs: int | None = None, tol: float = 0.0, shipped_numbers: int = SHIPPED_NUMBERS, rows: DataFrame | None = None,
 ) -> list[SomModel]:
-    """One map per seed over the same events, as :func:`fit_som` trains each; an epoch of all maps is one job."""
-    source = folded(events.select(x))
+    """One map per seed over the same events, as :func:`fit_som` trains each; an epoch of all maps is one job.
+
+    ``rows`` are the events with their number, as for :func:`fit_som`.
+    """
+    source = folded(events.select(x)) if rows is None else rows
     try:
         n, d = source.agg(F.sum("_n"), F.max(F.size(x))).first()
         held, fitted = max(1, shipped_numbers // (xdim * ydim * d)), []
         for i in range(0, len(seeds), held):
-            books = {b: _start(events, x, key, [], xdim * ydim, d, None, seed, 1)[None] for b, seed in enumerate(seeds[i:i + held])}
+            books = dict(enumerate(_starts(events, x, key, seeds[i:i + held], xdim * ydim, d, n)))
             books = _train(source, books, None, None, x, d, grid_distances(xdim, ydim), epochs or epochs_for(n), tol)
             fitted += [SomModel(xdim, ydim, {None: books[b]}) for b in sorted(books)]
         return fitted
     finally:
-        source.unpersist()
+        if rows is None:
+            source.unpersist()
+
+
+def _book(rows: list, nodes: int, d: int, weights=None) -> np.ndarray:
+    """Start of a map from its (key, vector) rows, repeated where these are fewer than the nodes."""
+    first = np.array([v for _, v in sorted(rows)], dtype=float)
+    return np.resize(first if weights is None else first * weights, (nodes, d))
 
 
 def _start(events: DataFrame, x: str, key: Sequence[str], by: Sequence[str], nodes: int, d: int, weights, seed: int, models: int) -> dict:
@@ -255,33 +299,49 @@ def _start(events: DataFrame, x: str, key: Sequence[str], by: Sequence[str], nod
     seeds: dict = {}
     for r in model_rows(start, models * nodes):
         seeds.setdefault(r[by[0]] if by else None, []).append((tuple(str(r[k]) for k in key), r[x]))
-    books = {}
-    for k, rows in seeds.items():
-        first = np.array([v for _, v in sorted(rows)], dtype=float)
-        first = first if weights is None else first * weights
-        books[k] = np.resize(first, (nodes, d))
-    return books
+    return {k: _book(rows, nodes, d, weights) for k, rows in seeds.items()}
+
+
+def _starts(events: DataFrame, x: str, key: Sequence[str], seeds: Sequence[int], nodes: int, d: int, n: int) -> list[np.ndarray]:
+    """What :func:`_start` gives for every seed, from one pass over the ``n`` events.
+
+    Rows are ranked below a bound on their hash that leaves some more than a map has nodes.  A seed that finds
+    fewer there (keys that repeat do not spread evenly) gets a pass of its own.
+    """
+    margin = nodes + 8 * math.ceil(math.sqrt(nodes)) + 40
+    bound = "g" if n <= 4 * margin else f"{(margin << 32) // n:08x}"
+    rows, orders = events.select(*dict.fromkeys([*key, x])), [hash_order(*key, seed=s) for s in seeds]
+    # exploded before they are cut: a filter below would work out the key anew for every seed
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("_b"), o.alias("_h")) for b, o in enumerate(orders)]))
+    drawn = rows.withColumn("_e", each).select(*rows.columns, "_e.*").where(F.col("_h") < bound)
+    # Spark cuts the rows of a seed before the shuffle
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *key))
+    found: list[list] = [[] for _ in seeds]
+    for r in model_rows(drawn.withColumn("_k", place).where(F.col("_k") <= nodes), len(seeds) * nodes):
+        found[r["_b"]].append((tuple(str(r[k]) for k in key), r[x]))
+    return [_book(f, nodes, d) if len(f) >= min(nodes, n) else _start(events, x, key, [], nodes, d, None, s, 1)[None] for f, s in zip(found, seeds)]
 
 
 def _train(source: DataFrame, books: dict, weights, model: str | None, x: str, d: int, grid: np.ndarray, rounds: int, tol: float) -> dict:
     """Codebooks after the epochs; a map that no longer moves takes no further part."""
     top = float(np.quantile(grid, START_QUANTILE))
     moving, done = dict(books), {}
-    for e in range(rounds):
-        radius = top * (1 - e / max(rounds - 1, 1))
-        sums = {k: (np.zeros(len(b)), np.zeros((len(b), d))) for k, b in moving.items()}
-        # a single map without a key column goes by the number 0
-        sent = {0: moving[None]} if None in moving and model is None else moving
-        for r in _epoch_sums(source, sent, weights, model, x, d):
-            count, total = sums[None if sent is not moving else r["m"]]
-            count[r["node"]] = r["n"]
-            total[r["node"]] = [r[f"s{i}"] for i in range(d)]
-        for k, book in list(moving.items()):
-            moving[k] = _moved(book, *sums[k], grid, radius)
-            if radius <= 0.5 and float(np.abs(moving[k] - book).max()) <= tol:
-                done[k] = moving.pop(k)
-        if not moving:
-            break
+    blocks = _packed(source, x) if model is None else None
+    try:
+        for e in range(rounds):
+            radius = top * (1 - e / max(rounds - 1, 1))
+            # a single map without a key column goes by the number 0
+            sent = {0: moving[None]} if None in moving and model is None else moving
+            sums = _epoch_sums(source, sent, weights, model, x, d, blocks)
+            for k, book in list(moving.items()):
+                moving[k] = _moved(book, *sums[k if sent is moving else 0], grid, radius)
+                if radius <= 0.5 and float(np.abs(moving[k] - book).max()) <= tol:
+                    done[k] = moving.pop(k)
+            if not moving:
+                break
+    finally:
+        if blocks is not None:
+            blocks.unpersist()
     fitted = {**moving, **done}
     return {k: fitted[k] for k in books}
 

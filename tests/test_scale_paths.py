@@ -235,6 +235,49 @@ def test_candidate_maps_train_in_the_same_jobs(spark, monkeypatch):
     assert len(seen) <= 6
 
 
+def test_choose_k_compares_maps_over_distinct_vectors(spark, monkeypatch):
+    """Starts of all maps come from one pass, and maps are compared by equal vectors with their number."""
+    from marrowgrid.operators import metacluster, som
+
+    df, seen = _repeated_vectors(spark), []
+    codes = som.fit_som(df, xdim=3, ydim=3, epochs=4).codes[None]
+    met = metacluster._contingency
+    monkeypatch.setattr(metacluster, "_contingency", lambda events, *a: seen.append(events.count()) or met(events, *a))
+    monkeypatch.setattr(som, "_start", None)  # not once per seed
+    best, scores = metacluster.choose_k(df, codes, range(2, 6), xdim=3, ydim=3, bootstraps=3, epochs=4)
+    assert seen == [40] and len(scores) == 4
+    monkeypatch.setattr(metacluster, "_contingency", met)
+    runs = som.fit_soms(df, [142, 143, 144], xdim=3, ydim=3, epochs=4)
+    books = [m.codes[None] for m in runs]
+    whole = sorted(map(tuple, met(df, books).collect()))
+    assert whole == sorted(map(tuple, met(df.groupBy("x").agg(F.count("*").alias("_n")), books).collect()))
+
+
+@pytest.mark.parametrize("n, keys", [(30, 30), (5000, 5000), (5000, 3)])
+def test_starts_of_many_maps_equal_those_of_each(spark, n, keys):
+    """With few rows, with a bound on the hash, and where repeated keys leave too few rows below it."""
+    from marrowgrid.operators import som
+
+    df = spark.range(n).select((F.col("id") % keys).alias("event_id"), F.array(F.col("id") % keys * 0.5, F.lit(1.0)).alias("x"))
+    got = som._starts(df, "x", ["event_id"], [1, 2, 3], 36, 2, n)
+    for seed, book in zip((1, 2, 3), got):
+        assert np.array_equal(book, som._start(df, "x", ["event_id"], [], 36, 2, None, seed, 1)[None])
+
+
+def test_sums_of_an_epoch_meet_in_tasks_or_on_the_driver(spark, monkeypatch):
+    from marrowgrid.operators import som
+
+    df = _repeated_vectors(spark).withColumn("_n", F.lit(2).cast("long")).repartition(5)
+    x = np.array([r["x"] for r in df.collect()])
+    books = {0: x[:4], 1: x[4:9]}
+    for numbers in (som.SHIPPED_NUMBERS, 1):
+        monkeypatch.setattr(som, "SHIPPED_NUMBERS", numbers)
+        for k, (n, s) in som._epoch_sums(df, books, None, None, "x", 3, som._packed(df, "x")).items():
+            node = ((x[:, None, :] - books[k][None]) ** 2).sum(axis=2).argmin(axis=1)
+            assert np.array_equal(n, 2 * np.bincount(node, minlength=len(books[k])))
+            assert np.allclose(s, [2 * x[node == i].sum(axis=0) for i in range(len(books[k]))])
+
+
 def test_contingency_counts_every_event(spark):
     from marrowgrid.operators import metacluster
 
