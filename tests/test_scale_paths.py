@@ -374,3 +374,19 @@ def test_stratifying_hierarchy_goes_over_distinct_vectors(spark, monkeypatch):
     monkeypatch.setattr(embed, "lasso_importance", lambda table, columns, *_, **__: spark.createDataFrame([(c, 1.0) for c in columns], "feature string, importance double"))
     out = embed.stratifying_clusters(df, "file", "endpoint", ["u", "v"], hash_order("event_id"), clusters=4).toPandas()
     assert seen == [(16, "weight")] and sorted(out["n"]) == want
+
+
+def test_samples_within_their_quota_need_no_order(spark, monkeypatch):
+    """No sample is larger than its quota, so no key is hashed and no sample sorted by it."""
+    from marrowgrid.operators import embed
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (400, 2)) * 9.0 + rng.integers(0, 2, (400, 2))
+    df = spark.createDataFrame(pd.DataFrame({"event_id": np.arange(400), "file": [f"F{i % 4}" for i in range(400)], "u": x[:, 0], "v": x[:, 1]}))
+    df = df.withColumn("endpoint", F.substring("file", 2, 1).cast("int") % 2)
+    monkeypatch.setattr(embed, "lasso_importance", lambda table, columns, *_, **__: spark.createDataFrame([(c, 1.0) for c in columns], "feature string, importance double"))
+    unused = F.raise_error(F.concat(F.lit("ordered "), F.col("event_id").cast("string"))).cast("string")
+    out = embed.stratifying_clusters(df, "file", "endpoint", ["u", "v"], unused, clusters=4, per_sample=100).toPandas()
+    assert out["n"].sum() == 400
+    few = embed.stratifying_clusters(df, "file", "endpoint", ["u", "v"], hash_order("event_id"), clusters=4, per_sample=30).toPandas()
+    assert few["n"].sum() == 120
